@@ -87,7 +87,7 @@ def featurise(text: str | None, hasher: Hasher) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate([np.fromiter(by, np.int64, len(by)), np.array(bins)]), np.concatenate([x, np.full(len(bins), 0.5)])
 
 
-def fit(rows: list[tuple[bytes, bytes, int]], epochs: int = 10, rate: float = 0.08, l2: float = 1e-5) -> Machine:
+def fit(rows: list[tuple[bytes, bytes, int]], epochs: int | None = None, rate: float = 0.08, l2: float = 1e-5) -> Machine:
     """AdaGrad on the logistic loss of (features, values, label) rows; without any, every score is one half."""
     rng = np.random.default_rng(11)
     m = Machine(0.0, np.zeros(FEATURES), rng.normal(0, 0.02, (FEATURES, RANK)))
@@ -99,7 +99,7 @@ def fit(rows: list[tuple[bytes, bytes, int]], epochs: int = 10, rate: float = 0.
     p = min(0.999, max(0.001, y.mean()))
     m.w0 = float(np.log(p / (1 - p)))
     gw, gv = np.full(FEATURES, 1e-2), np.full((FEATURES, RANK), 1e-2)
-    for _ in range(epochs):
+    for _ in range(epochs or max(10, min(80, 40_000 // len(rows)))):  # few rows are gone over more often
         for part in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // 64)):
             f = np.concatenate([at[i] for i in part])
             xs = np.concatenate([x[i] for i in part])
