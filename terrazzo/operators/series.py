@@ -60,7 +60,7 @@ def corrected_cdf(cdf: Column) -> Column:
     rising = F.aggregate(
         F.transform(unit, lambda v, i: F.when(i + 1 <= first0, F.lit(0.0)).otherwise(v)),
         F.array().cast("array<double>"),
-        lambda acc, v: F.concat(acc, F.array(F.greatest(v, F.coalesce(F.element_at(acc, -1), F.lit(0.0))))),
+        lambda acc, v: F.concat(acc, F.array(F.greatest(v, F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0.0))))),
     )
     return F.when(high == low, F.transform(cdf, lambda v: F.least(F.greatest(v, F.lit(0.0)), F.lit(1.0)))).otherwise(rising)
 

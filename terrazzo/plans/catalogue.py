@@ -40,8 +40,14 @@ def query(sql: str | None = None) -> Callable:
     return put
 
 
+def _written(table: DataFrame) -> DataFrame:
+    """An index table as queries see it: built once and read from the shared folder."""
+    prepared(table.sparkSession)
+    return table.checkpoint()
+
+
 def _leaves(points: DataFrame) -> DataFrame:
-    return cells.leaf_meta(cells.leaves(points, LEAF_ROWS, BITS, DEEPEST), UNIT, BITS)
+    return _written(cells.leaf_meta(cells.leaves(points, LEAF_ROWS, BITS, DEEPEST), UNIT, BITS))
 
 
 PAIRS_P = f"WITH {PO}, {PQ} SELECT qid, id FROM po JOIN pq ON x = qx AND y = qy"
@@ -203,6 +209,7 @@ def _learned(points: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFram
     meta = _leaves(points)
     entries = learned.leaf_positions(cells.assign_leaves(points, meta, BITS))
     probes = cells.assign_leaves(search.with_query_code(queries, UNIT, BITS), meta, BITS)
+    entries = _written(entries)
     return entries, learned.with_bounds(entries, learned.linear_models(entries)), probes
 
 
@@ -328,15 +335,15 @@ def leaf_positions(spark, sf_dir):
 @query(f"{_AT_LEAF} SELECT leaf, count(*) AS n, 0::BIGINT AS outside FROM p GROUP BY leaf")
 def learned_bounds_valid(spark, sf_dir):
     points = pe(spark, sf_dir)
-    entries = learned.leaf_positions(cells.assign_leaves(points, _leaves(points), BITS))
+    entries = _written(learned.leaf_positions(cells.assign_leaves(points, _leaves(points), BITS)))
     return learned.violations(entries, learned.with_bounds(entries, learned.linear_models(entries)))
 
 
 @query(f"{_AT_LEAF} SELECT leaf, count(*) AS n, 0::BIGINT AS outside FROM p GROUP BY leaf")
 def network_bounds_valid(spark, sf_dir):
     points = pe(spark, sf_dir)
-    entries = learned.leaf_positions(cells.assign_leaves(points, _leaves(points), BITS))
-    models = learned.network_models(entries, steps=60)
+    entries = _written(learned.leaf_positions(cells.assign_leaves(points, _leaves(points), BITS)))
+    models = _written(learned.network_models(entries, steps=60))
     return learned.violations(entries, learned.with_bounds(entries, models, learned.network_guess()), learned.network_guess())
 
 
@@ -350,7 +357,7 @@ def leaf_regression(spark, sf_dir):
 @query()
 def leaf_error_bounds(spark, sf_dir):
     points = pe(spark, sf_dir)
-    entries = learned.leaf_positions(cells.assign_leaves(points, _leaves(points), BITS))
+    entries = _written(learned.leaf_positions(cells.assign_leaves(points, _leaves(points), BITS)))
     return learned.with_bounds(entries, learned.linear_models(entries)).select("leaf", "n", "min_err", "max_err")
 
 
@@ -415,11 +422,11 @@ def merge_rebuild_leaves(spark, sf_dir):
 def refreshed_models_valid(spark, sf_dir):
     points = pe(spark, sf_dir)
     old, new = _halves(points)
-    meta = cells.leaf_meta(cells.all_leaves(old, LEAF_ROWS, BITS, DEEPEST), UNIT, BITS)
-    before = learned.leaf_positions(cells.assign_leaves(old, meta, BITS))
-    models = learned.with_bounds(before, learned.linear_models(before))
-    after = learned.leaf_positions(cells.assign_leaves(points, meta, BITS))
-    fresh = updates.refreshed_models(models, after, updates.touched_leaves(meta, new, BITS), 1.5)
+    meta = _written(cells.leaf_meta(cells.all_leaves(old, LEAF_ROWS, BITS, DEEPEST), UNIT, BITS))
+    before = _written(learned.leaf_positions(cells.assign_leaves(old, meta, BITS)))
+    models = _written(learned.with_bounds(before, learned.linear_models(before)))
+    after = _written(learned.leaf_positions(cells.assign_leaves(points, meta, BITS)))
+    fresh = _written(updates.refreshed_models(models, after, _written(updates.touched_leaves(meta, new, BITS)), 1.5))
     return learned.violations(after, fresh).agg(F.sum("n").alias("n"), F.sum("outside").alias("outside"))
 
 
@@ -434,10 +441,11 @@ def point_query_predicted_bucket(spark, sf_dir):
     """Main rows and inserted ones, of which only the probe's bucket of each leaf is searched; buckets by the history's distribution."""
     points, q = po(spark, sf_dir), search.with_query_code(place_queries(spark, sf_dir), UNIT, BITS)
     main, delta = points.where("id % 2 = 0"), points.where("id % 2 = 1")
-    meta = cells.leaf_meta(cells.all_leaves(main, LEAF_ROWS, BITS, DEEPEST), UNIT, BITS)
+    meta = _written(cells.leaf_meta(cells.all_leaves(main, LEAF_ROWS, BITS, DEEPEST), UNIT, BITS))
     at = cells.assign_leaves(main, meta, BITS)
     spans = meta.select("leaf", "value", (F.col("value") + F.col("value_diff")).alias("end"))
     cdf = series.cdf_series(at.join(spans, "leaf").withColumn("time_id", F.lit(0).cast("long")), "leaf", "value", "end", WIDTH).withColumn("max_key", F.greatest(F.col("n") - 1, F.lit(0)))
+    cdf = _written(cdf)
     placed = lambda df: updates.with_buckets(cells.assign_leaves(df, meta, BITS).withColumn("time_id", F.lit(0).cast("long")), meta, cdf, WIDTH)
     return updates.point_query_with_delta(at, placed(delta), placed(q))
 
@@ -497,7 +505,7 @@ def predicted_bucket(spark, sf_dir):
 
 
 def _history(spark, sf_dir):
-    s = series.filled_series(_cdf(spark, sf_dir), "cell", DAYS - 1).withColumn("max_key", F.greatest(F.col("n") - 1, F.lit(0)))
+    s = _written(series.filled_series(_cdf(spark, sf_dir), "cell", DAYS - 1).withColumn("max_key", F.greatest(F.col("n") - 1, F.lit(0))))
     return s.where(F.col("time_id") < DAYS - 3), s.where(F.col("time_id") >= DAYS - 3)
 
 
@@ -513,7 +521,7 @@ for _name, _a, _b in (("forecast_holt_winters", "es", "es"), ("forecast_var", "v
     _forecast_query(_name, _a, _b)
 
 
-@query(f"{_KEYED}, g AS (SELECT cell, time_id FROM (SELECT DISTINCT cell FROM k), range(0, {DAYS}) r(time_id)), n AS (SELECT g.cell, g.time_id, count(k.z) AS n, min(count(k.z)) OVER (PARTITION BY g.cell) FROM g LEFT JOIN k ON g.cell = k.cell AND g.time_id = k.time_id GROUP BY ALL), f AS (SELECT cell, min(time_id) AS f FROM n WHERE n > 0 GROUP BY cell), m AS (SELECT cell, time_id, greatest(n - 1, 0) AS mk FROM n JOIN f USING (cell) WHERE time_id >= f) SELECT a.cell, round(avg(abs(a.mk - b.mk)), 9) AS mae FROM m a JOIN m b ON a.cell = b.cell AND b.time_id = {DAYS - 4} WHERE a.time_id >= {DAYS - 3} GROUP BY a.cell")
+@query(f"{_KEYED}, g AS (SELECT cell, time_id FROM (SELECT DISTINCT cell FROM k), range(0, {DAYS}) r(time_id)), n AS (SELECT g.cell, g.time_id, count(k.z) AS n FROM g LEFT JOIN k ON g.cell = k.cell AND g.time_id = k.time_id GROUP BY ALL), f AS (SELECT cell, min(time_id) AS f FROM n WHERE n > 0 GROUP BY cell), m AS (SELECT cell, time_id, greatest(n - 1, 0) AS mk FROM n JOIN f USING (cell) WHERE time_id >= f) SELECT a.cell, round(avg(abs(a.mk - b.mk)), 9) AS mae FROM m a JOIN m b ON a.cell = b.cell AND b.time_id = {DAYS - 4} WHERE a.time_id >= {DAYS - 3} GROUP BY a.cell")
 def forecast_mae_repeat_last(spark, sf_dir):
     past, actual = _history(spark, sf_dir)
     e = series.forecast_error(series.forecast(past, "cell", 7, 3, "last", "last"), actual, "cell")
