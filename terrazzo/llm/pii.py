@@ -13,6 +13,7 @@ import re
 from functools import cache
 
 import ahocorasick
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -177,8 +178,6 @@ def redact_pii(docs: DataFrame) -> DataFrame:
 
     All other columns pass through unchanged; null stays null. Map-only.
     """
-    import pandas as pd
-
     @F.pandas_udf("string")
     def clean(s: pd.Series) -> pd.Series:
         return s.map(redact, na_action="ignore")

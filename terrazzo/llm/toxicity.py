@@ -12,6 +12,7 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -125,8 +126,6 @@ def score_toxicity(docs: DataFrame, model: Ordinal) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, model: Ordinal) -> DataFrame:
     """The rows of `docs` that the model doesn't reject, all columns as they were."""
-    import pandas as pd
-
     hasher = Hasher(BUCKETS)
 
     @F.pandas_udf("boolean")
