@@ -23,8 +23,8 @@ GRADE_CUTS = (4, 10)
 GRADES = 4
 #: The bound on labelled rows a model is fitted to.
 SAMPLE_ROWS = 8_000
-#: A word is a feature if so many sample rows hold it and its log odds ratio stands out by so many standard errors.
-MIN_ROWS, MIN_Z = 5, 4.0
+#: A word is a feature if so many toxic sample rows hold it, and their share stands out from clean rows' by so many standard errors.
+MIN_ROWS, MIN_Z = 6, 7.0
 
 
 @dataclass
@@ -56,11 +56,11 @@ def fit(rows: list[tuple[list[int], list[int], int]], steps: int = 400, l2: floa
     bucket = np.concatenate([np.asarray(r[0], dtype=np.int64) for r in rows])
     count = np.concatenate([np.asarray(r[1], dtype=np.float64) for r in rows])
     n1, n0 = y.sum(), len(y) - y.sum()
-    a = np.bincount(bucket[y[row] == 1], minlength=BUCKETS) + 0.5
-    b = np.bincount(bucket[y[row] == 0], minlength=BUCKETS) + 0.5
-    odds = np.log(a / (n1 - a + 1)) - np.log(b / (n0 - b + 1))
-    z = odds / np.sqrt(1 / a + 1 / (n1 - a + 1) + 1 / b + 1 / (n0 - b + 1))
-    chosen = np.flatnonzero((a + b > MIN_ROWS) & (z > MIN_Z) & (odds > 1))
+    a = np.bincount(bucket[y[row] == 1], minlength=BUCKETS)
+    b = np.bincount(bucket[y[row] == 0], minlength=BUCKETS)
+    share = (a + b) / len(y)
+    z = (a / n1 - b / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / n0))
+    chosen = np.flatnonzero((a >= MIN_ROWS) & (z > MIN_Z))
     if not len(chosen):
         return never
     place = np.full(BUCKETS, -1)
