@@ -1,10 +1,11 @@
 """MinHash near-duplicates by an inverted join on signature coordinates.
 
-Texts with equal shingle sets are one class, which its smallest doc_id represents. Each class is posted under
-(coordinate, value) for a prefix of its signature: two signatures of K values that agree in at least M places
-agree in one of the first K - M + 1, so the other lists needn't be merged; agreement over all K is counted
-only for classes that meet in a list (the skipped lists are probed). Pairs with M matches or more are confirmed on
-full sets.
+Texts with equal shingle sets are one class, which its smallest doc_id represents. A class's (coordinate, value)
+pairs are put in order of how many classes share them, the rarest first, and it is posted under the first
+K - M + 1: two signatures that agree in M of K places or more have one of those in common, so the longer lists
+needn't be merged, and a class whose prefix nobody shares is posted nowhere. Agreement over all K is counted
+only for classes that meet in a list (the skipped lists are probed), and for each pair in the first list in
+which it meets. Pairs with M matches or more are confirmed on full sets.
 
 Nothing emits all pairs of a list. First each class meets only its lists' smallest member; confirmed links
 merge classes into components, and a list within one component is done. In the lists that are left, each
@@ -15,6 +16,7 @@ link is lost. Long lists are dealt out in blocks, the smallest member's componen
 
 from __future__ import annotations
 
+import gc
 import math
 from collections.abc import Iterator
 from functools import cache
@@ -24,16 +26,17 @@ import pyarrow as pa
 import xxhash
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import ddl, map_rows
 
-COORDINATES = 48
+COORDINATES = 64  # the places that a class is posted at are the bits of a long
 #: The odds that a link at exactly the threshold has too few matches to become a candidate.
 MISS = 1e-7
 #: Rows of a list that are compared in one task.
-BLOCK = 2048
+BLOCK = 4096
 #: Partners that a class proposes in a list in the first round; four times as many in each later one.
 PROPOSALS = 16
 #: A table of ids of at most so many rows (16 bytes each) is broadcast; a larger one is joined by shuffle.
@@ -97,47 +100,62 @@ def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _classes(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, digest) by row, and (rep, sig) by class of equal non-empty sets."""
+    """(doc_id, n, digest) by row, and (rep, n, sig) by class of equal non-empty sets."""
 
     def describe(doc_id, text):
         s = shingle_set(text, size)
-        return doc_id, len(s), xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None, signature(s).astype("<u4").tobytes() if len(s) else None
+        return doc_id, len(s), xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None, signature(s).view(np.int32) if len(s) else None
 
-    rows = map_rows(docs, describe, "doc_id long, n long, digest binary, sig binary", ["doc_id", "text"]).checkpoint()
+    rows = map_rows(docs, describe, "doc_id long, n long, digest binary, sig array<int>", ["doc_id", "text"]).checkpoint()
     known = rows.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
-    return rows, known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")).checkpoint()
+    return rows, known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")).checkpoint()
 
 
 def _postings(classes: DataFrame, prefix: int) -> DataFrame:
-    """(key, rep) for each of the first `prefix` coordinates; key has the coordinate above the value's 32 bits."""
-    keys = F.array(*[F.conv(F.hex(F.reverse(F.substring("sig", 4 * i + 1, 4))), 16, 10).cast("long") + F.lit(i << 32) for i in range(prefix)])
-    return classes.select(F.explode(keys).alias("key"), "rep")
+    """(key, rep, coord) of each class's `prefix` rarest coordinates, without those that nobody else has."""
+    each = classes.select("rep", F.posexplode("sig").alias("coord", "value"))
+    each = each.select("rep", F.col("coord").cast("int").alias("coord"), (F.shiftleft(F.col("coord").cast("long"), 32) + F.col("value").cast("long")).alias("key"))
+    lists = each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = each.join(lists, "key")
+    mine = W.partitionBy("rep")
+    alone = F.lit(COORDINATES) - F.count("*").over(mine)  # they come first in the order, and post nothing
+    place = F.row_number().over(mine.orderBy("n", "key"))
+    return shared.select("key", "rep", "coord", place.alias("_at"), alone.alias("_alone")).where(F.col("_at") + F.col("_alone") <= prefix).select("key", "rep", "coord")
 
 
-def _matches(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (a == b).sum(axis=1)
+def _signatures(b: pa.RecordBatch, column: int) -> np.ndarray:
+    return b.column(column).flatten().to_numpy().reshape(b.num_rows, -1)
 
 
-def _agreeing(pairs: DataFrame, sigs: DataFrame, least: int) -> DataFrame:
-    """Of (w, o), w > o, those whose signatures agree in `least` places or more."""
-    both = pairs.join(sigs.select(F.col("rep").alias("w"), F.col("sig").alias("sw")), "w").join(sigs.select(F.col("rep").alias("o"), F.col("sig").alias("so")), "o")
+def _alike(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of these sizes can be linked at all."""
+    return 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
+
+
+def _agreeing(pairs: DataFrame, sigs: DataFrame, least: int, percent: int) -> DataFrame:
+    """Of (w, o), w > o, those whose sizes allow a link and whose signatures agree in `least` places or more."""
+    side = lambda c: sigs.select(F.col("rep").alias(c), F.col("n").alias("n" + c), F.col("sig").alias("s" + c))
+    both = pairs.join(side("w"), "w").join(side("o"), "o").where(100 * F.least("nw", "no") >= percent * F.greatest("nw", "no"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                sw, so = (np.frombuffer(b"".join(b.column(i).to_pylist()), "<u4").reshape(b.num_rows, -1) for i in (2, 3))
-                yield b.filter(pa.array(_matches(sw, so) >= least)).select([0, 1])
+                yield b.filter(pa.array((_signatures(b, 2) == _signatures(b, 3)).sum(axis=1) >= least)).select([0, 1])
 
-    return both.select("w", "o", "sw", "so").mapInArrow(run, "w long, o long").distinct()
+    return both.select("w", "o", "sw", "so").mapInArrow(run, "w long, o long")
 
 
-def _proposed(rows: DataFrame, least: int, most: int) -> DataFrame:
-    """(w, o) pairs, w > o, within each block of rows (block, rep, comp, sig, failed) sorted by block: other
-    component, `least` matches or more, not among w's failures; for each w and block the `most` most alike."""
+def _proposed(rows: DataFrame, least: int, percent: int, most: int) -> DataFrame:
+    """(w, o) pairs, w > o, within each block of rows (block, coord, rep, comp, n, posted, sig, failed) sorted by
+    block: other component, `least` matches or more, meeting first at this coordinate, not among w's failures; for
+    each w and block the `most` most alike."""
     kind = ddl("w long, o long")
     arrow = to_arrow_schema(kind)
 
-    def propose(block, rep, comp, sig, failed) -> tuple[np.ndarray, np.ndarray]:
+    def propose(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        block, coord, rep, comp, size = (b.column(i).to_numpy() for i in range(5))
+        bits = np.unpackbits(b.column(5).to_numpy().astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(bool)
+        sig = _signatures(b, 6)
         found: list[tuple] = []
         at = np.arange(len(block))
         for s in range(1, len(block)):
@@ -145,48 +163,47 @@ def _proposed(rows: DataFrame, least: int, most: int) -> DataFrame:
             at = at[block[at] == block[at + s]]
             if not len(at):
                 break
-            for part in np.array_split(at, 1 + len(at) // 100_000):
-                part = part[(comp[part] != comp[part + s]) & (rep[part] != rep[part + s])]
-                n = _matches(sig[part], sig[part + s])
-                part, n = part[n >= least], n[n >= least]
-                a, b = rep[part], rep[part + s]
-                found.append((block[part], np.maximum(a, b), np.minimum(a, b), n))
+            part = at[(comp[at] != comp[at + s]) & (rep[at] != rep[at + s])]
+            part = part[_alike(size[part], size[part + s], percent)]
+            for i in np.array_split(part, 1 + len(part) // 100_000):
+                same = sig[i] == sig[i + s]
+                n = same.sum(axis=1)
+                ok = n >= least
+                i, n, same = i[ok], n[ok], same[ok]
+                ok = np.argmax(same & bits[i] & bits[i + s], axis=1) == coord[i]
+                i, n = i[ok], n[ok]
+                if len(i):
+                    found.append((block[i], np.maximum(rep[i], rep[i + s]), np.minimum(rep[i], rep[i + s]), n))
         if not found:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         g, w, o, n = (np.concatenate(x) for x in zip(*found, strict=True))
-        if len(w):
-            with np.errstate(over="ignore"):
-                code = lambda x, y: _mixed(x.astype(np.uint64) * _MIX + y.astype(np.uint64))
-                bad = [code(np.full(len(f), r), np.array(f)) for r, f in zip(rep.tolist(), failed, strict=True) if f]
-                new = ~np.isin(code(w, o), np.concatenate(bad)) if bad else np.ones(len(w), bool)
-            g, w, o, n = g[new], w[new], o[new], n[new]
-            order = np.lexsort((o, -n, w, g))
-            g, w, o = g[order], w[order], o[order]
-            first = np.concatenate([[True], (w[1:] != w[:-1]) | (g[1:] != g[:-1])])[: len(w)]
-            start = np.maximum.accumulate(np.where(first, np.arange(len(w)), 0))
-            keep = np.arange(len(w)) - start < most
-            w, o = w[keep], o[keep]
-        return w, o
+        with np.errstate(over="ignore"):
+            code = lambda x, y: _mixed(x.astype(np.uint64) * _MIX + y.astype(np.uint64))
+            bad = [code(np.full(len(f), r), np.array(f)) for r, f in zip(rep.tolist(), b.column(7).to_pylist(), strict=True) if f]
+            new = ~np.isin(code(w, o), np.concatenate(bad)) if bad else np.ones(len(w), bool)
+        g, w, o, n = g[new], w[new], o[new], n[new]
+        order = np.lexsort((o, -n, w, g))
+        g, w, o = g[order], w[order], o[order]
+        first = np.concatenate([[True], (w[1:] != w[:-1]) | (g[1:] != g[:-1])])[: len(w)]
+        start = np.maximum.accumulate(np.where(first, np.arange(len(w)), 0))
+        keep = np.arange(len(w)) - start < most
+        return w[keep], o[keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held = None  # a block that may go on in the next batch: BLOCK rows or two parts of them
         for b in _then_none(batches):
             if b is not None:
                 held = b if held is None else pa.concat_batches([held, b])
-                if not held.num_rows:
-                    continue
-            if held is None:
-                break
+            if held is None or not held.num_rows:
+                continue
             block = held.column(0).to_numpy()
-            end = len(block) if b is None else int(np.searchsorted(block, block[-1])) if len(block) else 0
+            end = len(block) if b is None else int(np.flatnonzero(block != block[-1])[-1]) + 1 if block[0] != block[-1] else 0
             if end:
-                part = held.slice(0, end)
-                sig = np.frombuffer(b"".join(part.column(3).to_pylist()), "<u4").reshape(end, -1)
-                w, o = propose(block[:end], part.column(1).to_numpy(), part.column(2).to_numpy(), sig, part.column(4).to_pylist())
+                w, o = propose(held.slice(0, end))
                 yield pa.RecordBatch.from_arrays([pa.array(w, pa.int64()), pa.array(o, pa.int64())], schema=arrow)
                 held = held.slice(end)
 
-    return rows.select("block", "rep", "comp", "sig", "failed").mapInArrow(run, kind).distinct()
+    return rows.select("block", "coord", "rep", "comp", "n", "posted", "sig", "failed").mapInArrow(run, kind).distinct()
 
 
 def _then_none(batches: Iterator) -> Iterator:
@@ -256,12 +273,12 @@ def _relabelled(comps: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _blocks(postings: DataFrame, comps: DataFrame) -> DataFrame:
-    """(block, rep, comp) of all lists with more than one component. A list of more than BLOCK rows becomes
+    """(block, coord, rep, comp) of all lists with more than one component. A list of more than BLOCK rows becomes
     blocks: each part of the smallest member's component with each part of the others, and the others' parts in pairs."""
     open_ = postings.join(comps, "rep")
     lists = open_.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("c"), F.max("comp").alias("c2"), F.min_by("comp", "rep").alias("main"))
     rows = open_.join(lists.where("c < c2").select("key", "n", "main"), "key")
-    short = rows.where(F.col("n") <= BLOCK).select(F.xxhash64("key").alias("block"), "rep", "comp")
+    short = rows.where(F.col("n") <= BLOCK).select(F.xxhash64("key").alias("block"), "coord", "rep", "comp")
     long_ = rows.where(F.col("n") > BLOCK).withColumn("own", F.col("comp") == F.col("main"))
     sizes = long_.groupBy("key").agg(F.ceil(F.count_if("own") / BLOCK).cast("int").alias("nm"), F.ceil(F.count_if(~F.col("own")) / BLOCK).cast("int").alias("no"))
     long_ = long_.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("rep"), F.when(F.col("own"), F.col("nm")).otherwise(F.col("no"))).cast("int"))
@@ -270,7 +287,13 @@ def _blocks(postings: DataFrame, comps: DataFrame) -> DataFrame:
     among = lambda i, j: F.xxhash64("key", F.lit(1), F.least(i, j), F.greatest(i, j))
     part = F.col("part")
     blocks = F.when(F.col("own"), F.transform(each("no"), lambda j: cross(part, j))).otherwise(F.concat(F.transform(each("nm"), lambda i: cross(i, part)), F.transform(each("no"), lambda j: among(part, j))))
-    return short.unionByName(long_.select(F.explode(blocks).alias("block"), "rep", "comp"))
+    return short.unionByName(long_.select(F.explode(blocks).alias("block"), "coord", "rep", "comp"))
+
+
+def _tidy(spark) -> None:
+    """Let go of the shuffle and checkpoint files of rounds that are over; Spark does so when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def near_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -282,26 +305,31 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     nothing either, have a null component_id and are kept; repeated rows get equal results; an empty table
     gives none; other columns are ignored.
     """
+    spark = docs.sparkSession
     least = least_matches(percent / 100)
     rows, classes = _classes(docs, size)
-    sigs = classes.groupBy("rep").agg(F.first("sig").alias("sig")).checkpoint()
-    postings = _postings(classes, COORDINATES - least + 1)
-    lists = postings.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("hub")).where("n > 1")
-    postings = postings.join(lists, "key").select("key", "rep", "hub").checkpoint()
+    postings = _postings(classes, COORDINATES - least + 1).checkpoint()
+    posted = postings.groupBy("rep").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("coord"))).alias("posted"))
+    # of texts that share a doc_id, one stands for it
+    sigs = classes.groupBy("rep").agg(F.min_by(F.struct("n", "sig"), "digest").alias("s")).select("rep", "s.n", "s.sig").join(posted, "rep").checkpoint()
     comps = sigs.select("rep", F.col("rep").alias("comp"))
     texts = docs.where(F.col("doc_id").isNotNull())
+    hubs = postings.groupBy("key").agg(F.min("rep").alias("o"), F.count("*").alias("n")).where("n > 1")
+    meet = postings.join(hubs, "key").where("rep != o").select(F.col("rep").alias("w"), "o").distinct()
     failed, most = None, PROPOSALS
-    pairs = _agreeing(postings.where("rep != hub").select(F.col("rep").alias("w"), F.col("hub").alias("o")).distinct(), sigs, least).checkpoint()
+    pairs = _agreeing(meet, sigs, least, percent).checkpoint()
     while not pairs.isEmpty():
         said = _confirmed(texts, pairs, size, percent)
         comps = _relabelled(comps, said.where("linked"))
         new = said.where("not linked").select("w", "o")
         failed = new if failed is None else failed.unionByName(new)
         bad = failed.groupBy(F.col("w").alias("rep")).agg(F.collect_set("o").alias("failed"))
-        blocks = _blocks(postings.select("key", "rep"), comps).join(sigs, "rep").join(bad, "rep", "left")
-        blocks = blocks.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 2, "block").sortWithinPartitions("block", "rep")
-        pairs = _proposed(blocks, least, most).checkpoint()
+        blocks = _blocks(postings, comps).join(sigs, "rep").join(bad, "rep", "left")
+        blocks = blocks.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")) * 2, "block").sortWithinPartitions("block", "rep")
+        pairs = _proposed(blocks, least, percent, most).checkpoint()
         most *= 4
+        _tidy(spark)
+    comps = classes.select("rep").distinct().join(comps, "rep", "left").select("rep", F.coalesce("comp", "rep").alias("comp"))
     by_digest = classes.join(comps, "rep").select("digest", F.col("comp").alias("_comp"))
     out = rows.select("doc_id", "n", "digest").join(by_digest, "digest", "left")
     alone = F.col("digest").isNull() | F.col("doc_id").isNull()
