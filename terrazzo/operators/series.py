@@ -159,7 +159,7 @@ def recurrent(y: np.ndarray, lag: int, steps: int, hidden: int = 24, gated: bool
         return np.concatenate([[1.0], h, rows[-1]])
 
     x = np.array([state(u[i : i + lag]) for i in range(len(u) - lag)])
-    out = np.linalg.solve(x.T @ x + 1e-2 * np.eye(x.shape[1]), x.T @ u[lag:])
+    out = np.linalg.solve(x.T @ x + 1e-3 * np.eye(x.shape[1]), x.T @ u[lag:])
     hist = list(u)
     for _ in range(steps):
         hist.append(state(np.array(hist[-lag:])) @ out)
