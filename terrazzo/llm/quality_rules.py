@@ -61,7 +61,9 @@ def with_stats(docs: DataFrame) -> DataFrame:
     covered = F.aggregate(F.transform(_c("starts"), lambda s, j: F.least(F.lit(WINDOW), F.coalesce(F.get(_c("starts"), j + 1) - s, F.lit(WINDOW)))), F.lit(0), lambda a, b: a + b)
     df = df.withColumn(_OWN + "n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
     df = df.withColumn(_OWN + "base_failed", (_c("n_words") < 10) | (100 * _c("n_repeat_words") > 20 * _c("n_words")))
-    return df.drop(*[_OWN + x for x in ("words", "lines", "hashes", "windows", "sorted", "starts")])
+    found = [_OWN + x for x in (*STATS, "n_upper", "n_chars", "n_lines", "n_distinct")]
+    # a generator of one row: no rule's filter is pushed below it, which would compute the statistics over and over
+    return df.select(*docs.columns, F.inline(F.array(F.struct(*found))))
 
 
 def _rule(value: Column, good: Column, bad: Column, when: Column | None = None) -> Column:
@@ -73,16 +75,18 @@ def _rule(value: Column, good: Column, bad: Column, when: Column | None = None)
 def rules() -> dict[str, Column]:
     """Each rule's vote. Between its two thresholds, or where a text is too short to tell, a rule abstains."""
     n = _c("n_words")
-    mean = _c("word_chars") / n
-    symbols = _c("n_symbols") / n
-    dup = _c("n_dup_lines") / _c("n_lines")
-    repeat = _c("n_repeat_words") / n
-    upper = (_c("n_chars") - _c("n_upper")) / _c("word_chars")
-    variety = _c("n_distinct") / n
+    mean = F.try_divide(_c("word_chars"), n)
+    symbols = F.try_divide(_c("n_symbols"), n)
+    share = F.try_divide(_c("n_symbols"), _c("word_chars"))
+    dup = F.try_divide(_c("n_dup_lines"), _c("n_lines"))
+    repeat = F.try_divide(_c("n_repeat_words"), n)
+    upper = F.try_divide(_c("n_chars") - _c("n_upper"), _c("word_chars"))
+    variety = F.try_divide(_c("n_distinct"), n)
     return {
         "length": _rule(n, n >= 30, n < 10),
         "word_length": _rule(mean, mean.between(3, 10), ~mean.between(2.5, 14), n >= 10),
         "symbols": _rule(symbols, symbols < 0.05, symbols > 0.3),
+        "letters": _rule(share, share < 0.02, share > 0.1, _c("word_chars") >= 40),
         "lines": _rule(dup, dup < 0.05, dup > 0.3, _c("n_lines") >= 4),
         "repeats": _rule(repeat, repeat < 0.05, repeat > 0.2),
         "upper": _rule(upper, upper < 0.1, upper > 0.4, _c("word_chars") >= 40),
@@ -105,19 +109,15 @@ class VoteModel:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 
-#: A rule is never taken to be worse than this, nor better than its complement allows: it keeps EM from swapping the classes.
-BEST_RATIO, LEAST_RATIO = 50.0, 1.5
+#: Bounds on the likelihood ratio of a vote for the class it names. Almost any text gets several votes for good at
+#: once, so each counts little; a vote for bad is rare and counts much. They also keep EM from swapping the classes.
+GOOD_RATIO, BAD_RATIO = (1.05, 1.2), (4.0, 200.0)
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]], names: list[str], rounds: int = 40) -> VoteModel:
-    """EM from (votes, count) patterns. An abstention carries no evidence on the class.
-
-    The likelihood ratio of each vote is held between LEAST_RATIO and BEST_RATIO in the vote's own
-    direction, so rules keep their meaning on any corpus; with no rows the starting rates stand.
-    """
+def estimate(patterns: list[tuple[tuple[int, ...], int]], names: list[str], rounds: int = 40, good_ratio: tuple[float, float] = GOOD_RATIO, bad_ratio: tuple[float, float] = BAD_RATIO) -> VoteModel:
+    """EM from (votes, count) patterns. An abstention carries no evidence on the class; with no rows the starting rates stand."""
     good = 0.8
-    start = {n: [[0.5, 0.0, 0.05], [0.05, 0.0, 0.5]] for n in names}
-    rates = {n: [list(x) for x in r] for n, r in start.items()}
+    rates = {n: [[0.5, 0.0, 0.5 / good_ratio[1]], [0.5 / bad_ratio[1], 0.0, 0.5]] for n in names}
     total = sum(c for _, c in patterns)
     for _ in range(rounds if total else 0):
         mass = [1.0, 4.0]
@@ -135,15 +135,14 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], names: list[str], roun
                     if v:
                         seen[n][k][v + 1] += q
                         spoke[n][k] += q
-        good = min(0.99, max(0.3, mass[1] / sum(mass)))
+        good = min(0.95, max(0.3, mass[1] / sum(mass)))
         for n in names:
             for k in (0, 1):
                 rates[n][k] = [x / spoke[n][k] for x in seen[n][k]]
-            for v, better in ((0, 0), (2, 1)):
-                b, g = rates[n][better][v], rates[n][1 - better][v]
-                ratio = min(BEST_RATIO, max(LEAST_RATIO, b / max(g, 1e-9)))
-                rates[n][1 - better][v] = max(b, 1e-6) / ratio
-                rates[n][better][v] = max(b, 1e-6)
+            for v, better, (least, most) in ((0, 0, bad_ratio), (2, 1, good_ratio)):
+                b, g = max(rates[n][better][v], 1e-6), rates[n][1 - better][v]
+                rates[n][better][v] = b
+                rates[n][1 - better][v] = b / min(most, max(least, b / max(g, 1e-9)))
     return VoteModel(good, rates)
 
 

@@ -99,7 +99,7 @@ def test_em_finds_accuracies():
     names, right = ["a", "b", "c", "d"], [0.95, 0.85, 0.75, 0.6]
     truth = rng.random(5000) < 0.7
     votes = [tuple(int(v) for v in (np.where(rng.random(4) < right, 1, -1) * (1 if t else -1)) * (rng.random(4) < 0.8)) for t in truth]
-    m = quality_rules.estimate(sorted(Counter(votes).items()), names)
+    m = quality_rules.estimate(sorted(Counter(votes).items()), names, good_ratio=(1.05, 50), bad_ratio=(1.05, 50))
     assert abs(m.good - 0.7) < 0.06
     acc = [m.rates[n][1][2] for n in names]
     assert acc[0] > acc[1] > acc[2] > acc[3]
