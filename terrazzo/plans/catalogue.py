@@ -361,6 +361,14 @@ def leaf_error_bounds(spark, sf_dir):
     return learned.with_bounds(entries, learned.linear_models(entries)).select("leaf", "n", "min_err", "max_err")
 
 
+@query()
+def lookup_pages(spark, sf_dir):
+    points = pe(spark, sf_dir)
+    entries = _written(learned.leaf_positions(cells.assign_leaves(points, _leaves(points), BITS)))
+    models = _written(learned.with_bounds(entries, learned.linear_models(entries)))
+    return learned.lookup_pages(models).join(updates.gap_sizes(models, 0.5), "leaf")
+
+
 @query(f"WITH {PE}, {PYRAMID}, v AS (SELECT cell << (2 * ({BITS} - depth)) AS value FROM leaf) SELECT id, max(value) AS found FROM pe LEFT JOIN v ON value <= z GROUP BY id")
 def asof_leaf(spark, sf_dir):
     points = pe(spark, sf_dir)

@@ -13,11 +13,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.region import Region
-from ..operators import cells, prep, series
+from ..operators import cells, prep, series, updates
 
 
 class TimedIndex:
-    """State of a timed index in `folder`, a path that all executors share: delta/batch=N and series/time_id=N."""
+    """State of a timed index in `folder`, a path that all executors share: delta/batch=N and series/time_id=N.
+
+    meta: a leaf table that covers the region, as all_leaves() gives it, so that any point has a leaf.
+    """
 
     def __init__(self, spark: SparkSession, folder: str, meta: DataFrame, region: Region, bits: int, start: int, interval: int, width: int = 20):
         self.spark, self.folder, self.meta, self.region, self.bits = spark, folder, meta, region, bits
@@ -54,6 +57,18 @@ class TimedIndex:
         out = series.cdf_series(at, "leaf", "value", "end", self.width)
         out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("time_id").parquet(f"{self.folder}/series")
 
+    def predict(self, lag: int, steps: int, cdf_model: str = "var", count_model: str = "es") -> DataFrame:
+        """(leaf, time_id, cdf, max_key) for the `steps` intervals after the last closed one; leaves without rows so far get zeros."""
+        last = self.closed().agg(F.max("time_id")).first()[0]
+        past = series.filled_series(self.closed().select("leaf", F.col("time_id").cast("long").alias("time_id"), "n", "cdf"), "leaf", last)
+        known = series.forecast(past.withColumn("max_key", F.greatest(F.col("n") - 1, F.lit(0))), "leaf", lag, steps, cdf_model, count_model)
+        new = self.meta.select("leaf").join(past.select("leaf").distinct(), "leaf", "left_anti")
+        return known.unionByName(series.empty_forecast(new, "leaf", last + 1, steps, self.width))
+
+    def bucketed_delta(self, forecasts: DataFrame) -> DataFrame:
+        """The delta with leaf and the bucket that a forecast lays out for each row; 0 where none was made."""
+        return updates.with_buckets(cells.assign_leaves(self.delta(), self.meta, self.bits), self.meta, forecasts, self.width)
+
     def finish(self) -> None:
         """Close the latest interval too."""
         self._close(self.delta().agg(F.max("time_id").alias("time_id")))

@@ -61,6 +61,13 @@ def test_range_paths(spark, points):
     assert search.range_query_z(points, one, UNIT, BITS).count() == search.range_query(points, one).count() == sum(q == 0 for q, _ in want)
 
 
+def test_bounds_reach_the_scan(spark, points, tmp_path):
+    prep.sorted_by_code(points).write.parquet(str(tmp_path / "p"))
+    plan = search.range_query_z(spark.read.parquet(str(tmp_path / "p")), Region(0.2, 0.5, 0.1, 0.4), UNIT, BITS).select("id")._jdf.queryExecution().executedPlan().toString()
+    pushed = plan[plan.index("PushedFilters") :]
+    assert "GreaterThanOrEqual(z" in pushed and "LessThanOrEqual(x,0.4)" in pushed and "t:bigint" not in pushed
+
+
 def test_leaves_partition_the_rows(points):
     meta = cells.leaf_meta(cells.all_leaves(points, 40, BITS, 6), UNIT, BITS).collect()
     assert sum(m.n for m in meta) == points.count() and all(m.n <= 40 or m.depth == 6 for m in meta)
@@ -118,6 +125,9 @@ def test_stream_equals_batch(spark, points, tmp_path):
     t = [r.t for r in points.collect()]
     taken = [v for a, b in ((0, 251), (500, 900), (100, 130)) for v in t if a <= v < b]
     assert got == {k: sum(v // 100 == k for v in taken) for k in {v // 100 for v in taken}}
+    ahead = index.predict(3, 2).checkpoint()
+    assert {r.time_id for r in ahead.collect()} == {max(got) + 1, max(got) + 2} and ahead.count() == 2 * meta.count()
+    assert index.bucketed_delta(ahead).count() == len(taken)
 
 
 def test_forecast_short_series_repeats(spark):
