@@ -5,7 +5,8 @@ pairs are put in order of how many classes share them, the rarest first, and it
 K - M + 1: two signatures that agree in M of K places or more have one of those in common, so the longer lists
 needn't be merged, and a class whose prefix nobody shares is posted nowhere. Agreement over all K is counted
 only for classes that meet in a list (the skipped lists are probed), and for each pair in the first list in
-which it meets. Pairs with M matches or more are confirmed on full sets.
+which it meets. Pairs with M matches or more are confirmed on full sets. After the first round, the shingles that each class still in question has alone are counted: a
+class of which too few are anyone else's can't be linked, and is out before it meets others.
 
 Nothing emits all pairs of a list. First each class meets only its lists' smallest member; confirmed links
 merge classes into components, and a list within one component is done. In the lists that are left, each
@@ -127,9 +128,34 @@ def _signatures(b: pa.RecordBatch, column: int) -> np.ndarray:
     return b.column(column).flatten().to_numpy().reshape(b.num_rows, -1)
 
 
-def _alike(na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sets of these sizes can be linked at all."""
-    return 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
+def _alike(na: np.ndarray, nb: np.ndarray, ca: np.ndarray, cb: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of sizes na, nb, of which no more than ca, cb elements are shared with anyone, can be linked at all."""
+    return (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & ((100 + percent) * np.minimum(ca, cb) >= percent * (na + nb))
+
+
+def _shared_counts(docs: DataFrame, sigs: DataFrame, reps: DataFrame, size: int) -> DataFrame:
+    """(rep, shared): how many shingles of each class of `reps` another of them has too.
+
+    A shingle that one class alone has is counted for that class by one aggregation, which keeps no list of
+    classes by shingle. Edited copies of one text have many such shingles, and no link to find.
+    """
+    wanted = reps.join(sigs.select("rep", "n", "digest"), "rep").checkpoint()
+    small = wanted.count() <= BROADCAST_ROWS // 4
+    got = docs.select(F.col("doc_id").alias("rep"), "text").join(F.broadcast(wanted) if small else wanted, "rep")
+    kind = ddl("element long, rep long")
+    arrow = to_arrow_schema(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            reps_, digests, texts = (c.to_pylist() for c in b.columns)
+            sets = [shingle_set(t, size) for t in texts]
+            sets = [s if xxhash.xxh3_128_digest(s.tobytes()) == d else s[:0] for s, d in zip(sets, digests, strict=True)]
+            if sets:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(np.repeat(np.array(reps_), [len(s) for s in sets]))], schema=arrow)
+
+    elements = got.select("rep", "digest", "text").mapInArrow(run, kind)
+    alone = elements.groupBy("element").agg(F.count("*").alias("c"), F.min("rep").alias("rep")).where("c = 1").groupBy("rep").agg(F.count("*").alias("alone"))
+    return wanted.join(alone, "rep", "left").select("rep", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"))
 
 
 def _agreeing(pairs: DataFrame, sigs: DataFrame, least: int, percent: int) -> DataFrame:
@@ -146,16 +172,16 @@ def _agreeing(pairs: DataFrame, sigs: DataFrame, least: int, percent: int) -> Da
 
 
 def _proposed(rows: DataFrame, least: int, percent: int, most: int) -> DataFrame:
-    """(w, o) pairs, w > o, within each block of rows (block, coord, rep, comp, n, posted, sig, failed) sorted by
-    block: other component, `least` matches or more, meeting first at this coordinate, not among w's failures; for
-    each w and block the `most` most alike."""
+    """(w, o) pairs, w > o, within each block of rows (block, coord, rep, comp, n, shared, posted, sig, failed) sorted by
+    block: other component, a link not ruled out by sizes, `least` matches or more, meeting first at this coordinate,
+    not among w's failures; for each w and block the `most` most alike."""
     kind = ddl("w long, o long")
     arrow = to_arrow_schema(kind)
 
     def propose(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        block, coord, rep, comp, size = (b.column(i).to_numpy() for i in range(5))
-        bits = np.unpackbits(b.column(5).to_numpy().astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(bool)
-        sig = _signatures(b, 6)
+        block, coord, rep, comp, size, shared = (b.column(i).to_numpy() for i in range(6))
+        bits = np.unpackbits(b.column(6).to_numpy().astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(bool)
+        sig = _signatures(b, 7)
         found: list[tuple] = []
         at = np.arange(len(block))
         for s in range(1, len(block)):
@@ -164,7 +190,7 @@ def _proposed(rows: DataFrame, least: int, percent: int, most: int) -> DataFrame
             if not len(at):
                 break
             part = at[(comp[at] != comp[at + s]) & (rep[at] != rep[at + s])]
-            part = part[_alike(size[part], size[part + s], percent)]
+            part = part[_alike(size[part], size[part + s], shared[part], shared[part + s], percent)]
             for i in np.array_split(part, 1 + len(part) // 100_000):
                 same = sig[i] == sig[i + s]
                 n = same.sum(axis=1)
@@ -179,7 +205,7 @@ def _proposed(rows: DataFrame, least: int, percent: int, most: int) -> DataFrame
         g, w, o, n = (np.concatenate(x) for x in zip(*found, strict=True))
         with np.errstate(over="ignore"):
             code = lambda x, y: _mixed(x.astype(np.uint64) * _MIX + y.astype(np.uint64))
-            bad = [code(np.full(len(f), r), np.array(f)) for r, f in zip(rep.tolist(), b.column(7).to_pylist(), strict=True) if f]
+            bad = [code(np.full(len(f), r), np.array(f)) for r, f in zip(rep.tolist(), b.column(8).to_pylist(), strict=True) if f]
             new = ~np.isin(code(w, o), np.concatenate(bad)) if bad else np.ones(len(w), bool)
         g, w, o, n = g[new], w[new], o[new], n[new]
         order = np.lexsort((o, -n, w, g))
@@ -203,7 +229,7 @@ def _proposed(rows: DataFrame, least: int, percent: int, most: int) -> DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array(w, pa.int64()), pa.array(o, pa.int64())], schema=arrow)
                 held = held.slice(end)
 
-    return rows.select("block", "coord", "rep", "comp", "n", "posted", "sig", "failed").mapInArrow(run, kind).distinct()
+    return rows.select("block", "coord", "rep", "comp", "n", "shared", "posted", "sig", "failed").mapInArrow(run, kind).distinct()
 
 
 def _then_none(batches: Iterator) -> Iterator:
@@ -251,12 +277,11 @@ def components(links: DataFrame) -> DataFrame:
     """(id, comp) for every id in `links` (a, b): comp is the smallest id reachable. Each round points every node's
     larger neighbours and then every node at the smallest neighbour, until nothing changes."""
     edges = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct().checkpoint()
-    before = None
     while True:
-        mark = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
-        if mark == before:
-            return edges.select(F.col("a").alias("id"), F.col("b").alias("comp")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("comp"))).distinct()
-        before = mark
+        n, sources = edges.agg(F.count("*"), F.count_distinct("a")).first()
+        # done when every node but the smallest of each component has one edge, to that
+        if n == sources and edges.join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi").isEmpty():
+            return edges.select(F.col("a").alias("id"), F.col("b").alias("comp")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("comp")).distinct())
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
@@ -272,12 +297,17 @@ def _relabelled(comps: DataFrame, links: DataFrame) -> DataFrame:
     return comps.join(merged, "comp", "left").select("rep", F.coalesce("_to", "comp").alias("comp")).checkpoint()
 
 
+def _open_rows(postings: DataFrame, comps: DataFrame) -> DataFrame:
+    """`postings` of the lists with more than one component, with comp, the list's size n and its smallest member's component main."""
+    rows = postings.join(comps, "rep")
+    lists = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("c"), F.max("comp").alias("c2"), F.min_by("comp", "rep").alias("main"))
+    return rows.join(lists.where("c < c2").select("key", "n", "main"), "key")
+
+
 def _blocks(postings: DataFrame, comps: DataFrame) -> DataFrame:
     """(block, coord, rep, comp) of all lists with more than one component. A list of more than BLOCK rows becomes
     blocks: each part of the smallest member's component with each part of the others, and the others' parts in pairs."""
-    open_ = postings.join(comps, "rep")
-    lists = open_.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("c"), F.max("comp").alias("c2"), F.min_by("comp", "rep").alias("main"))
-    rows = open_.join(lists.where("c < c2").select("key", "n", "main"), "key")
+    rows = _open_rows(postings, comps)
     short = rows.where(F.col("n") <= BLOCK).select(F.xxhash64("key").alias("block"), "coord", "rep", "comp")
     long_ = rows.where(F.col("n") > BLOCK).withColumn("own", F.col("comp") == F.col("main"))
     sizes = long_.groupBy("key").agg(F.ceil(F.count_if("own") / BLOCK).cast("int").alias("nm"), F.ceil(F.count_if(~F.col("own")) / BLOCK).cast("int").alias("no"))
@@ -311,18 +341,22 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     postings = _postings(classes, COORDINATES - least + 1).checkpoint()
     posted = postings.groupBy("rep").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("coord"))).alias("posted"))
     # of texts that share a doc_id, one stands for it
-    sigs = classes.groupBy("rep").agg(F.min_by(F.struct("n", "sig"), "digest").alias("s")).select("rep", "s.n", "s.sig").join(posted, "rep").checkpoint()
+    sigs = classes.groupBy("rep").agg(F.min_by(F.struct("n", "sig", "digest"), "digest").alias("s")).select("rep", "s.n", "s.sig", "s.digest").join(posted, "rep").checkpoint()
     comps = sigs.select("rep", F.col("rep").alias("comp"))
     texts = docs.where(F.col("doc_id").isNotNull())
     hubs = postings.groupBy("key").agg(F.min("rep").alias("o"), F.count("*").alias("n")).where("n > 1")
     meet = postings.join(hubs, "key").where("rep != o").select(F.col("rep").alias("w"), "o").distinct()
-    failed, most = None, PROPOSALS
+    failed, shared, most = None, None, PROPOSALS
     pairs = _agreeing(meet, sigs, least, percent).checkpoint()
     while not pairs.isEmpty():
         said = _confirmed(texts, pairs, size, percent)
         comps = _relabelled(comps, said.where("linked"))
         new = said.where("not linked").select("w", "o")
         failed = new if failed is None else failed.unionByName(new)
+        if shared is None:  # of those still in question; what others share with them is in later rounds no more
+            shared = _shared_counts(texts, sigs, _open_rows(postings, comps).select("rep").distinct(), size)
+            sigs = sigs.join(shared, "rep").where(100 * F.col("shared") >= percent * F.col("n")).checkpoint()
+            postings = postings.join(sigs.select("rep"), "rep").checkpoint()
         bad = failed.groupBy(F.col("w").alias("rep")).agg(F.collect_set("o").alias("failed"))
         blocks = _blocks(postings, comps).join(sigs, "rep").join(bad, "rep", "left")
         blocks = blocks.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")) * 2, "block").sortWithinPartitions("block", "rep")
@@ -344,7 +378,7 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of `docs` of which no smaller doc_id is reachable, all columns as they were.
 
-    Rows without a doc_id stay. Only ids to drop are joined, so a row never meets another's text.
+    Rows without a doc_id stay, and so do all rows that share the id that stays. Only ids to drop are joined, so a row never meets another's text.
     """
     drop = near_components(docs, size, percent).where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
