@@ -6,7 +6,8 @@ K - M + 1: two signatures that agree in M of K places or more have one of those
 needn't be merged, and a class whose prefix nobody shares is posted nowhere. Agreement over all K is counted
 only for classes that meet in a list (the skipped lists are probed), and for each pair in the first list in
 which it meets. Pairs with M matches or more are confirmed on full sets. After the first round, the shingles that each class still in question has alone are counted: a
-class of which too few are anyone else's can't be linked, and is out before it meets others.
+class of which too few are anyone else's can't be linked, and is out before it meets others. The rest pass a
+second screen of more coordinates.
 
 Nothing emits all pairs of a list. First each class meets only its lists' smallest member; confirmed links
 merge classes into components, and a list within one component is done. In the lists that are left, each
@@ -34,6 +35,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .common import ddl, map_rows
 
 COORDINATES = 64  # the places that a class is posted at are the bits of a long
+FINE = 512  # places of the second screen
 #: The odds that a link at exactly the threshold has too few matches to become a candidate.
 MISS = 1e-7
 #: Rows of a list that are compared in one task.
@@ -158,6 +160,21 @@ def _shared_counts(docs: DataFrame, sigs: DataFrame, reps: DataFrame, size: int)
     return wanted.join(alone, "rep", "left").select("rep", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"))
 
 
+def _fine(docs: DataFrame, sigs: DataFrame, size: int) -> DataFrame:
+    """`sigs` with fine, one byte of each of FINE minima: a second screen, only for classes still in question. Bytes
+    agree wherever the minima do, so no link has fewer matches than by whole minima."""
+    wanted = sigs.select("rep", "digest").checkpoint()
+    small = wanted.count() <= BROADCAST_ROWS // 4
+    got = docs.select(F.col("doc_id").alias("rep"), "text").join(F.broadcast(wanted) if small else wanted, "rep")
+
+    def sketch(rep, digest, text):
+        s = shingle_set(text, size)
+        return rep, signature(s, FINE).astype(np.uint8).tobytes() if xxhash.xxh3_128_digest(s.tobytes()) == digest else None
+
+    found = map_rows(got, sketch, "rep long, fine binary", ["rep", "digest", "text"]).where("fine is not null").dropDuplicates(["rep"])
+    return sigs.join(found, "rep")
+
+
 def _agreeing(pairs: DataFrame, sigs: DataFrame, least: int, percent: int) -> DataFrame:
     """Of (w, o), w > o, those whose sizes allow a link and whose signatures agree in `least` places or more."""
     side = lambda c: sigs.select(F.col("rep").alias(c), F.col("n").alias("n" + c), F.col("sig").alias("s" + c))
@@ -171,10 +188,10 @@ def _agreeing(pairs: DataFrame, sigs: DataFrame, least: int, percent: int) -> Da
     return both.select("w", "o", "sw", "so").mapInArrow(run, "w long, o long")
 
 
-def _proposed(rows: DataFrame, least: int, percent: int, most: int) -> DataFrame:
-    """(w, o) pairs, w > o, within each block of rows (block, coord, rep, comp, n, shared, posted, sig, failed) sorted by
-    block: other component, a link not ruled out by sizes, `least` matches or more, meeting first at this coordinate,
-    not among w's failures; for each w and block the `most` most alike."""
+def _proposed(rows: DataFrame, least: int, least_fine: int, percent: int, most: int) -> DataFrame:
+    """(w, o) pairs, w > o, within each block of rows (block, coord, rep, comp, n, shared, posted, sig, failed, fine) sorted by
+    block: other component, a link not ruled out by sizes, `least` matches or more and `least_fine` on the second screen, meeting first
+    at this coordinate, not among w's failures; for each w and block the `most` most alike."""
     kind = ddl("w long, o long")
     arrow = to_arrow_schema(kind)
 
@@ -182,6 +199,7 @@ def _proposed(rows: DataFrame, least: int, percent: int, most: int) -> DataFrame
         block, coord, rep, comp, size, shared = (b.column(i).to_numpy() for i in range(6))
         bits = np.unpackbits(b.column(6).to_numpy().astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(bool)
         sig = _signatures(b, 7)
+        fine = np.frombuffer(b"".join(b.column(9).to_pylist()), np.uint8).reshape(len(block), -1)
         found: list[tuple] = []
         at = np.arange(len(block))
         for s in range(1, len(block)):
@@ -198,6 +216,8 @@ def _proposed(rows: DataFrame, least: int, percent: int, most: int) -> DataFrame
                 i, n, same = i[ok], n[ok], same[ok]
                 ok = np.argmax(same & bits[i] & bits[i + s], axis=1) == coord[i]
                 i, n = i[ok], n[ok]
+                ok = (fine[i] == fine[i + s]).sum(axis=1) >= least_fine
+                i, n = i[ok], n[ok]
                 if len(i):
                     found.append((block[i], np.maximum(rep[i], rep[i + s]), np.minimum(rep[i], rep[i + s]), n))
         if not found:
@@ -229,7 +249,7 @@ def _proposed(rows: DataFrame, least: int, percent: int, most: int) -> DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array(w, pa.int64()), pa.array(o, pa.int64())], schema=arrow)
                 held = held.slice(end)
 
-    return rows.select("block", "coord", "rep", "comp", "n", "shared", "posted", "sig", "failed").mapInArrow(run, kind).distinct()
+    return rows.select("block", "coord", "rep", "comp", "n", "shared", "posted", "sig", "failed", "fine").mapInArrow(run, kind).distinct()
 
 
 def _then_none(batches: Iterator) -> Iterator:
@@ -355,12 +375,13 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
         failed = new if failed is None else failed.unionByName(new)
         if shared is None:  # of those still in question; what others share with them is in later rounds no more
             shared = _shared_counts(texts, sigs, _open_rows(postings, comps).select("rep").distinct(), size)
-            sigs = sigs.join(shared, "rep").where(100 * F.col("shared") >= percent * F.col("n")).checkpoint()
+            sigs = sigs.join(shared, "rep").where(100 * F.col("shared") >= percent * F.col("n"))
+            sigs = _fine(texts, sigs, size).checkpoint()
             postings = postings.join(sigs.select("rep"), "rep").checkpoint()
         bad = failed.groupBy(F.col("w").alias("rep")).agg(F.collect_set("o").alias("failed"))
         blocks = _blocks(postings, comps).join(sigs, "rep").join(bad, "rep", "left")
         blocks = blocks.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")) * 2, "block").sortWithinPartitions("block", "rep")
-        pairs = _proposed(blocks, least, percent, most).checkpoint()
+        pairs = _proposed(blocks, least, least_matches(percent / 100, FINE), percent, most).checkpoint()
         most *= 4
         _tidy(spark)
     comps = classes.select("rep").distinct().join(comps, "rep", "left").select("rep", F.coalesce("comp", "rep").alias("comp"))
