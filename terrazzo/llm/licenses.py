@@ -1,14 +1,16 @@
 """License scans: winnowed fingerprints of templates in an inverted index, then banded alignment.
 
 Templates and texts are lower-cased words. A template's fingerprints are the smallest hash in each run of
-WINNOW word GRAM-grams, posted as gram -> (template, position). A text's grams are looked up there; hits
-on nearby diagonals make a candidate, and a banded alignment of the template with the text there
-gives the matched coverage and the span in code points.
+WINNOW word GRAM-grams, posted as gram -> (template, position). A text's grams are looked up there; each
+diagonal with a hit is a candidate, and banded alignments of the template with the text there, as many as
+lie side by side, give the matched coverage and the spans in code points.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -108,8 +110,24 @@ def align(template: np.ndarray, ids: np.ndarray, diagonal: int) -> tuple[int, in
     return best[1], best[2], best[3]
 
 
+def alignments(template: np.ndarray, ids: np.ndarray, diagonal: int, least: float) -> Iterator[tuple[int, int, int]]:
+    """The alignments within BAND of the diagonal with `least` matched words or more, no two on the same words: the best, then those before and after it."""
+    todo = [(max(0, diagonal - BAND), min(len(ids), diagonal + len(template) + BAND))]
+    while todo:
+        begin, end = todo.pop()
+        # no alignment matches more of the template's words than occur here
+        if np.isin(template, ids[begin:end]).sum() < least:
+            continue
+        n, a, b = align(template, ids[begin:end], diagonal - begin)
+        if not n:
+            continue
+        if n >= least:
+            yield n, begin + a, begin + b
+        todo += [(begin, begin + a), (begin + b + 1, end)]
+
+
 def scan(text: str | None, templates: tuple[tuple[str, str], ...] = TEMPLATES, least: float = LEAST_COVERAGE) -> list[tuple[str, float, int, int]]:
-    """(license, coverage, start, end) by start; of overlapping matches the one with most matched words."""
+    """(license, coverage, start, end) by start; of overlapping matches the one with most matched words, of those the shortest."""
     the = index(templates)
     low = text.lower() if text else ""
     words = _TOKEN.findall(low)
@@ -119,30 +137,21 @@ def scan(text: str | None, templates: tuple[tuple[str, str], ...] = TEMPLATES, l
     if not len(at):
         return []
     lo, hi = np.searchsorted(the.codes, code[at], "left"), np.searchsorted(the.codes, code[at], "right")
-    hits = sorted({(k, (int(p) - i) // BAND, int(p) - i) for p, a, b in zip(at, lo, hi, strict=True) for k, i in the.posts[a:b]})
+    hits = sorted({(k, int(p) - i) for p, a, b in zip(at, lo, hi, strict=True) for k, i in the.posts[a:b]})
     if not hits:
         return []
     # the words' places in the text itself: lower-casing can change a text's length
     place = [m.span() for m in _TOKEN.finditer(text)]
     if len(place) != len(words):
         place = [m.span() for m in _TOKEN.finditer(low)]
-    found = []
-    done: set[tuple[int, int]] = set()
-    for k, band, diagonal in hits:
-        if (k, band) in done or (k, band - 1) in done:
-            continue
-        done.add((k, band))
-        template = the.templates[k]
-        begin = max(0, diagonal - BAND)
-        n, a, b = align(template, ids[begin : diagonal + len(template) + BAND], diagonal - begin)
-        if n >= least * len(template):
-            found.append((n, place[begin + a][0], place[begin + b][1], k))
-    found.sort(key=lambda x: (-x[0], x[1], x[3]))
-    kept: list[tuple[str, float, int, int]] = []
+    # each diagonal with a hit is aligned for itself: what another's band covers may end in the midst of a notice
+    found = sorted({(n, a, b, k) for k, diagonal in hits for n, a, b in alignments(the.templates[k], ids, diagonal, least * len(the.templates[k]))}, key=lambda x: (-x[0], x[2] - x[1], x[1], x[3]))
+    kept: list[tuple[int, int, int, int]] = []  # (first word, last word, matched words, template), in order
     for n, a, b, k in found:
-        if all(b <= s or a >= e for _, _, s, e in kept):
-            kept.append((templates[k][0], n / len(the.templates[k]), a, b))
-    return sorted(kept, key=lambda x: x[2])
+        i = bisect_left(kept, (a,))
+        if (i == 0 or kept[i - 1][1] < a) and (i == len(kept) or kept[i][0] > b):
+            kept.insert(i, (a, b, n, k))
+    return [(templates[k][0], n / len(the.templates[k]), place[a][0], place[b][1]) for a, b, n, k in kept]
 
 
 def scan_licenses(docs: DataFrame, least: float = LEAST_COVERAGE) -> DataFrame:

@@ -144,6 +144,17 @@ def test_licenses(odd, none):
     assert out.count() == odd.count() and out.where("license = 'MIT'").count() == 1 and licenses.scan_licenses(none).count() == 0
 
 
+def test_licenses_beside_mentions_and_repeats():
+    gpl = "This work is licensed under the GNU General Public License, version 3"
+    for before in ("", "The GNU General Public License. ", "Under the GNU General Public License or the GNU General Public License. "):
+        (hit,) = licenses.scan(before + gpl + ".")
+        assert hit == ("GPL-3.0", 1.0, len(before), len(before) + len(gpl))
+    for name, line in licenses.TEMPLATES[0], licenses.TEMPLATES[2], licenses.TEMPLATES[5], licenses.TEMPLATES[8]:
+        for between in ("\n", " and then ", " one two three four five six seven eight nine\n"):
+            got = licenses.scan(between.join([line] * 7))
+            assert got == [(name, 1.0, a, a + len(line)) for a in range(0, 7 * len(line) + 6 * len(between), len(line) + len(between))]
+
+
 def test_licenses_found_by_search(docs):
     line = {"MIT": "Released under the MIT License.", "Apache-2.0": "Licensed under the Apache License, Version 2.0.", "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.", "GPL-3.0": "This work is licensed under the GNU General Public License, version 3."}
     for r in licenses.scan_licenses(docs).join(docs.select("doc_id", "text"), "doc_id").collect():
