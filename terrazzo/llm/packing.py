@@ -2,18 +2,23 @@
 
 Each source is a queue of documents. In each round, one window long, every queue earns its target share of
 a window and is served what it has saved once that is a slice or more; what it isn't served it keeps, and
-what it was served beyond its share it owes. Savings and debts go on across windows, across the blocks in
-which a task reads its partition, and from each partition to the next: a partition's tokens by source,
-counted before, say what it leaves, so partitions are packed at the same time and yet in one sequence.
+what it was served beyond its share it owes.
+
+The rounds are one sequence over all partitions, which are packed at the same time: a queue that earns its share
+till it ends has served a known number of tokens at each time, so the tokens counted by source say which
+token of each source a partition begins and ends with. Documents are sent to the partitions of their tokens,
+cut where a partition ends, so each has all sources in their proportions however the table lies.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
+from bisect import bisect_right
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +32,13 @@ from .common import ddl, map_rows
 WINDOW = 1024
 #: A queue is served no less than this, unless it ends; it bounds the pieces a window is cut into.
 SLICE = 128
-#: Tokens that a task holds in its queues.
-BLOCK_TOKENS = 1 << 22
+#: Tokens that a task holds in its queues, or the next document's.
+BLOCK_TOKENS = 1 << 20
+#: Windows of a partition at least.
+LEAST_WINDOWS = 16
 #: Numbers in the table of savings by partition and queue; more sources than fit share queues by hash.
 MOST_CELLS = 1 << 22
+SPREAD = "part long, at double, place long, q long, doc_id long, start long, length long, n long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -59,6 +67,30 @@ class Plan:
     savings: np.ndarray
 
 
+def targets(names: list[str], totals: np.ndarray, mixture: dict[str, float] | None) -> np.ndarray:
+    share = np.array([mixture.get(q, 0.0) for q in names]) if mixture else totals
+    share = np.maximum(share, 0) + 1e-9
+    return share / share.sum() if len(names) else share
+
+
+def clock(totals: np.ndarray, share: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """The times at which so many tokens are served, if each queue is served its share of time until it ends."""
+    ends = totals / share
+    order = np.argsort(ends)
+    beyond = np.append(np.cumsum(share[order][::-1])[::-1][1:], 0)
+    served = np.maximum.accumulate(np.cumsum(totals[order]) + ends[order] * beyond)
+    return np.interp(tokens, np.append(0, served), np.append(0, ends[order]))
+
+
+def cuts(totals: np.ndarray, share: np.ndarray, partitions: int) -> np.ndarray:
+    """Of each queue, the token with which each of `partitions` of about equal size begins, and the end."""
+    if not len(totals):
+        return np.zeros((partitions + 1, 0), np.int64)
+    at = clock(totals, share, totals.sum() * np.arange(1, partitions) / partitions)
+    inner = np.floor(np.minimum(share * at[:, None], totals))
+    return np.maximum.accumulate(np.vstack([0 * totals, inner, totals]).astype(np.int64))
+
+
 def plan(counts: list[tuple[int, str, int]], partitions: int, mixture: dict[str, float] | None, window: int) -> Plan:
     """From (partition, queue, tokens). Without a mixture the targets are the corpus's own proportions."""
     names = sorted({q for _, q, _ in counts})
@@ -66,58 +98,68 @@ def plan(counts: list[tuple[int, str, int]], partitions: int, mixture: dict[str,
     table = np.zeros((partitions, len(names)))
     for p, q, n in counts:
         table[p, at[q]] += n
-    share = np.array([mixture.get(q, 0.0) for q in names]) if mixture else table.sum(axis=0)
-    share = np.maximum(share, 0) + 1e-9
-    share = share / share.sum() if len(names) else share
+    totals = table.sum(axis=0)
+    share = targets(names, totals, mixture)
     tokens = table.sum(axis=1)
-    owed = np.cumsum(tokens[:, None] * share[None, :] - table, axis=0)
+    owed = np.minimum(share * clock(totals, share, np.cumsum(tokens))[:, None], totals) - np.cumsum(table, axis=0)
     n = [sequence_count(int(t), window) for t in tokens]
     first = np.concatenate([[0], np.cumsum(n)]).astype(int).tolist()
     return Plan(at, share, first, tokens.astype(int).tolist(), np.vstack([np.zeros((1, len(names))), owed])[:-1])
 
 
-def pack(blocks: Iterator[list[tuple[int | None, int, bytes]]], share: np.ndarray, savings: np.ndarray, tokens: int, first: int, window: int = WINDOW, slice_tokens: int = SLICE) -> Iterator[tuple]:
-    """Pieces of one partition. A block's rows are (doc_id, queue, ids as uint32 bytes)."""
+def pack(blocks: Iterator[list[tuple]], share: np.ndarray, savings: np.ndarray, tokens: int, first: int, window: int = WINDOW, slice_tokens: int = SLICE) -> Iterator[tuple]:
+    """Pieces of one partition. A block's rows are (doc_id, queue, ids as uint32 bytes), and of a part of a document its start and the document's tokens."""
     lengths = sequence_lengths(tokens, window)
     sequence, offset, room = first, 0, next(lengths, 0)
-    saved = savings.tolist()
     earn = (share * window).tolist()
-    for block in blocks:
-        queues: dict[int, deque] = {}
-        left: dict[int, int] = {}
-        for doc_id, q, ids in block:
-            queues.setdefault(q, deque()).append((doc_id, memoryview(ids), len(ids) // 4))
-            left[q] = left.get(q, 0) + len(ids) // 4
-        active = sorted(queues)
-        start = 0  # tokens of the head document that are served, by queue
-        starts = dict.fromkeys(active, 0)
-        while active:
-            served = False
-            for q in active:
-                saved[q] += earn[q]
-                take = min(int(saved[q]), left[q])
-                if take <= 0 or take < min(slice_tokens, left[q]):
-                    continue
-                served = True
-                saved[q] -= take
-                left[q] -= take
-                docs, start = queues[q], starts[q]
-                while take:
-                    doc_id, ids, n = docs[0]
-                    k = min(take, n - start, room)
-                    yield doc_id, start, k, zlib.crc32(ids[4 * start : 4 * (start + k)]), n, sequence, offset
-                    take, start, offset, room = take - k, start + k, offset + k, room - k
-                    if start == n:
-                        docs.popleft()
-                        start = 0
-                    if not room:
-                        sequence, offset, room = sequence + 1, 0, next(lengths, 0)
-                starts[q] = start
-            active = [q for q in active if left[q]]
-            if active and not served:  # the rounds in which nobody could be served, at once
-                k = min(max(0, math.ceil((min(slice_tokens, left[q]) - saved[q]) / earn[q]) - 1) for q in active)
-                for q in active:
-                    saved[q] += k * earn[q]
+    # queues that earn less than a slice a round begin at different points of it, so as not to be served all in the same round
+    saved = [s + (slice_tokens * (i * 0.618034 % 1) if e >= 1 else 0) for i, (s, e) in enumerate(zip(savings.tolist(), earn, strict=True))]
+    queues: dict[int, deque] = {}
+    left: dict[int, int] = {}
+    starts: dict[int, int] = {}  # tokens of the head document that are served, by queue
+    paid: dict[int, int] = {}  # the round up to which a queue has earned
+    active: list[int] = []
+    turn, held, more = 0, 0, True
+    while True:
+        if more and held < BLOCK_TOKENS:
+            while more and held < BLOCK_TOKENS:
+                block = next(blocks, None)
+                more = block is not None
+                for doc_id, q, ids, *of in block or ():
+                    n = len(ids) // 4
+                    queues.setdefault(q, deque()).append((doc_id, memoryview(ids), n, *(of or (0, n))))
+                    left[q] = left.get(q, 0) + n
+                    held += n
+            active = sorted(q for q in queues if left[q])
+        if not active:
+            break
+        turn += 1
+        served = False
+        for q in active:
+            saved[q] += earn[q] * (turn - paid.get(q, 0))
+            paid[q] = turn
+            take = min(int(saved[q]), left[q])
+            if take <= 0 or take < min(slice_tokens, left[q]):
+                continue
+            served = True
+            saved[q] -= take
+            left[q] -= take
+            held -= take
+            docs, start = queues[q], starts.get(q, 0)
+            while take:
+                doc_id, ids, n, begin, whole = docs[0]
+                k = min(take, n - start, room)
+                yield doc_id, begin + start, k, zlib.crc32(ids[4 * start : 4 * (start + k)]), whole, sequence, offset
+                take, start, offset, room = take - k, start + k, offset + k, room - k
+                if start == n:
+                    docs.popleft()
+                    start = 0
+                if not room:
+                    sequence, offset, room = sequence + 1, 0, next(lengths, 0)
+            starts[q] = start
+        active = [q for q in active if left[q]]
+        if active and not served:  # the rounds in which nobody could be served, at once
+            turn += min(max(0, math.ceil((min(slice_tokens, left[q]) - saved[q]) / earn[q]) - 1) for q in active)
 
 
 def tokenized(docs: DataFrame, vocabulary: str, end_id: int = 0) -> DataFrame:
@@ -139,8 +181,8 @@ def pack_documents(docs: DataFrame, vocabulary: str = "byte_bpe_50k", mixture: d
     mixture: target shares by source (those not named get what is left over); default: the corpus's own.
     A null or empty text is the one id end_id; a null source is a source; a null doc_id stays null; each of
     repeated rows is packed; an empty table gives no piece; other columns are ignored. Ids are computed once
-    and kept in the checkpoint folder, two bytes a token; a task holds BLOCK_TOKENS of them at most,
-    or one document. Nothing is shuffled but the counts by partition and source.
+    and kept in the checkpoint folder, two bytes a token, and shuffled once to the partitions of their
+    turns; there a task holds BLOCK_TOKENS of them, or the next document's.
     """
     ids = tokenized(docs, vocabulary, end_id).checkpoint()
     counts = ids.groupBy(F.spark_partition_id().alias("p"), "source").agg(F.sum("n").alias("n")).checkpoint()
@@ -149,37 +191,65 @@ def pack_documents(docs: DataFrame, vocabulary: str = "byte_bpe_50k", mixture: d
     named = counts.select("source").distinct().count() <= most
     queue = F.col("source") if named else F.pmod(F.xxhash64("source"), F.lit(most)).cast("string")
     rows = counts.groupBy("p", queue.alias("q")).agg(F.sum("n").alias("n")).collect()
-    the = plan([(r.p, r.q, r.n) for r in rows], partitions, {"+" + k: v for k, v in mixture.items()} if mixture and named else None, window)
-    kind = ddl(PIECES)
-    arrow = to_arrow_schema(kind)
+    mixture = {"+" + k: v for k, v in mixture.items()} if mixture and named else None
+    names = sorted({r.q for r in rows})
+    at = {q: i for i, q in enumerate(names)}
+    table = np.zeros((partitions, len(names)), np.int64)
+    for r in rows:
+        table[r.p, at[r.q]] += r.n
+    before = np.cumsum(table, axis=0) - table
+    totals = table.sum(axis=0)
+    share = targets(names, totals, mixture)
+    parts = int(min(partitions, max(1, totals.sum() // (window * LEAST_WINDOWS))))
+    ends = cuts(totals, share, parts)
+    the = plan([(int(j), names[i], int(ends[j + 1, i] - ends[j, i])) for j, i in np.argwhere(np.diff(ends, axis=0))], parts, mixture, window)
+    spread, pieces = ddl(SPREAD), ddl(PIECES)
+    spread_arrow, arrow = to_arrow_schema(spread), to_arrow_schema(pieces)
+
+    def batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = before[TaskContext.get().partitionId()].tolist()
+        last: dict[int, list[int]] = {}
+        for b in batches:
+            out = []
+            for doc_id, q, n, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                q, wide, start = at[q], len(raw) // n, 0
+                if q not in last:
+                    last[q] = ends[1:, q].tolist()
+                while start < n:
+                    part = bisect_right(last[q], place[q])
+                    k = min(n - start, last[q][part] - place[q])
+                    out.append((part, place[q] / share[q], place[q], q, doc_id, start, k, n, raw if k == n else raw[wide * start : wide * (start + k)]))
+                    place[q] += k
+                    start += k
+            if out:
+                yield batch(out, spread_arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = TaskContext.get().partitionId()
+        rows = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
 
-        def blocks() -> Iterator[list]:
+        def blocks(rows: Iterator[tuple]) -> Iterator[list]:
             block, size = [], 0
-            for b in batches:
-                doc_id, q, n, got = (b.column(i) for i in range(4))
-                for i in range(b.num_rows):
-                    raw = got[i].as_py()
-                    wide = np.frombuffer(raw, f"<u{len(raw) // n[i].as_py()}").astype("<u4").tobytes()
-                    block.append((doc_id[i].as_py(), the.queues[q[i].as_py()], wide))
-                    size += len(wide) // 4
-                    if size >= BLOCK_TOKENS:
-                        yield block
-                        block, size = [], 0
+            for _, q, doc_id, start, k, n, raw in rows:
+                block.append((doc_id, q, np.frombuffer(raw, f"<u{len(raw) // k}").astype("<u4").tobytes(), start, n))
+                size += k
+                if size >= BLOCK_TOKENS // 8:
+                    yield block
+                    block, size = [], 0
             if block:
                 yield block
 
-        if p >= len(the.tokens):
-            return
         out: list[tuple] = []
-        for piece in pack(blocks(), the.share, the.savings[p], the.tokens[p], the.first[p], window, slice_tokens):
-            out.append(piece)
-            if len(out) >= 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=arrow)
-                out = []
+        for p, of in groupby(rows, key=lambda row: row[0]):
+            for piece in pack(blocks(of), the.share, the.savings[p], the.tokens[p], the.first[p], window, slice_tokens):
+                out.append(piece)
+                if len(out) >= 20_000:
+                    yield batch(out, arrow)
+                    out = []
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=arrow)
+            yield batch(out, arrow)
 
-    return ids.select("doc_id", queue.alias("q"), "n", "ids").mapInArrow(run, kind)
+    sent = ids.select("doc_id", queue.alias("q"), "n", "ids").mapInArrow(send, spread).repartitionById(parts, F.col("part").cast("int"))
+    return sent.sortWithinPartitions("part", "at", "q", "place").select("part", "q", "doc_id", "start", "length", "n", "ids").mapInArrow(run, pieces)

@@ -135,6 +135,37 @@ def test_packing_carries_across_partitions():
     assert the.first == [0, packing.sequence_count(4000), 2 * packing.sequence_count(4000)]
 
 
+def test_packing_holds_the_mixture_on_a_sorted_table(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(["word"] * int(rng.integers(50, 900))), f"s{max(0, i // 100 - 3)}") for i in range(1200)]  # s0: a third
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).sort("source")
+    docs = docs.repartitionByRange(4, "doc_id")
+    check_packing(docs, packing.pack_documents(docs))
+    source = {i: s for i, _, s in rows}
+    for mixture, until in (None, 1.0), ({"s0": 0.6, "s1": 0.1, "s2": 0.3}, 0.25):
+        windows = defaultdict(Counter)
+        for r in packing.pack_documents(docs, mixture=mixture).collect():
+            windows[r.sequence_id][source[r.doc_id]] += r.length
+        total = sum(windows.values(), Counter())
+        n = total.total()
+        want = {s: mixture.get(s, 0) if mixture else total[s] / n for s in total}
+        whole = [w for _, w in sorted(windows.items()) if w.total() == 1024]
+        whole = whole[: int(until * len(whole))]
+        off = [max(abs(w[s] / 1024 - want[s]) for s in want) for w in whole]
+        assert max(off) < 0.3 and np.mean(off) < 0.15
+        for i in range(0, len(whole) - 32, 8):
+            some = sum(whole[i : i + 32], Counter())
+            assert all(abs(some[s] / 32768 - want[s]) < 0.02 for s in want)
+
+
+def test_clock_serves_shares_until_a_queue_ends():
+    totals, share = np.array([100, 300, 200]), np.array([0.5, 0.25, 0.25])
+    at = packing.clock(totals, share, np.array([0, 100, 200, 500, 600]))
+    assert np.allclose(np.minimum(share * at[:, None], totals), [[0, 0, 0], [50, 25, 25], [100, 50, 50], [100, 200, 200], [100, 300, 200]])
+    ends = packing.cuts(totals, share, 3)
+    assert ends.tolist() == [[0, 0, 0], [100, 50, 50], [100, 150, 150], [100, 300, 200]]
+
+
 def brute_components(rows, size, percent):
     sets = {}
     for i, t in rows:
