@@ -116,8 +116,8 @@ def store_payloads(docs: DataFrame, folder: str) -> DataFrame:
 
 
 def _ranged(stored: DataFrame, folder: str, length: int | None, read, schema: str) -> DataFrame:
-    """`schema` by read(bytes) for each stored row: of its first `length` bytes, or all. A range is read once in a task."""
-    out_kind = ", ".join([STORED, schema])
+    """`stored` with `schema` by read(bytes) for each row: of its first `length` bytes, or all. A range is read once in a task."""
+    out_kind = ", ".join([*(f"{n} {'long' if t == 'bigint' else t}" for n, t in stored.dtypes), schema])
 
     def run(rows: list[list]) -> Iterator[tuple]:
         where, root = pafs.FileSystem.from_uri(folder)
@@ -131,7 +131,7 @@ def _ranged(stored: DataFrame, folder: str, length: int | None, read, schema: st
                 seen[shard, offset] = read(f.read_at(size if length is None else min(size, length), offset))
             yield (*row, *seen[shard, offset])
 
-    return map_batches(stored, run, out_kind, [x.split(" ")[0] for x in STORED.split(", ")])
+    return map_batches(stored, run, out_kind, stored.columns)
 
 
 def with_metadata(stored: DataFrame, folder: str) -> DataFrame:
@@ -150,12 +150,12 @@ def with_content(stored: DataFrame, folder: str) -> DataFrame:
 
 
 def media_columns(docs: DataFrame, folder: str | None = None) -> DataFrame:
-    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, and where it lies.
+    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, where it lies, and width, height, sample_bits.
 
     A null text is an empty one: a payload of one line of spaces. A null doc_id stays null; repeated rows
     each give a row and share a payload; an empty table gives none; other columns are ignored.
     folder: the default is a new one in the shared checkpoint folder. Map-only.
     """
     folder = folder or f"{shared_folder(docs.sparkSession)}/media-{uuid.uuid4().hex}"
-    got = with_content(store_payloads(docs, folder), folder)
-    return got.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", F.col("read_sha256").alias("media_sha256"), "feature", "shard", "offset")
+    got = with_content(with_metadata(store_payloads(docs, folder), folder), folder)
+    return got.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", F.col("read_sha256").alias("media_sha256"), "feature", "shard", "offset", "width", "height", "sample_bits")

@@ -129,6 +129,13 @@ def test_media_header_reads(tmp_path, odd):
                 assert hashlib.sha256(media.decode_png(t.extractfile(m).read())).hexdigest() + ".png" == m.name
 
 
+def test_media_columns_hold_the_metadata(odd):
+    got = media.media_columns(odd).collect()
+    assert len(got) == odd.count()
+    for r in got:
+        assert (r.width, r.height, r.sample_bits) == (192, r.payload_bytes // 192, 8) and r.feature.startswith(f"{r.width}x{r.height};")
+
+
 def test_licenses(odd, none):
     notice = "Some words here. Licensed under the Apache License, Version 2.0. More."
     (hit,) = licenses.scan(notice)
