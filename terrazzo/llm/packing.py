@@ -36,7 +36,7 @@ SLICE = 128
 BLOCK_TOKENS = 1 << 20
 #: Windows of a partition at least.
 LEAST_WINDOWS = 16
-#: Numbers in the table of savings by partition and queue; more sources than fit share queues by hash.
+#: Numbers in the table of savings by partition and queue; more sources than fit share queues by hash, but for those a mixture names.
 MOST_CELLS = 1 << 22
 SPREAD = "part long, at double, place long, q long, doc_id long, start long, length long, n long, ids binary"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -179,6 +179,7 @@ def pack_documents(docs: DataFrame, vocabulary: str = "byte_bpe_50k", mixture: d
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     mixture: target shares by source (those not named get what is left over); default: the corpus's own.
+    More sources than MOST_CELLS allows share queues by hash, but for those that the mixture names.
     A null or empty text is the one id end_id; a null source is a source; a null doc_id stays null; each of
     repeated rows is packed; an empty table gives no piece; other columns are ignored. Ids are computed once
     and kept in the checkpoint folder, two bytes a token, and shuffled once to the partitions of their
@@ -188,10 +189,12 @@ def pack_documents(docs: DataFrame, vocabulary: str = "byte_bpe_50k", mixture: d
     counts = ids.groupBy(F.spark_partition_id().alias("p"), "source").agg(F.sum("n").alias("n")).checkpoint()
     partitions = max(1, ids.rdd.getNumPartitions())
     most = max(1, MOST_CELLS // partitions)
-    named = counts.select("source").distinct().count() <= most
-    queue = F.col("source") if named else F.pmod(F.xxhash64("source"), F.lit(most)).cast("string")
+    mixture = {"+" + k: v for k, v in (mixture or {}).items()}
+    queue = F.col("source")
+    if counts.select("source").distinct().count() > most:
+        hashed = F.pmod(F.xxhash64("source"), F.lit(max(1, most - len(mixture)))).cast("string")
+        queue = F.when(queue.isin(list(mixture)), queue).otherwise(hashed)
     rows = counts.groupBy("p", queue.alias("q")).agg(F.sum("n").alias("n")).collect()
-    mixture = {"+" + k: v for k, v in mixture.items()} if mixture and named else None
     names = sorted({r.q for r in rows})
     at = {q: i for i, q in enumerate(names)}
     table = np.zeros((partitions, len(names)), np.int64)

@@ -158,6 +158,20 @@ def test_packing_holds_the_mixture_on_a_sorted_table(spark):
             assert all(abs(some[s] / 32768 - want[s]) < 0.02 for s in want)
 
 
+def test_packing_holds_the_mixture_of_named_sources_among_many(spark, monkeypatch):
+    rows = [(i, "word " * 400, ["s0", "s1", f"t{i % 50}"][i % 3]) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    monkeypatch.setattr(packing, "MOST_CELLS", 3 * 8)
+    out = packing.pack_documents(docs, mixture={"s0": 0.75, "s1": 0.25}).collect()
+    assert sum(r.length for r in out) == sum({r.doc_id: r.doc_tokens for r in out}.values())
+    taken = Counter()
+    for r in sorted(out, key=lambda r: (r.sequence_id, r.offset)):
+        taken[rows[r.doc_id][2]] += r.length
+        if taken.total() > 100_000:
+            break
+    assert set(taken) == {"s0", "s1"} and abs(taken["s0"] / taken.total() - 0.75) < 0.02
+
+
 def test_clock_serves_shares_until_a_queue_ends():
     totals, share = np.array([100, 300, 200]), np.array([0.5, 0.25, 0.25])
     at = packing.clock(totals, share, np.array([0, 100, 200, 500, 600]))
