@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from public_tokenizers import path
 from terrazzo.llm import language, near_dup, packing, quality_model, toxicity
-from terrazzo.llm.tokens import Encoder
+from terrazzo.llm.tokens import Encoder, encoder
 
 
 def crc(i, n):
@@ -88,6 +88,17 @@ def test_tokens_equal_the_library(docs):
     assert [np.frombuffer(e(x), "<u2").tolist() for x in texts] == [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_added_tokens_equal_the_library_at_its_defaults(spark):
+    t = Tokenizer.from_file(path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = ["", end, f"{end} x", f"a {end}", f"a  {end}  b {end}{end}\n c", f"it{end}s", f"<|endoftext {end[:-1]} {end}>", f" \n{end}\t x  y"]
+    want = [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
+    e = encoder("byte_bpe_50k")
+    assert [np.frombuffer(e(x), "<u2").tolist() for x in texts] == want
+    out = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'s' AS source")).collect()
+    assert {r.doc_id: r.doc_tokens for r in out} == {i: len(x) + 1 for i, x in enumerate(want)}
+
+
 def check_packing(df, out):
     t = Tokenizer.from_file(path("byte_bpe_50k.json"))
     t.encode_special_tokens = True
