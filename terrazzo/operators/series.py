@@ -139,8 +139,8 @@ def vector_ar(y: np.ndarray, lag: int, steps: int) -> np.ndarray:
     return _autoregression(y, list(range(1, lag + 1)), steps, 1e-2) if len(y) > lag + 1 else repeat_last(y, lag, steps)
 
 
-def recurrent(y: np.ndarray, lag: int, steps: int, hidden: int = 24, gated: bool = True, epochs: int = 60, seed: int = 3) -> np.ndarray:
-    """A recurrent network (gated or plain) over windows of `lag` rows: random recurrent weights, a trained read-out. Rolled ahead step by step."""
+def recurrent(y: np.ndarray, lag: int, steps: int, hidden: int = 24, gated: bool = True, epochs: int = 60, seed: int = 3, cell: bool = False) -> np.ndarray:
+    """A recurrent network (gated, plain, or with an LSTM's cell state and its three gates) over windows of `lag` rows: random recurrent weights, a trained read-out. Rolled ahead step by step."""
     if len(y) <= lag + 2:
         return repeat_last(y, lag, steps)
     rng = np.random.default_rng(seed)
@@ -150,9 +150,17 @@ def recurrent(y: np.ndarray, lag: int, steps: int, hidden: int = 24, gated: bool
     win, rec = rng.normal(0, 1 / np.sqrt(wide), (wide, hidden)), rng.normal(0, 0.7 / np.sqrt(hidden), (hidden, hidden))
     gate_in, gate_rec = rng.normal(0, 1 / np.sqrt(wide), (wide, hidden)), rng.normal(0, 0.7 / np.sqrt(hidden), (hidden, hidden))
 
+    # an LSTM's input, forget and output gates
+    three = [(rng.normal(0, 1 / np.sqrt(wide), (wide, hidden)), rng.normal(0, 0.7 / np.sqrt(hidden), (hidden, hidden)), bias) for bias in (0.0, 1.0, 0.0)] if cell else []
+
     def state(rows: np.ndarray) -> np.ndarray:
-        h = np.zeros(hidden)
+        h, c = np.zeros(hidden), np.zeros(hidden)
         for r in rows:
+            if cell:
+                i, f, o = (1 / (1 + np.exp(-(r @ a + h @ b + bias))) for a, b, bias in three)
+                c = f * c + i * np.tanh(r @ win + h @ rec)
+                h = o * np.tanh(c)
+                continue
             new = np.tanh(r @ win + h @ rec)
             g = 1 / (1 + np.exp(-(r @ gate_in + h @ gate_rec))) if gated else 1.0
             h = g * new + (1 - g) * h
@@ -175,7 +183,7 @@ FORECASTERS: dict[str, Callable[[np.ndarray, int, int], np.ndarray]] = {
     "varma": vector_ar,
     "gru": recurrent,
     "rnn": lambda y, lag, steps: recurrent(y, lag, steps, gated=False),
-    "lstm": lambda y, lag, steps: recurrent(y, lag, steps, hidden=32),
+    "lstm": lambda y, lag, steps: recurrent(y, lag, steps, hidden=32, cell=True),
 }
 
 

@@ -123,3 +123,10 @@ def test_network_learns_and_goes_on():
     first = learned.train_network(u, y, steps=200)
     loss = lambda p: float(((np.maximum(u[:, None] * p[0] + p[1], 0) @ p[2] + p[3] - y) ** 2).mean())
     assert loss(first) < 1e-3 and loss(learned.train_network(u, y, steps=50, start=first)) <= loss(first)
+
+
+def test_lstm_has_a_cell_of_its_own():
+    y = (np.sin(np.arange(80) * 2 * np.pi / 7) * 10 + 20)[:, None]
+    want = (np.sin(np.arange(80, 83) * 2 * np.pi / 7) * 10 + 20)[:, None]
+    got = series.FORECASTERS["lstm"](y, 7, 3)
+    assert np.abs(got - want).max() < 1.5 and not np.array_equal(got, series.recurrent(y, 7, 3, hidden=32))
