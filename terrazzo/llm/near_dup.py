@@ -1,24 +1,20 @@
 """MinHash near-duplicates by an inverted join on signature coordinates.
 
-Texts with equal shingle sets are one class, which its smallest doc_id represents. A class's (coordinate, value)
-pairs are put in order of how many classes share them, the rarest first, and it is posted under the first
-K - M + 1: two signatures that agree in M of K places or more have one of those in common, so the longer lists
-needn't be merged, and a class whose prefix nobody shares is posted nowhere. Agreement over all K is counted
-only for classes that meet in a list (the skipped lists are probed), and for each pair in the first list in
-which it meets. Pairs with M matches or more are confirmed on full sets. After the first round, the shingles that each class still in question has alone are counted: a
-class of which too few are anyone else's can't be linked, and is out before it meets others. The rest pass a
-second screen of more coordinates.
-
-Nothing emits all pairs of a list. First each class meets only its lists' smallest member; confirmed links
-merge classes into components, and a list within one component is done. In the lists that are left, each
-class proposes a limited number of partners outside its component, the most alike first; the rounds go
-on, with links merged, failures set aside and the limit raised, until none has a new one to propose, so no
-link is lost. Long lists are dealt out in blocks, the smallest member's component against the others.
+Texts with equal shingle sets are one class. A class's (coordinate, value) pairs are put in order of how many
+classes share them, the rarest first, and it is posted under the first K - M + 1: two signatures that agree in
+M of K places or more have one of those in common, so the longer lists needn't be merged. Places that a class
+has alone come first in that order and post nothing, so a class of which fewer than M places are anyone else's
+is posted nowhere.
+
+The lists that have the same smallest member are merged into one group, in which each class is once. A group
+is laid out in blocks of bounded size, and a block's task counts the agreeing places of its classes and confirms
+those with M or more on full sets, but for classes that links join already. It returns at most a link for each
+class, so nothing emits all pairs of a group. The blocks of a large group each hold the smallest member too; the classes that aren't
+joined with it then meet all others of their group, part by part. No pair of a list is left out, so no link is lost.
 """
 
 from __future__ import annotations
 
-import gc
 import math
 from collections.abc import Iterator
 from functools import cache
@@ -26,24 +22,19 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import ddl, map_rows
 
-COORDINATES = 64  # the places that a class is posted at are the bits of a long
-FINE = 512  # places of the second screen
+COORDINATES = 64
 #: The odds that a link at exactly the threshold has too few matches to become a candidate.
 MISS = 1e-7
-#: Rows of a list that are compared in one task.
-BLOCK = 4096
-#: Partners that a class proposes in a list in the first round; four times as many in each later one.
-PROPOSALS = 16
-#: A table of ids of at most so many rows (16 bytes each) is broadcast; a larger one is joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Classes, and their shingles, that are compared in one task.
+BLOCK, BLOCK_SHINGLES = 4096, 1 << 22
+#: A table of classes of at most so many rows (about 64 bytes each) is broadcast to the texts; a larger one is joined by shuffle.
+BROADCAST_ROWS = 250_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -97,13 +88,8 @@ def least_matches(similarity: float, k: int = COORDINATES, miss: float = MISS) -
         m += 1
 
 
-def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= percent * (len(a) + len(b) - both)
-
-
 def _classes(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, digest) by row, and (rep, n, sig) by class of equal non-empty sets."""
+    """(doc_id, n, digest, sig) by row, and (cls, rep, n, digest, sig) by class of equal non-empty sets: a number, and the smallest doc_id."""
 
     def describe(doc_id, text):
         s = shingle_set(text, size)
@@ -111,145 +97,85 @@ def _classes(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
 
     rows = map_rows(docs, describe, "doc_id long, n long, digest binary, sig array<int>", ["doc_id", "text"]).checkpoint()
     known = rows.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
-    return rows, known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")).checkpoint()
-
-
-def _postings(classes: DataFrame, prefix: int) -> DataFrame:
-    """(key, rep, coord) of each class's `prefix` rarest coordinates, without those that nobody else has."""
-    each = classes.select("rep", F.posexplode("sig").alias("coord", "value"))
-    each = each.select("rep", F.col("coord").cast("int").alias("coord"), (F.shiftleft(F.col("coord").cast("long"), 32) + F.col("value").cast("long")).alias("key"))
-    lists = each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = each.join(lists, "key")
-    mine = W.partitionBy("rep")
-    alone = F.lit(COORDINATES) - F.count("*").over(mine)  # they come first in the order, and post nothing
-    place = F.row_number().over(mine.orderBy("n", "key"))
-    return shared.select("key", "rep", "coord", place.alias("_at"), alone.alias("_alone")).where(F.col("_at") + F.col("_alone") <= prefix).select("key", "rep", "coord")
-
+    classes = known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    return rows, classes.withColumn("cls", F.monotonically_increasing_id()).checkpoint()
 
-def _signatures(b: pa.RecordBatch, column: int) -> np.ndarray:
-    return b.column(column).flatten().to_numpy().reshape(b.num_rows, -1)
 
+def _posted(classes: DataFrame, least: int) -> DataFrame:
+    """(cls, hubs): the smallest members of the lists that each class is posted in; classes that are posted nowhere are left out."""
+    each = classes.select("cls", F.posexplode("sig").alias("coord", "value"))
+    each = each.select("cls", (F.shiftleft(F.col("coord").cast("long"), 32) + F.col("value").cast("long")).alias("key"))
+    lists = each.groupBy("key").agg(F.count("*").alias("n"), F.min("cls").alias("hub")).where("n > 1")
+    mine = each.join(lists, "key").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("n", "key", "hub"))).alias("lists"))  # COORDINATES at most
+    # of the places, COORDINATES - size(lists) are the class's alone
+    prefix = F.slice("lists", F.lit(1), F.size("lists") - (least - 1))
+    return mine.where(F.size("lists") >= least).select("cls", F.array_distinct(F.transform(prefix, lambda x: x["hub"])).alias("hubs"))
 
-def _alike(na: np.ndarray, nb: np.ndarray, ca: np.ndarray, cb: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sets of sizes na, nb, of which no more than ca, cb elements are shared with anyone, can be linked at all."""
-    return (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & ((100 + percent) * np.minimum(ca, cb) >= percent * (na + nb))
 
+def _forest(cls: np.ndarray, sets: list[np.ndarray], comp: np.ndarray, asks: np.ndarray, answers: np.ndarray, least: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) that join the classes of a block which are linked, from `comp`, the components known before.
 
-def _shared_counts(docs: DataFrame, sigs: DataFrame, reps: DataFrame, size: int) -> DataFrame:
-    """(rep, shared): how many shingles of each class of `reps` another of them has too.
-
-    A shingle that one class alone has is counted for that class by one aggregation, which keeps no list of
-    classes by shingle. Edited copies of one text have many such shingles, and no link to find.
+    Each row that asks is compared with those that answer and aren't in its component: `least` agreeing places
+    or more, then the full sets. The sets' inverted index gives a row's shared counts with all others at once.
     """
-    wanted = reps.join(sigs.select("rep", "n", "digest"), "rep").checkpoint()
-    small = wanted.count() <= BROADCAST_ROWS // 4
-    got = docs.select(F.col("doc_id").alias("rep"), "text").join(F.broadcast(wanted) if small else wanted, "rep")
-    kind = ddl("element long, rep long")
+    n = np.array([len(s) for s in sets])
+    sig = np.stack([signature(s) for s in sets])
+    first, begun = np.unique(comp, return_index=True)
+    comp = begun[np.searchsorted(first, comp)]  # a component's name is its first row
+    before = comp.copy()
+    element = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    owner = np.repeat(np.arange(len(n)), n)[np.argsort(element, kind="stable")]
+    starts = np.concatenate([[0], np.cumsum(np.bincount(element))])
+    ends = np.cumsum(n)
+    row = np.arange(len(n))
+    for a in np.flatnonzero(asks):
+        other = np.flatnonzero((comp != comp[a]) & answers & ((row > a) | ~(asks & answers[a])))
+        other = other[100 * np.minimum(n[a], n[other]) >= percent * np.maximum(n[a], n[other])]
+        other = other[(sig[other] == sig[a]).sum(axis=1) >= least] if len(other) else other
+        if not len(other):
+            continue
+        own = element[ends[a] - n[a] : ends[a]]
+        if len(other) <= 8:
+            both = np.array([np.isin(element[ends[b] - n[b] : ends[b]], own, assume_unique=True).sum() for b in other])
+        else:
+            size = starts[own + 1] - starts[own]
+            at = np.repeat(starts[own] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+            both = np.bincount(owner[at], minlength=len(n))[other]
+        linked = other[100 * both >= percent * (n[a] + n[other] - both)]
+        if len(linked):
+            names = np.unique(np.append(comp[linked], comp[a]))
+            comp[np.isin(comp, names)] = names[0]
+    new = np.flatnonzero(comp != before)
+    return cls[new], cls[comp[new]]
+
+
+def _links(docs: DataFrame, asked: DataFrame, size: int, percent: int, least: int) -> DataFrame:
+    """(a, b) of _forest() over the blocks of `asked` (hub, part, cls, rep, digest, comp, asks, answers)."""
+    asked = asked.checkpoint()
+    small = asked.count() <= BROADCAST_ROWS
+    got = docs.select(F.col("doc_id").alias("rep"), "text").join(F.broadcast(asked) if small else asked, "rep")
+    kind = ddl("a long, b long")
     arrow = to_arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            reps_, digests, texts = (c.to_pylist() for c in b.columns)
-            sets = [shingle_set(t, size) for t in texts]
-            sets = [s if xxhash.xxh3_128_digest(s.tobytes()) == d else s[:0] for s, d in zip(sets, digests, strict=True)]
-            if sets:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(np.repeat(np.array(reps_), [len(s) for s in sets]))], schema=arrow)
-
-    elements = got.select("rep", "digest", "text").mapInArrow(run, kind)
-    alone = elements.groupBy("element").agg(F.count("*").alias("c"), F.min("rep").alias("rep")).where("c = 1").groupBy("rep").agg(F.count("*").alias("alone"))
-    return wanted.join(alone, "rep", "left").select("rep", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"))
-
-
-def _fine(docs: DataFrame, sigs: DataFrame, size: int) -> DataFrame:
-    """`sigs` with fine, one byte of each of FINE minima: a second screen, only for classes still in question. Bytes
-    agree wherever the minima do, so no link has fewer matches than by whole minima."""
-    wanted = sigs.select("rep", "digest").checkpoint()
-    small = wanted.count() <= BROADCAST_ROWS // 4
-    got = docs.select(F.col("doc_id").alias("rep"), "text").join(F.broadcast(wanted) if small else wanted, "rep")
-
-    def sketch(rep, digest, text):
-        s = shingle_set(text, size)
-        return rep, signature(s, FINE).astype(np.uint8).tobytes() if xxhash.xxh3_128_digest(s.tobytes()) == digest else None
-
-    found = map_rows(got, sketch, "rep long, fine binary", ["rep", "digest", "text"]).where("fine is not null").dropDuplicates(["rep"])
-    return sigs.join(found, "rep")
-
-
-def _agreeing(pairs: DataFrame, sigs: DataFrame, least: int, percent: int) -> DataFrame:
-    """Of (w, o), w > o, those whose sizes allow a link and whose signatures agree in `least` places or more."""
-    side = lambda c: sigs.select(F.col("rep").alias(c), F.col("n").alias("n" + c), F.col("sig").alias("s" + c))
-    both = pairs.join(side("w"), "w").join(side("o"), "o").where(100 * F.least("nw", "no") >= percent * F.greatest("nw", "no"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                yield b.filter(pa.array((_signatures(b, 2) == _signatures(b, 3)).sum(axis=1) >= least)).select([0, 1])
-
-    return both.select("w", "o", "sw", "so").mapInArrow(run, "w long, o long")
-
-
-def _proposed(rows: DataFrame, least: int, least_fine: int, percent: int, most: int) -> DataFrame:
-    """(w, o) pairs, w > o, within each block of rows (block, coord, rep, comp, n, shared, posted, sig, failed, fine) sorted by
-    block: other component, a link not ruled out by sizes, `least` matches or more and `least_fine` on the second screen, meeting first
-    at this coordinate, not among w's failures; for each w and block the `most` most alike."""
-    kind = ddl("w long, o long")
-    arrow = to_arrow_schema(kind)
-
-    def propose(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        block, coord, rep, comp, size, shared = (b.column(i).to_numpy() for i in range(6))
-        bits = np.unpackbits(b.column(6).to_numpy().astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(bool)
-        sig = _signatures(b, 7)
-        fine = np.frombuffer(b"".join(b.column(9).to_pylist()), np.uint8).reshape(len(block), -1)
-        found: list[tuple] = []
-        at = np.arange(len(block))
-        for s in range(1, len(block)):
-            at = at[at < len(block) - s]
-            at = at[block[at] == block[at + s]]
-            if not len(at):
-                break
-            part = at[(comp[at] != comp[at + s]) & (rep[at] != rep[at + s])]
-            part = part[_alike(size[part], size[part + s], shared[part], shared[part + s], percent)]
-            for i in np.array_split(part, 1 + len(part) // 100_000):
-                same = sig[i] == sig[i + s]
-                n = same.sum(axis=1)
-                ok = n >= least
-                i, n, same = i[ok], n[ok], same[ok]
-                ok = np.argmax(same & bits[i] & bits[i + s], axis=1) == coord[i]
-                i, n = i[ok], n[ok]
-                ok = (fine[i] == fine[i + s]).sum(axis=1) >= least_fine
-                i, n = i[ok], n[ok]
-                if len(i):
-                    found.append((block[i], np.maximum(rep[i], rep[i + s]), np.minimum(rep[i], rep[i + s]), n))
-        if not found:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        g, w, o, n = (np.concatenate(x) for x in zip(*found, strict=True))
-        with np.errstate(over="ignore"):
-            code = lambda x, y: _mixed(x.astype(np.uint64) * _MIX + y.astype(np.uint64))
-            bad = [code(np.full(len(f), r), np.array(f)) for r, f in zip(rep.tolist(), b.column(8).to_pylist(), strict=True) if f]
-            new = ~np.isin(code(w, o), np.concatenate(bad)) if bad else np.ones(len(w), bool)
-        g, w, o, n = g[new], w[new], o[new], n[new]
-        order = np.lexsort((o, -n, w, g))
-        g, w, o = g[order], w[order], o[order]
-        first = np.concatenate([[True], (w[1:] != w[:-1]) | (g[1:] != g[:-1])])[: len(w)]
-        start = np.maximum.accumulate(np.where(first, np.arange(len(w)), 0))
-        keep = np.arange(len(w)) - start < most
-        return w[keep], o[keep]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # a block that may go on in the next batch: BLOCK rows or two parts of them
+        block, held = None, {}
         for b in _then_none(batches):
-            if b is not None:
-                held = b if held is None else pa.concat_batches([held, b])
-            if held is None or not held.num_rows:
-                continue
-            block = held.column(0).to_numpy()
-            end = len(block) if b is None else int(np.flatnonzero(block != block[-1])[-1]) + 1 if block[0] != block[-1] else 0
-            if end:
-                w, o = propose(held.slice(0, end))
-                yield pa.RecordBatch.from_arrays([pa.array(w, pa.int64()), pa.array(o, pa.int64())], schema=arrow)
-                held = held.slice(end)
-
-    return rows.select("block", "coord", "rep", "comp", "n", "shared", "posted", "sig", "failed", "fine").mapInArrow(run, kind).distinct()
+            out = []
+            for hub, part, cls, digest, comp, asks, answers, text in zip(*(c.to_pylist() for c in b.columns), strict=True) if b is not None else [[None] * 8]:
+                if (hub, part) != block:
+                    if len(held) > 1:
+                        cs, names, ask, answer = (np.array(x) for x in zip(*held, strict=True))
+                        out.append(_forest(cs, list(held.values()), names, ask, answer, least, percent))
+                    block, held = (hub, part), {}
+                if text is not None and (cls, comp, asks, answers) not in held:
+                    s = shingle_set(text, size)
+                    if xxhash.xxh3_128_digest(s.tobytes()) == digest:  # else another text of the same doc_id
+                        held[cls, comp, asks, answers] = s
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], schema=arrow)
+
+    rows = got.select("hub", "part", "cls", "digest", "comp", "asks", "answers", "text").repartition("hub", "part")
+    return rows.sortWithinPartitions("hub", "part", "cls").mapInArrow(run, kind).distinct().checkpoint()
 
 
 def _then_none(batches: Iterator) -> Iterator:
@@ -257,40 +183,34 @@ def _then_none(batches: Iterator) -> Iterator:
     yield None
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """`pairs` (w, o) with linked, from the full sets of both texts. A text travels once for each pair in which it
-    is w, and once for every thousand or so pairs in which it is o."""
-    spread = pairs.groupBy("o").agg(F.ceil(F.count("*") / 1000).cast("int").alias("salts"))
-    salted = pairs.join(spread, "o").select("w", "o", F.pmod(F.xxhash64("w"), F.col("salts")).cast("int").alias("salt"))
-    asked = salted.select(F.col("w").alias("doc_id"), "o", "salt", F.lit(1).alias("role")).unionByName(spread.select(F.col("o").alias("doc_id"), "o", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role")))
-    asked = asked.persist(StorageLevel.DISK_ONLY)
-    small = asked.count() <= BROADCAST_ROWS
-    got = docs.select("doc_id", "text").join(F.broadcast(asked) if small else asked, "doc_id")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 2
-    kind = ddl("w long, o long, linked boolean")
-    arrow = to_arrow_schema(kind)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, sets, last, own = None, [], None, None
-        for b in batches:
-            w, o, salt, role, text = (c.to_pylist() for c in b.columns)
-            out = []
-            for i in range(b.num_rows):
-                if (o[i], salt[i]) != hub:
-                    hub, sets = (o[i], salt[i]), []
-                if role[i] == 0:
-                    sets.append(shingle_set(text[i], size))
-                else:
-                    if text[i] != last or own is None:
-                        last, own = text[i], shingle_set(text[i], size)
-                    out.append((w[i], o[i], any(_linked(own, s, percent) for s in sets)))
-            cols = list(zip(*out, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
-
-    got = got.select("doc_id", "o", "salt", "role", "text").repartition(parts, "o", "salt").sortWithinPartitions("o", "salt", "role", "doc_id").mapInArrow(run, kind)
-    out = got.groupBy("w", "o").agg(F.max("linked").alias("linked")).checkpoint()
-    asked.unpersist()
-    return out
+def _all_links(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) between numbers of classes, enough to join all that are linked."""
+    least = least_matches(percent / 100)
+    about = classes.select("cls", "rep", "digest", "n")
+    members = _posted(classes, least).join(about, "cls").checkpoint()
+    each = members.select("cls", "rep", "digest", "n", F.explode("hubs").alias("hub"))
+    parts = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    groups = each.groupBy("hub").agg(F.count("*").alias("_n"), parts.alias("parts")).where("_n > 1").drop("_n").checkpoint()
+    yes, no = F.lit(True), F.lit(False)
+    cut = lambda n: F.pmod(F.xxhash64("cls"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    columns = ("hub", "part", "cls", "rep", "digest", "comp", "asks", "answers")
+    each = each.join(groups, "hub")
+    asked = each.withColumns({"part": cut(F.col("parts")), "comp": F.col("cls"), "asks": yes, "answers": yes}).select(*columns)
+    large = groups.where("parts > 1")
+    if large.isEmpty():
+        return _links(docs, asked, size, percent, least)
+    hubs = large.select("hub", F.col("hub").alias("cls"), every(F.col("parts")).alias("part")).join(about, "cls").withColumns({"comp": F.col("cls"), "asks": yes, "answers": yes})
+    links = _links(docs, asked.unionByName(hubs.select(*columns)).distinct(), size, percent, least)
+    # those that aren't joined with the smallest member, against all of the group
+    comps = components(links)
+    named = lambda df, c, name: df.join(comps.select(F.col("id").alias(c), F.col("comp").alias("_c")), c, "left").withColumn(name, F.coalesce("_c", c)).drop("_c")
+    rows = named(named(each.where("parts > 1"), "cls", "comp"), "hub", "main").withColumn("apart", F.col("comp") != F.col("main")).checkpoint()
+    sizes = rows.groupBy("hub").agg(F.ceil(F.greatest(F.count_if("apart") / (BLOCK // 2), F.sum(F.when(F.col("apart"), F.col("n"))) / (BLOCK_SHINGLES // 2))).cast("int").alias("asking")).where("asking > 0")
+    rows = rows.join(sizes, "hub").withColumn("parts", 2 * F.col("parts"))
+    asking = rows.where("apart").withColumn("_at", every(F.col("parts"))).withColumn("part", cut(F.col("asking")) * F.col("parts") + F.col("_at")).withColumns({"asks": yes, "answers": no})
+    answering = rows.withColumn("_at", every(F.col("asking"))).withColumn("part", F.col("_at") * F.col("parts") + cut(F.col("parts"))).withColumns({"asks": no, "answers": yes})
+    return links.unionByName(_links(docs, asking.select(*columns).unionByName(answering.select(*columns)), size, percent, least))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -310,42 +230,6 @@ def components(links: DataFrame) -> DataFrame:
         edges = small.where("a != b").distinct().checkpoint()
 
 
-def _relabelled(comps: DataFrame, links: DataFrame) -> DataFrame:
-    """`comps` (rep, comp) after merging by `links` (w, o) between reps."""
-    between = links.join(comps.select(F.col("rep").alias("w"), F.col("comp").alias("a")), "w").join(comps.select(F.col("rep").alias("o"), F.col("comp").alias("b")), "o").select("a", "b")
-    merged = components(between).select(F.col("id").alias("comp"), F.col("comp").alias("_to"))
-    return comps.join(merged, "comp", "left").select("rep", F.coalesce("_to", "comp").alias("comp")).checkpoint()
-
-
-def _open_rows(postings: DataFrame, comps: DataFrame) -> DataFrame:
-    """`postings` of the lists with more than one component, with comp, the list's size n and its smallest member's component main."""
-    rows = postings.join(comps, "rep")
-    lists = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("c"), F.max("comp").alias("c2"), F.min_by("comp", "rep").alias("main"))
-    return rows.join(lists.where("c < c2").select("key", "n", "main"), "key")
-
-
-def _blocks(postings: DataFrame, comps: DataFrame) -> DataFrame:
-    """(block, coord, rep, comp) of all lists with more than one component. A list of more than BLOCK rows becomes
-    blocks: each part of the smallest member's component with each part of the others, and the others' parts in pairs."""
-    rows = _open_rows(postings, comps)
-    short = rows.where(F.col("n") <= BLOCK).select(F.xxhash64("key").alias("block"), "coord", "rep", "comp")
-    long_ = rows.where(F.col("n") > BLOCK).withColumn("own", F.col("comp") == F.col("main"))
-    sizes = long_.groupBy("key").agg(F.ceil(F.count_if("own") / BLOCK).cast("int").alias("nm"), F.ceil(F.count_if(~F.col("own")) / BLOCK).cast("int").alias("no"))
-    long_ = long_.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("rep"), F.when(F.col("own"), F.col("nm")).otherwise(F.col("no"))).cast("int"))
-    each = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    cross = lambda i, j: F.xxhash64("key", F.lit(0), i, j)
-    among = lambda i, j: F.xxhash64("key", F.lit(1), F.least(i, j), F.greatest(i, j))
-    part = F.col("part")
-    blocks = F.when(F.col("own"), F.transform(each("no"), lambda j: cross(part, j))).otherwise(F.concat(F.transform(each("nm"), lambda i: cross(i, part)), F.transform(each("no"), lambda j: among(part, j))))
-    return short.unionByName(long_.select(F.explode(blocks).alias("block"), "coord", "rep", "comp"))
-
-
-def _tidy(spark) -> None:
-    """Let go of the shuffle and checkpoint files of rounds that are over; Spark does so when the driver collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def near_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per input row.
 
@@ -355,37 +239,12 @@ def near_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     nothing either, have a null component_id and are kept; repeated rows get equal results; an empty table
     gives none; other columns are ignored.
     """
-    spark = docs.sparkSession
-    least = least_matches(percent / 100)
     rows, classes = _classes(docs, size)
-    postings = _postings(classes, COORDINATES - least + 1).checkpoint()
-    posted = postings.groupBy("rep").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("coord"))).alias("posted"))
-    # of texts that share a doc_id, one stands for it
-    sigs = classes.groupBy("rep").agg(F.min_by(F.struct("n", "sig", "digest"), "digest").alias("s")).select("rep", "s.n", "s.sig", "s.digest").join(posted, "rep").checkpoint()
-    comps = sigs.select("rep", F.col("rep").alias("comp"))
     texts = docs.where(F.col("doc_id").isNotNull())
-    hubs = postings.groupBy("key").agg(F.min("rep").alias("o"), F.count("*").alias("n")).where("n > 1")
-    meet = postings.join(hubs, "key").where("rep != o").select(F.col("rep").alias("w"), "o").distinct()
-    failed, shared, most = None, None, PROPOSALS
-    pairs = _agreeing(meet, sigs, least, percent).checkpoint()
-    while not pairs.isEmpty():
-        said = _confirmed(texts, pairs, size, percent)
-        comps = _relabelled(comps, said.where("linked"))
-        new = said.where("not linked").select("w", "o")
-        failed = new if failed is None else failed.unionByName(new)
-        if shared is None:  # of those still in question; what others share with them is in later rounds no more
-            shared = _shared_counts(texts, sigs, _open_rows(postings, comps).select("rep").distinct(), size)
-            sigs = sigs.join(shared, "rep").where(100 * F.col("shared") >= percent * F.col("n"))
-            sigs = _fine(texts, sigs, size).checkpoint()
-            postings = postings.join(sigs.select("rep"), "rep").checkpoint()
-        bad = failed.groupBy(F.col("w").alias("rep")).agg(F.collect_set("o").alias("failed"))
-        blocks = _blocks(postings, comps).join(sigs, "rep").join(bad, "rep", "left")
-        blocks = blocks.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")) * 2, "block").sortWithinPartitions("block", "rep")
-        pairs = _proposed(blocks, least, least_matches(percent / 100, FINE), percent, most).checkpoint()
-        most *= 4
-        _tidy(spark)
-    comps = classes.select("rep").distinct().join(comps, "rep", "left").select("rep", F.coalesce("comp", "rep").alias("comp"))
-    by_digest = classes.join(comps, "rep").select("digest", F.col("comp").alias("_comp"))
+    comps = components(_all_links(texts, classes, size, percent)).withColumnRenamed("id", "cls").join(classes.select("cls", "rep"), "cls").checkpoint()
+    least = comps.groupBy("comp").agg(F.min("rep").alias("least"))
+    comps = comps.join(least, "comp").select("cls", "least")
+    by_digest = classes.join(comps, "cls", "left").select("digest", F.coalesce("least", "rep").alias("_comp"))
     out = rows.select("doc_id", "n", "digest").join(by_digest, "digest", "left")
     alone = F.col("digest").isNull() | F.col("doc_id").isNull()
     return out.select(

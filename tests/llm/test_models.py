@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from public_tokenizers import path
 from terrazzo.llm import language, near_dup, packing, quality_model, toxicity
-from terrazzo.llm.tokens import Encoder, encoder
+from terrazzo.llm.tokens import encoder
 
 
 def crc(i, n):
@@ -82,9 +82,8 @@ def test_factorisation_identity():
 
 def test_tokens_equal_the_library(docs):
     t = Tokenizer.from_file(path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     texts = ["", " ", "a  b", " a b", "a b ", "x \n y", "it's  'tis", "\x1c a \x1cb", "　 a　b", "<|endoftext|> x", "a\n\n b"] + [r.text for r in docs.select("text").limit(40).collect()]
-    e = Encoder("byte_bpe_50k")
+    e = encoder("byte_bpe_50k")
     assert [np.frombuffer(e(x), "<u2").tolist() for x in texts] == [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -101,7 +100,6 @@ def test_added_tokens_equal_the_library_at_its_defaults(spark):
 
 def check_packing(df, out):
     t = Tokenizer.from_file(path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     want = Counter()
     ids = {}
     for r in df.select("doc_id", "text").collect():
@@ -239,9 +237,9 @@ def test_near_components(spark, odd, none, docs):
     assert near_dup.near_components(none).count() == 0
 
 
-def test_near_long_lists_and_few_proposals(spark, monkeypatch):
+def test_near_groups_of_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "BLOCK", 7)
-    monkeypatch.setattr(near_dup, "PROPOSALS", 1)
+    monkeypatch.setattr(near_dup, "BROADCAST_ROWS", 1)
     rows = family(40)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
     assert got == brute_components(rows, 3, 85)
