@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
 
 
 def prepared(spark: SparkSession) -> SparkSession:
-    """`spark` with a checkpoint folder: the one its settings name, or, where they name none, a temporary one."""
+    """`spark` with a checkpoint folder: the one its settings name. Where they name none, a temporary one if driver
+    and executors are one process; on a cluster, where they share no temporary folder, an error says what to set."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="terrazzo-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="terrazzo-"))
     return spark
 
 
