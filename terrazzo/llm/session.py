@@ -1,20 +1,5 @@
 """The shared folder for checkpoints and payload shards."""
 
-from __future__ import annotations
+from ..sources.session import prepared, shared_folder
 
-import tempfile
-
-from pyspark.sql import SparkSession
-
-
-def prepared(spark: SparkSession) -> SparkSession:
-    """`spark` with a checkpoint folder: the one its settings name, or, where they name none, a temporary one."""
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="terrazzo-"))
-    return spark
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The URI of the checkpoint folder of this session."""
-    return prepared(spark).sparkContext._jsc.sc().getCheckpointDir().get()
+__all__ = ["prepared", "shared_folder"]
