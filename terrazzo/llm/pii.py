@@ -31,14 +31,16 @@ STREET_WORDS = (" street", " avenue", " road", " lane", " boulevard", " drive")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP_RUN = re.compile(r"[0-9.]+")
-_IP = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
-_CHAIN = re.compile(r"[0-9](?:[ -]?[0-9])*")
+_CHAIN = re.compile(r"[0-9](?:[ -]?[0-9])*+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_URL_REST = re.compile(r"[^\s<>\"'|\\^`{}]+")
-_ACCOUNT = re.compile(r"(?:\s*(?:no\.?|number|nr\.?|#))?\s*[:=#]?\s*([A-Za-z0-9](?:[ -]?[A-Za-z0-9]){5,33})")
-_SECRET = re.compile(r"\s*[:=]\s*[\"']?([^\s\"',;]{6,})")
+_URL_REST = re.compile(r"[^\s<>\"'|\\^`{}]++")
+# White space is taken possessively, so a run of it is read a bounded number of times.
+_ACCOUNT = re.compile(r"(?:\s*+(?:no\.?|number|nr\.?|#))?\s*+[:=#]?\s*+([A-Za-z0-9](?:[ -]?[A-Za-z0-9]){5,33})")
+_SECRET = re.compile(r"\s*+[:=]\s*+[\"']?([^\s\"',;]{6,}+)")
 _AKIA = re.compile(r"[A-Z0-9]{16}(?![A-Za-z0-9])")
 _HOUSE = re.compile(r"(?<![0-9A-Za-z])[0-9]{1,5}(?: [A-Z][a-z]{1,20}){1,3}$")
+#: Characters of the longest head of an address: five digits and three names of 21 letters with the spaces before them.
+_HEAD = 5 + 3 * 22
 
 
 def luhn(digits: str) -> bool:
@@ -76,12 +78,34 @@ def _part(x: str) -> bool:
     return len(x) < 3 or len(x) == 3 and x <= "255"
 
 
+def _ips(text: str, at: int, end: int) -> list[tuple[str, int, int]]:
+    """The addresses of a run of digits and dots: of each stretch of numbers with one dot between, every four in turn."""
+    out: list[tuple[str, int, int]] = []
+    four: list[tuple[int, str]] = []
+    for part in text[at:end].split("."):
+        if part:
+            four.append((at, part))
+            if len(four) == 4:
+                if all(_part(x) for _, x in four):
+                    out.append(("ip", four[0][0], at + len(part)))
+                four = []
+        else:
+            four = []
+        at += len(part) + 1
+    return out
+
+
 def find(text: str | None) -> list[tuple[str, int, int]]:
-    """(kind, start, end) of every entity, ends exclusive, by start, then kind in KINDS' order."""
+    """(kind, start, end) of every entity, ends exclusive, by start, then kind in KINDS' order.
+
+    URLs and secrets don't overlap others of their kind: a cue inside one starts none. So each parser reads a
+    character a bounded number of times, and time is in proportion to the text.
+    """
     found: list[tuple[str, int, int]] = []
     if not text:
         return found
     email_end = run_end = chain_end = 0
+    ends = dict.fromkeys(("scheme", "secret"), 0)
     for last, (tag, n) in automaton().iter(text):
         at = last - n + 1
         if tag == "digit":
@@ -94,7 +118,7 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
             if at >= run_end:
                 run_end = _IP_RUN.match(text, at).end()
                 if run_end - at >= 7:
-                    found += [("ip", *m.span()) for m in _IP.finditer(text, at, run_end) if all(map(_part, m.groups()))]
+                    found += _ips(text, at, run_end)
         elif tag == "@":
             i = at
             while i > email_end and text[i - 1] in _LOCAL:
@@ -105,8 +129,11 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
         elif tag == "+":
             if (m := _PHONE.match(text, at)) and 9 <= sum(c.isdigit() for c in m[0]) <= 15:
                 found.append(("phone", *m.span()))
-        else:
-            found += _added(text, tag, at, last + 1)
+        elif at >= ends.get(tag, 0):
+            new = _added(text, tag, at, last + 1)
+            if tag in ends:
+                ends[tag] = max([0, *(b for _, _, b in new)])
+            found += new
     order = {k: i for i, k in enumerate(KINDS)}
     return sorted(set(found), key=lambda x: (x[1], order[x[0]], x[2]))
 
@@ -118,7 +145,7 @@ def _added(text: str, tag: str, at: int, end: int) -> list[tuple[str, int, int]]
             stop = end + len(m[0].rstrip(".,;:!?)"))
             return [("url", at, stop)] if stop - end >= 3 else []
     elif tag == "street":
-        head = _HOUSE.search(text, max(0, at - 70), at)
+        head = _HOUSE.search(text, max(0, at - _HEAD), at)
         if head and (end == len(text) or not text[end].isalnum()):
             return [("address", head.start(), end)]
     elif tag == "secret":

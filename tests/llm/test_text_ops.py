@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -52,6 +53,20 @@ def test_added_spans():
     assert "<EMAIL>" in pii.redact("x a@b.cd y") and pii.redact(None) is None and pii.redact("") == ""
 
 
+@pytest.mark.parametrize("text", ["account" + " " * 1_000_000 + "!", "password" + "\n" * 1_000_000, "1" * 1_000_000, "1." * 500_000, "http://" * 150_000, "password=" * 110_000, "a@" * 500_000, "+1" * 500_000, "a" * 1_000_000 + "@"])
+def test_pii_time_is_in_proportion(text):
+    began = time.perf_counter()
+    pii.redact(text)
+    assert time.perf_counter() - began < 30
+
+
+def test_longest_address():
+    head = "12345" + 3 * (" " + "A" + "b" * 20)
+    for before in ("", "see ", "9", "x"):
+        got = [text_[a:b] for text_ in [before + head + " Street"] for k, a, b in pii.find(text_) if k == "address"]
+        assert got == ([head + " Street"] if before in ("", "see ") else [])
+
+
 def test_pii_rows(odd, none, docs):
     for df in (odd, docs):
         texts = Counter((r.doc_id, r.text) for r in df.select("doc_id", "text").collect())
