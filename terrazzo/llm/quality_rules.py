@@ -2,9 +2,9 @@
 
 Every rule looks at one statistic of a text and votes good (+1), bad (-1) or abstains (0). Expectation
 maximisation over the counts of vote patterns estimates the share of good documents and, for each rule, how
-often it gives each vote to good and to bad documents; a document's quality is then its posterior
-probability given its votes. Patterns number at most 3 ** len(RULES) whatever the input, so only they come
-to the driver.
+often it gives each vote, or none, to good and to bad documents; a document's quality is then its posterior
+probability given its votes, so one bad vote of a rule that errs is outvoted. A Dirichlet prior says which class
+is the good one. Patterns number at most 3 ** len(RULES) whatever the input, so only they come to the driver.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 WINDOW = 5
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
+#: What goes through unchanged is in one struct, so its names can't clash with those used here.
+DOC = "_doc"
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 _OWN = "_quality_"
 
@@ -26,8 +28,8 @@ def _c(name: str) -> Column:
     return F.col(_OWN + name)
 
 
-def with_stats(docs: DataFrame) -> DataFrame:
-    """`docs` with the columns _quality_<stat> beside its own.
+def with_stats(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns _quality_<stat> of each text, and a struct DOC of the columns to keep.
 
     Words are runs without ASCII white space. Five-word windows are told apart by a 64-bit hash of the
     words' 64-bit hashes; two different windows of one text of n words coincide with odds of about
@@ -35,7 +37,7 @@ def with_stats(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.length(F.translate(x, SPACE, "")) > 0)
-    df = docs.withColumn(_OWN + "words", F.filter(F.split(text, r"[\x20\x09-\x0D]+", -1), lambda x: x != ""))
+    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias(DOC), F.col("text")).withColumn(_OWN + "words", F.filter(F.split(text, r"[\x20\x09-\x0D]+", -1), lambda x: x != ""))
     df = df.withColumns({
         _OWN + "n_words": F.size(_c("words")).cast("long"),
         _OWN + "word_chars": F.length(F.translate(text, SPACE, "")).cast("long"),
@@ -63,7 +65,7 @@ def with_stats(docs: DataFrame) -> DataFrame:
     df = df.withColumn(_OWN + "base_failed", (_c("n_words") < 10) | (100 * _c("n_repeat_words") > 20 * _c("n_words")))
     found = [_OWN + x for x in (*STATS, "n_upper", "n_chars", "n_lines", "n_distinct")]
     # a generator of one row: no rule's filter is pushed below it, which would compute the statistics over and over
-    return df.select(*docs.columns, F.inline(F.array(F.struct(*found))))
+    return df.select(DOC, F.inline(F.array(F.struct(*found))))
 
 
 def _rule(value: Column, good: Column, bad: Column, when: Column | None = None) -> Column:
@@ -83,67 +85,63 @@ def rules() -> dict[str, Column]:
     upper = F.try_divide(_c("n_chars") - _c("n_upper"), _c("word_chars"))
     variety = F.try_divide(_c("n_distinct"), n)
     return {
-        "length": _rule(n, n >= 30, n < 10),
-        "word_length": _rule(mean, mean.between(3, 10), ~mean.between(2.5, 14), n >= 10),
-        "symbols": _rule(symbols, symbols < 0.05, symbols > 0.3),
-        "letters": _rule(share, share < 0.02, share > 0.1, _c("word_chars") >= 40),
-        "lines": _rule(dup, dup < 0.05, dup > 0.3, _c("n_lines") >= 4),
-        "repeats": _rule(repeat, repeat < 0.05, repeat > 0.2),
-        "upper": _rule(upper, upper < 0.1, upper > 0.4, _c("word_chars") >= 40),
-        "variety": _rule(variety, variety > 0.5, variety < 0.15, n.between(20, 2000)),
+        "length": _rule(n, n >= 40, n < 15),
+        "word_length": _rule(mean, mean.between(4, 7), ~mean.between(3.5, 8), n >= 10),
+        "symbols": _rule(symbols, symbols < 0.05, symbols > 0.2),
+        "letters": _rule(share, share < 0.02, share > 0.05, _c("word_chars") >= 40),
+        "lines": _rule(dup, dup < 0.05, dup > 0.2, _c("n_lines") >= 4),
+        "repeats": _rule(repeat, repeat < 0.02, repeat > 0.1, n >= 10),
+        "upper": _rule(upper, upper < 0.05, upper > 0.1, _c("word_chars") >= 40),
+        "variety": _rule(variety, variety > 0.6, variety < 0.45, n.between(20, 2000)),
     }
 
 
 @dataclass
 class VoteModel:
-    """Share of good documents, and P(vote | class) by rule: rates[rule][class][vote + 1], class 1 good."""
+    """Share of good documents, and P(vote | class) by rule: rates[rule][class][vote + 1], class 1 good; a class's three add up to one."""
 
     good: float
     rates: dict[str, list[list[float]]]
 
+    def evidence(self, name: str, vote: int) -> float:
+        """The log of the ratio in which a vote moves the odds for good."""
+        bad, good = self.rates[name]
+        return math.log(good[vote + 1] / bad[vote + 1])
+
     def posterior(self, votes: dict[str, Column]) -> Column:
         z = F.lit(math.log(self.good / (1 - self.good)))
         for name, vote in votes.items():
-            bad, good = self.rates[name]
-            z = z + F.when(vote > 0, F.lit(math.log(good[2] / bad[2]))).when(vote < 0, F.lit(math.log(good[0] / bad[0]))).otherwise(F.lit(0.0))
+            z = z + F.when(vote > 0, F.lit(self.evidence(name, 1))).when(vote < 0, F.lit(self.evidence(name, -1))).otherwise(F.lit(self.evidence(name, 0)))
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 
-#: Bounds on the likelihood ratio of a vote for the class it names. Almost any text gets several votes for good at
-#: once, so each counts little; a vote for bad is rare and counts much. They also keep EM from swapping the classes.
-GOOD_RATIO, BAD_RATIO = (1.05, 1.2), (4.0, 200.0)
-
-
-def estimate(patterns: list[tuple[tuple[int, ...], int]], names: list[str], rounds: int = 40, good_ratio: tuple[float, float] = GOOD_RATIO, bad_ratio: tuple[float, float] = BAD_RATIO) -> VoteModel:
-    """EM from (votes, count) patterns. An abstention carries no evidence on the class; with no rows the starting rates stand."""
-    good = 0.8
-    rates = {n: [[0.5, 0.0, 0.5 / good_ratio[1]], [0.5 / bad_ratio[1], 0.0, 0.5]] for n in names}
-    total = sum(c for _, c in patterns)
-    for _ in range(rounds if total else 0):
-        mass = [1.0, 4.0]
-        seen = {n: [[1.0, 0.0, 0.1], [0.1, 0.0, 1.0]] for n in names}
-        spoke = {n: [2.0, 2.0] for n in names}
-        for votes, count in patterns:
-            z = math.log(good / (1 - good))
-            for n, v in zip(names, votes, strict=True):
-                if v:
-                    z += math.log(rates[n][1][v + 1] / rates[n][0][v + 1])
-            p = 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
+#: The Dirichlet prior: the share of good documents, and the shares of votes (bad, none, good) in each class for any rule.
+PRIOR_GOOD, PRIOR_RATES = 0.85, ((0.3, 0.2, 0.5), (0.03, 0.17, 0.8))
+#: The prior counts as so many rows for each row of the data, so it has the same weight at any size.
+PRIOR_WEIGHT = 1.0
+
+
+def estimate(patterns: list[tuple[tuple[int, ...], int]], names: list[str], rounds: int = 200, weight: float = PRIOR_WEIGHT) -> VoteModel:
+    """EM from (votes, count) patterns, till no posterior moves by 1e-6. An abstention is an outcome like another; with no rows the prior stands."""
+    prior = (1 - PRIOR_GOOD, PRIOR_GOOD)
+    model = VoteModel(PRIOR_GOOD, {n: [list(x) for x in PRIOR_RATES] for n in names})
+    pseudo = weight * sum(c for _, c in patterns)
+    before: list[float] = []
+    for _ in range(rounds if patterns else 0):
+        z = [math.log(model.good / (1 - model.good)) + sum(model.evidence(n, v) for n, v in zip(names, votes, strict=True)) for votes, _ in patterns]
+        good = [1 / (1 + math.exp(-max(-50.0, min(50.0, x)))) for x in z]
+        if before and max(abs(a - b) for a, b in zip(good, before, strict=True)) < 1e-6:
+            break
+        before = good
+        mass = [pseudo * q for q in prior]
+        seen = {n: [[pseudo * q * x + 1e-9 for x in PRIOR_RATES[k]] for k, q in enumerate(prior)] for n in names}
+        for (votes, count), p in zip(patterns, good, strict=True):
             for k, q in ((0, (1 - p) * count), (1, p * count)):
                 mass[k] += q
                 for n, v in zip(names, votes, strict=True):
-                    if v:
-                        seen[n][k][v + 1] += q
-                        spoke[n][k] += q
-        good = min(0.95, max(0.3, mass[1] / sum(mass)))
-        for n in names:
-            for k in (0, 1):
-                rates[n][k] = [x / spoke[n][k] for x in seen[n][k]]
-            for v, better, (least, most) in ((0, 0, bad_ratio), (2, 1, good_ratio)):
-                b, g = max(rates[n][better][v], 1e-6), rates[n][1 - better][v]
-                rates[n][better][v] = b
-                rates[n][1 - better][v] = b / min(most, max(least, b / max(g, 1e-9)))
-    return VoteModel(good, rates)
+                    seen[n][k][v + 1] += q
+        model = VoteModel(mass[1] / sum(mass), {n: [[x / sum(row) for x in row] for row in seen[n]] for n in names})
+    return model
 
 
 def learn(stats: DataFrame) -> VoteModel:
@@ -166,12 +164,16 @@ def rate_quality(docs: DataFrame) -> DataFrame:
     each give a row; an empty table gives none; other columns are ignored. The texts are read once: their
     statistics, a few numbers a row, go to the checkpoint folder, and both EM and scoring read those.
     """
-    stats = with_stats(docs.select("doc_id", "text")).drop("text").checkpoint()
+    stats = with_stats(docs, ["doc_id"]).checkpoint()
     out = score(stats, learn(stats))
-    return out.select("doc_id", *[_c(x).alias(x) for x in STATS], _c("kept").alias("kept"), _c("posterior").alias("quality"))
+    return out.select(DOC + ".doc_id", *[_c(x).alias(x) for x in STATS], _c("kept").alias("kept"), _c("posterior").alias("quality"))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that are kept, with the columns of `docs`. The texts are read twice: for EM, then to filter."""
-    model = learn(with_stats(docs.select("text")))
-    return score(with_stats(docs), model).where(_c("kept")).select(*docs.columns)
+    """The rows of `docs` that are kept, with the columns of `docs`, whatever they are called.
+
+    Null and empty texts fail the base rules, so their rows go; a null doc_id or other column stays null; repeated rows
+    share a verdict; an empty table gives none. Rows and statistics go to the checkpoint folder, so each is computed once.
+    """
+    stats = with_stats(docs, docs.columns).checkpoint()
+    return score(stats, learn(stats)).where(_c("kept")).select(DOC + ".*")
