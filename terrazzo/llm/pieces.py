@@ -13,6 +13,7 @@ import re
 import zlib
 from dataclasses import dataclass
 from functools import cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import public_tokenizers
@@ -26,6 +27,8 @@ NO_CHAR = 0x110000
 _UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 #: Characters that are indexed at once, and units a process remembers.
 BATCH_CHARS, MOST_UNITS = 400_000, 300_000
+#: A unit of more characters is merged through a heap; others, all at once, by a merge a pass.
+LONG_UNIT = 256
 
 
 @dataclass
@@ -58,8 +61,8 @@ def load(name: str) -> Model:
     return Model(pieces, codes, score, np.array(normal), np.unique(score, return_inverse=True)[1] + 1, byte_ids, sp.unk_id(), longest, not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in pieces))
 
 
-def edges(codes: np.ndarray, model: Model) -> np.ndarray:
-    """table[p, n]: 1 + the number of the piece of n characters that occurs at position p of `codes`, else 0."""
+def edges(codes: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position, length, 1 + the piece's number) of every place in `codes` where a piece occurs, in order of position, then length."""
     n, depth = len(codes), model.longest
     known, rank = np.unique(codes, return_inverse=True)
     bits = max(1, int(len(known)).bit_length())
@@ -73,13 +76,12 @@ def edges(codes: np.ndarray, model: Model) -> np.ndarray:
         keys.append(key)
     order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
     keys = [k[order] for k in keys]
-    table = np.zeros((n, depth + 1), np.int32)
     spelt = model.codes  # a row per piece, filled up with NO_CHAR
     at = np.minimum(np.searchsorted(known, spelt), len(known) - 1)
     used = spelt != NO_CHAR
     ok = np.flatnonzero(((known[at] == spelt) | ~used).all(axis=1) & used[:, 1])
     if not len(ok):
-        return table
+        return (np.empty(0, np.int64),) * 3
     size = used[ok].sum(axis=1)
     number = np.where(used, at + 1, 0)[ok].astype(np.uint64)
     low = np.zeros((len(ok), len(keys)), np.uint64)
@@ -101,7 +103,17 @@ def edges(codes: np.ndarray, model: Model) -> np.ndarray:
     start = np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count)
     place = order[start + np.arange(count.sum())]
     which, length = np.repeat(ok, count), np.repeat(size, count)
-    table[place, length] = which + 1
+    by = np.argsort(place * (depth + 1) + length)
+    return place[by], length[by], which[by] + 1
+
+
+def edge_table(codes: np.ndarray, model: Model) -> np.ndarray:
+    """table[p, n]: 1 + the number of the piece of n characters at position p, else 0; from edges() of BATCH_CHARS positions at a time."""
+    table = np.zeros((len(codes), model.longest + 1), np.int32)
+    for at in range(0, len(codes), BATCH_CHARS):
+        place, length, number = edges(codes[at : at + BATCH_CHARS + model.longest - 1], model)
+        own = slice(0, np.searchsorted(place, BATCH_CHARS))
+        table[at + place[own], length[own]] = number[own]
     return table
 
 
@@ -137,6 +149,36 @@ def merged(codes: np.ndarray, first: np.ndarray, table: np.ndarray, model: Model
     return start[order], length[order], unit[order]
 
 
+def merged_long(table: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As merged() for one long unit: a heap holds the edges over two neighbouring symbols, so time is n log n in its characters."""
+    n, depth = len(table), table.shape[1] - 1
+    rank = [0, *model.rank.tolist()]
+    size, before = [1] * n, list(range(-1, n))
+    pair = table[:-1, 2]
+    heap = [(-rank[k], p, 1, 1) for p, k in zip(np.flatnonzero(pair).tolist(), pair[pair > 0].tolist(), strict=True)]
+    heapify(heap)
+
+    def offer(p: int, q: int) -> None:
+        both = size[p] + size[q]
+        if both <= depth and (k := table[p, both]):
+            heappush(heap, (-rank[k], p, size[p], size[q]))
+
+    while heap:
+        _, p, a, b = heappop(heap)
+        q = p + a
+        if size[p] != a or q >= n or size[q] != b:
+            continue  # one of the two was merged since
+        size[p], size[q] = a + b, 0
+        before[q + b] = p
+        if before[p] >= 0:
+            offer(before[p], p)
+        if q + b < n:
+            offer(p, q + b)
+    length = np.array(size)
+    start = np.flatnonzero(length)
+    return start, length[start], np.zeros(len(start), np.int64)
+
+
 def best_path(codes: np.ndarray, first: np.ndarray, table: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Unigram: the path of the best total score in each unit, by relaxing edges in order of position. As merged()."""
     n, depth = len(codes), table.shape[1] - 1
@@ -168,8 +210,11 @@ def encode_units(units: list[str], name: str, unigram: bool = False) -> list[byt
     if not len(codes):
         return [b""] * len(units)
     first = np.cumsum([0] + [len(u) for u in units])[:-1]
-    table = edges(codes, model)
-    start, length, unit = (best_path if unigram else merged)(codes, first, table, model)
+    table = edge_table(codes, model)
+    if unigram or len(units) > 1 or len(codes) <= LONG_UNIT:
+        start, length, unit = (best_path if unigram else merged)(codes, first, table, model)
+    else:
+        start, length, unit = merged_long(table, model)
     piece = table[start, length]
     ids = np.where(piece > 0, model.ids[np.maximum(piece, 1) - 1], -1)
     lone = np.flatnonzero(ids < 0)  # one character each
@@ -209,12 +254,17 @@ _known: dict[tuple[str, bool], dict[str, bytes]] = {}
 
 
 def encode_batch(texts: list[str | None], name: str, unigram: bool = False) -> list[bytes]:
-    """Ids of each text as little-endian 32-bit numbers. Units met before are remembered."""
+    """Ids of each text as little-endian 32-bit numbers. Units met before are remembered, but for long ones.
+
+    A unit longer than LONG_UNIT is encoded by itself, in about 200 bytes a character.
+    """
     known = _known.setdefault((name, unigram), {})
     if len(known) > MOST_UNITS:
         known.clear()
     split = [units_of(t, name) for t in texts]
     new: list[str] = list(dict.fromkeys(u for us in split for u in us if u not in known))
+    long_ = {u: encode_units([u], name, unigram)[0] for u in new if len(u) > LONG_UNIT}
+    new = [u for u in new if len(u) <= LONG_UNIT]
     at = 0
     while at < len(new):
         size, end = 0, at
@@ -223,6 +273,8 @@ def encode_batch(texts: list[str | None], name: str, unigram: bool = False) -> l
             end += 1
         known.update(zip(new[at:end], encode_units(new[at:end], name, unigram), strict=True))
         at = end
+    if long_:
+        return [b"".join([long_[u] if u in long_ else known[u] for u in us]) for us in split]
     return [b"".join(map(known.__getitem__, us)) for us in split]
 
 

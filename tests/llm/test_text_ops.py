@@ -218,9 +218,66 @@ def test_licenses_found_by_search(docs):
         assert want <= {x.split(":")[0] for x in r.spans.split(",")}
 
 
+def plain_matches(template, words):
+    """The most words of `template` that some alignment with a stretch of `words` matches, by a plain table over all of both, insertions, deletions and replacements costing one, matches earning two."""
+    best = (0, 0)
+    above = [(0, 0)] * (len(words) + 1)
+    for t in template:
+        row = [(0, 0)]
+        for j, w in enumerate(words):
+            cells = [(above[j][0] + 2, above[j][1] + 1) if t == w else (above[j][0] - 1, above[j][1]), (above[j + 1][0] - 1, above[j + 1][1]), (row[j][0] - 1, row[j][1]), (0, 0)]
+            row.append(max(cells))
+        above = row
+        best = max(best, max(row))
+    return best[1]
+
+
+def test_licenses_equal_a_plain_alignment():
+    """Over all templates, on texts of notices with words changed, put in or left out: the same are found."""
+    import random
+
+    rng = random.Random(4)
+    templates = [(k, licenses._TOKEN.findall(t.lower())) for k, t in licenses.TEMPLATES]
+    for trial in range(60):
+        _, source = licenses.TEMPLATES[rng.randrange(len(licenses.TEMPLATES))]
+        words = source.split()
+        for _ in range(rng.randrange(0, 1 + len(words) // 8)):
+            at = rng.randrange(len(words))
+            words[at : at + rng.choice([0, 1])] = rng.choice([[], ["other"], ["of", "this"]])
+        text = " ".join([*["filler"] * rng.randrange(4), *words, *["after"] * rng.randrange(4)])
+        tokens = licenses._TOKEN.findall(text.lower())
+        share = {}
+        for k, t in templates:
+            share[k] = max(share.get(k, 0), plain_matches(t, tokens) / len(t))
+        found = {k: c for k, c, _, _ in licenses.scan(text)}
+        # of overlapping notices one is reported, so each found one has to match, and none may be missed if any matches
+        assert all(share[k] >= c - 1e-9 and c >= 0.8 for k, c in found.items())
+        assert bool(found) == (max(share.values()) >= 0.8), (trial, text)
+
+
+def test_very_long_texts_take_seconds():
+    for text in (" " * 1_000_000, "x" * 1_000_000, "ab" * 500_000, "Licensed under the MIT License. " * 30_000):
+        began = time.perf_counter()
+        licenses.scan(text)
+        assert time.perf_counter() - began < 60
+    for text in ("x" * 300_000, "日本語" * 100_000, " " * 300_000, "theinternational" * 20_000):
+        began = time.perf_counter()
+        (got,) = pieces.encode_batch([text], MODEL)
+        assert time.perf_counter() - began < 60
+        assert pieces.decode(got, MODEL) == text
+
+
 MODEL = "piece_bpe_32k.model"
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.text("abtheinrolg▁ é", min_size=300, max_size=1200))
+def test_long_units_equal_the_library(text):
+    text = text.replace(" ", "")
+    (got,) = pieces.encode_batch([text], MODEL)
+    assert ids_of(got) == sentencepiece.SentencePieceProcessor(model_file=path(MODEL)).encode(text)
+
+
 @pytest.fixture(scope="module")
 def library():
     return sentencepiece.SentencePieceProcessor(model_file=path(MODEL))
