@@ -79,6 +79,70 @@ def test_language(spark, odd, none, docs):
     assert language.predict(none, m).count() == 0 and language.predict(odd, language.train(none)).where("lang_pred != 'und'").count() == 0
 
 
+def test_language_equals_a_plain_version(odd, docs):
+    """Each gram hashed by itself, embeddings averaged, softmax with the fitted temperature."""
+    m = language.train(docs)
+    u = 1 << 32
+
+    def plain(text):
+        low = (text or "").lower()
+        if not any(c.isalpha() for c in low):
+            return "und", 0.0
+        words = " ".join("".join(c if c.isalpha() else " " for c in low).split())
+        a = [ord(c) for c in f" {words} "]
+        total, seen = np.zeros(language.WIDTH), 0
+        for i in range(len(a)):
+            h = a[i] * 0x9E3779B1 % u
+            for n in (2, 3, 4):
+                if i + n > len(a):
+                    break
+                h = ((h ^ h >> 15) * 0x85EBCA6B + a[i + n - 1] * 0xC2B2AE35) % u
+                gram = a[i : i + n]
+                if (32 in gram[1:-1]) if n > 2 else gram == [32, 32]:
+                    continue
+                total += m.embed[(h ^ h >> 13) * 0x27D4EB2F % u >> 19]
+                seen += 1
+        z = (total / max(1, seen) @ m.weight + m.bias) / m.temperature
+        p = np.exp(z - z.max())
+        p /= p.sum()
+        return m.names[int(p.argmax())], float(p.max())
+
+    for df in (odd, docs.limit(60)):
+        texts = df.select("doc_id", "text").collect()
+        want = Counter((r.doc_id, plain(r.text)[0], round(plain(r.text)[1], 3)) for r in texts)
+        assert Counter((r.doc_id, r.lang_pred, round(r.score, 3)) for r in language.predict(df, m).collect()) == want
+
+
+def test_language_sample_is_bounded(spark, docs):
+    from pyspark.sql import functions as F
+
+    many = docs.where("lang is not null").crossJoin(spark.range(40)).withColumn("doc_id", F.col("doc_id") * 40 + F.col("id"))
+    m = language.train(many, rows=600)
+    assert (language.predict(docs, m).join(docs.select("doc_id", "lang"), "doc_id").toPandas().pipe(lambda x: x.lang == x.lang_pred)).mean() > 0.9
+
+
+def test_quality_model_equals_a_plain_version(odd, docs, labels):
+    """All pairs of features multiplied out, and held-out accuracy."""
+    m = quality_model.train(docs, labels)
+    hasher = quality_model.Hasher(quality_model.WORD_BUCKETS)
+
+    def plain(text):
+        at, x = quality_model.featurise(text, hasher)
+        vx = m.v[at] * x[:, None]
+        pairs = np.triu(vx @ vx.T, 1).sum()
+        return 1 / (1 + np.exp(-np.clip(m.w0 + m.w[at] @ x + pairs, -30, 30)))
+
+    for df in (odd, docs.limit(80)):
+        want = Counter((r.doc_id, round(float(plain(r.text)), 5)) for r in df.select("doc_id", "text").collect())
+        assert Counter((r.doc_id, round(r.score, 5)) for r in quality_model.classify(df, m).collect()) == want
+
+
+def test_quality_model_separates_held_out_rows(spark):
+    d, lab = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    out = quality_model.classify(d, quality_model.train(d, lab)).join(lab, "doc_id").where("held_out").toPandas()
+    assert (out.predicted == out.quality).mean() > 0.93 > out.quality.mean()
+
+
 def test_quality_model(spark, odd, none, docs, labels):
     m = quality_model.train(docs, labels)
     out = quality_model.classify(docs, m).join(labels, "doc_id").toPandas()
