@@ -194,12 +194,14 @@ def pack_documents(docs: DataFrame, vocabulary: str = "byte_bpe_50k", mixture: d
     if counts.select("source").distinct().count() > most:
         hashed = F.pmod(F.xxhash64("source"), F.lit(max(1, most - len(mixture)))).cast("string")
         queue = F.when(queue.isin(list(mixture)), queue).otherwise(hashed)
-    rows = counts.groupBy("p", queue.alias("q")).agg(F.sum("n").alias("n")).collect()
-    names = sorted({r.q for r in rows})
+    rows = counts.groupBy("p", queue.alias("q")).agg(F.sum("n").alias("n")).toArrow()  # MOST_CELLS numbers at most
+    coded = rows["q"].combine_chunks().dictionary_encode()
+    named = coded.dictionary.to_pylist()
+    names = sorted(named)
     at = {q: i for i, q in enumerate(names)}
     table = np.zeros((partitions, len(names)), np.int64)
-    for r in rows:
-        table[r.p, at[r.q]] += r.n
+    if named:
+        np.add.at(table, (rows["p"].to_numpy(), np.array([at[q] for q in named])[coded.indices.to_numpy()]), rows["n"].to_numpy())
     before = np.cumsum(table, axis=0) - table
     totals = table.sum(axis=0)
     share = targets(names, totals, mixture)
