@@ -78,6 +78,11 @@ def nearest2(b: Box, x: Column, y: Column) -> Column:
     return dx * dx + dy * dy
 
 
+def within(b: Box, x: Column, y: Column, d: Column) -> Column:
+    """Whether a box comes within distance d of a point."""
+    return nearest2(b, x, y) <= d * d
+
+
 def farthest2(b: Box, x: Column, y: Column) -> Column:
     dx, dy = F.greatest(F.abs(b.left - x), F.abs(b.right - x)), F.greatest(F.abs(b.bottom - y), F.abs(b.up - y))
     return dx * dx + dy * dy

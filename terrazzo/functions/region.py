@@ -47,4 +47,3 @@ class Region:
 
 
 UNIT = Region(0.0, 1.0, 0.0, 1.0)
-NYC = Region(40.61, 40.87, -74.05, -73.76)

@@ -48,6 +48,13 @@ def encode(x: Column, y: Column, region: Region, bits: int, truncate: bool = Fal
     return interleave(axis_code(x, region.left, region.width, bits, truncate), axis_code(y, region.bottom, region.height, bits, truncate), bits)
 
 
+def code_of(x: float, y: float, region: Region, bits: int) -> int:
+    """encode() of one place, without a job."""
+    cell = lambda v, low, extent: max(0, min((1 << bits) - 1, round((v - low) * float(1 << bits) / extent)))
+    a, b = cell(x, region.left, region.width), cell(y, region.bottom, region.height)
+    return sum((a >> i & 1) << 2 * i | (b >> i & 1) << 2 * i + 1 for i in range(bits))
+
+
 def decode(z: Column, region: Region, bits: int, precision: int) -> tuple[Column, Column]:
     """(x, y) of a code's cell, rounded half to even."""
     scale = float(1 << bits)
@@ -74,12 +81,13 @@ def compatible(a: Column, depth_a: Column, b: Column, depth_b: Column) -> Column
     return up(a, depth_a) == up(b, depth_b)
 
 
-def neighbours(cell: Column, depth: int) -> Column:
-    """The cell and those around it that lie in the region, bottom row first, left to right."""
+def neighbours(cell: Column, depth: int, lng_first: bool = False) -> Column:
+    """The cell and those around it that lie in the region, bottom row first, left to right. lng_first: x has the higher bit of each pair."""
     x, y, side = x_of(cell, depth), y_of(cell, depth), F.lit(1 << depth)
+    x, y = (y, x) if lng_first else (x, y)
     around = F.array(*[F.struct((x + dx).alias("x"), (y + dy).alias("y")) for dy in (-1, 0, 1) for dx in (-1, 0, 1)])
     inside = F.filter(around, lambda c: (c["x"] >= 0) & (c["y"] >= 0) & (c["x"] < side) & (c["y"] < side))
-    return F.transform(inside, lambda c: interleave(c["x"], c["y"], depth))
+    return F.transform(inside, lambda c: interleave(c["y"], c["x"], depth) if lng_first else interleave(c["x"], c["y"], depth))
 
 
 def bit_string(code: Column, length: int) -> Column:

@@ -1,14 +1,24 @@
-"""Block ranges: bounding boxes of runs of rows, as an index of few rows that prunes what a query reads."""
+"""Blocks: bounding boxes of groups of rows, as an index of few rows that prunes what a query reads.
+
+A block is any group of rows with a number `blk` and a box: a run of rows in some order, a tile of a packed tree,
+a leaf of median splits. Boxes and windows meet by equi-joins on the cells that cover them, whatever made the blocks.
+"""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions import zorder as Z
+from ..functions.region import Region
+from . import cells
 
 PAGE_ITEMS = 204  # items of 20 bytes on a page of 4096
+#: Points that median splits are taken from, and levels of splits at most.
+SPLIT_ROWS, MOST_LEVELS = 1 << 16, 12
 
 
 def box_of(prefix: str = "", x: str = "x", y: str = "y") -> list[Column]:
@@ -24,7 +34,7 @@ def numbered(rows: DataFrame, order: list[str], first: int = 0, name: str = "pos
     sizes = part.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     at = F.row_number().over(W.partitionBy("_part").orderBy(*order)) - 1
-    out = part.withColumn("_at", at).join(F.broadcast(before), "_part")  # before has 64 rows at most
+    out = part.withColumn("_at", at).join(F.broadcast(before), "_part")  # before has a row for each range
     return out.select(*rows.columns, (F.col("_at") + F.col("_before") + first).alias(name))
 
 
@@ -38,37 +48,128 @@ def block_ranges(rows: DataFrame) -> DataFrame:
     return rows.groupBy("blk").agg(F.count("*").alias("n"), *box_of())
 
 
-def blocks_met(blocks: DataFrame, windows: DataFrame) -> DataFrame:
-    """(qid, blk, relation) for each window and block that meet: relation 2 says that the window covers the block.
+def _ancestors(last: Column) -> Column:
+    """The cells above (depth, cell), from the whole region to depth `last`."""
+    return F.explode(F.transform(F.sequence(F.lit(0), last), lambda d: F.struct(d.alias("depth"), F.call_function("shiftright", F.col("cell"), (2 * (F.col("depth") - d)).cast("int")).alias("cell"))))
+
+
+def blocks_met(blocks: DataFrame, windows: DataFrame, region: Region, bits: int) -> DataFrame:
+    """`windows` with each block that they meet: blk, n, its box b_*, and relation, 2 where the window covers the block.
 
-    The blocks, one row for hundreds or thousands of points, are the small side; Spark broadcasts the smaller by size.
+    Both are covered by at most four cells each. Where they meet, a cell of one lies in a cell of the other: one
+    equi-join of the windows' cells and those above them with the blocks' cells, one the other way round.
     """
-    b = blocks.select("blk", "n", *[F.col(c).alias("b_" + c) for c in ("bottom", "up", "left", "right")])
-    met = windows.join(b, G.overlaps(G.Box.of(), G.Box.of("b_")))
+    sides = ("bottom", "up", "left", "right")
+    b = cells.window_cells(blocks.select("blk", "n", *sides), region, bits)
+    b = b.select("blk", "n", *[F.col(c).alias("b_" + c) for c in sides], "depth", "cell")
+    w = cells.window_cells(windows, region, bits)
+    above = w.withColumn("_a", _ancestors(F.col("depth"))).select(*windows.columns, "_a.depth", "_a.cell")
+    finer = b.where("depth > 0").withColumn("_a", _ancestors(F.col("depth") - 1)).select("blk", "n", *["b_" + c for c in sides], "_a.depth", "_a.cell")
+    keep = [*windows.columns, "blk", "n", *["b_" + c for c in sides]]
+    both = above.join(b, ["depth", "cell"]).select(*keep).unionByName(w.join(finer, ["depth", "cell"]).select(*keep))
+    met = both.where(G.overlaps(G.Box.of(), G.Box.of("b_"))).dropDuplicates(["qid", "blk"])
     return met.withColumn("relation", G.relation(G.Box.of(), G.Box.of("b_")))
 
 
-def range_query_blocks(rows: DataFrame, blocks: DataFrame, windows: DataFrame) -> DataFrame:
+def range_query_blocks(rows: DataFrame, blocks: DataFrame, windows: DataFrame, region: Region, bits: int) -> DataFrame:
     """(qid, id): rows of covered blocks as they are, of others after the test."""
-    met = blocks_met(blocks, windows).select("qid", "blk", "relation", "bottom", "up", "left", "right")
+    met = blocks_met(blocks, windows, region, bits).select("qid", "blk", "relation", "bottom", "up", "left", "right")
     return rows.join(met, "blk").where((F.col("relation") == 2) | G.contains(G.Box.of(), F.col("x"), F.col("y"))).select("qid", "id")
 
 
-def point_query_blocks(rows: DataFrame, blocks: DataFrame, queries: DataFrame) -> DataFrame:
-    b = blocks.select("blk", *[F.col(c) for c in ("bottom", "up", "left", "right")])
-    met = queries.join(b, G.contains(G.Box.of(), F.col("qx"), F.col("qy"))).select("qid", "blk", F.col("qx").alias("x"), F.col("qy").alias("y"))
+def point_query_blocks(rows: DataFrame, blocks: DataFrame, queries: DataFrame, region: Region, bits: int) -> DataFrame:
+    """(qid, id) at the queries' places, read from the blocks whose boxes hold them."""
+    w = queries.select("qid", F.col("qy").alias("bottom"), F.col("qy").alias("up"), F.col("qx").alias("left"), F.col("qx").alias("right"))
+    met = blocks_met(blocks, w, region, bits).select("qid", "blk", F.col("left").alias("x"), F.col("bottom").alias("y"))
     return rows.join(met, ["blk", "x", "y"]).select("qid", "id")
 
 
-def io_cost(blocks: DataFrame, windows: DataFrame, pages_per_block: int) -> DataFrame:
+def knn_blocks(rows: DataFrame, blocks: DataFrame, seeds: DataFrame, queries: DataFrame, region: Region, bits: int) -> DataFrame:
+    """(qid, id, d2, rank) of the k nearest rows of each query, exact, in two phases.
+
+    seeds (qid, blk): any block for each query; the kth distance in it bounds the search, or, where it
+    holds fewer than k rows, the farthest corner of the region. Then only blocks within the bound are read.
+    """
+    from .search import ranked
+
+    d2 = G.distance2(F.col("x"), F.col("y"), F.col("qx"), F.col("qy"))
+    near = rows.select("blk", "id", "x", "y").join(queries.join(seeds, "qid"), "blk").withColumn("d2", d2)
+    found = ranked(near).groupBy("qid").agg(F.count("*").alias("_n"), F.max("d2").alias("_d2"))
+    reach = F.greatest(F.abs(F.col("qx") - region.left), F.abs(F.col("qx") - region.right)) + F.greatest(F.abs(F.col("qy") - region.bottom), F.abs(F.col("qy") - region.up))
+    bound = queries.join(found, "qid", "left").withColumn("bound2", F.when(F.col("_n") >= F.col("k"), F.col("_d2")).otherwise(reach * reach * 1.01)).drop("_n", "_d2")
+    return knn_within(rows, blocks, bound, region, bits)
+
+
+def knn_within(rows: DataFrame, blocks: DataFrame, bound: DataFrame, region: Region, bits: int) -> DataFrame:
+    """The k nearest rows of queries (qid, qx, qy, k, bound2): those of the blocks no farther than bound2, which k rows lie within."""
+    from .search import ranked
+
+    r = F.sqrt("bound2") * (1 + 1e-12)
+    w = bound.select("*", (F.col("qy") - r).alias("bottom"), (F.col("qy") + r).alias("up"), (F.col("qx") - r).alias("left"), (F.col("qx") + r).alias("right"))
+    met = blocks_met(blocks, w, region, bits).where(G.nearest2(G.Box.of("b_"), F.col("qx"), F.col("qy")) <= F.col("bound2"))
+    near = rows.select("blk", "id", "x", "y").join(met.select("qid", "qx", "qy", "k", "bound2", "blk"), "blk")
+    return ranked(near.withColumn("d2", G.distance2(F.col("x"), F.col("y"), F.col("qx"), F.col("qy"))).where(F.col("d2") <= F.col("bound2")))
+
+
+def io_cost(blocks: DataFrame, windows: DataFrame, pages_per_block: int, region: Region, bits: int) -> DataFrame:
     """(qid, blocks, pages) that a window reads."""
-    met = blocks_met(blocks, windows).groupBy("qid").agg(F.count("*").alias("n"))
+    met = blocks_met(blocks, windows, region, bits).groupBy("qid").agg(F.count("*").alias("n"))
     return windows.select("qid").join(met, "qid", "left").select("qid", F.coalesce("n", F.lit(0)).alias("blocks"), (F.coalesce("n", F.lit(0)) * pages_per_block).alias("pages"))
 
 
-def packed_boxes(rows: DataFrame, slices: int, per_slice: int) -> DataFrame:
-    """Sort-tile-recursive packing: `slices` runs by x, in each per_slice runs by y; boxes of the runs."""
+def packed_rows(rows: DataFrame, slices: int, per_slice: int) -> DataFrame:
+    """`rows` with strip and tile of sort-tile-recursive packing: `slices` runs by x, in each per_slice runs by y."""
     n = rows.count()
-    strip = numbered(rows, ["x", "id"], name="_p").withColumn("strip", F.expr(f"_p * {slices} div {max(1, n)}"))
-    tile = F.ntile(per_slice).over(W.partitionBy("strip").orderBy("y", "id"))
-    return strip.withColumn("tile", tile).groupBy("strip", "tile").agg(F.count("*").alias("n"), *box_of())
+    strip = numbered(rows, ["x", "id"], name="_p").withColumn("strip", F.expr(f"_p * {slices} div {max(1, n)}")).drop("_p")
+    return strip.withColumn("tile", F.ntile(per_slice).over(W.partitionBy("strip").orderBy("y", "id")))
+
+
+def packed_boxes(rows: DataFrame, slices: int, per_slice: int) -> DataFrame:
+    """(strip, tile, n, bottom, up, left, right) of the tiles of packed_rows()."""
+    return packed_rows(rows, slices, per_slice).groupBy("strip", "tile").agg(F.count("*").alias("n"), *box_of())
+
+
+def median_splits(points: DataFrame, most: int) -> list[float]:
+    """Splits in level order, by x and y in turn, so that a leaf holds about `most` points; [0] is unused.
+
+    Medians are those of SPLIT_ROWS points at most, the least by hash; every point is then given its leaf, so
+    queries are exact whatever the sample. Levels are at most MOST_LEVELS, beyond which leaves grow.
+    """
+    n = points.count()
+    levels = min(MOST_LEVELS, max(0, int(np.ceil(np.log2(max(1, n / most))))))
+    sample = points.select("id", "x", "y").orderBy(F.xxhash64("id"), "id").limit(SPLIT_ROWS).toPandas()
+    parts, splits = [sample[["x", "y"]].to_numpy(float)], [0.0]
+    for level in range(levels):
+        below = []
+        for p in parts:
+            v = p[:, level % 2]
+            splits.append(float(np.median(v)) if len(p) else 0.0)
+            below += [p[v <= splits[-1]], p[v > splits[-1]]]
+        parts = below
+    return splits
+
+
+def split_leaf(splits: list[float], x: Column, y: Column) -> Column:
+    """The leaf of a point: down the levels, to the right where its value is above the split."""
+    levels = len(splits).bit_length() - 1
+    if not levels:
+        return F.lit(1).cast("long")
+    at = F.array(*map(F.lit, splits))
+    step = lambda node, d: (2 * node + F.when(F.when(d % 2 == 0, x).otherwise(y) > F.get(at, node), 1).otherwise(0)).cast("int")
+    return F.aggregate(F.sequence(F.lit(0), F.lit(levels - 1)), F.lit(1), step).cast("long")
+
+
+def with_split_leaves(points: DataFrame, splits: list[float]) -> DataFrame:
+    """`points` with `blk`, the leaf of the splits; none is dropped."""
+    return points.withColumn("blk", split_leaf(splits, F.col("x"), F.col("y")))
+
+
+def code_seeds(blocks: DataFrame, queries: DataFrame, region: Region, bits: int) -> DataFrame:
+    """(qid, blk) by the code: of blocks (blk, z_lo) of rows sorted by it, the last that begins at the query's code or before, else the first."""
+    from .search import greatest_at_most
+
+    firsts = blocks.groupBy(F.col("z_lo").alias("_z")).agg(F.max("blk").alias("blk"))
+    q = queries.select("qid", Z.encode(F.col("qx"), F.col("qy"), region, bits).alias("z"))
+    at = greatest_at_most(firsts, "_z", q, "z")
+    first = blocks.agg(F.min("blk").alias("_first"))
+    return at.join(firsts, F.col("found") == F.col("_z"), "left").join(F.broadcast(first)).select("qid", F.coalesce("blk", "_first").alias("blk"))  # first: one row

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 MODEL_ROWS = 4096  # rows of a leaf that a network is fitted to, evenly spaced
+SLACK = 1e-6
 PAGE_ITEMS = 146  # items of 28 bytes on a page of 4096
 
 
@@ -53,9 +54,9 @@ def predicted() -> Column:
 
 
 def with_bounds(entries: DataFrame, models: DataFrame, guess: Column | None = None) -> DataFrame:
-    """`models` with min_err, max_err: every row's guess - pos lies between them."""
+    """`models` with min_err, max_err: every row's guess - pos lies between them, by SLACK at least, so that rounding in another engine or build of the model leaves them valid."""
     err = (predicted() if guess is None else guess) - F.col("pos")
-    bounds = entries.join(models, "leaf").groupBy("leaf").agg(F.floor(F.min(err)).cast("long").alias("min_err"), F.ceil(F.max(err)).cast("long").alias("max_err"))
+    bounds = entries.join(models, "leaf").groupBy("leaf").agg(F.floor(F.min(err) - SLACK).cast("long").alias("min_err"), F.ceil(F.max(err) + SLACK).cast("long").alias("max_err"))
     return models.join(bounds, "leaf")
 
 
@@ -148,7 +149,7 @@ def network_models(entries: DataFrame, hidden: int = 16, steps: int = 300, warm:
     warm: earlier models to go on from.
     """
     sizes = entries.groupBy("leaf").agg(F.count("*").alias("n"), F.min("z").alias("in_min"), F.max("z").alias("in_max"))
-    rows = entries.join(sizes, "leaf").where((F.col("pos") % F.greatest(F.lit(1), F.expr(f"n div {MODEL_ROWS}"))) == 0)
+    rows = entries.join(sizes, "leaf").where((F.col("pos") % F.greatest(F.lit(1), F.expr(f"(n + {MODEL_ROWS - 1}) div {MODEL_ROWS}"))) == 0)
     rows = rows.select("leaf", "n", "in_min", "in_max", "z", "pos")
     if warm is not None:
         rows = rows.join(warm.select("leaf", "w0", "b0", "w1", "b1"), "leaf", "left")

@@ -56,16 +56,24 @@ def hashed_unit(*columns: str | Column) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(1 << 32)) / F.lit(float(1 << 32))
 
 
+def mixed(v: str, seed: int) -> Column:
+    """A number in [0, 2**32) from a whole number, by arithmetic that any engine repeats."""
+    n = F.lit(1 << 32)
+    h = F.pmod(F.pmod(F.col(v), F.lit(1 << 31)) * F.lit(1_103_515_245).cast("long") + F.lit(seed * 1_013_904_223).cast("long"), n)
+    h = F.pmod(h.bitwiseXOR(F.shiftright(h, 16)) * F.lit(668_265_263).cast("long"), n)
+    return h.bitwiseXOR(F.shiftright(h, 15))
+
+
 def sample_with_replacement(points: DataFrame, key: str, n: int, seed: int = 1) -> DataFrame:
     """n rows drawn by hash from keys 0 to count - 1, with `draw`, their number."""
     total = points.count()
-    picks = points.sparkSession.range(n).select(F.col("id").alias("draw"), F.floor(hashed_unit("id", F.lit(seed)) * total).cast("long").alias(key))
+    picks = points.sparkSession.range(n).select(F.col("id").alias("draw"), F.floor(mixed("id", seed) / F.lit(float(1 << 32)) * total).cast("long").alias(key))
     return picks.join(points, key)
 
 
 def point_queries(points: DataFrame, n: int, seed: int = 1) -> DataFrame:
     """(qid, qx, qy) of n rows, the least by hash."""
-    chosen = points.select("id", "x", "y").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(n)
+    chosen = points.select("id", "x", "y").orderBy(mixed("id", seed), "id").limit(n)
     return chosen.select(F.col("id").alias("qid"), F.col("x").alias("qx"), F.col("y").alias("qy"))
 
 

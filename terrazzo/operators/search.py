@@ -33,10 +33,9 @@ def point_query_z(points: DataFrame, queries: DataFrame, region: Region, bits: i
     return (out.where((F.col("x") == F.col("qx")) & (F.col("y") == F.col("qy"))) if exact else out).select("qid", "id")
 
 
-def code_bounds(window: Region, region: Region, bits: int, spark) -> tuple[int, int]:
+def code_bounds(window: Region, region: Region, bits: int) -> tuple[int, int]:
     """Codes of a window's lower left and upper right corners: all its points' codes lie between."""
-    corners = spark.range(1).select(*[Z.encode(F.lit(x), F.lit(y), region, bits) for x, y in ((window.left, window.bottom), (window.right, window.up))]).first()
-    return corners[0], corners[1]
+    return Z.code_of(window.left, window.bottom, region, bits), Z.code_of(window.right, window.up, region, bits)
 
 
 def range_query(points: DataFrame, window: Region) -> DataFrame:
@@ -45,7 +44,7 @@ def range_query(points: DataFrame, window: Region) -> DataFrame:
 
 def range_query_z(points: DataFrame, window: Region, region: Region, bits: int) -> DataFrame:
     """range_query() with bounds on the stored code, which reach the scan and skip row groups sorted by it."""
-    low, high = code_bounds(window, region, bits, points.sparkSession)
+    low, high = code_bounds(window, region, bits)
     return range_query(points.where(F.col("z").between(low, high)), window)
 
 
@@ -72,7 +71,7 @@ def range_join_by_leaf(points: DataFrame, leaves: DataFrame, windows: DataFrame,
     return points.join(met, "leaf").where(F.col("inside") | G.contains(G.Box.of(), F.col("x"), F.col("y"))).select("qid", "id")
 
 
-def _ranked(near: DataFrame) -> DataFrame:
+def ranked(near: DataFrame) -> DataFrame:
     """Keep each query's k nearest of (qid, k, id, d2), with their rank."""
     order = W.partitionBy("qid").orderBy("d2", "id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= F.col("k")).select("qid", "id", "d2", "rank")
@@ -96,7 +95,38 @@ def knn_join(points: DataFrame, leaves: DataFrame, queries: DataFrame, region: R
     windows = bound.select("qid", "qx", "qy", "k", "bound2", (F.col("qy") - r).alias("bottom"), (F.col("qy") + r).alias("up"), (F.col("qx") - r).alias("left"), (F.col("qx") + r).alias("right"))
     met = cells.leaves_met(leaves, windows, region, bits).where(G.nearest2(G.Box.of("scope_"), F.col("qx"), F.col("qy")) <= F.col("bound2"))
     near = points.join(met.select("qid", "leaf", "qx", "qy", "k", "bound2"), "leaf").withColumn("d2", G.distance2(F.col("x"), F.col("y"), F.col("qx"), F.col("qy")))
-    return _ranked(near.where(F.col("d2") <= F.col("bound2")))
+    return ranked(near.where(F.col("d2") <= F.col("bound2")))
+
+
+def z_neighbours(points: DataFrame, queries: DataFrame, region: Region, bits: int) -> DataFrame:
+    """(qid, qx, qy, k, id, x, y): the k points before and the k after each query in the order of code, then id.
+
+    Places are numbered once; a query's own place is the number of codes up to its own, and its
+    neighbours are an equi-join on places.
+    """
+    from .blocks import numbered
+
+    q = with_query_code(queries, region, bits)
+    rank = count_at_most(points, "z", q, "z").withColumnRenamed("n", "_n")
+    places = q.join(rank, "z").select("qid", "qx", "qy", "k", F.explode(F.sequence(F.col("_n") - F.col("k"), F.col("_n") + F.col("k") - 1)).alias("pos"))
+    return numbered(points.select("id", "x", "y", "z"), ["z", "id"]).join(places, "pos").select("qid", "qx", "qy", "k", "id", "x", "y")
+
+
+def knn_by_code(points: DataFrame, rows: DataFrame, boxes: DataFrame, queries: DataFrame, region: Region, bits: int) -> DataFrame:
+    """(qid, id, d2, rank) of the k nearest, bounded by the kth distance among a query's neighbours in code; `rows` (blk, id, x, y) of `boxes` are then read."""
+    from .blocks import knn_within
+
+    near = z_neighbours(points, queries, region, bits).withColumn("d2", G.distance2(F.col("x"), F.col("y"), F.col("qx"), F.col("qy")))
+    found = ranked(near).groupBy("qid").agg(F.count("*").alias("_n"), F.max("d2").alias("_d2"))
+    reach = F.greatest(F.abs(F.col("qx") - region.left), F.abs(F.col("qx") - region.right)) + F.greatest(F.abs(F.col("qy") - region.bottom), F.abs(F.col("qy") - region.up))
+    bound = queries.join(found, "qid", "left").withColumn("bound2", F.when(F.col("_n") >= F.col("k"), F.col("_d2")).otherwise(reach * reach * 1.01))
+    return knn_within(rows, boxes, bound.select("qid", "qx", "qy", "k", "bound2"), region, bits)
+
+
+def new_in_window(points: DataFrame, old: Region, new: Region) -> DataFrame:
+    """The points of a window that weren't in the one before it."""
+    x, y = F.col("x"), F.col("y")
+    return points.where(G.contains(G.Box.region(new), x, y) & ~G.contains(G.Box.region(old), x, y))
 
 
 def value_range(rows: DataFrame, value: str) -> Column:

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import geometry as G
+from ..functions import zorder as Z
 from ..functions.region import Region
 from . import blocks, cells, learned, series
 
@@ -70,6 +72,37 @@ def with_buckets(delta: DataFrame, meta: DataFrame, forecasts: DataFrame, width:
     return out.withColumn("bucket", F.coalesce(predicted_bucket("value", "_end", width), F.lit(0).cast("long"))).select(*delta.columns, "bucket")
 
 
+def range_query_buckets(delta: DataFrame, meta: DataFrame, forecasts: DataFrame, windows: DataFrame, region: Region, bits: int, width: int) -> DataFrame:
+    """(qid, id) of `delta` rows (leaf, time_id, bucket, ...) in the windows. Buckets never fall as codes rise, so in
+    each leaf that a window meets only those between its first and last code's buckets are read."""
+    corner = lambda x, y: Z.encode(F.col(x), F.col(y), region, bits)
+    m = meta.select("leaf", "value", (F.col("value") + F.col("value_diff")).alias("_end"))
+    met = cells.leaves_met(meta, windows, region, bits).select("qid", "leaf", "bottom", "up", "left", "right").join(m, "leaf")
+    met = met.withColumns({"_lo": F.greatest("value", corner("left", "bottom")), "_hi": F.least(F.col("_end") - 1, corner("right", "up"))})
+    met = met.join(forecasts.select("leaf", "time_id", "cdf", "max_key"), "leaf", "left")
+    at = lambda c: F.coalesce(series.predicted_bucket(F.col(c), F.col("value"), F.col("_end"), F.col("cdf"), F.col("max_key"), width), F.lit(0).cast("long"))
+    met = met.select("qid", "leaf", F.col("time_id").alias("_t"), "bottom", "up", "left", "right", at("_lo").alias("_from"), at("_hi").alias("_to"))
+    rows = delta.join(met, "leaf").where(F.col("_t").isNull() | (F.col("_t") == F.col("time_id")))
+    return rows.where(F.col("bucket").between(F.col("_from"), F.col("_to")) & G.contains(G.Box.of(), F.col("x"), F.col("y"))).select("qid", "id")
+
+
+def first_version(rows: DataFrame, meta: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
+    """(entries, models) of a table: rows with leaf and place, and a model with bounds for each leaf."""
+    entries = learned.leaf_positions(cells.assign_leaves(rows, meta, bits)).checkpoint()
+    return entries, learned.with_bounds(entries, learned.linear_models(entries)).checkpoint()
+
+
+def merged_version(version: tuple[DataFrame, DataFrame], delta: DataFrame, meta: DataFrame, bits: int, factor: float) -> tuple[DataFrame, DataFrame]:
+    """The version after a merge of `delta`: only leaves that take rows are numbered anew, and get new bounds or, where
+    those grew beyond `factor` times the old width, a new model. Other leaves' rows and models stay."""
+    entries, models = version
+    new = cells.assign_leaves(delta, meta, bits).checkpoint()
+    touched = new.select("leaf").distinct().checkpoint()
+    mine = entries.join(touched, "leaf", "left_semi").select(*new.columns)
+    after = entries.join(touched, "leaf", "left_anti").unionByName(learned.leaf_positions(mine.unionByName(new))).checkpoint()
+    return after, refreshed_models(models, after, touched, factor).checkpoint()
+
+
 def point_query_with_delta(main: DataFrame, delta: DataFrame, probes: DataFrame) -> DataFrame:
     """(qid, id) of probes (qid, qx, qy, leaf, bucket): the main leaf, and of the delta one bucket. A row of a bucket has
     its own code's bucket, so no row at the probe's place is in another."""

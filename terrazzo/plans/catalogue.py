@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import uuid
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,6 +48,63 @@ def _written(table: DataFrame) -> DataFrame:
     return table.checkpoint()
 
 
+def _stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """An index table by name: written to the shared folder by the first query of a session that asks for it, read by all."""
+    path = f"{shared_folder(prepared(spark))}/index-{zlib.crc32(sf_dir.encode()):08x}/{name}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+POINTS = {"pe": pe, "po": po}
+
+
+def _points(spark, sf_dir, name: str) -> DataFrame:
+    """The points with their codes, sorted by them."""
+    return _stored(spark, sf_dir, f"{name}_by_code", lambda: prep.sorted_by_code(POINTS[name](spark, sf_dir)))
+
+
+def _meta(spark, sf_dir, name: str) -> DataFrame:
+    return _stored(spark, sf_dir, f"{name}_leaves", lambda: cells.leaf_meta(cells.leaves(_points(spark, sf_dir, name), LEAF_ROWS, BITS, DEEPEST), UNIT, BITS))
+
+
+def _entries(spark, sf_dir, name: str) -> DataFrame:
+    """The points with their leaf and their place in it."""
+    return _stored(spark, sf_dir, f"{name}_entries", lambda: learned.leaf_positions(cells.assign_leaves(_points(spark, sf_dir, name), _meta(spark, sf_dir, name), BITS)))
+
+
+def _models(spark, sf_dir, name: str) -> DataFrame:
+    e = _entries(spark, sf_dir, name)
+    return _stored(spark, sf_dir, f"{name}_models", lambda: learned.with_bounds(e, learned.linear_models(e)))
+
+
+def _blocks_by_code(spark, sf_dir, name: str) -> tuple[DataFrame, DataFrame]:
+    """(rows with blk, blocks with z_lo): runs of PER_BLOCK rows in order of code."""
+    rows = _stored(spark, sf_dir, f"{name}_blocked", lambda: blocks.with_blocks(_points(spark, sf_dir, name), ["z", "id"], PER_BLOCK))
+    return rows, _stored(spark, sf_dir, f"{name}_blocks", lambda: blocks.block_ranges(rows).join(rows.groupBy("blk").agg(F.min("z").alias("z_lo")), "blk"))
+
+
+def _split(spark, sf_dir, name: str) -> tuple[DataFrame, DataFrame, list[float]]:
+    """(rows with blk, blocks, splits) of median splits."""
+    points = _points(spark, sf_dir, name)
+    splits = blocks.median_splits(points, LEAF_ROWS)
+    rows = _stored(spark, sf_dir, f"{name}_split", lambda: blocks.with_split_leaves(points, splits))
+    return rows, _stored(spark, sf_dir, f"{name}_split_boxes", lambda: blocks.block_ranges(rows)), splits
+
+
+def _packed(spark, sf_dir, name: str) -> tuple[DataFrame, DataFrame]:
+    """(rows with blk, blocks) of a packed tree, with as many strips as tiles in a strip."""
+
+    def build() -> DataFrame:
+        points = _points(spark, sf_dir, name)
+        side = max(1, math.ceil(math.sqrt(points.count() / LEAF_ROWS)))
+        return blocks.packed_rows(points, side, side).withColumn("blk", F.col("strip") * side + F.col("tile") - 1).drop("strip", "tile")
+
+    rows = _stored(spark, sf_dir, f"{name}_packed", build)
+    return rows, _stored(spark, sf_dir, f"{name}_packed_boxes", lambda: blocks.block_ranges(rows))
+
+
 def _leaves(points: DataFrame) -> DataFrame:
     return _written(cells.leaf_meta(cells.leaves(points, LEAF_ROWS, BITS, DEEPEST), UNIT, BITS))
 
@@ -113,6 +172,12 @@ def geohash_base32(spark, sf_dir):
     return _on_earth(pe(spark, sf_dir)).select("id", Z.geohash32(F.col("lng"), F.col("lat")).alias("geohash"))
 
 
+@query(f"WITH {PE}, c AS (SELECT DISTINCT z >> {2 * (BITS - 5)} AS cell FROM pe), g AS (SELECT cell, {compact_sql('(cell >> 1)', 5)} + dx AS cx, {compact_sql('cell', 5)} + dy AS cy FROM c, range(-1, 2) a(dx), range(-1, 2) b(dy)) SELECT cell, {spread_sql('cy', 'cx', 5)} AS neighbour FROM g WHERE cx BETWEEN 0 AND 31 AND cy BETWEEN 0 AND 31")
+def z_neighbours_lng_first(spark, sf_dir):
+    c = pe(spark, sf_dir).select(Z.prefix(F.col("z"), BITS, 5).alias("cell")).distinct()
+    return c.select("cell", F.explode(Z.neighbours(F.col("cell"), 5, lng_first=True)).alias("neighbour"))
+
+
 @query(f"{_G} SELECT id, round((gx + 0.5::DOUBLE) * (360.0::DOUBLE / {1 << 30}) - 180.0::DOUBLE, 6) AS lng, round((gy + 0.5::DOUBLE) * (180.0::DOUBLE / {1 << 30}) - 90.0::DOUBLE, 6) AS lat FROM g")
 def geohash_decode(spark, sf_dir):
     lng, lat, _, _ = Z.geohash32_decode(F.col("h"))
@@ -149,7 +214,7 @@ def brin_blocks_sorted(spark, sf_dir):
 
 @query(f"{_BRIN.format('z, id')} SELECT qid, blk, CASE WHEN bottom <= b_bottom AND up >= b_up AND lft <= b_left AND rgt >= b_right THEN 2 WHEN b_bottom <= bottom AND b_up >= up AND b_left <= lft AND b_right >= rgt THEN 3 ELSE 1 END AS relation FROM wq JOIN br ON {_MEET}")
 def rect_relation(spark, sf_dir):
-    return blocks.blocks_met(blocks.block_ranges(_blocked(spark, sf_dir, ["z", "id"])), windows(spark, sf_dir)).select("qid", "blk", "relation")
+    return blocks.blocks_met(_blocks_by_code(spark, sf_dir, "pe")[1], windows(spark, sf_dir), UNIT, BITS).select("qid", "blk", "relation")
 
 
 @query(f"WITH {WQ}, {NQ} SELECT wq.qid, round(greatest(lft - qx, 0, qx - rgt) * greatest(lft - qx, 0, qx - rgt) + greatest(bottom - qy, 0, qy - up) * greatest(bottom - qy, 0, qy - up), 12) AS d2 FROM wq JOIN nq ON wq.qid = nq.qid")
@@ -201,34 +266,54 @@ def point_query_z(spark, sf_dir):
 
 @query(PAIRS_P)
 def point_query_brin(spark, sf_dir):
-    rows = blocks.with_blocks(po(spark, sf_dir), ["z", "id"], PER_BLOCK)
-    return blocks.point_query_blocks(rows, blocks.block_ranges(rows), place_queries(spark, sf_dir))
+    return blocks.point_query_blocks(*_blocks_by_code(spark, sf_dir, "po"), place_queries(spark, sf_dir), UNIT, BITS)
 
 
-def _learned(points: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    meta = _leaves(points)
-    entries = learned.leaf_positions(cells.assign_leaves(points, meta, BITS))
-    probes = cells.assign_leaves(search.with_query_code(queries, UNIT, BITS), meta, BITS)
-    entries = _written(entries)
-    return entries, learned.with_bounds(entries, learned.linear_models(entries)), probes
+@query(PAIRS_P)
+def point_query_packed_tree(spark, sf_dir):
+    return blocks.point_query_blocks(*_packed(spark, sf_dir, "po"), place_queries(spark, sf_dir), UNIT, BITS)
+
+
+@query(PAIRS_P)
+def point_query_median_tree(spark, sf_dir):
+    """By the leaf that the splits give the query's place, as they gave it the rows."""
+    rows, _, splits = _split(spark, sf_dir, "po")
+    q = place_queries(spark, sf_dir).select("qid", F.col("qx").alias("x"), F.col("qy").alias("y"))
+    return rows.join(blocks.with_split_leaves(q, splits), ["blk", "x", "y"]).select("qid", "id")
+
+
+@query(PAIRS_P)
+def point_query_leaf(spark, sf_dir):
+    """By the adaptive cell of the query's place."""
+    q = cells.assign_leaves(search.with_query_code(place_queries(spark, sf_dir), UNIT, BITS), _meta(spark, sf_dir, "po"), BITS)
+    return _entries(spark, sf_dir, "po").join(q.select("qid", "leaf", F.col("qx").alias("x"), F.col("qy").alias("y")), ["leaf", "x", "y"]).select("qid", "id")
+
+
+@query(PAIRS_P)
+def point_query_asof_leaf(spark, sf_dir):
+    """The leaf is the one with the greatest first code that isn't above the query's."""
+    meta, q = _meta(spark, sf_dir, "po"), search.with_query_code(place_queries(spark, sf_dir), UNIT, BITS)
+    at = search.greatest_at_most(meta.select("value"), "value", q, "z").join(meta.select("leaf", F.col("value").alias("found")), "found")
+    return learned.learned_lookup(_entries(spark, sf_dir, "po"), _models(spark, sf_dir, "po"), at.select("qid", "qx", "qy", "z", "leaf")).select("qid", "id")
 
 
 @query(PAIRS_P)
 def point_query_learned(spark, sf_dir):
-    return learned.learned_lookup(*_learned(po(spark, sf_dir), place_queries(spark, sf_dir))).select("qid", "id")
+    probes = cells.assign_leaves(search.with_query_code(place_queries(spark, sf_dir), UNIT, BITS), _meta(spark, sf_dir, "po"), BITS)
+    return learned.learned_lookup(_entries(spark, sf_dir, "po"), _models(spark, sf_dir, "po"), probes).select("qid", "id")
 
 
 @query(PAIRS_P)
 def point_query_rmi(spark, sf_dir):
-    points = po(spark, sf_dir)
+    points = _points(spark, sf_dir, "po")
+    n = max(1, points.count() // 1000)
+    entries = _stored(spark, sf_dir, "po_routed", lambda: learned.leaf_positions(learned.routed(points, n)))
+    models = _stored(spark, sf_dir, "po_routed_models", lambda: learned.with_bounds(entries, learned.linear_models(entries)))
+    # the query takes the way its code took in the build: routing is monotone, so its leaf is the last that begins at its code or before
+    firsts = entries.groupBy("leaf").agg(F.min("z").alias("found"))
     q = search.with_query_code(place_queries(spark, sf_dir), UNIT, BITS)
-    both = points.select("z").agg(F.count("*")).first()[0]
-    n = max(1, both // 1000)
-    entries = learned.leaf_positions(learned.routed(points, n))
-    # the query takes the way its code took in the build: leaves are told apart by their first and last code
-    span = entries.groupBy("leaf").agg(F.min("z").alias("z_lo"), F.max("z").alias("z_hi"))
-    probes = q.join(span, q.z.between(F.col("z_lo"), F.col("z_hi"))).select("qid", "qx", "qy", "z", "leaf")
-    return learned.learned_lookup(entries, learned.with_bounds(entries, learned.linear_models(entries)), probes).select("qid", "id")
+    probes = search.greatest_at_most(firsts, "found", q, "z").join(firsts, "found").select("qid", "qx", "qy", "z", "leaf")
+    return learned.learned_lookup(entries, models, probes).select("qid", "id")
 
 
 @query(ONE_RANGE)
@@ -238,20 +323,34 @@ def range_query_scan(spark, sf_dir):
 
 @query(ONE_RANGE)
 def range_query_zbounds(spark, sf_dir):
-    return search.range_query_z(pe(spark, sf_dir), WINDOW, UNIT, BITS).select("id", "x", "y")
+    """The codes are stored and sorted, so their bounds reach the scan."""
+    return search.range_query_z(_points(spark, sf_dir, "pe"), WINDOW, UNIT, BITS).select("id", "x", "y")
 
 
 @query(PAIRS_R)
 def range_query_brin(spark, sf_dir):
-    rows = _blocked(spark, sf_dir, ["z", "id"])
-    return blocks.range_query_blocks(rows, blocks.block_ranges(rows), windows(spark, sf_dir))
+    return blocks.range_query_blocks(*_blocks_by_code(spark, sf_dir, "pe"), windows(spark, sf_dir), UNIT, BITS)
+
+
+@query(PAIRS_R)
+def range_query_packed_tree(spark, sf_dir):
+    return blocks.range_query_blocks(*_packed(spark, sf_dir, "pe"), windows(spark, sf_dir), UNIT, BITS)
+
+
+@query(PAIRS_R)
+def range_query_median_tree(spark, sf_dir):
+    return blocks.range_query_blocks(*_split(spark, sf_dir, "pe")[:2], windows(spark, sf_dir), UNIT, BITS)
+
+
+@query(f"WITH {PE} SELECT id FROM pe WHERE y BETWEEN 0.25::DOUBLE AND 0.55::DOUBLE AND x BETWEEN 0.15::DOUBLE AND 0.45::DOUBLE AND NOT ({IN_WINDOW})")
+def range_query_moved(spark, sf_dir):
+    """What a window that moves takes in anew."""
+    return search.new_in_window(_points(spark, sf_dir, "pe"), WINDOW, Region(0.25, 0.55, 0.15, 0.45)).select("id")
 
 
 @query(PAIRS_R)
 def range_query_leaves(spark, sf_dir):
-    points = pe(spark, sf_dir)
-    meta = _leaves(points)
-    return search.range_join_by_leaf(cells.assign_leaves(points, meta, BITS), meta, windows(spark, sf_dir), UNIT, BITS)
+    return search.range_join_by_leaf(_entries(spark, sf_dir, "pe"), _meta(spark, sf_dir, "pe"), windows(spark, sf_dir), UNIT, BITS)
 
 
 @query(PAIRS_R)
@@ -283,12 +382,50 @@ def window_cover_merged(spark, sf_dir):
 
 @query(PAIRS_K)
 def knn_join(spark, sf_dir):
-    points = pe(spark, sf_dir)
-    meta = _leaves(points)
-    out = search.knn_join(cells.assign_leaves(points, meta, BITS), meta, neighbours(spark, sf_dir), UNIT, BITS)
+    return _as_pairs(search.knn_join(_entries(spark, sf_dir, "pe"), _meta(spark, sf_dir, "pe"), neighbours(spark, sf_dir), UNIT, BITS))
+
+
+def _as_pairs(out: DataFrame) -> DataFrame:
     return out.select("qid", "id", F.round("d2", 12).alias("d2"), F.col("rank").cast("long").alias("rank"))
 
 
+@query(PAIRS_K)
+def knn_median_tree(spark, sf_dir):
+    """The search begins in the query's own leaf."""
+    rows, boxes, splits = _split(spark, sf_dir, "pe")
+    q = neighbours(spark, sf_dir)
+    seeds = q.select("qid", blocks.split_leaf(splits, F.col("qx"), F.col("qy")).alias("blk"))
+    return _as_pairs(blocks.knn_blocks(rows, boxes, seeds, q, UNIT, BITS))
+
+
+@query(PAIRS_K)
+def knn_packed_tree(spark, sf_dir):
+    """The search begins in the tile whose first code is the last at the query's own or before."""
+    rows, boxes = _packed(spark, sf_dir, "pe")
+    q = neighbours(spark, sf_dir)
+    seeds = blocks.code_seeds(boxes.join(rows.groupBy("blk").agg(F.min("z").alias("z_lo")), "blk"), q, UNIT, BITS)
+    return _as_pairs(blocks.knn_blocks(rows, boxes, seeds, q, UNIT, BITS))
+
+
+@query(PAIRS_K)
+def knn_brin(spark, sf_dir):
+    """Two phases: the block at the query's code bounds the second, over the blocks within the bound."""
+    rows, boxes = _blocks_by_code(spark, sf_dir, "pe")
+    q = neighbours(spark, sf_dir)
+    return _as_pairs(blocks.knn_blocks(rows, boxes, blocks.code_seeds(boxes, q, UNIT, BITS), q, UNIT, BITS))
+
+
+@query(PAIRS_K)
+def knn_code_neighbours(spark, sf_dir):
+    """The k points before and after the query in order of code bound the search."""
+    return _as_pairs(search.knn_by_code(_points(spark, sf_dir, "pe"), *_blocks_by_code(spark, sf_dir, "pe"), neighbours(spark, sf_dir), UNIT, BITS))
+
+
+@query(f"WITH {PE}, {NQ}, n AS (SELECT *, row_number() OVER (ORDER BY z, id) - 1 AS pos FROM pe), c AS (SELECT qid, k, {axis_sql('qx')} AS a, {axis_sql('qy')} AS b FROM nq), q AS (SELECT qid, k, {spread_sql('a', 'b')} AS qz FROM c), h AS (SELECT z, max(pos) + 1 AS s FROM n GROUP BY z), r AS (SELECT qid, k, coalesce(s, 0) AS place FROM q ASOF LEFT JOIN h ON q.qz >= h.z) SELECT qid, id FROM r JOIN n ON pos BETWEEN place - k AND place + k - 1")
+def code_neighbours(spark, sf_dir):
+    return search.z_neighbours(_points(spark, sf_dir, "pe"), neighbours(spark, sf_dir), UNIT, BITS).select("qid", "id")
+
+
 @query(f"WITH {PE} SELECT id, round((x - 0.3::DOUBLE) * (x - 0.3::DOUBLE) + (y - 0.6::DOUBLE) * (y - 0.6::DOUBLE), 12) AS d2 FROM pe ORDER BY (x - 0.3::DOUBLE) * (x - 0.3::DOUBLE) + (y - 0.6::DOUBLE) * (y - 0.6::DOUBLE), id LIMIT 64")
 def knn_scan(spark, sf_dir):
     return search.knn_scan(pe(spark, sf_dir), 0.3, 0.6, 64).select("id", F.round("d2", 12).alias("d2"))
@@ -299,7 +436,7 @@ def knn_scan(spark, sf_dir):
 
 @query(f"{_BRIN.format('z, id')} SELECT wq.qid, count(blk) AS blocks, count(blk) * 4 AS pages FROM wq LEFT JOIN br ON {_MEET} GROUP BY 1")
 def brin_io_cost(spark, sf_dir):
-    return blocks.io_cost(blocks.block_ranges(_blocked(spark, sf_dir, ["z", "id"])), windows(spark, sf_dir), 4)
+    return blocks.io_cost(_blocks_by_code(spark, sf_dir, "pe")[1], windows(spark, sf_dir), 4, UNIT, BITS)
 
 
 @query(f"WITH {PE}, {PYRAMID} SELECT depth, cell, n FROM leaf")
@@ -323,52 +460,62 @@ def rtree_packed_boxes(spark, sf_dir):
     return blocks.packed_boxes(pe(spark, sf_dir), 8, 8).withColumnsRenamed({"left": "lft", "right": "rgt"}).withColumn("tile", F.col("tile").cast("long"))
 
 
+@query(f"WITH {PE} SELECT count(*) AS n, 0::BIGINT AS outside, true AS balanced FROM pe")
+def median_tree(spark, sf_dir):
+    """Rows, those outside their leaf's box, and whether no leaf holds more than twice what it should."""
+    rows, boxes, _ = _split(spark, sf_dir, "pe")
+    at = rows.join(boxes.withColumnRenamed("n", "_n"), "blk")
+    return at.agg(F.count("*").alias("n"), F.count_if(~G.contains(G.Box.of(), F.col("x"), F.col("y"))).alias("outside"), (F.max("_n") <= 2 * LEAF_ROWS).alias("balanced"))
+
+
 _AT_LEAF = f"WITH {PE}, {PYRAMID}, e AS (SELECT pe.*, cell * 64 + depth AS leaf FROM pe JOIN leaf ON z >> (2 * ({BITS} - depth)) = cell), p AS (SELECT *, row_number() OVER (PARTITION BY leaf ORDER BY z, id) - 1 AS pos FROM e)"
 
 
 @query(f"{_AT_LEAF} SELECT id, leaf, pos FROM p")
 def leaf_positions(spark, sf_dir):
-    points = pe(spark, sf_dir)
-    return learned.leaf_positions(cells.assign_leaves(points, _leaves(points), BITS)).select("id", "leaf", F.col("pos").cast("long").alias("pos"))
+    return _entries(spark, sf_dir, "pe").select("id", "leaf", F.col("pos").cast("long").alias("pos"))
 
 
 @query(f"{_AT_LEAF} SELECT leaf, count(*) AS n, 0::BIGINT AS outside FROM p GROUP BY leaf")
 def learned_bounds_valid(spark, sf_dir):
-    points = pe(spark, sf_dir)
-    entries = _written(learned.leaf_positions(cells.assign_leaves(points, _leaves(points), BITS)))
-    return learned.violations(entries, learned.with_bounds(entries, learned.linear_models(entries)))
+    return learned.violations(_entries(spark, sf_dir, "pe"), _models(spark, sf_dir, "pe"))
 
 
 @query(f"{_AT_LEAF} SELECT leaf, count(*) AS n, 0::BIGINT AS outside FROM p GROUP BY leaf")
 def network_bounds_valid(spark, sf_dir):
-    points = pe(spark, sf_dir)
-    entries = _written(learned.leaf_positions(cells.assign_leaves(points, _leaves(points), BITS)))
+    entries = _entries(spark, sf_dir, "pe")
     models = _written(learned.network_models(entries, steps=60))
     return learned.violations(entries, learned.with_bounds(entries, models, learned.network_guess()), learned.network_guess())
 
 
 @query(f"{_AT_LEAF}, b AS (SELECT leaf, min(z) AS z0 FROM p GROUP BY leaf) SELECT leaf, count(*) AS n, round(coalesce(regr_slope(pos::DOUBLE, (z - z0)::DOUBLE), 0) * 1e6, 3) AS slope, round(coalesce(regr_intercept(pos::DOUBLE, (z - z0)::DOUBLE), avg(pos)), 3) AS intercept FROM p JOIN b USING (leaf) GROUP BY leaf")
 def leaf_regression(spark, sf_dir):
-    points = pe(spark, sf_dir)
-    m = learned.linear_models(learned.leaf_positions(cells.assign_leaves(points, _leaves(points), BITS)))
+    m = _models(spark, sf_dir, "pe")
     return m.select("leaf", "n", F.round(F.col("a") * 1e6, 3).alias("slope"), F.round("b", 3).alias("intercept"))
 
 
-@query()
+_MODEL = f"{_AT_LEAF}, b AS (SELECT leaf, min(z) AS z0 FROM p GROUP BY leaf), m AS (SELECT leaf, count(*) AS n, coalesce(regr_slope(pos::DOUBLE, (z - z0)::DOUBLE), 0) AS a, coalesce(regr_intercept(pos::DOUBLE, (z - z0)::DOUBLE), avg(pos)) AS c FROM p JOIN b USING (leaf) GROUP BY leaf), w AS (SELECT leaf, any_value(n) AS n, floor(min(a * (z - z0)::DOUBLE + c - pos) - 1e-6::DOUBLE)::BIGINT AS min_err, ceil(max(a * (z - z0)::DOUBLE + c - pos) + 1e-6::DOUBLE)::BIGINT AS max_err FROM p JOIN b USING (leaf) JOIN m USING (leaf) GROUP BY leaf)"
+
+
+@query(f"{_MODEL} SELECT leaf, n, min_err, max_err FROM w")
 def leaf_error_bounds(spark, sf_dir):
-    points = pe(spark, sf_dir)
-    entries = _written(learned.leaf_positions(cells.assign_leaves(points, _leaves(points), BITS)))
-    return learned.with_bounds(entries, learned.linear_models(entries)).select("leaf", "n", "min_err", "max_err")
+    return _models(spark, sf_dir, "pe").select("leaf", "n", "min_err", "max_err")
 
 
-@query()
+@query(f"{_MODEL} SELECT leaf, n, max_err - min_err + 1 AS slots, ceil((max_err - min_err + 1) / 146.0::DOUBLE)::BIGINT AS pages, ceil((max_err - min_err) * 0.5::DOUBLE)::BIGINT AS gaps FROM w")
 def lookup_pages(spark, sf_dir):
-    points = pe(spark, sf_dir)
-    entries = _written(learned.leaf_positions(cells.assign_leaves(points, _leaves(points), BITS)))
-    models = _written(learned.with_bounds(entries, learned.linear_models(entries)))
+    models = _models(spark, sf_dir, "pe")
     return learned.lookup_pages(models).join(updates.gap_sizes(models, 0.5), "leaf")
 
 
+@query(f"{_MODEL} SELECT round(avg(max_err - min_err), 6) AS mean_error, round(sum(ceil((max_err - min_err + 1) / 146.0::DOUBLE) * n) / sum(n), 6) AS pages FROM w")
+def model_costs(spark, sf_dir):
+    """The mean error interval, and the pages that a lookup is expected to read."""
+    models = _models(spark, sf_dir, "pe")
+    both = metrics.mean_error(models).join(F.broadcast(metrics.expected_lookup_pages(models)))  # one row each
+    return both.select(F.round("mean_error", 6).alias("mean_error"), F.round("pages", 6).alias("pages"))
+
+
 @query(f"WITH {PE}, {PYRAMID}, v AS (SELECT cell << (2 * ({BITS} - depth)) AS value FROM leaf) SELECT id, max(value) AS found FROM pe LEFT JOIN v ON value <= z GROUP BY id")
 def asof_leaf(spark, sf_dir):
     points = pe(spark, sf_dir)
@@ -396,9 +543,12 @@ def index_size(spark, sf_dir):
     return metrics.index_size(points, _leaves(points), 64)
 
 
-@query()
+_LEAF_CELLS = f"lc AS (SELECT n, {compact_sql('cell', DEEPEST)} << ({BITS} - depth) AS cx, {compact_sql('(cell >> 1)', DEEPEST)} << ({BITS} - depth) AS cy, 1::BIGINT << ({BITS} - depth) AS side FROM leaf)"
+
+
+@query(f"WITH {PE}, {WQ}, {PYRAMID}, {_LEAF_CELLS}, a AS (SELECT qid, {axis_sql('lft')} AS x0, {axis_sql('rgt')} AS x1, {axis_sql('bottom')} AS y0, {axis_sql('up')} AS y1 FROM wq) SELECT qid, count(*) AS leaves, sum(ceil(n / 146.0::DOUBLE)::BIGINT)::BIGINT AS pages FROM a JOIN lc ON x0 < cx + side AND x1 >= cx AND y0 < cy + side AND y1 >= cy GROUP BY qid")
 def leaf_io_cost(spark, sf_dir):
-    return metrics.leaf_pages(cells.leaves_met(_leaves(pe(spark, sf_dir)), windows(spark, sf_dir), UNIT, BITS))
+    return metrics.leaf_pages(cells.leaves_met(_meta(spark, sf_dir, "pe"), windows(spark, sf_dir), UNIT, BITS))
 
 
 # -- inserts and deletes ---------------------------------------------------------------------------
@@ -447,15 +597,50 @@ def delete_points(spark, sf_dir):
 @query(PAIRS_P)
 def point_query_predicted_bucket(spark, sf_dir):
     """Main rows and inserted ones, of which only the probe's bucket of each leaf is searched; buckets by the history's distribution."""
-    points, q = po(spark, sf_dir), search.with_query_code(place_queries(spark, sf_dir), UNIT, BITS)
+    at, meta, delta, cdf = _timed(spark, sf_dir, "po")
+    q = cells.assign_leaves(search.with_query_code(place_queries(spark, sf_dir), UNIT, BITS), meta, BITS).withColumn("time_id", F.lit(0).cast("long"))
+    return updates.point_query_with_delta(at, delta, updates.with_buckets(q, meta, cdf, WIDTH))
+
+
+def _timed(spark, sf_dir, name: str):
+    """(main rows at their leaves, leaf table, delta with leaf and bucket, forecast): half of the points, the others inserted by the forecast of their leaf, here its own distribution."""
+    points = _points(spark, sf_dir, name)
     main, delta = points.where("id % 2 = 0"), points.where("id % 2 = 1")
-    meta = _written(cells.leaf_meta(cells.all_leaves(main, LEAF_ROWS, BITS, DEEPEST), UNIT, BITS))
+    meta = _stored(spark, sf_dir, f"{name}_half_leaves", lambda: cells.leaf_meta(cells.all_leaves(main, LEAF_ROWS, BITS, DEEPEST), UNIT, BITS))
     at = cells.assign_leaves(main, meta, BITS)
     spans = meta.select("leaf", "value", (F.col("value") + F.col("value_diff")).alias("end"))
-    cdf = series.cdf_series(at.join(spans, "leaf").withColumn("time_id", F.lit(0).cast("long")), "leaf", "value", "end", WIDTH).withColumn("max_key", F.greatest(F.col("n") - 1, F.lit(0)))
-    cdf = _written(cdf)
-    placed = lambda df: updates.with_buckets(cells.assign_leaves(df, meta, BITS).withColumn("time_id", F.lit(0).cast("long")), meta, cdf, WIDTH)
-    return updates.point_query_with_delta(at, placed(delta), placed(q))
+    cdf = _stored(spark, sf_dir, f"{name}_half_cdf", lambda: series.cdf_series(at.join(spans, "leaf").withColumn("time_id", F.lit(0).cast("long")), "leaf", "value", "end", WIDTH).withColumn("max_key", F.greatest(F.col("n") - 1, F.lit(0))))
+    placed = _stored(spark, sf_dir, f"{name}_half_delta", lambda: updates.with_buckets(cells.assign_leaves(delta, meta, BITS).withColumn("time_id", F.lit(0).cast("long")), meta, cdf, WIDTH))
+    return at, meta, placed, cdf
+
+
+@query(PAIRS_R)
+def range_query_predicted_buckets(spark, sf_dir):
+    """Main rows by leaf, and of the inserted ones the buckets of each leaf between those of the window's first and last code there."""
+    at, meta, delta, cdf = _timed(spark, sf_dir, "pe")
+    w = windows(spark, sf_dir)
+    return search.range_join_by_leaf(at, meta, w, UNIT, BITS).unionByName(updates.range_query_buckets(delta, meta, cdf, w, UNIT, BITS, WIDTH))
+
+
+@query(PAIRS_K)
+def knn_main_and_delta(spark, sf_dir):
+    """Bounded by the main rows' counts; rows not merged yet lie at the main table's leaves."""
+    at, meta, delta, _ = _timed(spark, sf_dir, "pe")
+    return _as_pairs(search.knn_join(updates.inserted(at.select("leaf", "id", "x", "y"), delta), meta, neighbours(spark, sf_dir), UNIT, BITS))
+
+
+@query(f"WITH {PE} SELECT id, (z >> {2 * BITS - 6}) AS cell, 0::BIGINT AS outside FROM pe")
+def timed_merges(spark, sf_dir):
+    """Ten days at a time are inserted and merged, models refitted where they got worse: the rows of the last version, and how many lie outside their model's bounds."""
+    points = _points(spark, sf_dir, "pe")
+    days = [points.where(F.col("t").between(START + 10 * k * DAY, START + 10 * (k + 1) * DAY - 1)) for k in range(3)]
+    rest = points.where((F.col("t") < START) | (F.col("t") >= START + 30 * DAY))
+    meta = _written(cells.leaf_meta(cells.all_leaves(days[0], LEAF_ROWS, BITS, DEEPEST), UNIT, BITS))
+    version = updates.first_version(updates.inserted(days[0], rest), meta, BITS)
+    for delta in days[1:]:
+        version = updates.merged_version(version, delta, meta, BITS, 1.5)
+    entries, models = version
+    return entries.join(learned.violations(entries, models).select("leaf", "outside"), "leaf").select("id", F.shiftright("z", 2 * BITS - 6).alias("cell"), "outside")
 
 
 # -- time ------------------------------------------------------------------------------------------
@@ -588,12 +773,18 @@ def prep_up_to(spark, sf_dir):
     return prep.up_to(pe(spark, sf_dir), CUT).select("id", "t")
 
 
-@query()
+def _mixed(v: str, seed: str) -> str:
+    h = f"(((({v}) % 2147483648) * 1103515245 + ({seed}) * 1013904223) % 4294967296)"
+    h = f"((xor({h}, {h} >> 16) * 668265263) % 4294967296)"
+    return f"xor({h}, {h} >> 15)"
+
+
+@query(f"WITH {PE} SELECT id AS qid, x AS qx, y AS qy FROM pe ORDER BY {_mixed('id', '1')}, id LIMIT 1000")
 def prep_point_queries(spark, sf_dir):
     return prep.point_queries(pe(spark, sf_dir), 1000)
 
 
-@query()
+@query(f"WITH {PE}, r AS (SELECT id, x, y, k, row_number() OVER (PARTITION BY k ORDER BY {_mixed('id', 'k::BIGINT')}, id) AS n FROM pe, (VALUES (4), (8), (16), (32), (64)) v(k)) SELECT id AS qid, x AS qx, y AS qy, k FROM r WHERE n <= 200")
 def prep_knn_queries(spark, sf_dir):
     return prep.knn_queries(pe(spark, sf_dir), [4, 8, 16, 32, 64], 200)
 
@@ -610,7 +801,7 @@ def prep_generators(spark, sf_dir):
     return both.agg(F.count("*").cast("int").alias("n"), F.count_if(~F.col("x").between(0, 1) | ~F.col("y").between(0, 1)).cast("int").alias("outside"))
 
 
-@query()
+@query(f"WITH {PE}, n AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS key FROM pe), d AS (SELECT draw, floor({_mixed('draw', '1')} / 4294967296.0::DOUBLE * (SELECT count(*) FROM pe))::BIGINT AS key FROM range(0, 1000) r(draw)) SELECT draw, id, x, y FROM d JOIN n USING (key)")
 def prep_sample(spark, sf_dir):
     keyed = prep.with_keys(pe(spark, sf_dir), ["id"])
     return prep.sample_with_replacement(keyed, "key", 1000).select("draw", "id", "x", "y")

@@ -1,7 +1,7 @@
 """Timed inserts as a stream: points arrive, and each closed interval is merged into a new version.
 
-A micro-batch appends its rows, with their code and interval, to the delta under its batch number, so a batch
-that is run again replaces its own rows. Then each interval before the latest one seen is closed: counts and
+A micro-batch appends its rows, with their code, to the delta under its batch number and their interval, so a batch
+that is run again replaces its own rows, and what intervals there are is known from the folders' names. Then each interval before the latest one seen is closed: counts and
 distributions by leaf are taken and written as version time_id. Late rows are never dropped: they join the
 delta, and the version of their interval is written again.
 """
@@ -31,8 +31,14 @@ class TimedIndex:
         path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
 
-    def delta(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/delta").drop("batch")
+    def delta(self, batch: int | None = None) -> DataFrame:
+        """All rows taken so far, or one batch's; time_id is a folder's name, so a filter on it reads those folders alone."""
+        where = f"{self.folder}/delta" if batch is None else f"{self.folder}/delta/batch={batch}"
+        return self.spark.read.schema("id long, x double, y double, t long, z long, time_id long").option("basePath", f"{self.folder}/delta").parquet(where).drop("batch")
+
+    def _intervals(self, rows: DataFrame) -> set[int]:
+        """The intervals of rows kept by interval: one number each."""
+        return {r[0] for r in rows.select("time_id").distinct().collect()}
 
     def closed(self) -> DataFrame:
         """(leaf, n, cdf, time_id) of all closed intervals."""
@@ -41,18 +47,15 @@ class TimedIndex:
     def insert(self, points: DataFrame, batch: int) -> None:
         """Take one micro-batch of (id, x, y, t)."""
         rows = prep.coded(points, self.region, self.bits).withColumn("time_id", series.time_id(F.col("t"), self.start, self.interval))
-        rows.write.mode("overwrite").parquet(f"{self.folder}/delta/batch={batch}")
-        touched = self.spark.read.parquet(f"{self.folder}/delta/batch={batch}").select("time_id").distinct()
-        latest = self.delta().agg(F.max("time_id")).first()[0]
-        if latest is None:
-            return
-        done = self.closed().select("time_id").distinct() if self._exists("series") else None
-        every = self.delta().select("time_id").distinct().where(F.col("time_id") < latest)
-        due = every if done is None else every.join(done, "time_id", "left_anti").unionByName(touched.where(F.col("time_id") < latest)).distinct()
-        self._close(due)
+        rows.select("id", "x", "y", "t", "z", "time_id").write.mode("overwrite").partitionBy("time_id").parquet(f"{self.folder}/delta/batch={batch}")
+        every = self._intervals(self.delta())
+        done = self._intervals(self.closed()) if self._exists("series") else set()
+        self._close({t for t in (every - done) | self._intervals(self.delta(batch)) if t < max(every)})
 
-    def _close(self, due: DataFrame) -> None:
-        rows = self.delta().join(due, "time_id", "left_semi")
+    def _close(self, due: set[int]) -> None:
+        if not due:
+            return
+        rows = self.delta().where(F.col("time_id").isin(*due))
         at = cells.assign_leaves(rows, self.meta, self.bits).join(self.meta.select("leaf", "value", (F.col("value") + F.col("value_diff")).alias("end")), "leaf")
         out = series.cdf_series(at, "leaf", "value", "end", self.width)
         out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("time_id").parquet(f"{self.folder}/series")
@@ -71,7 +74,7 @@ class TimedIndex:
 
     def finish(self) -> None:
         """Close the latest interval too."""
-        self._close(self.delta().agg(F.max("time_id").alias("time_id")))
+        self._close({max(self._intervals(self.delta()), default=None)} - {None})
 
 
 def run_stream(source: DataFrame, index: TimedIndex, checkpoint: str) -> StreamingQuery:

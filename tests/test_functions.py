@@ -10,30 +10,33 @@ from pyspark.sql import functions as F
 
 from terrazzo.functions import geometry as G
 from terrazzo.functions import zorder as Z
-from terrazzo.functions.region import NYC, UNIT, Region
+from terrazzo.functions.region import UNIT, Region
 from terrazzo.operators import learned, series
 
 
+CITY = Region(45.41, 45.67, 9.05, 9.34)
+
+
 def bits_of(x, y, bits):
     return sum(((x >> i) & 1) << 2 * i | ((y >> i) & 1) << (2 * i + 1) for i in range(bits))
 
 
 def test_bits_and_depth():
-    assert NYC.bits(6) == 22 and UNIT.bits(8) == 30 and NYC.max_depth(6) == 18 and UNIT.max_depth(8) == 27
+    assert CITY.bits(6) == 22 and UNIT.bits(8) == 30 and CITY.max_depth(6) == 18 and UNIT.max_depth(8) == 27
     assert [q.left for q in UNIT.quarters()] == [0, 0.5, 0, 0.5] and [q.bottom for q in UNIT.quarters()] == [0, 0, 0.5, 0.5]
     assert UNIT.shrunk(3).right == pytest.approx(0.9999) and UNIT.grown(3).up == pytest.approx(1.0001)
 
 
 def test_codes(spark):
     rng = np.random.default_rng(3)
-    pts = [(float(x), float(y)) for x, y in zip(rng.uniform(NYC.left, NYC.right, 300), rng.uniform(NYC.bottom, NYC.up, 300), strict=True)]
-    pts += [(NYC.left, NYC.bottom), (NYC.right, NYC.up)]
+    pts = [(float(x), float(y)) for x, y in zip(rng.uniform(CITY.left, CITY.right, 300), rng.uniform(CITY.bottom, CITY.up, 300), strict=True)]
+    pts += [(CITY.left, CITY.bottom), (CITY.right, CITY.up)]
     df = spark.createDataFrame(pts, "x double, y double")
     b, n = 22, 1 << 22
-    dx, dy = Z.decode(Z.encode(F.col("x"), F.col("y"), NYC, b), NYC, b, 6)
-    out = df.select("x", "y", Z.encode(F.col("x"), F.col("y"), NYC, b).alias("z"), Z.encode(F.col("x"), F.col("y"), NYC, b, True).alias("t"), dx.alias("dx"), dy.alias("dy")).collect()
+    dx, dy = Z.decode(Z.encode(F.col("x"), F.col("y"), CITY, b), CITY, b, 6)
+    out = df.select("x", "y", Z.encode(F.col("x"), F.col("y"), CITY, b).alias("z"), Z.encode(F.col("x"), F.col("y"), CITY, b, True).alias("t"), dx.alias("dx"), dy.alias("dy")).collect()
     for r in out:
-        sx, sy = (r.x - NYC.left) * n / NYC.width, (r.y - NYC.bottom) * n / NYC.height
+        sx, sy = (r.x - CITY.left) * n / CITY.width, (r.y - CITY.bottom) * n / CITY.height
         clamp = lambda v: max(0, min(n - 1, int(v)))
         assert r.z == bits_of(clamp(round(sx)), clamp(round(sy)), b) and r.t == bits_of(clamp(math.floor(sx)), clamp(math.floor(sy)), b)
         assert abs(r.dx - r.x) < 1e-6 and abs(r.dy - r.y) < 1e-6
@@ -80,6 +83,28 @@ def test_geometry(spark, cases):
         assert r[3] == (p[0] <= py <= p[1] and p[2] <= px <= p[3]) and r[4] == (p[0] <= py < p[1] and p[2] <= px < p[3])
 
 
+def test_small_functions(spark):
+    one = spark.range(1)
+    value = lambda c: one.select(c).first()[0]
+    v = F.lit(0.5)
+    assert value(learned.sigmoid(v)) == pytest.approx(1 / (1 + math.exp(-0.5))) and value(learned.elu(F.lit(-0.5))) == pytest.approx(math.exp(-0.5) - 1) and value(learned.elu(v)) == 0.5
+    assert value(G.same_integer_part(F.lit(1.2), F.lit(-0.5), F.lit(1.9), F.lit(0.5))) and not value(G.same_integer_part(F.lit(1.2), F.lit(0.5), F.lit(2.0), F.lit(0.5)))
+    box = G.Box.region(Region(0.0, 1.0, 0.0, 1.0))
+    assert value(G.within(box, F.lit(4.0), F.lit(5.0), F.lit(5.0))) and not value(G.within(box, F.lit(4.0), F.lit(5.0), F.lit(4.9)))
+    assert value(Z.first_of(F.lit(3).cast("long"), 4, 2)) == 48
+    for x, y in ((0.0, 0.0), (1.0, 1.0), (0.3, 0.7)):
+        assert Z.code_of(x, y, UNIT, 20) == value(Z.encode(F.lit(x), F.lit(y), UNIT, 20))
+
+
+def test_warm_started_networks_are_no_worse(spark):
+    rows = spark.range(300).select((F.col("id") % 2).alias("leaf"), (F.col("id") * F.col("id")).alias("z"), F.expr("id div 2").alias("pos"))
+    first = learned.network_models(rows, steps=40).checkpoint()
+    again = learned.network_models(rows, steps=40, warm=first)
+    width = lambda m: {r.leaf: r.max_err - r.min_err for r in learned.with_bounds(rows, m, learned.network_guess()).collect()}
+    a, b = width(first), width(again)
+    assert set(a) == set(b) == {0, 1} and sum(b.values()) <= 1.5 * sum(a.values())
+
+
 def test_low_line_quirk(spark):
     df = spark.createDataFrame([(9.0, 0.2), (0.1, 7.0), (0.2, 0.3), (0.4, 0.3)], "x double, y double")
     b = G.Box.region(Region(0.2, 0.5, 0.1, 0.4))
@@ -87,9 +112,9 @@ def test_low_line_quirk(spark):
 
 
 def test_corrected_cdf(spark):
-    df = spark.createDataFrame([([0.1, 0.0, 0.1, 0.7, 0.6, 1.0, 0.9],), ([0.3, 0.3],)], "c array<double>")
+    df = spark.createDataFrame([([0.2, 0.05, 0.25, 0.85, 0.65, 1.05, 0.95],), ([0.3, 0.3],)], "c array<double>")
     got = [r[0] for r in df.select(series.corrected_cdf(F.col("c"))).collect()]
-    assert got[0] == pytest.approx([0.0, 0.0, 0.1, 0.7, 0.7, 1.0, 1.0]) and got[1] == [0.3, 0.3]
+    assert got[0] == pytest.approx([0.0, 0.0, 0.2, 0.8, 0.8, 1.0, 1.0]) and got[1] == [0.3, 0.3]
 
 
 def test_right_closed_groups(spark):

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terrazzo.functions.region import UNIT, Region
-from terrazzo.operators import blocks, cells, prep, search, series, updates
+from terrazzo.operators import blocks, cells, learned, prep, search, series, updates
 from terrazzo.plans import catalogue
 from terrazzo.plans.fixtures import BITS
 from terrazzo.sources import points as src
@@ -14,7 +14,14 @@ from terrazzo.streaming import updates as stream
 SF = "/root/testdata/sf0.001"
 TABLES = ("customer", "supplier", "orders", "events")
 #: A sample of the catalogue, one per kind; the whole of it is compared at the larger scale by the driver.
-NAMES = ("z_encode", "z_neighbours", "geohash_base32", "region_contains", "point_query_brin", "point_query_learned", "range_query_leaves", "range_query_cells", "window_cover_merged", "knn_join", "quadtree_leaves_with_empty", "leaf_table", "asof_leaf", "nearest_key", "delta_blocks", "delete_points", "cdf_forward_fill", "predicted_bucket", "streaming_update", "prep_keys")
+NAMES = (
+    "z_encode", "z_neighbours", "geohash_base32", "region_contains", "point_query_brin", "point_query_learned", "range_query_leaves", "range_query_cells",
+    "window_cover_merged", "knn_join", "quadtree_leaves_with_empty", "leaf_table", "asof_leaf", "nearest_key", "delta_blocks", "delete_points",
+    "cdf_forward_fill", "predicted_bucket", "streaming_update", "prep_keys", "rect_relation", "point_query_packed_tree", "point_query_median_tree", "point_query_asof_leaf",
+    "point_query_rmi", "range_query_zbounds", "range_query_packed_tree", "range_query_median_tree", "range_query_predicted_buckets", "range_query_moved", "knn_median_tree", "knn_packed_tree",
+    "knn_brin", "knn_code_neighbours", "knn_main_and_delta", "code_neighbours", "median_tree", "timed_merges", "leaf_error_bounds", "leaf_io_cost",
+    "prep_knn_queries", "prep_sample",
+)
 
 
 @pytest.fixture(scope="module")
@@ -56,7 +63,7 @@ def test_range_paths(spark, points):
     assert got(search.range_join(points, w, UNIT, BITS)) == want
     assert got(search.range_join_by_leaf(cells.assign_leaves(points, meta, BITS), meta, w, UNIT, BITS)) == want
     by = blocks.with_blocks(points, ["z", "id"], 50)
-    assert got(blocks.range_query_blocks(by, blocks.block_ranges(by), w)) == want
+    assert got(blocks.range_query_blocks(by, blocks.block_ranges(by), w, UNIT, BITS)) == want
     one = Region(0.2, 0.5, 0.1, 0.4)
     assert search.range_query_z(points, one, UNIT, BITS).count() == search.range_query(points, one).count() == sum(q == 0 for q, _ in want)
 
@@ -68,6 +75,30 @@ def test_bounds_reach_the_scan(spark, points, tmp_path):
     assert "IsNotNull(x), GreaterThanOrEqual(z" in pushed and "t:bigint" not in pushed
 
 
+def test_registered_range_query_pushes_its_bounds(spark):
+    plan = catalogue.QUERIES["range_query_zbounds"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(z" in plan[plan.index("PushedFilters") :]
+
+
+def test_no_nested_loops(spark):
+    """Blocks grow with the table, so they meet windows and probes by keys."""
+    for name in ("range_query_brin", "point_query_brin", "brin_io_cost", "rect_relation", "point_query_rmi", "range_query_packed_tree"):
+        plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan, name
+
+
+def test_merges_touch_only_the_leaves_that_take_rows(spark, points):
+    meta = cells.leaf_meta(cells.all_leaves(points, 40, BITS, 6), UNIT, BITS).checkpoint()
+    first = updates.first_version(points.where("id % 3 != 0"), meta, BITS)
+    delta = points.where("id % 3 = 0 and x < 0.4")
+    entries, models = updates.merged_version(first, delta, meta, BITS, 1.5)
+    assert entries.count() == points.where("id % 3 != 0").count() + delta.count()
+    assert learned.violations(entries, models).agg(F.sum("outside")).first()[0] == 0
+    touched = {r.leaf for r in cells.assign_leaves(delta, meta, BITS).select("leaf").distinct().collect()}
+    old, new = ({r.leaf: r for r in m.collect()} for m in (first[1], models))
+    assert all(new[k] == old[k] for k in old if k not in touched) and any(new[k] != old[k] for k in old if k in touched)
+
+
 def test_leaves_partition_the_rows(points):
     meta = cells.leaf_meta(cells.all_leaves(points, 40, BITS, 6), UNIT, BITS).collect()
     assert sum(m.n for m in meta) == points.count() and all(m.n <= 40 or m.depth == 6 for m in meta)
