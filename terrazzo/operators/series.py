@@ -180,7 +180,6 @@ FORECASTERS: dict[str, Callable[[np.ndarray, int, int], np.ndarray]] = {
     "es": holt_winters,
     "sarima": seasonal_ar,
     "var": vector_ar,
-    "varma": vector_ar,
     "gru": recurrent,
     "rnn": lambda y, lag, steps: recurrent(y, lag, steps, gated=False),
     "lstm": lambda y, lag, steps: recurrent(y, lag, steps, hidden=32, cell=True),
