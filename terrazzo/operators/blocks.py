@@ -15,6 +15,7 @@ from ..functions import geometry as G
 from ..functions import zorder as Z
 from ..functions.region import Region
 from . import cells
+from .order import numbered
 
 PAGE_ITEMS = 204  # items of 20 bytes on a page of 4096
 #: Points that median splits are taken from, and levels of splits at most.
@@ -25,19 +26,6 @@ def box_of(prefix: str = "", x: str = "x", y: str = "y") -> list[Column]:
     return [F.min(y).alias(prefix + "bottom"), F.max(y).alias(prefix + "up"), F.min(x).alias(prefix + "left"), F.max(x).alias(prefix + "right")]
 
 
-def numbered(rows: DataFrame, order: list[str], first: int = 0, name: str = "pos") -> DataFrame:
-    """`rows` with their place in `order`, from `first`, without sorting all in one task: places within ranges of the
-    first order column, plus the sizes of the ranges before."""
-    from .search import value_range
-
-    part = rows.withColumn("_part", value_range(rows, order[0]))
-    sizes = part.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    at = F.row_number().over(W.partitionBy("_part").orderBy(*order)) - 1
-    out = part.withColumn("_at", at).join(F.broadcast(before), "_part")  # before has a row for each range
-    return out.select(*rows.columns, (F.col("_at") + F.col("_before") + first).alias(name))
-
-
 def with_blocks(rows: DataFrame, order: list[str], per_block: int) -> DataFrame:
     """`rows` with `blk`: runs of per_block rows in `order`."""
     return numbered(rows, order, name="_pos").withColumn("blk", F.expr(f"_pos div {per_block}")).drop("_pos")

@@ -9,17 +9,18 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .order import numbered, numbered_within
+
 MODEL_ROWS = 4096  # rows of a leaf that a network is fitted to, evenly spaced
 SLACK = 1e-6
 PAGE_ITEMS = 146  # items of 28 bytes on a page of 4096
 
 
 def leaf_positions(rows: DataFrame) -> DataFrame:
-    """`rows` (leaf, z, id, ...) with `pos`, the place in the leaf in order of z, id, from 0."""
-    return rows.withColumn("pos", F.row_number().over(W.partitionBy("leaf").orderBy("z", "id")) - 1)
+    """`rows` (leaf, z, id, ...) with `pos`, the place in the leaf in order of z, id, from 0. A leaf may be of any size."""
+    return numbered_within(rows, "leaf", ["z", "id"])
 
 
 def routed(rows: DataFrame, leaves: int) -> DataFrame:
@@ -27,8 +28,6 @@ def routed(rows: DataFrame, leaves: int) -> DataFrame:
 
     The first stage is least squares on rank, which needs no global sort: ranks come from value ranges.
     """
-    from .blocks import numbered
-
     ranked = numbered(rows, ["z", "id"], name="_rank")
     m = ranked.agg(F.regr_slope(F.col("_rank").cast("double"), F.col("z").cast("double")).alias("a"), F.regr_intercept(F.col("_rank").cast("double"), F.col("z").cast("double")).alias("b"), F.count("*").alias("n")).first()
     return with_leaf(rows, (m.a or 0.0, m.b or 0.0, m.n), leaves)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import zorder as Z
 from ..functions.region import Region
-from .blocks import numbered
+from .order import numbered
 
 
 def in_region(points: DataFrame, region: Region) -> DataFrame:

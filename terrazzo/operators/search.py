@@ -15,6 +15,7 @@ from ..functions import geometry as G
 from ..functions import zorder as Z
 from ..functions.region import Region
 from . import cells
+from .order import before_range, laid_out, numbered, up_to_here
 
 
 def point_query(points: DataFrame, queries: DataFrame) -> DataFrame:
@@ -104,8 +105,6 @@ def z_neighbours(points: DataFrame, queries: DataFrame, region: Region, bits: in
     Places are numbered once; a query's own place is the number of codes up to its own, and its
     neighbours are an equi-join on places.
     """
-    from .blocks import numbered
-
     q = with_query_code(queries, region, bits)
     rank = count_at_most(points, "z", q, "z").withColumnRenamed("n", "_n")
     places = q.join(rank, "z").select("qid", "qx", "qy", "k", F.explode(F.sequence(F.col("_n") - F.col("k"), F.col("_n") + F.col("k") - 1)).alias("pos"))
@@ -129,29 +128,19 @@ def new_in_window(points: DataFrame, old: Region, new: Region) -> DataFrame:
     return points.where(G.contains(G.Box.region(new), x, y) & ~G.contains(G.Box.region(old), x, y))
 
 
-def value_range(rows: DataFrame, value: str) -> Column:
-    """The number of a value's range, by quantiles of `rows` found once; an expression over constants, so the
-    same in each branch of a plan."""
-    n = min(64, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    quantiles = F.percentile_approx(value, F.array(*[F.lit(i / n) for i in range(1, n)]), 1000) if n > 1 else F.lit(None)
-    bounds = sorted(set(rows.agg(quantiles.alias("q")).first().q or []))
-    return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(value))) if bounds else F.lit(0)
-
-
 def greatest_at_most(keys: DataFrame, key: str, probes: DataFrame, probe: str) -> DataFrame:
     """For each probe row the greatest `key` not above it (null if there is none), as column `found`.
 
     Both sides are laid out in ranges of the value once; within a range the last key seen answers, and
-    the ranges' last keys, one row for each range, answer for the starts.
+    the ranges' last keys, one row for each range, answer for the starts. Of equal ones keys lie before probes.
     """
     extra = probes.withColumn("_row", F.struct(*probes.columns)).select(F.col(probe).alias("_v"), F.lit(1).alias("_kind"), "_row")
     both = keys.select(F.col(key).alias("_v"), F.lit(0).alias("_kind")).unionByName(extra, allowMissingColumns=True)
-    both = both.withColumn("_part", value_range(both, "_v"))
-    mine = W.partitionBy("_part").orderBy("_v", "_kind").rowsBetween(W.unboundedPreceding, 0)
+    both = laid_out(both, ["_v", "_kind"])
     own = F.when(F.col("_kind") == 0, F.col("_v"))
     tops = both.groupBy("_part").agg(F.max(own).alias("_top"))
-    before = tops.withColumn("_before", F.max("_top").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1))).select("_part", "_before")
-    out = both.withColumn("_last", F.last(own, ignorenulls=True).over(mine)).join(F.broadcast(before), "_part")
+    before = tops.withColumn("_before", F.max("_top").over(before_range())).select("_part", "_before")
+    out = both.withColumn("_last", F.last(own, ignorenulls=True).over(up_to_here())).join(F.broadcast(before), "_part")
     return out.where("_kind = 1").select("_row.*", F.coalesce("_last", "_before").alias("found"))
 
 
@@ -159,11 +148,10 @@ def count_at_most(values: DataFrame, value: str, probes: DataFrame, probe: str)
     """(probe, n): how many values are not above each distinct probe; running sums over distinct values."""
     hist = values.groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
     both = hist.select("_v", "_n", F.lit(0).alias("_kind")).unionByName(probes.select(F.col(probe).alias("_v"), F.lit(0).cast("long").alias("_n"), F.lit(1).alias("_kind")).distinct())
-    both = both.withColumn("_part", value_range(both, "_v"))
+    both = laid_out(both, ["_v", "_kind"])
     sums = both.groupBy("_part").agg(F.sum("_n").alias("_s"))
-    before = sums.select("_part", F.coalesce(F.sum("_s").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    mine = W.partitionBy("_part").orderBy("_v", "_kind").rowsBetween(W.unboundedPreceding, 0)
-    out = both.withColumn("_run", F.sum("_n").over(mine)).join(F.broadcast(before), "_part")
+    before = sums.select("_part", F.coalesce(F.sum("_s").over(before_range()), F.lit(0)).alias("_before"))
+    out = both.withColumn("_run", F.sum("_n").over(up_to_here())).join(F.broadcast(before), "_part")
     return out.where("_kind = 1").select(F.col("_v").alias(probe), (F.col("_run") + F.col("_before")).alias("n"))
 
 

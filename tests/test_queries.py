@@ -1,11 +1,13 @@
 """Each registered query against its SQL, and access paths against brute force."""
 
+import bisect
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from terrazzo.functions.region import UNIT, Region
-from terrazzo.operators import blocks, cells, learned, prep, search, series, updates
+from terrazzo.operators import blocks, cells, learned, order, prep, search, series, updates
 from terrazzo.plans import catalogue
 from terrazzo.plans.fixtures import BITS
 from terrazzo.sources import points as src
@@ -184,3 +186,38 @@ def test_sources(spark, tmp_path):
 def test_delta_blocks_and_gaps(spark, points):
     d = {r.blk: r for r in updates.delta_blocks(points, ["t", "id"], 100, 3).collect()}
     assert d[0].sealed and d[0].outdated and not d[max(d)].sealed and d[max(d)].bottom is None
+
+
+@pytest.fixture
+def all_ranges(spark):
+    """Small ranges aren't joined."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")
+    yield
+    spark.conf.unset(name)
+
+
+def test_places_split_hot_values_and_groups(spark, all_ranges):
+    """One value and one group hold most rows: their ranges are split, and places are those of a plain sort."""
+    rows = [(i, 0 if i % 10 else i % 7, 5 if i % 8 else i % 3) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, leaf long, z long").repartition(3)
+    laid = order.laid_out(df, ["leaf", "z", "id"])
+    assert laid.where("leaf = 0").select("_part").distinct().count() > 1
+    by_z = {r[0]: i for i, r in enumerate(sorted(rows, key=lambda r: (r[2], r[0])))}
+    assert {r.id: r.pos for r in order.numbered(df, ["z", "id"], 10).collect()} == {i: p + 10 for i, p in by_z.items()}
+    groups = {}
+    for r in sorted(rows, key=lambda r: (r[1], r[2], r[0])):
+        groups.setdefault(r[1], []).append(r[0])
+    assert {r.id: r.pos for r in learned.leaf_positions(df).collect()} == {i: p for g in groups.values() for p, i in enumerate(g)}
+    assert order.numbered(df.limit(0), ["z"]).count() == learned.leaf_positions(df.limit(0)).count() == 0
+
+
+def test_lookups_of_hot_keys(spark, all_ranges):
+    """Ties between keys and probes that are spread over many ranges."""
+    keys = spark.range(2000).selectExpr("CASE WHEN id % 4 = 0 THEN id ELSE 900 END AS k")
+    probes = spark.range(2000).selectExpr("id AS row", "CASE WHEN id % 2 = 0 THEN 900 ELSE id END AS v")
+    have = sorted(r.k for r in keys.collect())
+    at = lambda v: bisect.bisect_right(have, v)
+    for r in search.greatest_at_most(keys, "k", probes, "v").collect():
+        assert r.found == (have[at(r.v) - 1] if at(r.v) else None)
+    assert all(r.n == at(r.v) for r in search.count_at_most(keys, "k", probes, "v").collect())
