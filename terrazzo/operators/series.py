@@ -139,6 +139,55 @@ def vector_ar(y: np.ndarray, lag: int, steps: int) -> np.ndarray:
     return _autoregression(y, list(range(1, lag + 1)), steps, 1e-2) if len(y) > lag + 1 else repeat_last(y, lag, steps)
 
 
+def vector_arma(y: np.ndarray, lag: int, steps: int) -> np.ndarray:
+    """Two steps back and two shocks back, in two regressions: the shocks are what a longer autoregression leaves. Shocks to come are zero."""
+    if len(y) <= lag + 6:
+        return repeat_last(y, lag, steps)
+    x, t = _lagged(y, list(range(1, lag + 1)))
+    shock = np.zeros_like(y)
+    shock[lag:] = t - x @ np.linalg.solve(x.T @ x + 1e-2 * np.eye(x.shape[1]), x.T @ t)
+    both = lambda v, e: np.concatenate([[1.0], v[-1], v[-2], e[-1], e[-2]])
+    rows = np.array([both(y[i - 2 : i], shock[i - 2 : i]) for i in range(lag + 2, len(y))])
+    coef = np.linalg.solve(rows.T @ rows + 1e-2 * np.eye(rows.shape[1]), rows.T @ y[lag + 2 :])
+    hist, left = list(y), list(shock)
+    for _ in range(steps):
+        hist.append(both(hist, left) @ coef)
+        left.append(np.zeros(y.shape[1]))
+    return np.array(hist[len(y) :])
+
+
+def convolved(y: np.ndarray, lag: int, steps: int, channels: int = 6, reach: int = 1, seed: int = 5) -> np.ndarray:
+    """An LSTM whose gates are convolutions along the columns, `reach` to each side: neighbouring steps of a cdf share
+    one set of random kernels, and one trained read-out gives each column from the states around it."""
+    if len(y) <= lag + 2:
+        return repeat_last(y, lag, steps)
+    rng = np.random.default_rng(seed)
+    low, span = y.min(axis=0), np.where(y.max(axis=0) > y.min(axis=0), y.max(axis=0) - y.min(axis=0), 1.0)
+    u, wide = (y - low) / span, y.shape[1]
+    size = (2 * reach + 1) * (channels + 1)
+    kernels = rng.normal(0, 1 / np.sqrt(size), (size, 4 * channels))
+
+    def around(m: np.ndarray) -> np.ndarray:
+        """(column, what lies at it and at `reach` columns to each side); the outermost ones are repeated."""
+        padded = np.pad(m, ((reach, reach), (0, 0)), mode="edge")
+        return np.hstack([padded[k : k + wide] for k in range(2 * reach + 1)])
+
+    def state(window: np.ndarray) -> np.ndarray:
+        h = c = np.zeros((wide, channels))
+        for r in window:
+            i, f, o, new = np.split(around(np.hstack([r[:, None], h])) @ kernels, 4, axis=1)
+            c = c / (1 + np.exp(-f - 1)) + np.tanh(new) / (1 + np.exp(-i))
+            h = np.tanh(c) / (1 + np.exp(-o))
+        return np.hstack([np.ones((wide, 1)), around(h), window.T])
+
+    x = np.concatenate([state(u[i : i + lag]) for i in range(len(u) - lag)])
+    out = np.linalg.solve(x.T @ x + 1e-2 * np.eye(x.shape[1]), x.T @ u[lag:].ravel())
+    hist = list(u)
+    for _ in range(steps):
+        hist.append(state(np.array(hist[-lag:])) @ out)
+    return np.array(hist[len(u) :]) * span + low
+
+
 def recurrent(y: np.ndarray, lag: int, steps: int, hidden: int = 24, gated: bool = True, epochs: int = 60, seed: int = 3, cell: bool = False) -> np.ndarray:
     """A recurrent network (gated, plain, or with an LSTM's cell state and its three gates) over windows of `lag` rows: random recurrent weights, a trained read-out. Rolled ahead step by step."""
     if len(y) <= lag + 2:
@@ -183,6 +232,8 @@ FORECASTERS: dict[str, Callable[[np.ndarray, int, int], np.ndarray]] = {
     "gru": recurrent,
     "rnn": lambda y, lag, steps: recurrent(y, lag, steps, gated=False),
     "lstm": lambda y, lag, steps: recurrent(y, lag, steps, hidden=32, cell=True),
+    "varma": vector_arma,
+    "convlstm": convolved,
 }
 
 
@@ -224,11 +275,40 @@ def forecast_error(predicted: DataFrame, actual: DataFrame, key: str) -> DataFra
     return both.groupBy(key).agg(F.avg(each).alias("cdf_mae"), F.avg(F.abs(F.col("max_key") - F.col("_pk"))).alias("max_key_mae"))
 
 
-def search_forecasters(series: DataFrame, actual: DataFrame, key: str, lag: int, steps: int, names: list[str]) -> DataFrame:
-    """(name, cdf_mae, max_key_mae) of each forecaster over all keys, best first."""
-    out = None
-    for n in names:
-        e = forecast_error(forecast(series, key, lag, steps, n, n), actual, key)
-        e = e.agg(F.avg("cdf_mae").alias("cdf_mae"), F.avg("max_key_mae").alias("max_key_mae")).select(F.lit(n).alias("name"), "cdf_mae", "max_key_mae")
-        out = e if out is None else out.unionByName(e)
-    return out.orderBy("cdf_mae", "name")
+def search_forecasters(series: DataFrame, actual: DataFrame, key: str, steps: int, grid: list[tuple[str, int]]) -> DataFrame:
+    """(name, lag, cdf_mae, max_key_mae) of each (forecaster, lag) of the grid over all keys, best first. One pass: a task
+    fits one key's series with one entry of the grid."""
+    kind = series.schema[key].dataType.simpleString()
+    entries = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(lag).alias("lag")) for n, lag in grid])
+    rows = series.select(key, "time_id", "cdf", "max_key", F.explode(entries).alias("_e")).select(key, "time_id", "cdf", "max_key", "_e.*")
+
+    def ahead(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("time_id")
+        name, lag = g.name.iloc[0], int(g.lag.iloc[0])
+        by = FORECASTERS["last" if len(g) <= lag + steps else name]
+        out = pd.DataFrame({key: [g[key].iloc[0]] * steps, "name": name, "lag": lag, "time_id": int(g.time_id.iloc[-1]) + 1 + np.arange(steps)})
+        out["cdf"] = list(by(np.vstack(g.cdf.to_list()).astype(float), lag, steps))
+        out["max_key"] = by(g.max_key.to_numpy(float)[:, None], lag, steps)[:, 0]
+        return out
+
+    found = rows.groupBy(key, "name", "lag").applyInPandas(ahead, f"{key} {kind}, name string, lag int, time_id long, cdf array<double>, max_key double")
+    found = found.select("name", "lag", key, "time_id", corrected_cdf(F.col("cdf")).alias("_p"), corrected_max_key(F.col("max_key")).alias("_pk"))
+    each = F.aggregate(F.zip_with("cdf", "_p", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, v: s + v) / F.size("cdf")
+    errors = actual.join(found, [key, "time_id"]).groupBy("name", "lag", key).agg(F.avg(each).alias("c"), F.avg(F.abs(F.col("max_key") - F.col("_pk"))).alias("k"))
+    return errors.groupBy("name", "lag").agg(F.avg("c").alias("cdf_mae"), F.avg("k").alias("max_key_mae")).orderBy("cdf_mae", "name", "lag")
+
+
+def due_for_refit(errors: DataFrame, before: DataFrame, key: str, factor: float) -> DataFrame:
+    """Keys of `errors` (as forecast_error() gives them) whose cdf or count error is beyond `factor` times what it was, or that had none."""
+    b = before.select(key, F.col("cdf_mae").alias("_c"), F.col("max_key_mae").alias("_k"))
+    worse = F.col("_c").isNull() | (F.col("cdf_mae") > F.col("_c") * factor) | (F.col("max_key_mae") > F.col("_k") * factor)
+    return errors.join(b, key, "left").where(worse).select(key)
+
+
+def next_horizon(series: DataFrame, used: DataFrame, due: DataFrame, key: str, lag: int, steps: int, cdf_model: str = "var", count_model: str = "es") -> DataFrame:
+    """(key, time_id, cdf, max_key) for the intervals after `used`, the forecasts that time has consumed: keys of `due`
+    are fitted to their whole series, the others' forecasts go on unchanged, one horizon later."""
+    due = due.select(key).distinct()
+    again = forecast(series.join(due, key, "left_semi"), key, lag, steps, cdf_model, count_model)
+    kept = used.join(due, key, "left_anti").select(key, (F.col("time_id") + steps).alias("time_id"), "cdf", "max_key")
+    return kept.unionByName(again)

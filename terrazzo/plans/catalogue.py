@@ -724,7 +724,38 @@ def forecast_mae_repeat_last(spark, sf_dir):
 @query()
 def forecaster_ranking(spark, sf_dir):
     past, actual = _history(spark, sf_dir)
-    return series.search_forecasters(past, actual, "cell", 7, 3, ["last", "es", "var", "sarima", "gru"])
+    return series.search_forecasters(past, actual, "cell", 3, [("last", 7), ("es", 7), ("var", 3), ("var", 7), ("varma", 7), ("sarima", 7), ("gru", 7), ("lstm", 7), ("convlstm", 7)])
+
+
+def _repeat_error(last: int) -> str:
+    """SQL: (cell, k, c), the errors of the three intervals after `last` against it."""
+    return f"(SELECT a.cell, avg(abs(a.mk - b.mk)) AS k, avg(list_sum(list_transform(list_zip(a.cdf, p.cdf), lambda v: abs(v[1] - v[2]))) / {WIDTH}) AS c FROM m a JOIN m b ON a.cell = b.cell AND b.time_id = {last} JOIN fixed p ON a.cell = p.cell AND p.time_id = {last} WHERE a.time_id BETWEEN {last + 1} AND {last + 3} GROUP BY a.cell)"
+
+
+_FILLED = f"{_CDF}, f AS (SELECT cell, time_id, i FROM (SELECT DISTINCT cell FROM k), range(0, {DAYS}) r(time_id), range(0, {WIDTH}) q(i)), j AS (SELECT f.cell, f.time_id, f.i, coalesce(n, 0) AS n, last_value(cdf IGNORE NULLS) OVER (PARTITION BY f.cell, f.i ORDER BY f.time_id) AS cdf FROM f LEFT JOIN c USING (cell, time_id, i)), m AS (SELECT cell, time_id, greatest(any_value(n) - 1, 0) AS mk, list(cdf ORDER BY i) AS cdf FROM j WHERE cdf IS NOT NULL GROUP BY ALL), fixed AS (SELECT cell, time_id, CASE WHEN list_min(cdf) = list_max(cdf) THEN cdf ELSE list_transform(cdf, lambda v: (v - list_min(cdf)) / (list_max(cdf) - list_min(cdf))) END AS cdf FROM m)"
+
+
+@query(f"{_FILLED} SELECT a.cell FROM {_repeat_error(DAYS - 4)} a LEFT JOIN {_repeat_error(DAYS - 7)} b USING (cell) WHERE b.k IS NULL OR a.c > b.c * 1.1::DOUBLE OR a.k > b.k * 1.1::DOUBLE")
+def forecasts_due(spark, sf_dir):
+    """Cells whose forecast over the last three days was worse than over the three before by more than a tenth."""
+    past, actual = _history(spark, sf_dir)
+    return series.due_for_refit(*_two_errors(past, actual), "cell", 1.1)
+
+
+def _two_errors(past: DataFrame, actual: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(errors over the last three days, over the three before) of repeating the last interval."""
+    older, newer = past.where(F.col("time_id") < DAYS - 6), past.where(F.col("time_id") >= DAYS - 6)
+    error = lambda s, a: series.forecast_error(series.forecast(s, "cell", 7, 3, "last", "last"), a, "cell")
+    return error(past, actual), error(older, newer)
+
+
+@query()
+def forecast_next_horizon(spark, sf_dir):
+    """After three days are over: cells whose error grew are fitted anew, others' forecasts go on."""
+    past, actual = _history(spark, sf_dir)
+    used = series.forecast(past, "cell", 7, 3)
+    f = series.next_horizon(past.unionByName(actual), used, series.due_for_refit(*_two_errors(past, actual), "cell", 1.1), "cell", 7, 3)
+    return f.select("cell", "time_id", "max_key", F.posexplode("cdf").alias("i", "cdf"))
 
 
 @query(f"{_KEYED} SELECT time_id, count(*) AS n FROM k GROUP BY 1")

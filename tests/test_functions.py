@@ -126,7 +126,7 @@ def test_forecasters_follow_a_season():
     t = np.arange(70)
     y = (10 + 0.1 * t + 5 * np.sin(2 * np.pi * t / 7))[:, None]
     want = (10 + 0.1 * (70 + np.arange(3)) + 5 * np.sin(2 * np.pi * (70 + np.arange(3)) / 7))[:, None]
-    for name in ("es", "sarima", "var", "gru", "rnn"):
+    for name in ("es", "sarima", "var", "gru", "rnn", "convlstm"):
         assert np.abs(series.FORECASTERS[name](y, 7, 3) - want).max() < 1.5, name
     for f in series.FORECASTERS.values():
         assert f(y[:5], 7, 3).shape == (3, 1)
@@ -155,3 +155,12 @@ def test_lstm_has_a_cell_of_its_own():
     want = (np.sin(np.arange(80, 83) * 2 * np.pi / 7) * 10 + 20)[:, None]
     got = series.FORECASTERS["lstm"](y, 7, 3)
     assert np.abs(got - want).max() < 1.5 and not np.array_equal(got, series.recurrent(y, 7, 3, hidden=32))
+
+
+def test_shocks_help_where_they_linger():
+    rng = np.random.default_rng(0)
+    e, y = rng.normal(size=(400, 2)), np.zeros((400, 2))
+    for i in range(2, 400):
+        y[i] = 0.5 * y[i - 1] + e[i] + 0.6 * e[i - 1]
+    error = lambda name: np.mean([np.abs(series.FORECASTERS[name](y[:k], 7, 1) - y[k]).mean() for k in range(200, 399, 3)])
+    assert error("varma") < 0.9 * error("last") and error("varma") < 1.02 * error("var")

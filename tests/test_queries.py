@@ -22,7 +22,7 @@ NAMES = (
     "cdf_forward_fill", "predicted_bucket", "streaming_update", "prep_keys", "rect_relation", "point_query_packed_tree", "point_query_median_tree", "point_query_asof_leaf",
     "point_query_rmi", "range_query_zbounds", "range_query_packed_tree", "range_query_median_tree", "range_query_predicted_buckets", "range_query_moved", "knn_median_tree", "knn_packed_tree",
     "knn_brin", "knn_code_neighbours", "knn_main_and_delta", "code_neighbours", "median_tree", "timed_merges", "leaf_error_bounds", "leaf_io_cost",
-    "prep_knn_queries", "prep_sample",
+    "prep_knn_queries", "prep_sample", "forecasts_due",
 )
 
 
@@ -221,3 +221,21 @@ def test_lookups_of_hot_keys(spark, all_ranges):
     for r in search.greatest_at_most(keys, "k", probes, "v").collect():
         assert r.found == (have[at(r.v) - 1] if at(r.v) else None)
     assert all(r.n == at(r.v) for r in search.count_at_most(keys, "k", probes, "v").collect())
+
+
+def test_next_horizon_fits_only_keys_that_are_due(spark):
+    past = spark.createDataFrame([(k, t, [0.0, 0.5, 1.0], 10 * k + t) for k in (1, 2) for t in range(20)], "cell long, time_id long, cdf array<double>, max_key long")
+    used = spark.createDataFrame([(k, t, [0.0, 0.1, 1.0], 77) for k in (1, 2) for t in (17, 18, 19)], past.schema)
+    due = spark.createDataFrame([(2,)], "cell long")
+    got = {(r.cell, r.time_id): (r.cdf, r.max_key) for r in series.next_horizon(past, used, due, "cell", 4, 3, "last", "last").collect()}
+    assert got == {(k, t): ([0.0, 0.1, 1.0], 77) if k == 1 else ([0.0, 0.5, 1.0], 39) for k in (1, 2) for t in (20, 21, 22)}
+    old = spark.createDataFrame([(1, 0.1, 2.0), (2, 0.1, 2.0)], "cell long, cdf_mae double, max_key_mae double")
+    new = spark.createDataFrame([(1, 0.1, 2.1), (2, 0.1, 2.5), (3, 0.0, 0.0)], old.schema)
+    assert {r.cell for r in series.due_for_refit(new, old, "cell", 1.1).collect()} == {2, 3}
+
+
+def test_grid_is_ranked(spark):
+    rows = [(k, t, [0.0, 0.5, 1.0], 10 + 5 * (t % 4)) for k in (1, 2) for t in range(43)]
+    df = spark.createDataFrame(rows, "cell long, time_id long, cdf array<double>, max_key long")
+    got = series.search_forecasters(df.where("time_id < 40"), df.where("time_id >= 40"), "cell", 3, [("last", 4), ("es", 4), ("es", 3)]).collect()
+    assert {(r.name, r.lag) for r in got} == {("last", 4), ("es", 4), ("es", 3)} and {(r.name, r.lag): r.max_key_mae for r in got}["es", 4] < 1
