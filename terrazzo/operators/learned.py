@@ -9,11 +9,13 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .order import numbered, numbered_within
 
 MODEL_ROWS = 4096  # rows of a leaf that a network is fitted to, evenly spaced
+MOST_NODES = 1 << 14  # of an inner stage of a recursive index
 SLACK = 1e-6
 PAGE_ITEMS = 146  # items of 28 bytes on a page of 4096
 
@@ -39,6 +41,55 @@ def with_leaf(rows: DataFrame, stage: tuple[float, float, int], leaves: int) ->
     return rows.withColumn("leaf", F.greatest(F.lit(0).cast("long"), F.least(place, F.lit(leaves - 1).cast("long"))))
 
 
+def _in_stage(place: Column, nodes: int) -> Column:
+    return F.greatest(F.lit(0).cast("long"), F.least(F.floor(place).cast("long"), F.lit(nodes - 1).cast("long")))
+
+
+def stage_models(rows: DataFrame, stages: list[int]) -> tuple[list[DataFrame], int]:
+    """Models of a recursive index with stages[i] nodes at stage i (stages[0] is 1), and the rows' number.
+
+    Each inner stage is a table (leaf, z0, a, b): lines of the rows' overall places by code, for the rows that the stage
+    before sends to a node. A node without rows has the line of the one before it, or, at the start, after it. Inner
+    stages have MOST_NODES nodes at most, which makes them small enough to broadcast; the last one is bound by nothing.
+    """
+    if stages[0] != 1 or max(stages[:-1]) > MOST_NODES:
+        raise ValueError(f"the first stage has one node, inner ones {MOST_NODES} at most")
+    ranked = numbered(rows, ["z", "id"], name="_rank").checkpoint()
+    n = ranked.count()
+    models: list[DataFrame] = []
+    for i, nodes in enumerate(stages[:-1]):
+        at = sent_through(ranked, models, stages[: i + 1], n)
+        base = at.groupBy("leaf").agg(F.min("z").alias("z0"))
+        near = at.join(F.broadcast(base), "leaf").withColumn("_u", (F.col("z") - F.col("z0")).cast("double"))  # base: a row for each node
+        y = F.col("_rank").cast("double")
+        fit = near.groupBy("leaf", "z0").agg(F.regr_slope(y, F.col("_u")).alias("a"), F.regr_intercept(y, F.col("_u")).alias("b"), F.avg(y).alias("_m"))
+        fit = fit.select("leaf", F.struct("z0", F.coalesce("a", F.lit(0.0)).alias("a"), F.coalesce("b", "_m").alias("b")).alias("_line"))
+        every = rows.sparkSession.range(nodes).withColumnRenamed("id", "leaf").join(fit, "leaf", "left")
+        by = W.orderBy("leaf")  # over a stage's nodes
+        line = F.coalesce(F.last("_line", ignorenulls=True).over(by.rowsBetween(W.unboundedPreceding, 0)), F.first("_line", ignorenulls=True).over(by.rowsBetween(0, W.unboundedFollowing)))
+        models.append(every.withColumn("_line", line).select("leaf", "_line.*").checkpoint())
+    return models, n
+
+
+def sent_through(rows: DataFrame, models: list[DataFrame], stages: list[int], n: int) -> DataFrame:
+    """`rows` (z, ...) with `leaf`, the node of the last of `stages` that the models of those before send their codes to. Rows and probes with one code take one way."""
+    at = rows.withColumn("leaf", F.lit(0).cast("long"))
+    for m, nodes in zip(models, stages[1:]):
+        guess = F.col("a") * (F.col("z") - F.col("z0")).cast("double") + F.col("b")
+        at = at.join(F.broadcast(m), "leaf").select(*rows.columns, _in_stage(guess * F.lit(nodes / max(1, n)), nodes).alias("leaf"))
+    return at
+
+
+def with_edges(entries: DataFrame) -> DataFrame:
+    """(leaf, z, pos) to fit models to: a leaf's rows, and one beyond each end, the last code before the leaf at -1 and the
+    first code after it at its size. Fits that take them in meet their neighbours' instead of bending away at the borders."""
+    ends = entries.groupBy("leaf").agg(F.min("z").alias("_lo"), F.max("z").alias("_hi"), F.count("*").alias("_n"))
+    at = numbered(ends, ["_lo", "leaf"], name="_i")
+    before = at.select("leaf", "_i").join(at.select((F.col("_i") + 1).alias("_i"), F.col("_hi").alias("z")), "_i").select("leaf", "z", F.lit(-1).cast("long").alias("pos"))
+    after = at.select("leaf", "_i", "_n").join(at.select((F.col("_i") - 1).alias("_i"), F.col("_lo").alias("z")), "_i").select("leaf", "z", F.col("_n").alias("pos"))
+    return entries.select("leaf", "z", "pos").unionByName(before).unionByName(after)
+
+
 def linear_models(entries: DataFrame) -> DataFrame:
     """(leaf, n, z0, a, b) by least squares of pos on z - z0; z0 is the leaf's first code."""
     base = entries.groupBy("leaf").agg(F.min("z").alias("z0"))

@@ -14,6 +14,7 @@ from ..functions import geometry as G
 from ..functions import zorder as Z
 from ..functions.region import UNIT, Region
 from ..operators import blocks, cells, learned, metrics, prep, search, series, updates
+from ..sources import sql as sql_functions
 from ..sources.session import prepared, shared_folder
 from ..streaming import updates as stream
 from .fixtures import BITS, DAY, NQ, PE, PO, PQ, SIDE, START, WQ, axis_sql, compact_sql, neighbours, pe, place_queries, po, spread_sql, windows
@@ -316,6 +317,18 @@ def point_query_rmi(spark, sf_dir):
     return learned.learned_lookup(entries, models, probes).select("qid", "id")
 
 
+@query(PAIRS_P)
+def point_query_staged(spark, sf_dir):
+    """Three stages of models: rows and probes with one code take one way to one leaf."""
+    points = _points(spark, sf_dir, "po")
+    stages = [1, 8, max(8, points.count() // 1000)]
+    models, n = learned.stage_models(points, stages)
+    entries = _written(learned.leaf_positions(learned.sent_through(points, models, stages, n)))
+    q = search.with_query_code(place_queries(spark, sf_dir), UNIT, BITS)
+    probes = learned.sent_through(q, models, stages, n).select("qid", "qx", "qy", "z", "leaf")
+    return learned.learned_lookup(entries, _written(learned.with_bounds(entries, learned.linear_models(entries))), probes).select("qid", "id")
+
+
 @query(ONE_RANGE)
 def range_query_scan(spark, sf_dir):
     return search.range_query(pe(spark, sf_dir), WINDOW).select("id", "x", "y")
@@ -431,6 +444,29 @@ def knn_scan(spark, sf_dir):
     return search.knn_scan(pe(spark, sf_dir), 0.3, 0.6, 64).select("id", F.round("d2", 12).alias("d2"))
 
 
+# -- from SQL --------------------------------------------------------------------------------------
+
+
+def _sql(spark, sf_dir, name: str, text: str) -> DataFrame:
+    sql_functions.register(spark, "places", _points(spark, sf_dir, name), UNIT, BITS, k=64)
+    return spark.sql(text)
+
+
+@query(ONE_RANGE)
+def sql_range_function(spark, sf_dir):
+    return _sql(spark, sf_dir, "pe", "SELECT id, x, y FROM places_range(0.2, 0.5, 0.1, 0.4)")
+
+
+@query(f"WITH {PO} SELECT id, x, y FROM po WHERE x = 0.1::DOUBLE AND y = 0.5::DOUBLE")
+def sql_place_function(spark, sf_dir):
+    return _sql(spark, sf_dir, "po", "SELECT id, x, y FROM places_at(0.1, 0.5)")
+
+
+@query(f"WITH {PE} SELECT id, round((x - 0.3::DOUBLE) * (x - 0.3::DOUBLE) + (y - 0.6::DOUBLE) * (y - 0.6::DOUBLE), 12) AS d2 FROM pe ORDER BY (x - 0.3::DOUBLE) * (x - 0.3::DOUBLE) + (y - 0.6::DOUBLE) * (y - 0.6::DOUBLE), id LIMIT 64")
+def sql_nearest_function(spark, sf_dir):
+    return _sql(spark, sf_dir, "pe", "SELECT id, round(d2, 12) AS d2 FROM places_nearest(0.3, 0.6)")
+
+
 # -- index tables ----------------------------------------------------------------------------------
 
 
@@ -488,6 +524,13 @@ def network_bounds_valid(spark, sf_dir):
     return learned.violations(entries, learned.with_bounds(entries, models, learned.network_guess()), learned.network_guess())
 
 
+@query(f"{_AT_LEAF} SELECT leaf, count(*) AS n, 0::BIGINT AS outside FROM p GROUP BY leaf")
+def edge_models_valid(spark, sf_dir):
+    """Models fitted to each leaf's rows and its neighbours' nearest codes."""
+    entries = _entries(spark, sf_dir, "pe")
+    return learned.violations(entries, _written(learned.with_bounds(entries, learned.linear_models(learned.with_edges(entries)))))
+
+
 @query(f"{_AT_LEAF}, b AS (SELECT leaf, min(z) AS z0 FROM p GROUP BY leaf) SELECT leaf, count(*) AS n, round(coalesce(regr_slope(pos::DOUBLE, (z - z0)::DOUBLE), 0) * 1e6, 3) AS slope, round(coalesce(regr_intercept(pos::DOUBLE, (z - z0)::DOUBLE), avg(pos)), 3) AS intercept FROM p JOIN b USING (leaf) GROUP BY leaf")
 def leaf_regression(spark, sf_dir):
     m = _models(spark, sf_dir, "pe")

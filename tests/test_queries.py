@@ -11,6 +11,7 @@ from terrazzo.operators import blocks, cells, learned, order, prep, search, seri
 from terrazzo.plans import catalogue
 from terrazzo.plans.fixtures import BITS
 from terrazzo.sources import points as src
+from terrazzo.sources import sql
 from terrazzo.streaming import updates as stream
 
 SF = "/root/testdata/sf0.001"
@@ -22,7 +23,7 @@ NAMES = (
     "cdf_forward_fill", "predicted_bucket", "streaming_update", "prep_keys", "rect_relation", "point_query_packed_tree", "point_query_median_tree", "point_query_asof_leaf",
     "point_query_rmi", "range_query_zbounds", "range_query_packed_tree", "range_query_median_tree", "range_query_predicted_buckets", "range_query_moved", "knn_median_tree", "knn_packed_tree",
     "knn_brin", "knn_code_neighbours", "knn_main_and_delta", "code_neighbours", "median_tree", "timed_merges", "leaf_error_bounds", "leaf_io_cost",
-    "prep_knn_queries", "prep_sample", "forecasts_due",
+    "prep_knn_queries", "prep_sample", "forecasts_due", "point_query_staged", "edge_models_valid", "sql_range_function", "sql_nearest_function",
 )
 
 
@@ -239,3 +240,29 @@ def test_grid_is_ranked(spark):
     df = spark.createDataFrame(rows, "cell long, time_id long, cdf array<double>, max_key long")
     got = series.search_forecasters(df.where("time_id < 40"), df.where("time_id >= 40"), "cell", 3, [("last", 4), ("es", 4), ("es", 3)]).collect()
     assert {(r.name, r.lag) for r in got} == {("last", 4), ("es", 4), ("es", 3)} and {(r.name, r.lag): r.max_key_mae for r in got}["es", 4] < 1
+
+
+def test_sql_functions(spark, points):
+    sql.register(spark, "spots", points, UNIT, BITS, k=3)
+    assert spark.sql("SELECT count_if(spots_code(x, y) = z) AS n FROM spots").first().n == points.count()
+    assert spark.sql("SELECT * FROM spots_at(0.25, 0.75)").count() == points.where("x = 0.25 AND y = 0.75").count() >= 60
+    assert [r.id for r in spark.sql("SELECT * FROM spots_nearest(1.0, 1.0)").collect()][0] == 901 and spark.sql("SELECT * FROM spots_nearest(1.0, NULL)").count() == 0
+    assert spark.sql("SELECT spots_code(NULL, 0.5) AS c").first().c is None and spark.sql("SELECT * FROM spots_range(0.0, 1.0, NULL, 1.0)").count() == 0
+    with pytest.raises(ValueError):
+        sql.register(spark, "no name", points, UNIT, BITS)
+
+
+def test_stages_send_all_rows_and_have_no_gaps(spark, points):
+    stages = [1, 16, 40]
+    models, n = learned.stage_models(points, stages)
+    assert n == points.count() and [m.count() for m in models] == stages[:-1] and all(m.where("a IS NULL OR b IS NULL").isEmpty() for m in models)
+    sent = learned.sent_through(points, models, stages, n)
+    assert sent.count() == n and sent.where("leaf NOT BETWEEN 0 AND 39").isEmpty() and sent.select("leaf").distinct().count() > 5
+    with pytest.raises(ValueError):
+        learned.stage_models(points, [2, 4])
+
+
+def test_edges_are_the_neighbours_codes(spark):
+    rows = spark.createDataFrame([(5, 10, 0), (5, 20, 1), (7, 30, 0), (9, 41, 0), (9, 43, 1)], "leaf long, z long, pos long")
+    extra = learned.with_edges(rows).exceptAll(rows)
+    assert sorted(map(tuple, extra.collect())) == [(5, 30, 2), (7, 20, -1), (7, 41, 1), (9, 30, -1)]
