@@ -36,6 +36,13 @@ def block_ranges(rows: DataFrame) -> DataFrame:
     return rows.groupBy("blk").agg(F.count("*").alias("n"), *box_of())
 
 
+def rolled_up(ranges: DataFrame, factors: list[int]) -> DataFrame:
+    """(factor, blk, n, bottom, up, left, right): block_ranges() of blocks `factor` times as long, from those of the short ones, for all factors at once."""
+    each = ranges.withColumn("factor", F.explode(F.array(*[F.lit(f).cast("long") for f in factors])))
+    longer = each.withColumn("blk", F.expr("blk div factor")).groupBy("factor", "blk")
+    return longer.agg(F.sum("n").alias("n"), F.min("bottom").alias("bottom"), F.max("up").alias("up"), F.min("left").alias("left"), F.max("right").alias("right"))
+
+
 def _ancestors(last: Column) -> Column:
     """The cells above (depth, cell), from the whole region to depth `last`."""
     return F.explode(F.transform(F.sequence(F.lit(0), last), lambda d: F.struct(d.alias("depth"), F.call_function("shiftright", F.col("cell"), (2 * (F.col("depth") - d)).cast("int")).alias("cell"))))

@@ -32,6 +32,15 @@ def leaves(points: DataFrame, most: int, bits: int, deepest: int) -> DataFrame:
     return small.where("depth = 0").unionByName(small.join(parents, ["depth", "cell"], "left_semi"))
 
 
+def leaf_counts(points: DataFrame, sizes: list[int], bits: int, deepest: int) -> DataFrame:
+    """(most, leaves, depth): how many leaves that hold points each of `sizes` would give, and the deepest of them. The points are counted once."""
+    every = pyramid(points, bits, deepest).withColumn("most", F.explode(F.array(*[F.lit(m).cast("long") for m in sizes])))
+    parent = every.where(F.col("n") > F.col("most")).select("most", (F.col("depth") + 1).alias("depth"), F.col("cell").alias("_up"))
+    small = every.where((F.col("n") <= F.col("most")) | (F.col("depth") == deepest)).withColumn("_up", F.shiftright("cell", 2))
+    found = small.where("depth = 0").unionByName(small.join(parent, ["most", "depth", "_up"], "left_semi").select(*small.columns))
+    return found.groupBy("most").agg(F.count("*").alias("leaves"), F.max("depth").cast("long").alias("depth"))
+
+
 def all_leaves(points: DataFrame, most: int, bits: int, deepest: int) -> DataFrame:
     """leaves() with the empty ones, n 0: the children of a split cell that hold no point."""
     every = pyramid(points, bits, deepest)

@@ -594,6 +594,24 @@ def leaf_io_cost(spark, sf_dir):
     return metrics.leaf_pages(cells.leaves_met(_meta(spark, sf_dir, "pe"), windows(spark, sf_dir), UNIT, BITS))
 
 
+_SIZES = (100, 200, 400, 800, 1600)
+
+
+@query(f"WITH {PE}, {WQ}, o AS (SELECT *, row_number() OVER (ORDER BY z, id) - 1 AS p FROM pe), br AS (SELECT s.per_block::BIGINT AS per_block, p // s.per_block AS blk, min(y) AS b_bottom, max(y) AS b_up, min(x) AS b_left, max(x) AS b_right FROM o, (VALUES {', '.join(f'({s})' for s in _SIZES)}) s(per_block) GROUP BY ALL), nb AS (SELECT per_block, count(*) AS blocks FROM br GROUP BY 1), m AS (SELECT per_block, count(*) AS met FROM wq JOIN br ON {_MEET} GROUP BY 1) SELECT per_block, blocks, coalesce(met, 0) AS met FROM nb LEFT JOIN m USING (per_block)")
+def block_size_grid(spark, sf_dir):
+    """Blocks of five sizes, and how often a window meets one: the longer ones are made of the shortest."""
+    shortest = _written(blocks.block_ranges(blocks.with_blocks(_points(spark, sf_dir, "pe"), ["z", "id"], _SIZES[0])))
+    found = blocks.rolled_up(shortest, [size // _SIZES[0] for size in _SIZES]).withColumn("blk", F.struct("factor", "blk")).checkpoint()
+    met = blocks.blocks_met(found, windows(spark, sf_dir), UNIT, BITS).groupBy("blk.factor").agg(F.count("*").alias("met"))
+    out = found.groupBy("factor").agg(F.count("*").alias("blocks")).join(met, "factor", "left")
+    return out.select((F.col("factor") * _SIZES[0]).alias("per_block"), "blocks", F.coalesce("met", F.lit(0)).alias("met"))
+
+
+@query(f"WITH {PE}, pyr AS (SELECT d, z >> (2 * ({BITS} - d)) AS cell, count(*) AS n FROM pe, range(0, {DEEPEST + 1}) r(d) GROUP BY ALL), s AS (SELECT * FROM (VALUES (50), (100), (250), (500)) v(most)) SELECT most::BIGINT AS most, count(*) AS leaves, max(a.d) AS depth FROM s, pyr a LEFT JOIN pyr p ON p.d = a.d - 1 AND p.cell = a.cell >> 2 WHERE (a.n <= most OR a.d = {DEEPEST}) AND (a.d = 0 OR p.n > most) GROUP BY 1")
+def leaf_size_grid(spark, sf_dir):
+    return cells.leaf_counts(_points(spark, sf_dir, "pe"), [50, 100, 250, 500], BITS, DEEPEST)
+
+
 # -- inserts and deletes ---------------------------------------------------------------------------
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from terrazzo.functions.region import UNIT, Region
 from terrazzo.operators import blocks, cells, learned, order, prep, search, series, updates
-from terrazzo.plans import catalogue
+from terrazzo.plans import catalogue, experiments
 from terrazzo.plans.fixtures import BITS
 from terrazzo.sources import points as src
 from terrazzo.sources import sql
@@ -24,6 +24,7 @@ NAMES = (
     "point_query_rmi", "range_query_zbounds", "range_query_packed_tree", "range_query_median_tree", "range_query_predicted_buckets", "range_query_moved", "knn_median_tree", "knn_packed_tree",
     "knn_brin", "knn_code_neighbours", "knn_main_and_delta", "code_neighbours", "median_tree", "timed_merges", "leaf_error_bounds", "leaf_io_cost",
     "prep_knn_queries", "prep_sample", "forecasts_due", "point_query_staged", "edge_models_valid", "sql_range_function", "sql_nearest_function",
+    "block_size_grid", "leaf_size_grid",
 )
 
 
@@ -266,3 +267,21 @@ def test_edges_are_the_neighbours_codes(spark):
     rows = spark.createDataFrame([(5, 10, 0), (5, 20, 1), (7, 30, 0), (9, 41, 0), (9, 43, 1)], "leaf long, z long, pos long")
     extra = learned.with_edges(rows).exceptAll(rows)
     assert sorted(map(tuple, extra.collect())) == [(5, 30, 2), (7, 20, -1), (7, 41, 1), (9, 30, -1)]
+
+
+#: One entry of each experiment.
+ENTRIES = {
+    "block_ranges": {"by_code": True, "per_block": 200}, "median_tree": {"leaf_rows": 250}, "packed_tree": {"side": 3}, "quartered_leaves": {"leaf_rows": 250}, "recursive_models": {"leaves": 8, "edges": True},
+    "networks": {"hidden": 4, "steps": 5}, "merges": {"chunks": 1, "factor": 1.5}, "forecasts": {"width": 10, "model": "var", "hours": 24}, "build_partitions": {"partitions": 2}, "paths": {"path": "point_query_exact"},
+}
+
+
+@pytest.mark.parametrize("name", ENTRIES)
+def test_experiments(spark, name):
+    assert set(ENTRIES) == set(experiments.EXPERIMENTS)
+    got = {r.metric: r.value for r in experiments.run(spark, SF, name, entries=[ENTRIES[name]]).collect()}
+    assert got.pop("seconds") > 0 and got and all(v >= 0 for v in got.values())
+    if name == "block_ranges":
+        assert got["blocks"] == 5 and 1 <= got["met_each"] <= 5
+    if name == "merges":
+        assert got["outside"] == 0
