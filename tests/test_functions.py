@@ -112,9 +112,12 @@ def test_low_line_quirk(spark):
 
 
 def test_corrected_cdf(spark):
-    df = spark.createDataFrame([([0.2, 0.05, 0.25, 0.85, 0.65, 1.05, 0.95],), ([0.3, 0.3],)], "c array<double>")
-    got = [r[0] for r in df.select(series.corrected_cdf(F.col("c"))).collect()]
-    assert got[0] == pytest.approx([0.0, 0.0, 0.2, 0.8, 0.8, 1.0, 1.0]) and got[1] == [0.3, 0.3]
+    """Below zero and above one, a fall after a rise, a start above the least value, constants in and out of range."""
+    given = [[-0.5, 1.0, 0.25, 1.5, 1.5], [0.6, 0.2, 1.0], [2.0, 2.0], [0.3, 0.3]]
+    want = [[0.0, 0.75, 0.75, 1.0, 1.0], [0.0, 0.0, 1.0], [1.0, 1.0], [0.3, 0.3]]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(given)], "i int, c array<double>")
+    got = [r.c for r in df.select("i", series.corrected_cdf(F.col("c")).alias("c")).orderBy("i").collect()]
+    assert all(g == pytest.approx(w) for g, w in zip(got, want, strict=True))
 
 
 def test_right_closed_groups(spark):
