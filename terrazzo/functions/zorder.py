@@ -5,6 +5,7 @@ Codes stay in whole-stage code; an index table stores its code, so queries don't
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column
@@ -125,3 +126,16 @@ def geohash32_decode(text: Column, chars: int = 12) -> tuple[Column, Column, Col
     code = F.conv(geohash32_bits(text), 2, 10).cast("long")
     x, y, n = y_of(code, bits), x_of(code, bits), float(1 << bits)
     return (x + 0.5) * F.lit(360.0 / n) - 180.0, (y + 0.5) * F.lit(180.0 / n) - 90.0, F.lit(180.0 / n), F.lit(90.0 / n)
+
+
+def geohash32_digits(text: Column, chars: int = 12) -> tuple[Column, Column]:
+    """(lng, lat) as text, with the decimals that a geohash of so many characters tells, and no zeros at the end."""
+    lng, lat, _, _ = geohash32_decode(text, chars)
+    bits = chars * 5 // 2
+
+    def digits(v: Column, margin: float) -> Column:
+        places = max(1, round(-math.log10(margin))) - 1
+        shown = F.format_string(f"%.{places}f", v)
+        return F.rtrim(shown, F.lit("0")) if places else shown
+
+    return digits(lng, 180.0 / (1 << bits)), digits(lat, 90.0 / (1 << bits))

@@ -163,8 +163,8 @@ def network_guess() -> Column:
     return F.round(unscaled(out, F.lit(0.0), F.col("out_max"))).cast("double")
 
 
-def train_network(u: np.ndarray, y: np.ndarray, hidden: int = 16, steps: int = 300, start: tuple | None = None, rate: float = 0.02, patience: int = 50, seed: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Adam on the squared error of a 1-hidden-1 network with ReLU; the best weights met. `start`: weights to go on from."""
+def train_network(u: np.ndarray, y: np.ndarray, hidden: int = 16, steps: int = 300, start: tuple | None = None, rate: float = 0.02, patience: int = 50, seed: int = 1, last: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Adam on the squared error of a 1-hidden-1 network with ReLU; the best weights met, or with `last` the last ones. `start`: weights to go on from."""
     rng = np.random.default_rng(seed)
     if start is None:
         # hinges spread over the input
@@ -190,13 +190,15 @@ def train_network(u: np.ndarray, y: np.ndarray, hidden: int = 16, steps: int = 3
             m[k] = 0.9 * m[k] + 0.1 * d
             v[k] = 0.999 * v[k] + 0.001 * d * d
             p[k] -= rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-9)
-    return kept[0], kept[1], kept[2], float(kept[3][0])
+    out = p if last else kept
+    return out[0], out[1], out[2], float(out[3][0])
 
 
-def network_models(entries: DataFrame, hidden: int = 16, steps: int = 300, warm: DataFrame | None = None) -> DataFrame:
+def network_models(entries: DataFrame, hidden: int = 16, steps: int = 300, warm: DataFrame | None = None, threshold: float | None = None, tries: int = 1, last: bool = False) -> DataFrame:
     """(leaf, n, w0, b0, w1, b1, in_min, in_max, out_max): a network per leaf, fitted to MODEL_ROWS evenly spaced rows of it at most.
 
-    warm: earlier models to go on from.
+    warm: earlier models to go on from. With a threshold, a leaf whose error interval over those rows is wider is fitted
+    again from other weights, `tries` times in all at most, and keeps the narrowest. last: see train_network().
     """
     sizes = entries.groupBy("leaf").agg(F.count("*").alias("n"), F.min("z").alias("in_min"), F.max("z").alias("in_max"))
     rows = entries.join(sizes, "leaf").where((F.col("pos") % F.greatest(F.lit(1), F.expr(f"(n + {MODEL_ROWS - 1}) div {MODEL_ROWS}"))) == 0)
@@ -211,7 +213,14 @@ def network_models(entries: DataFrame, hidden: int = 16, steps: int = 300, warm:
         old = None
         if "w0" in g and g.w0.iloc[0] is not None:
             old = (g.w0.iloc[0], g.b0.iloc[0], g.w1.iloc[0], g.b1.iloc[0])
-        w0, b0, w1, b1 = train_network(u, y, hidden, steps, old)
+        found = []
+        for k in range(max(1, tries)):
+            net = train_network(u, y, hidden, steps, old if k == 0 else None, seed=1 + k, last=last)
+            guess = np.round(np.clip(np.maximum(u[:, None] * net[0] + net[1], 0) @ net[2] + net[3], 0, 1) * max(1, n - 1))
+            found.append((float(np.ptp(guess - g.pos.to_numpy(float))), k, net))
+            if threshold is None or found[-1][0] <= threshold:
+                break
+        w0, b0, w1, b1 = min(found, key=lambda x: x[:2])[2]
         return pd.DataFrame({"leaf": [g.leaf.iloc[0]], "n": [n], "w0": [w0], "b0": [b0], "w1": [w1], "b1": [b1], "in_min": [lo], "in_max": [hi], "out_max": [float(max(1, n - 1))]})
 
     return rows.groupBy("leaf").applyInPandas(fit, "leaf long, n long, w0 array<double>, b0 array<double>, w1 array<double>, b1 double, in_min double, in_max double, out_max double")
@@ -228,6 +237,30 @@ def quartered_network(w0: np.ndarray, b0: np.ndarray, w1: np.ndarray, b1: float)
     return out
 
 
+def quartered_models(entries: DataFrame, models: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entries, models) of leaves that are each cut into quarters of their codes' span; leaf k's are 4 * k to 4 * k + 3.
+
+    A quarter's network is its parent's on that part of the span, not a new fit; with_bounds() makes it exact.
+    """
+    span = F.col("in_max") - F.col("in_min")
+    quarter = F.when(span > 0, F.least(F.lit(3), F.floor(F.lit(4.0) * (F.col("z").cast("double") - F.col("in_min")) / span))).otherwise(F.lit(0)).cast("long")
+    rows = entries.join(models.select("leaf", "in_min", "in_max"), "leaf").withColumn("leaf", 4 * F.col("leaf") + quarter)
+    rows = leaf_positions(rows.select(*[c for c in entries.columns if c != "pos"]))
+
+    def split(batches):
+        for g in batches:
+            out = []
+            for m in g.itertuples(index=False):
+                quarters = quartered_network(np.array(m.w0), np.array(m.b0), np.array(m.w1), m.b1)
+                step = (m.in_max - m.in_min) / 4
+                out += [(4 * m.leaf + k, *net, m.in_min + k * step, m.in_min + (k + 1) * step) for k, net in enumerate(quarters)]
+            yield pd.DataFrame(out, columns=["leaf", "w0", "b0", "w1", "b1", "in_min", "in_max"])
+
+    parts = models.select("leaf", "w0", "b0", "w1", "b1", "in_min", "in_max").mapInPandas(split, "leaf long, w0 array<double>, b0 array<double>, w1 array<double>, b1 double, in_min double, in_max double")
+    sizes = rows.groupBy("leaf").agg(F.count("*").alias("n"), F.greatest(F.lit(1), F.count("*") - 1).cast("double").alias("out_max"))
+    return rows, parts.join(sizes, "leaf")
+
+
 def stale(old: DataFrame, new: DataFrame, factor: float) -> DataFrame:
     """(leaf) whose error interval grew beyond `factor` times what it was."""
     width = lambda: F.col("max_err") - F.col("min_err")

@@ -6,6 +6,7 @@ import math
 import uuid
 import zlib
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,9 +15,11 @@ from ..functions import geometry as G
 from ..functions import zorder as Z
 from ..functions.region import UNIT, Region
 from ..operators import blocks, cells, learned, metrics, prep, search, series, updates
+from ..sources import points as src
 from ..sources import sql as sql_functions
 from ..sources.session import prepared, shared_folder
 from ..streaming import updates as stream
+from . import fixtures
 from .fixtures import BITS, DAY, NQ, PE, PO, PQ, SIDE, START, WQ, axis_sql, compact_sql, neighbours, pe, place_queries, po, spread_sql, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -186,6 +189,15 @@ def geohash_decode(spark, sf_dir):
     return h.select("id", F.round(lng, 6).alias("lng"), F.round(lat, 6).alias("lat"))
 
 
+_SHOWN = "rtrim(printf('%.6f', {}), '0')"
+
+
+@query(f"{_G} SELECT id, {_SHOWN.format(f'(gx + 0.5::DOUBLE) * (360.0::DOUBLE / {1 << 30}) - 180.0::DOUBLE')} AS lng, {_SHOWN.format(f'(gy + 0.5::DOUBLE) * (180.0::DOUBLE / {1 << 30}) - 90.0::DOUBLE')} AS lat FROM g")
+def geohash_digits(spark, sf_dir):
+    lng, lat = Z.geohash32_digits(F.col("h"))
+    return _on_earth(pe(spark, sf_dir)).select("id", Z.geohash32(F.col("lng"), F.col("lat")).alias("h")).select("id", lng.alias("lng"), lat.alias("lat"))
+
+
 # -- geometry --------------------------------------------------------------------------------------
 
 
@@ -524,6 +536,18 @@ def network_bounds_valid(spark, sf_dir):
     return learned.violations(entries, learned.with_bounds(entries, models, learned.network_guess()), learned.network_guess())
 
 
+_QUARTER = "4 * leaf + CASE WHEN hi > lo THEN least(3, floor(4.0::DOUBLE * (z - lo)::DOUBLE / (hi - lo)::DOUBLE))::BIGINT ELSE 0 END"
+
+
+@query(f"{_AT_LEAF}, s AS (SELECT leaf, min(z) AS lo, max(z) AS hi FROM p GROUP BY leaf) SELECT {_QUARTER} AS leaf, count(*) AS n, 0::BIGINT AS outside FROM p JOIN s USING (leaf) GROUP BY 1")
+def quartered_networks_valid(spark, sf_dir):
+    """Leaves cut into quarters, each with its part of the parent's network."""
+    entries = _entries(spark, sf_dir, "pe")
+    rows, models = learned.quartered_models(entries, _written(learned.network_models(entries, steps=60, threshold=20, tries=2)))
+    rows = _written(rows)
+    return learned.violations(rows, _written(learned.with_bounds(rows, models, learned.network_guess())), learned.network_guess())
+
+
 @query(f"{_AT_LEAF} SELECT leaf, count(*) AS n, 0::BIGINT AS outside FROM p GROUP BY leaf")
 def edge_models_valid(spark, sf_dir):
     """Models fitted to each leaf's rows and its neighbours' nearest codes."""
@@ -690,20 +714,38 @@ def knn_main_and_delta(spark, sf_dir):
     return _as_pairs(search.knn_join(updates.inserted(at.select("leaf", "id", "x", "y"), delta), meta, neighbours(spark, sf_dir), UNIT, BITS))
 
 
-@query(f"WITH {PE} SELECT id, (z >> {2 * BITS - 6}) AS cell, 0::BIGINT AS outside FROM pe")
-def timed_merges(spark, sf_dir):
-    """Ten days at a time are inserted and merged, models refitted where they got worse: the rows of the last version, and how many lie outside their model's bounds."""
+def _versions(spark, sf_dir):
+    """(entries, models) of three versions: ten days at a time are inserted and merged, models refitted where they got worse."""
     points = _points(spark, sf_dir, "pe")
     days = [points.where(F.col("t").between(START + 10 * k * DAY, START + 10 * (k + 1) * DAY - 1)) for k in range(3)]
     rest = points.where((F.col("t") < START) | (F.col("t") >= START + 30 * DAY))
     meta = _written(cells.leaf_meta(cells.all_leaves(days[0], LEAF_ROWS, BITS, DEEPEST), UNIT, BITS))
-    version = updates.first_version(updates.inserted(days[0], rest), meta, BITS)
+    versions = [updates.first_version(updates.inserted(days[0], rest), meta, BITS)]
     for delta in days[1:]:
-        version = updates.merged_version(version, delta, meta, BITS, 1.5)
-    entries, models = version
+        versions.append(updates.merged_version(versions[-1], delta, meta, BITS, 1.5))
+    return versions
+
+
+@query(f"WITH {PE} SELECT id, (z >> {2 * BITS - 6}) AS cell, 0::BIGINT AS outside FROM pe")
+def timed_merges(spark, sf_dir):
+    """The rows of the last version, and how many lie outside their model's bounds."""
+    entries, models = _versions(spark, sf_dir)[-1]
     return entries.join(learned.violations(entries, models).select("leaf", "outside"), "leaf").select("id", F.shiftright("z", 2 * BITS - 6).alias("cell"), "outside")
 
 
+@query(f"WITH {PE} SELECT v AS version, count(*) AS n, 0::BIGINT AS outside FROM pe, range(0, 3) r(v) WHERE t < {START} OR t >= {START + 30 * DAY} OR t < {START} + (v + 1) * {10 * DAY} GROUP BY 1")
+def version_snapshots(spark, sf_dir):
+    """Rows and models of each version are saved, read again by its number, and hold together: its rows, and those outside their model's bounds."""
+    folder = f"{shared_folder(prepared(spark))}/versions-{uuid.uuid4().hex}"
+    out = None
+    for k, (entries, models) in enumerate(_versions(spark, sf_dir)):
+        src.save_index(folder, version=k, entries=entries, models=models)
+        found = learned.violations(*src.load_index(spark, folder, "entries", "models", version=k)).agg(F.sum("n").alias("n"), F.sum("outside").alias("outside"))
+        found = found.select(F.lit(k).cast("long").alias("version"), "n", "outside")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 # -- time ------------------------------------------------------------------------------------------
 
 _KEYED = f"WITH {PE}, k AS (SELECT z >> {2 * (BITS - KEY_DEPTH)} AS cell, z, (t - {START}) // {DAY} AS time_id FROM pe)"
@@ -837,6 +879,20 @@ def streaming_update(spark, sf_dir):
     return index.closed().groupBy(F.col("time_id").cast("long").alias("time_id")).agg(F.sum("n").alias("n"))
 
 
+@query(f"WITH {PE} SELECT t // {DAY} * {DAY} AS start, z >> {2 * (BITS - KEY_DEPTH)} AS cell, count(*) AS n FROM pe WHERE (t // {DAY} + 1) * {DAY} <= (SELECT max(t) FROM pe) - {DAY} GROUP BY ALL")
+def streaming_window_counts(spark, sf_dir):
+    """Counts by day and coarse cell of a stream with a watermark: the windows that are complete when it ends."""
+    folder = f"{shared_folder(prepared(spark))}/windows-{uuid.uuid4().hex}"
+    pe(spark, sf_dir).select(F.timestamp_seconds("t").alias("ts"), "x", "y").write.parquet(f"{folder}/arrivals")
+    source = spark.readStream.schema("ts timestamp, x double, y double").parquet(f"{folder}/arrivals")
+    counts = stream.windowed_counts(source, UNIT, BITS, KEY_DEPTH, "1 day", "1 day").select(F.unix_seconds("window.start").alias("start"), "cell", "n")
+    run = counts.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).start()
+    run.awaitTermination()
+    if run.exception():
+        raise run.exception()
+    return spark.read.schema("start long, cell long, n long").parquet(f"{folder}/out")
+
+
 # -- preparation -----------------------------------------------------------------------------------
 
 
@@ -897,3 +953,16 @@ def prep_generators(spark, sf_dir):
 def prep_sample(spark, sf_dir):
     keyed = prep.with_keys(pe(spark, sf_dir), ["id"])
     return prep.sample_with_replacement(keyed, "key", 1000).select("draw", "id", "x", "y")
+
+
+@query(
+    f"WITH {PE}, {PO}, {PQ}, {WQ}, {NQ} SELECT 'events' AS name, 'build' AS kind, count(*) AS n FROM pe WHERE t < {CUT} UNION ALL SELECT 'events', 'update', count(*) FROM pe WHERE t >= {CUT} "
+    "UNION ALL SELECT 'events', 'range', count(*) FROM wq UNION ALL SELECT 'events', 'knn', count(*) FROM nq UNION ALL SELECT 'orders', 'build', count(*) FROM po UNION ALL SELECT 'orders', 'point', count(*) FROM pq"
+)
+def prep_datasets(spark, sf_dir):
+    """Rows of each registered table, of what is inserted into it, and of its query sets."""
+    fixtures.register(sf_dir)
+    found = [(name, kind, src.load(spark, name, update=kind == "update")) for name, kind in (("events", "build"), ("events", "update"), ("orders", "build"))]
+    found += [(name, kind, src.load_queries(spark, name, kind)) for name in ("events", "orders") for kind in src.CATALOGUE[name].queries]
+    out = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), F.lit(kind).alias("kind"), "n") for name, kind, df in found]
+    return reduce(lambda a, b: a.unionByName(b), out)

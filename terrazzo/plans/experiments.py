@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import zorder as Z
 from ..functions.region import UNIT
 from ..operators import blocks, cells, learned, metrics, series, updates
 from . import catalogue as c
@@ -115,6 +116,18 @@ def build_partitions(spark, sf_dir, partitions: int) -> dict[str, float]:
         spark.conf.set(name, before)
 
 
+def codecs(spark, sf_dir, codec: str) -> dict[str, float]:
+    """One codec over all points."""
+    x, y, z, h = F.col("x"), F.col("y"), F.col("z"), Z.geohash32(F.col("x"), F.col("y"))
+    made = {
+        "encode": Z.encode(x, y, UNIT, BITS), "encode_truncated": Z.encode(x, y, UNIT, BITS, truncate=True), "decode": F.struct(*Z.decode(z, UNIT, BITS, 5)),
+        "neighbours": Z.neighbours(z, BITS), "bits": Z.geohash_bits(x, y), "base32": h, "base32_decode": F.struct(*Z.geohash32_decode(h)),
+    }[codec]
+    points = c._points(spark, sf_dir, "pe")
+    points.select("id", made.alias("made")).write.format("noop").mode("overwrite").save()
+    return {"rows": float(points.count())}
+
+
 def answers(spark, sf_dir, path: str) -> dict[str, float]:
     """One registered query: the rows it gives."""
     return {"rows": float(c.QUERIES[path](spark, sf_dir).count())}
@@ -131,6 +144,7 @@ EXPERIMENTS: dict[str, tuple[Measure, list[dict]]] = {
     "merges": (merges, grid(chunks=[5], factor=[1.0, 1.5, 2.0])),
     "forecasts": (forecasts, grid(width=[10, 50], model=["last", "es", "var", "sarima", "gru"], hours=[24])),
     "build_partitions": (build_partitions, grid(partitions=[1, 8, 64])),
+    "codecs": (codecs, grid(codec=["encode", "encode_truncated", "decode", "neighbours", "bits", "base32", "base32_decode"])),
     "paths": (answers, grid(path=["point_query_exact", "point_query_brin", "point_query_learned", "point_query_staged", "range_query_cells", "range_query_brin", "range_query_leaves", "range_query_predicted_buckets", "knn_join", "knn_brin", "knn_main_and_delta"])),
 }
 

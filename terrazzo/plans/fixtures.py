@@ -58,6 +58,13 @@ def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("qid"), _part("s_suppkey * 613", 1000).alias("qx"), _part("s_suppkey * 31", 1000).alias("qy"), F.expr("shiftleft(4, cast(s_nationkey % 5 as int))").alias("k"))
 
 
+def register(sf_dir: str) -> None:
+    """Put the two point tables and their query sets into the catalogue of data sets, as `events` and `orders`."""
+    point, box, near = (lambda s, f=f: f(s, sf_dir) for f in (place_queries, windows, neighbours))
+    src.register("events", src.Dataset(lambda s: pe(s, sf_dir).where(F.col("t") < START + 15 * DAY), lambda s: pe(s, sf_dir).where(F.col("t") >= START + 15 * DAY), UNIT, PRECISION, {"range": box, "knn": near}))
+    src.register("orders", src.Dataset(lambda s: po(s, sf_dir), None, UNIT, PRECISION, {"point": point}))
+
+
 SIDE = 1 << BITS
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,12 +35,13 @@ def typed(points: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Dataset:
-    """A named point table: how to read the rows it is built from and those that are inserted later, its region and its decimals."""
+    """A named point table: how to read the rows it is built from and those that are inserted later, its region, its decimals, and its query sets by kind (point, range, knn)."""
 
     build: Callable[[SparkSession], DataFrame]
     update: Callable[[SparkSession], DataFrame] | None
     region: Region
     precision: int
+    queries: dict[str, Callable[[SparkSession], DataFrame]] = field(default_factory=dict)
 
     @property
     def bits(self) -> int:
@@ -59,6 +60,14 @@ def load(spark: SparkSession, name: str, update: bool = False) -> DataFrame:
     return (d.update if update else d.build)(spark)
 
 
+def load_queries(spark: SparkSession, name: str, kind: str) -> DataFrame:
+    return CATALOGUE[name].queries[kind](spark)
+
+
+def save_points(points: DataFrame, path: str) -> None:
+    typed(points).write.mode("overwrite").parquet(path)
+
+
 def save_index(folder: str, version: int | None = None, **tables: DataFrame) -> None:
     """Each table as Parquet under `folder`; with a version, beside the earlier ones."""
     for name, df in tables.items():

@@ -153,6 +153,28 @@ def test_network_learns_and_goes_on():
     assert loss(first) < 1e-3 and loss(learned.train_network(u, y, steps=50, start=first)) <= loss(first)
 
 
+def test_last_weights_and_retries(spark):
+    u = np.linspace(0, 1, 60)
+    y = np.sqrt(u)
+    value = lambda p: np.maximum(u[:, None] * p[0] + p[1], 0) @ p[2] + p[3]
+    best, last = learned.train_network(u, y, steps=30, rate=0.4), learned.train_network(u, y, steps=30, rate=0.4, last=True)
+    assert ((value(best) - y) ** 2).mean() < ((value(last) - y) ** 2).mean()
+    rows = spark.range(400).select((F.col("id") * F.col("id")).alias("z"), F.lit(1).cast("long").alias("leaf"), F.col("id").alias("pos"))
+    width = lambda **how: learned.with_bounds(rows, learned.network_models(rows, 8, 40, **how), learned.network_guess()).select(F.col("max_err") - F.col("min_err")).first()[0]
+    assert width(threshold=0.0, tries=4) <= width() == width(threshold=1e9, tries=4)
+
+
+def test_digits_of_geohashes(spark):
+    df = spark.createDataFrame([("ezs42e",), ("s00000",), ("u4pruy",)], "h string")
+    lng, lat = Z.geohash32_digits(F.col("h"), 6)
+    got = [tuple(r) for r in df.select(lng, lat).collect()]
+    for (h,), (a, b) in zip([("ezs42e",), ("s00000",), ("u4pruy",)], got, strict=True):
+        code = "".join(f"{Z.BASE32.index(c):05b}" for c in h)
+        x, y = int(code[::2], 2), int(code[1::2], 2)
+        want = [f"{(k + 0.5) / (1 << 15) * side - side / 2:.{places}f}".rstrip("0") for k, side, places in ((x, 360, 1), (y, 180, 2))]
+        assert [a, b] == want
+
+
 def test_lstm_has_a_cell_of_its_own():
     y = (np.sin(np.arange(80) * 2 * np.pi / 7) * 10 + 20)[:, None]
     want = (np.sin(np.arange(80, 83) * 2 * np.pi / 7) * 10 + 20)[:, None]

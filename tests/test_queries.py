@@ -24,7 +24,7 @@ NAMES = (
     "point_query_rmi", "range_query_zbounds", "range_query_packed_tree", "range_query_median_tree", "range_query_predicted_buckets", "range_query_moved", "knn_median_tree", "knn_packed_tree",
     "knn_brin", "knn_code_neighbours", "knn_main_and_delta", "code_neighbours", "median_tree", "timed_merges", "leaf_error_bounds", "leaf_io_cost",
     "prep_knn_queries", "prep_sample", "forecasts_due", "point_query_staged", "edge_models_valid", "sql_range_function", "sql_nearest_function",
-    "block_size_grid", "leaf_size_grid",
+    "block_size_grid", "leaf_size_grid", "geohash_digits", "quartered_networks_valid", "version_snapshots", "streaming_window_counts", "prep_datasets",
 )
 
 
@@ -181,6 +181,10 @@ def test_sources(spark, tmp_path):
     assert src.load_index(spark, str(tmp_path / "i"), "main", version=2)[0].count() == 3
     src.register("demo", src.Dataset(lambda s: s.range(5), None, UNIT, 5))
     assert src.load(spark, "demo").count() == 5 and src.CATALOGUE["demo"].bits == 20
+    src.register("asked", src.Dataset(lambda s: s.range(5), None, UNIT, 5, {"knn": lambda s: s.range(2)}))
+    assert src.load_queries(spark, "asked", "knn").count() == 2
+    src.save_points(spark.createDataFrame([("1", 2, 0.5, "x")], "id string, x int, y double, other string"), str(tmp_path / "typed"))
+    assert spark.read.parquet(str(tmp_path / "typed")).dtypes == [("x", "double"), ("y", "double"), ("id", "bigint")]
     src.save_results(spark.createDataFrame([(1, 3), (1, 2)], "qid long, id long"), str(tmp_path / "r"))
     assert spark.read.csv(str(tmp_path / "r"), header=True).collect()[0].ids == "2 3"
 
@@ -272,7 +276,7 @@ def test_edges_are_the_neighbours_codes(spark):
 #: One entry of each experiment.
 ENTRIES = {
     "block_ranges": {"by_code": True, "per_block": 200}, "median_tree": {"leaf_rows": 250}, "packed_tree": {"side": 3}, "quartered_leaves": {"leaf_rows": 250}, "recursive_models": {"leaves": 8, "edges": True},
-    "networks": {"hidden": 4, "steps": 5}, "merges": {"chunks": 1, "factor": 1.5}, "forecasts": {"width": 10, "model": "var", "hours": 24}, "build_partitions": {"partitions": 2}, "paths": {"path": "point_query_exact"},
+    "networks": {"hidden": 4, "steps": 5}, "merges": {"chunks": 1, "factor": 1.5}, "forecasts": {"width": 10, "model": "var", "hours": 24}, "build_partitions": {"partitions": 2}, "codecs": {"codec": "base32_decode"}, "paths": {"path": "point_query_exact"},
 }
 
 
