@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import divergence, language, licenses, media, near_dup, packing, pieces, pii, quality_model, quality_rules, toxicity
+from . import decontaminate, divergence, language, licenses, media, near_dup, packing, pieces, pii, quality_model, quality_rules, toxicity
 from .session import prepared
 
 
@@ -61,8 +61,12 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit_sources(_table(spark, sf_dir, "documents"))
 
 
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination_digest(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii, op2_packing, op3_quality_rules, op4_near_dup, op5_toxicity, op6_media, op7_language, op8_licenses, op9_quality_model, op10_sentencepiece, op11_divergence)
+    f.__name__: f for f in (op1_pii, op2_packing, op3_quality_rules, op4_near_dup, op5_toxicity, op6_media, op7_language, op8_licenses, op9_quality_model, op10_sentencepiece, op11_divergence, op12_decontamination)
 }
 
 #: The other operators fit models, tokenise or store files, which SQL can't express; tests/llm holds them against plain versions.
@@ -96,5 +100,16 @@ u AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value,
   UNION ALL SELECT lang, source, 'term', term, (((p - q) * (p - q)) // q)::BIGINT FROM p WHERE n > 0 AND p > q),
 r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM u)
 SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 200
+""",
+    "op12_decontamination": r"""
+WITH t AS (SELECT 0 AS k, row_number() OVER () AS r, doc_id AS id, text FROM documents UNION ALL SELECT 1, row_number() OVER (), item_id, text FROM benchmark),
+w AS (SELECT k, r, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM t),
+b AS (SELECT DISTINCT id, least(10, len(w)) AS n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS g FROM w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) u(i) WHERE k = 1 AND len(w) > 0 AND id IS NOT NULL),
+p AS (SELECT r, i, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM w, (SELECT DISTINCT n FROM b), unnest(range(1, len(w) - n + 2)) u(i) WHERE k = 0),
+m AS (SELECT DISTINCT r, i, n, b.id FROM p JOIN b USING (n, g)),
+h AS (SELECT r, count(DISTINCT i + j) AS n_hit FROM m, range(0, 10) q(j) WHERE j < n GROUP BY r),
+s AS (SELECT r, count(*) AS n_items, string_agg(id::VARCHAR, ',' ORDER BY id::VARCHAR) AS ids FROM (SELECT DISTINCT r, id FROM m) GROUP BY r)
+SELECT id AS doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM w LEFT JOIN h USING (r) LEFT JOIN s USING (r) WHERE k = 0
 """,
 }
