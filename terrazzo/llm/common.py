@@ -19,7 +19,7 @@ WORD = re.compile(r"\w+")
 
 def ddl(schema: str) -> T.StructType:
     """A schema from its DDL text, without a session."""
-    kinds = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(), "boolean": T.BooleanType(), "binary": T.BinaryType(), "array<int>": T.ArrayType(T.IntegerType()), "array<long>": T.ArrayType(T.LongType()), "array<double>": T.ArrayType(T.DoubleType())}
+    kinds = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(), "boolean": T.BooleanType(), "binary": T.BinaryType(), "array<int>": T.ArrayType(T.IntegerType()), "array<long>": T.ArrayType(T.LongType()), "array<double>": T.ArrayType(T.DoubleType()), "array<string>": T.ArrayType(T.StringType())}
     return T.StructType([T.StructField(n, kinds[k]) for n, k in (x.strip().split(" ", 1) for x in schema.split(","))])
 
 
