@@ -90,9 +90,13 @@ def knn_blocks(rows: DataFrame, blocks: DataFrame, seeds: DataFrame, queries: Da
     d2 = G.distance2(F.col("x"), F.col("y"), F.col("qx"), F.col("qy"))
     near = rows.select("blk", "id", "x", "y").join(queries.join(seeds, "qid"), "blk").withColumn("d2", d2)
     found = ranked(near).groupBy("qid").agg(F.count("*").alias("_n"), F.max("d2").alias("_d2"))
+    return knn_within(rows, blocks, bounded(queries, found, region), region, bits)
+
+
+def bounded(queries: DataFrame, found: DataFrame, region: Region) -> DataFrame:
+    """`queries` with bound2, from (qid, _n, _d2): the greatest squared distance of so many found, or, where these are fewer than k, that of the region's farthest corner."""
     reach = F.greatest(F.abs(F.col("qx") - region.left), F.abs(F.col("qx") - region.right)) + F.greatest(F.abs(F.col("qy") - region.bottom), F.abs(F.col("qy") - region.up))
-    bound = queries.join(found, "qid", "left").withColumn("bound2", F.when(F.col("_n") >= F.col("k"), F.col("_d2")).otherwise(reach * reach * 1.01)).drop("_n", "_d2")
-    return knn_within(rows, blocks, bound, region, bits)
+    return queries.join(found, "qid", "left").withColumn("bound2", F.when(F.col("_n") >= F.col("k"), F.col("_d2")).otherwise(reach * reach * 1.01)).drop("_n", "_d2")
 
 
 def knn_within(rows: DataFrame, blocks: DataFrame, bound: DataFrame, region: Region, bits: int) -> DataFrame:

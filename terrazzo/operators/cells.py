@@ -6,14 +6,18 @@ Counts are taken once, at the deepest level, and rolled up; no level reads the p
 
 from __future__ import annotations
 
-from functools import reduce
-
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import zorder as Z
 from ..functions.region import Region
 
+#: Leaves (24 bytes each) that are sent to all tasks.
+BROADCAST_LEAVES = 1 << 18
+
 
 def pyramid(points: DataFrame, bits: int, deepest: int) -> DataFrame:
     """(depth, cell, n) of all cells with points, 0 to `deepest`."""
@@ -72,12 +76,31 @@ def leaf_meta(found: DataFrame, region: Region, bits: int) -> DataFrame:
 
 
 def assign_leaves(points: DataFrame, meta: DataFrame, bits: int) -> DataFrame:
-    """`points` with `leaf`: one equi-join for the depths in use, on (depth, prefix)."""
-    depths = sorted(r[0] for r in meta.select("depth").distinct().collect())  # at most bits + 1
-    at = F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), Z.prefix(F.col("z"), bits, d).alias("cell")) for d in depths]))
-    posted = points.withColumn("_at", at).withColumns({"_d": F.col("_at.depth"), "_c": F.col("_at.cell")})
-    m = meta.select("leaf", F.col("depth").alias("_d"), F.col("cell").alias("_c"))
-    return posted.join(m, ["_d", "_c"]).select(*points.columns, "leaf")
+    """`points` with `leaf`; those in no leaf are dropped.
+
+    Leaves are disjoint runs of codes, so a point's leaf is the last that begins at its code or before. Up to BROADCAST_LEAVES of them go to
+    all tasks, which look each code up by bisection, and points aren't shuffled; more are met by ranges of codes.
+    """
+    at = meta.select("leaf", "value", (F.col("value") + F.col("value_diff")).alias("_end"))
+    first = at.limit(BROADCAST_LEAVES + 1).toArrow()
+    if first.num_rows > BROADCAST_LEAVES:
+        from .search import greatest_at_most
+
+        found = greatest_at_most(at.select("value"), "value", points, "z").withColumnRenamed("found", "value")
+        return found.join(at, "value").where(F.col("z") < F.col("_end")).select(*points.columns, "leaf")
+    if not first.num_rows:
+        return points.withColumn("leaf", F.lit(None).cast("long")).where(F.lit(False))
+    first = first.sort_by("value")
+    sent = points.sparkSession.sparkContext.broadcast(tuple(first[c].to_numpy() for c in ("leaf", "value", "_end")))
+
+    @F.arrow_udf("long")
+    def leaf_of(z: pa.Array) -> pa.Array:
+        leaf, value, end = sent.value
+        codes = pc.fill_null(z, -1).to_numpy(zero_copy_only=False)
+        at = np.searchsorted(value, codes, side="right") - 1
+        return pa.array(leaf[at], mask=(at < 0) | (codes >= end[at]))
+
+    return points.withColumn("leaf", leaf_of("z")).where(F.col("leaf").isNotNull())
 
 
 def scope_by_rounding(meta: DataFrame, region: Region, bits: int) -> DataFrame:

@@ -194,13 +194,16 @@ def train_network(u: np.ndarray, y: np.ndarray, hidden: int = 16, steps: int = 3
     return out[0], out[1], out[2], float(out[3][0])
 
 
-def network_models(entries: DataFrame, hidden: int = 16, steps: int = 300, warm: DataFrame | None = None, threshold: float | None = None, tries: int = 1, last: bool = False) -> DataFrame:
+def network_models(entries: DataFrame, hidden: int = 16, steps: int = 300, warm: DataFrame | None = None, threshold: float | None = None, tries: int = 1, last: bool = False, spans: DataFrame | None = None) -> DataFrame:
     """(leaf, n, w0, b0, w1, b1, in_min, in_max, out_max): a network per leaf, fitted to MODEL_ROWS evenly spaced rows of it at most.
 
+    spans: (leaf, in_min, in_max), the codes that the networks take for 0 and 1; default: the leaf's first and last.
     warm: earlier models to go on from. With a threshold, a leaf whose error interval over those rows is wider is fitted
     again from other weights, `tries` times in all at most, and keeps the narrowest. last: see train_network().
     """
     sizes = entries.groupBy("leaf").agg(F.count("*").alias("n"), F.min("z").alias("in_min"), F.max("z").alias("in_max"))
+    if spans is not None:
+        sizes = sizes.select("leaf", "n").join(spans, "leaf")
     rows = entries.join(sizes, "leaf").where((F.col("pos") % F.greatest(F.lit(1), F.expr(f"(n + {MODEL_ROWS - 1}) div {MODEL_ROWS}"))) == 0)
     rows = rows.select("leaf", "n", "in_min", "in_max", "z", "pos")
     if warm is not None:
@@ -226,15 +229,19 @@ def network_models(entries: DataFrame, hidden: int = 16, steps: int = 300, warm:
     return rows.groupBy("leaf").applyInPandas(fit, "leaf long, n long, w0 array<double>, b0 array<double>, w1 array<double>, b1 double, in_min double, in_max double, out_max double")
 
 
-def quartered_network(w0: np.ndarray, b0: np.ndarray, w1: np.ndarray, b1: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, float]]:
-    """Four networks, each equal to the given one on a quarter of its input, over inputs of its own 0..1 and outputs scaled to 0..1."""
-    out = []
+def network_part(w0: np.ndarray, b0: np.ndarray, w1: np.ndarray, b1: float, first: float, end: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """The network that equals the given one from input `first` to `end`, over inputs of its own 0..1 and outputs scaled to 0..1; the given one for 0 to 1."""
+    if (first, end) == (0.0, 1.0):
+        return w0, b0, w1, b1
     value = lambda u: float(np.maximum(w0 * u + b0, 0) @ w1 + b1)
-    for k in range(4):
-        low, high = value(k / 4), value((k + 1) / 4)
-        span = (high - low) or 1.0
-        out.append((w0 / 4, w0 * (k / 4) + b0, w1 / span, (b1 - low) / span))
-    return out
+    low = value(first)
+    span = (value(end) - low) or 1.0
+    return w0 * (end - first), w0 * first + b0, w1 / span, (b1 - low) / span
+
+
+def quartered_network(w0: np.ndarray, b0: np.ndarray, w1: np.ndarray, b1: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, float]]:
+    """Four networks, each the given one on a quarter of its input."""
+    return [network_part(w0, b0, w1, b1, k / 4, (k + 1) / 4) for k in range(4)]
 
 
 def quartered_models(entries: DataFrame, models: DataFrame) -> tuple[DataFrame, DataFrame]:

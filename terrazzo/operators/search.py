@@ -113,13 +113,11 @@ def z_neighbours(points: DataFrame, queries: DataFrame, region: Region, bits: in
 
 def knn_by_code(points: DataFrame, rows: DataFrame, boxes: DataFrame, queries: DataFrame, region: Region, bits: int) -> DataFrame:
     """(qid, id, d2, rank) of the k nearest, bounded by the kth distance among a query's neighbours in code; `rows` (blk, id, x, y) of `boxes` are then read."""
-    from .blocks import knn_within
+    from .blocks import bounded, knn_within
 
     near = z_neighbours(points, queries, region, bits).withColumn("d2", G.distance2(F.col("x"), F.col("y"), F.col("qx"), F.col("qy")))
     found = ranked(near).groupBy("qid").agg(F.count("*").alias("_n"), F.max("d2").alias("_d2"))
-    reach = F.greatest(F.abs(F.col("qx") - region.left), F.abs(F.col("qx") - region.right)) + F.greatest(F.abs(F.col("qy") - region.bottom), F.abs(F.col("qy") - region.up))
-    bound = queries.join(found, "qid", "left").withColumn("bound2", F.when(F.col("_n") >= F.col("k"), F.col("_d2")).otherwise(reach * reach * 1.01))
-    return knn_within(rows, boxes, bound.select("qid", "qx", "qy", "k", "bound2"), region, bits)
+    return knn_within(rows, boxes, bounded(queries, found, region), region, bits)
 
 
 def new_in_window(points: DataFrame, old: Region, new: Region) -> DataFrame:

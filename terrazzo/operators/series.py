@@ -32,16 +32,22 @@ def bucket_counts(rows: DataFrame, key: str, last: int) -> DataFrame:
     return out.withColumn("max_key", F.greatest(F.col("n") - 1, F.lit(0)))
 
 
-def cdf_series(rows: DataFrame, key: str, low: str, high: str, width: int) -> DataFrame:
-    """(key, time_id, n, cdf): the share of z up to low + (high - low) * i / width, for i from 0 to width - 1.
-
-    A histogram per group, then running sums over its `width` + 1 steps; a row is counted once.
-    """
+def step_counts(rows: DataFrame, key: str, low: str, high: str, width: int) -> DataFrame:
+    """(key, time_id, step, n): rows by the least i, 0 to `width`, for which z is at most low + (high - low) * i / width."""
     step = F.ceil((F.col("z") - F.col(low)) * F.lit(float(width)) / (F.col(high) - F.col(low)).cast("double")).cast("int")
     step = F.greatest(F.lit(0), F.least(step, F.lit(width)))
-    hist = rows.groupBy(key, "time_id", step.alias("_s")).agg(F.count("*").alias("_n"))
-    sums = hist.groupBy(key, "time_id").agg(F.sum("_n").alias("n"), *[F.sum(F.when(F.col("_s") <= i, F.col("_n")).otherwise(0)).alias(f"_c{i}") for i in range(width)])
-    return sums.select(key, "time_id", "n", F.array(*[F.col(f"_c{i}") / F.col("n") for i in range(width)]).alias("cdf"))
+    return rows.groupBy(key, "time_id", step.alias("step")).agg(F.count("*").alias("n"))
+
+
+def cdf_of_steps(counts: DataFrame, key: str, width: int) -> DataFrame:
+    """(key, time_id, n, cdf) of step_counts(): running sums over the `width` + 1 steps."""
+    sums = counts.groupBy(key, "time_id").agg(F.sum("n").alias("_all"), *[F.sum(F.when(F.col("step") <= i, F.col("n")).otherwise(0)).alias(f"_c{i}") for i in range(width)])
+    return sums.select(key, "time_id", F.col("_all").alias("n"), F.array(*[F.col(f"_c{i}") / F.col("_all") for i in range(width)]).alias("cdf"))
+
+
+def cdf_series(rows: DataFrame, key: str, low: str, high: str, width: int) -> DataFrame:
+    """(key, time_id, n, cdf): the share of z up to low + (high - low) * i / width, for i from 0 to width - 1. A row is counted once."""
+    return cdf_of_steps(step_counts(rows, key, low, high, width), key, width)
 
 
 def filled_series(series: DataFrame, key: str, last: int) -> DataFrame:

@@ -966,3 +966,6 @@ def prep_datasets(spark, sf_dir):
     found += [(name, kind, src.load_queries(spark, name, kind)) for name in ("events", "orders") for kind in src.CATALOGUE[name].queries]
     out = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), F.lit(kind).alias("kind"), "n") for name, kind, df in found]
     return reduce(lambda a, b: a.unionByName(b), out)
+
+
+from . import growing  # noqa: E402, F401  registers its queries
