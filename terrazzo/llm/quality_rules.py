@@ -75,24 +75,25 @@ def _rule(value: Column, good: Column, bad: Column, when: Column | None = None)
 
 
 def rules() -> dict[str, Column]:
-    """Each rule's vote. Between its two thresholds, or where a text is too short to tell, a rule abstains."""
+    """Each rule's vote, from a statistic of its own. Between its two thresholds, or where a text is too short to tell, a rule abstains.
+
+    Thresholds lie within what sound texts show too, so that rules err now and then and the others' votes can make up for it.
+    """
     n = _c("n_words")
     mean = F.try_divide(_c("word_chars"), n)
     symbols = F.try_divide(_c("n_symbols"), n)
-    share = F.try_divide(_c("n_symbols"), _c("word_chars"))
     dup = F.try_divide(_c("n_dup_lines"), _c("n_lines"))
     repeat = F.try_divide(_c("n_repeat_words"), n)
     upper = F.try_divide(_c("n_chars") - _c("n_upper"), _c("word_chars"))
     variety = F.try_divide(_c("n_distinct"), n)
     return {
-        "length": _rule(n, n >= 40, n < 15),
-        "word_length": _rule(mean, mean.between(4, 7), ~mean.between(3.5, 8), n >= 10),
-        "symbols": _rule(symbols, symbols < 0.05, symbols > 0.2),
-        "letters": _rule(share, share < 0.02, share > 0.05, _c("word_chars") >= 40),
+        "length": _rule(n, n >= 150, n < 80),
+        "word_length": _rule(mean, mean.between(4.5, 6), ~mean.between(4.2, 6.5), n >= 10),
+        "symbols": _rule(symbols, symbols < 0.02, symbols > 0.05),
         "lines": _rule(dup, dup < 0.05, dup > 0.2, _c("n_lines") >= 4),
-        "repeats": _rule(repeat, repeat < 0.02, repeat > 0.1, n >= 10),
-        "upper": _rule(upper, upper < 0.05, upper > 0.1, _c("word_chars") >= 40),
-        "variety": _rule(variety, variety > 0.6, variety < 0.45, n.between(20, 2000)),
+        "repeats": _rule(repeat, repeat < 0.05, repeat > 0.15, n >= 10),
+        "upper": _rule(upper, upper < 0.03, upper > 0.05, _c("word_chars") >= 40),
+        "variety": _rule(variety, variety > 0.75, variety < 0.65, n.between(20, 2000)),
     }
 
 
@@ -116,16 +117,15 @@ class VoteModel:
 
 
 #: The Dirichlet prior: the share of good documents, and the shares of votes (bad, none, good) in each class for any rule.
-PRIOR_GOOD, PRIOR_RATES = 0.85, ((0.3, 0.2, 0.5), (0.03, 0.17, 0.8))
-#: The prior counts as so many rows for each row of the data, so it has the same weight at any size.
-PRIOR_WEIGHT = 1.0
+PRIOR_GOOD, PRIOR_RATES = 0.85, ((0.3, 0.2, 0.5), (0.02, 0.13, 0.85))
+#: The prior counts as so many rows in all: it says which class is the good one and keeps rates from 0, and washes out as the data grow.
+PRIOR_ROWS = 100.0
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]], names: list[str], rounds: int = 200, weight: float = PRIOR_WEIGHT) -> VoteModel:
+def estimate(patterns: list[tuple[tuple[int, ...], int]], names: list[str], rounds: int = 500, pseudo: float = PRIOR_ROWS) -> VoteModel:
     """EM from (votes, count) patterns, till no posterior moves by 1e-6. An abstention is an outcome like another; with no rows the prior stands."""
     prior = (1 - PRIOR_GOOD, PRIOR_GOOD)
     model = VoteModel(PRIOR_GOOD, {n: [list(x) for x in PRIOR_RATES] for n in names})
-    pseudo = weight * sum(c for _, c in patterns)
     before: list[float] = []
     for _ in range(rounds if patterns else 0):
         z = [math.log(model.good / (1 - model.good)) + sum(model.evidence(n, v) for n, v in zip(names, votes, strict=True)) for votes, _ in patterns]
