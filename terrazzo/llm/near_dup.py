@@ -33,6 +33,8 @@ COORDINATES = 64
 MISS = 1e-7
 #: Classes, and their shingles, that are compared in one task.
 BLOCK, BLOCK_SHINGLES = 4096, 1 << 22
+#: Keys whose rows aren't shuffled in a join, at most, and the least rows of such a one.
+HEAVY_KEYS, LEAST_HEAVY = 10_000, 1_000
 #: A table of classes of at most so many rows (about 64 bytes each) is broadcast to the texts; a larger one is joined by shuffle.
 BROADCAST_ROWS = 250_000
 
@@ -101,12 +103,25 @@ def _classes(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     return rows, classes.withColumn("cls", F.monotonically_increasing_id()).checkpoint()
 
 
+def with_key(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """`rows` joined with `table` (key, n, ...), a row for each key with the number n of `rows` that have it.
+
+    Keys of more than a HEAVY_KEYS-th of all rows go to all tasks, of which there are HEAVY_KEYS at most, so their rows stay
+    where they lie; the other keys' rows meet theirs by shuffle.
+    """
+    table = table.checkpoint()
+    least = (table.agg(F.sum("n")).first()[0] or 0) / HEAVY_KEYS
+    heavy = F.broadcast(table.where(F.col("n") > max(least, LEAST_HEAVY)))
+    light = rows.join(heavy.select(key), key, "left_anti").join(table.where(F.col("n") <= max(least, LEAST_HEAVY)), key)
+    return light.unionByName(rows.join(heavy, key))
+
+
 def _posted(classes: DataFrame, least: int) -> DataFrame:
     """(cls, hubs): the smallest members of the lists that each class is posted in; classes that are posted nowhere are left out."""
     each = classes.select("cls", F.posexplode("sig").alias("coord", "value"))
     each = each.select("cls", (F.shiftleft(F.col("coord").cast("long"), 32) + F.col("value").cast("long")).alias("key"))
     lists = each.groupBy("key").agg(F.count("*").alias("n"), F.min("cls").alias("hub")).where("n > 1")
-    mine = each.join(lists, "key").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("n", "key", "hub"))).alias("lists"))  # COORDINATES at most
+    mine = with_key(each, lists, "key").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("n", "key", "hub"))).alias("lists"))  # COORDINATES at most
     # of the places, COORDINATES - size(lists) are the class's alone
     prefix = F.slice("lists", F.lit(1), F.size("lists") - (least - 1))
     return mine.where(F.size("lists") >= least).select("cls", F.array_distinct(F.transform(prefix, lambda x: x["hub"])).alias("hubs"))
@@ -223,10 +238,10 @@ def components(links: DataFrame) -> DataFrame:
         if n == sources and edges.join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi").isEmpty():
             return edges.select(F.col("a").alias("id"), F.col("b").alias("comp")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("comp")).distinct())
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count_if(F.col("b") > F.col("a")).alias("n"))
+        large = with_key(both.where("b > a"), least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct().checkpoint()
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = with_key(large, least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         edges = small.where("a != b").distinct().checkpoint()
 
 
@@ -259,6 +274,7 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> D
     """The rows of `docs` of which no smaller doc_id is reachable, all columns as they were.
 
     Rows without a doc_id stay, and so do all rows that share the id that stays. Only ids to drop are joined, so a row never meets another's text.
+    Columns may have any names; an empty table gives none.
     """
-    drop = near_components(docs, size, percent).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+    drop = near_components(docs, size, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(drop, docs["doc_id"] == drop["_gone"], "left_anti")
