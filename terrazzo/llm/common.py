@@ -66,11 +66,19 @@ def fold(doc_id: str = "doc_id", n: int = 3):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
-    """(doc_id, text, label) of at most `rows` labelled ids, the smallest by hash, so the same at each run.
+    """(doc_id, text, label) of at most `rows` labelled ids, the smallest by hash, so the same at each run: a row for each.
 
-    `rows` bounds the table of ids that is broadcast. An id that `labels` repeats counts once with its
-    largest label; a document without an id or a label isn't drawn.
+    `rows` bounds the table of ids that is broadcast, and the result. An id that `labels` repeats counts once with its
+    largest label; one that several documents have counts once with the text of the least hash; a document without
+    an id or a label isn't drawn.
     """
     ids = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("_y"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", F.col("_y").alias("label"))
+    return one_of_each(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", F.col("_y").alias("label")))
+
+
+def one_of_each(rows: DataFrame) -> DataFrame:
+    """One of the rows (doc_id, text, ...) of each id, that of the least hash; a task hands on one row of an id, however many it has."""
+    others = [c for c in rows.columns if c != "doc_id"]
+    least = F.min(F.struct(F.xxhash64(*others).alias("_h"), *others)).alias("_r")
+    return rows.groupBy("doc_id").agg(least).select("doc_id", *[F.col(f"_r.{c}").alias(c) for c in others])

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fold, map_batches, map_rows
+from .common import fold, map_batches, map_rows, one_of_each
 
 BUCKETS, WIDTH = 1 << 13, 16
 #: The bounds on what a model is fitted to: rows in all, and rows of a language.
@@ -131,7 +131,7 @@ def train(docs: DataFrame, rows: int = SAMPLE_ROWS, folds: int = 5) -> Model | N
     near = ids.join(F.broadcast(counts), "lang").where(F.col("_h") / F.lit(2.0**64) + 0.5 <= (2.0 * LANGUAGE_ROWS + 100) / F.col("_all")).dropDuplicates(["lang", "doc_id"])
     order = W.partitionBy("lang").orderBy("_h", "doc_id")
     ids = near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= LANGUAGE_ROWS).orderBy("_n", "lang").limit(rows).select("doc_id").distinct()
-    sample = docs.select("doc_id", "text", "lang").where("lang is not null").join(F.broadcast(ids), "doc_id")
+    sample = one_of_each(docs.select("doc_id", "text", "lang").where("lang is not null").join(F.broadcast(ids), "doc_id"))
 
     def counts(text, lang):
         c = gram_counts(text)
