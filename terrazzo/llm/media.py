@@ -28,6 +28,8 @@ from .session import shared_folder
 
 WIDTH = 192
 FILL = b" "
+#: Digests that a task remembers (about 300 bytes each); a payload that it has forgotten is stored again.
+MOST_SEEN = 200_000
 HEADER = 33  # PNG's signature and its IHDR chunk
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 STORED = "doc_id long, n_bytes long, digest string, media_bytes long, media_sha256 string, shard string, offset long"
@@ -98,6 +100,8 @@ def store_payloads(docs: DataFrame, folder: str) -> DataFrame:
                     payload, n = payload_of(text)
                     digest = hashlib.sha256(payload).hexdigest()
                     if digest not in seen:
+                        if len(seen) >= MOST_SEEN:
+                            seen.clear()
                         media = encode_png(payload)
                         head = tarfile.TarInfo(f"{digest}.png")
                         head.size = len(media)
