@@ -221,9 +221,33 @@ def test_packing_holds_the_mixture():
 
 
 def test_packing_carries_across_partitions():
-    the = packing.plan([(0, "a", 3000), (0, "b", 1000), (1, "a", 1000), (1, "b", 3000)], 2, None, 1024)
-    assert np.allclose(the.savings, [[0, 0], [-1000, 1000]], atol=0.01)
-    assert the.first == [0, packing.sequence_count(4000), 2 * packing.sequence_count(4000)]
+    """What a queue has earned when a partition begins is what it wasn't served before."""
+    cuts = packing.Cuts(np.array([1000.5, 2001.3]))
+    for share, total in ((0.7, 2100), (0.3, 900), (0.9, 1000)):
+        firsts = [cuts.first(k, share, total) for k in range(4)]
+        assert firsts[0] == 0 and firsts[3] == total and firsts == sorted(firsts)
+        for part in (1, 2):
+            assert firsts[part] + cuts.saved(part, share, total) == min(total, share * cuts.times[part - 1])
+        for place in range(total):
+            assert firsts[cuts.part(place, share, total)] <= place < firsts[cuts.part(place, share, total) + 1]
+
+
+def test_packing_holds_the_mixture_of_very_many_sources(spark):
+    """More sources than a partition has windows: over stretches of windows each group of them has its share."""
+    rng = np.random.default_rng(5)
+    rows = [(i, "word " * int(rng.integers(20, 200)), f"s{i % 2000}") for i in range(12_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartitionByRange(40, "source")
+    out = packing.pack_documents(docs).collect()
+    source, whole = {i: int(s[1:]) for i, _, s in rows}, Counter()
+    windows = defaultdict(Counter)
+    for r in out:
+        windows[r.sequence_id][source[r.doc_id] % 20] += r.length
+        whole[source[r.doc_id] % 20] += r.length
+    assert whole.total() == sum({r.doc_id: r.doc_tokens for r in out}.values())
+    order = sorted(windows)
+    for k in range(0, len(order) - 100, 100):
+        some = sum((windows[i] for i in order[k : k + 100]), Counter())
+        assert all(abs(some[g] / some.total() - whole[g] / whole.total()) < 0.02 for g in whole)
 
 
 def test_packing_holds_the_mixture_on_a_sorted_table(spark):
@@ -252,7 +276,7 @@ def test_packing_holds_the_mixture_on_a_sorted_table(spark):
 def test_packing_holds_the_mixture_of_named_sources_among_many(spark, monkeypatch):
     rows = [(i, "word " * 400, ["s0", "s1", f"t{i % 50}"][i % 3]) for i in range(900)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
-    monkeypatch.setattr(packing, "MOST_CELLS", 3 * 8)
+    monkeypatch.setattr(packing, "BROADCAST_ROWS", 10)
     out = packing.pack_documents(docs, mixture={"s0": 0.75, "s1": 0.25}).collect()
     assert sum(r.length for r in out) == sum({r.doc_id: r.doc_tokens for r in out}.values())
     taken = Counter()
@@ -267,8 +291,8 @@ def test_clock_serves_shares_until_a_queue_ends():
     totals, share = np.array([100, 300, 200]), np.array([0.5, 0.25, 0.25])
     at = packing.clock(totals, share, np.array([0, 100, 200, 500, 600]))
     assert np.allclose(np.minimum(share * at[:, None], totals), [[0, 0, 0], [50, 25, 25], [100, 50, 50], [100, 200, 200], [100, 300, 200]])
-    ends = packing.cuts(totals, share, 3)
-    assert ends.tolist() == [[0, 0, 0], [100, 50, 50], [100, 150, 150], [100, 300, 200]]
+    cuts = packing.Cuts(packing.clock(totals, share, np.array([200, 400])))
+    assert [[cuts.first(k, s, t) for s, t in zip(share, totals)] for k in range(4)] == [[0, 0, 0], [100, 50, 50], [100, 150, 150], [100, 300, 200]]
 
 
 def brute_components(rows, size, percent):
