@@ -147,7 +147,7 @@ def predict(docs: DataFrame, model: Model | None, folds: int = 5) -> DataFrame:
 
     A text that is null or has no letter, or any text if nothing could be learned, is `und` with score 0, rejected. A null
     doc_id is not held out; repeated rows each give a row; an empty table gives none; other columns
-    are ignored. Map-only.
+    are ignored. A very long text is read whole, in memory in proportion to it; of equally likely languages the first by name is given. Map-only.
     """
 
     def run(rows: list[list]):

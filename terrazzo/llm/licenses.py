@@ -159,7 +159,7 @@ def scan_licenses(docs: DataFrame, least: float = LEAST_COVERAGE) -> DataFrame:
 
     license and coverage are those of the best covered match (the first of equals); spans lists all as
     license:start:end:coverage in the order of the text. A text without a match, or null: 0, null, 0.0, "". A null
-    doc_id stays null; repeated rows each give a row; an empty table gives none; other columns are ignored. Map-only.
+    doc_id stays null; repeated rows each give a row; an empty table gives none; other columns are ignored. A very long text is read whole, in memory in proportion to it. Map-only.
     """
 
     def digest(doc_id, text):

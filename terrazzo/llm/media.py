@@ -157,7 +157,8 @@ def media_columns(docs: DataFrame, folder: str | None = None) -> DataFrame:
     """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, where it lies, and width, height, sample_bits.
 
     A null text is an empty one: a payload of one line of spaces. A null doc_id stays null; repeated rows
-    each give a row and share a payload; an empty table gives none; other columns are ignored.
+    each give a row, with equal values; an empty table gives none; other columns are ignored. A very long text is one payload, in memory
+    while it is stored and read. Equal payloads of a task are stored once, unless MOST_SEEN others came between them.
     folder: the default is a new one in the shared checkpoint folder. Map-only.
     """
     folder = folder or f"{shared_folder(docs.sparkSession)}/media-{uuid.uuid4().hex}"

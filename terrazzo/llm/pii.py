@@ -195,7 +195,8 @@ def find_pii(docs: DataFrame) -> DataFrame:
     """One row per input row: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
 
     A null or empty text has no entities: zeros, the digest of the empty list and "". A null doc_id stays
-    null; repeated rows each give a row; an empty table gives none; other columns are ignored. Map-only.
+    null; repeated rows each give a row; an empty table gives none; other columns are ignored. A very long text is read whole, in time and
+    memory in proportion to it. Map-only.
     """
     return map_rows(docs, digest, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string", ["doc_id", "text"])
 
@@ -203,7 +204,8 @@ def find_pii(docs: DataFrame) -> DataFrame:
 def redact_pii(docs: DataFrame) -> DataFrame:
     """`docs` with entities in `text` replaced and n_chars (where there is one) brought up to date.
 
-    All other columns pass through unchanged; null stays null. Map-only.
+    All other columns pass through unchanged, whatever they are called; null stays null, an empty text empty; repeated rows are redacted
+    alike; an empty table gives none; very long texts as in find_pii(). Map-only.
     """
     @F.pandas_udf("string")
     def clean(s: pd.Series) -> pd.Series:

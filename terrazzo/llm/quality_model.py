@@ -140,7 +140,8 @@ def classify(docs: DataFrame, model: Machine, folds: int = 3) -> DataFrame:
     """doc_id, held_out, score, predicted: one row per input row, from whole texts.
 
     Null and empty texts are scored by their bins alone. A null doc_id is not held out; repeated rows each give
-    a row; an empty table gives none; other columns are ignored. Map-only; the model's size is fixed.
+    a row; an empty table gives none; other columns are ignored. A very long text is read whole, in memory in proportion to it; a score of
+    exactly one half predicts 1. Map-only; the model's size is fixed.
     """
     hasher = Hasher(WORD_BUCKETS)
 

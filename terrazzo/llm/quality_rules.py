@@ -161,7 +161,8 @@ def rate_quality(docs: DataFrame) -> DataFrame:
     """doc_id, the base statistics, base_failed, kept and quality (the posterior), one row per input row.
 
     Null and empty texts have no words: zeros, base_failed true. A null doc_id stays null; repeated rows
-    each give a row; an empty table gives none; other columns are ignored. The texts are read once: their
+    each give a row; an empty table gives none; other columns are ignored. A very long text is one row's arrays of words, in memory in proportion to
+    it; a posterior of exactly one half is kept. The texts are read once: their
     statistics, a few numbers a row, go to the checkpoint folder, and both EM and scoring read those.
     """
     stats = with_stats(docs, ["doc_id"]).checkpoint()
@@ -173,7 +174,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that are kept, with the columns of `docs`, whatever they are called.
 
     Null and empty texts fail the base rules, so their rows go; a null doc_id or other column stays null; repeated rows
-    share a verdict; an empty table gives none. Rows and statistics go to the checkpoint folder, so each is computed once.
+    share a verdict; an empty table gives none; very long texts and ties as in rate_quality(). Rows and statistics go to the checkpoint folder, so each is computed once.
     """
     stats = with_stats(docs, docs.columns).checkpoint()
     return score(stats, learn(stats)).where(_c("kept")).select(DOC + ".*")

@@ -183,7 +183,8 @@ def score_toxicity(docs: DataFrame, model: Ordinal) -> DataFrame:
     """doc_id, severity (0 to 3), grade (the most likely), p_toxic (P(grade >= 1)), rejected, one row per input row, from whole texts.
 
     Null and empty texts score as a text without words. A null doc_id stays null; repeated rows each give
-    a row; an empty table gives none; other columns are ignored. Map-only; the model has at most BUCKETS weights.
+    a row; an empty table gives none; other columns are ignored. A very long text is read whole, in memory in proportion to it; of equally
+    likely grades the lower one is given. Map-only; the model has at most BUCKETS weights.
     """
     counts = Counts(model.weights)
 
@@ -196,7 +197,7 @@ def score_toxicity(docs: DataFrame, model: Ordinal) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: Ordinal) -> DataFrame:
-    """The rows of `docs` that the model doesn't reject, all columns as they were. Nulls, empty texts and repeated rows as in score_toxicity()."""
+    """The rows of `docs` that the model doesn't reject, all columns as they were, whatever they are called. Nulls, empty and long texts, repeated rows and an empty table as in score_toxicity()."""
     counts = Counts(model.weights)
 
     @F.pandas_udf("boolean")
