@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept, and returns the columns of
 `documents`, but for the last, which returns the packed pieces. Each stage's result is written as Parquet
 and read again as the next one's input.
+
+In every stage a null or empty text, a null in any other column, repeated rows, an empty table and other columns of any name are fine: a null or empty text
+isn't toxic, fails the quality rules, is a duplicate of nothing, has no personal data, and is packed as the one id that ends a document; equal rows share
+their fate, but for packing, where each is packed; other columns come through all stages but the last; very long texts are read whole.
 """
 
 from __future__ import annotations
@@ -58,7 +62,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; what lies between two stages is written to the shared folder."""
+    """All stages over `documents`; what lies between two stages is written to the shared folder. An empty table gives no pieces."""
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
