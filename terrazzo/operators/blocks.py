@@ -6,20 +6,16 @@ a leaf of median splits. Boxes and windows meet by equi-joins on the cells that
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import zorder as Z
 from ..functions.region import Region
 from . import cells
-from .order import numbered
+from .order import numbered, numbered_within
 
 PAGE_ITEMS = 204  # items of 20 bytes on a page of 4096
-#: Points that median splits are taken from, and levels of splits at most.
-SPLIT_ROWS, MOST_LEVELS = 1 << 16, 12
 
 
 def box_of(prefix: str = "", x: str = "x", y: str = "y") -> list[Column]:
@@ -117,10 +113,16 @@ def io_cost(blocks: DataFrame, windows: DataFrame, pages_per_block: int, region:
 
 
 def packed_rows(rows: DataFrame, slices: int, per_slice: int) -> DataFrame:
-    """`rows` with strip and tile of sort-tile-recursive packing: `slices` runs by x, in each per_slice runs by y."""
+    """`rows` with strip and tile of sort-tile-recursive packing: `slices` runs by x, in each per_slice runs by y, from 1, the first ones longer by one
+    row where they can't be equal. A strip may lie in many tasks."""
     n = rows.count()
     strip = numbered(rows, ["x", "id"], name="_p").withColumn("strip", F.expr(f"_p * {slices} div {max(1, n)}")).drop("_p")
-    return strip.withColumn("tile", F.ntile(per_slice).over(W.partitionBy("strip").orderBy("y", "id")))
+    at = numbered_within(strip, "strip", ["y", "id"], name="_q")
+    sizes = strip.groupBy("strip").agg(F.count("*").alias("_n"))
+    short, longer = F.expr(f"_n div {per_slice}"), F.expr(f"_n % {per_slice}")
+    begin = longer * (short + 1)  # rows of the longer tiles
+    place = F.when(F.col("_q") < begin, F.expr(f"_q div (_n div {per_slice} + 1)")).otherwise(longer + F.floor((F.col("_q") - begin) / F.greatest(F.lit(1), short)))
+    return at.join(sizes, "strip").withColumn("tile", (place + 1).cast("int")).drop("_q", "_n")
 
 
 def packed_boxes(rows: DataFrame, slices: int, per_slice: int) -> DataFrame:
@@ -128,39 +130,45 @@ def packed_boxes(rows: DataFrame, slices: int, per_slice: int) -> DataFrame:
     return packed_rows(rows, slices, per_slice).groupBy("strip", "tile").agg(F.count("*").alias("n"), *box_of())
 
 
-def median_splits(points: DataFrame, most: int) -> list[float]:
-    """Splits in level order, by x and y in turn, so that a leaf holds about `most` points; [0] is unused.
-
-    Medians are those of SPLIT_ROWS points at most, the least by hash; every point is then given its leaf, so
-    queries are exact whatever the sample. Levels are at most MOST_LEVELS, beyond which leaves grow.
-    """
-    n = points.count()
-    levels = min(MOST_LEVELS, max(0, int(np.ceil(np.log2(max(1, n / most))))))
-    sample = points.select("id", "x", "y").orderBy(F.xxhash64("id"), "id").limit(SPLIT_ROWS).toPandas()
-    parts, splits = [sample[["x", "y"]].to_numpy(float)], [0.0]
-    for level in range(levels):
-        below = []
-        for p in parts:
-            v = p[:, level % 2]
-            splits.append(float(np.median(v)) if len(p) else 0.0)
-            below += [p[v <= splits[-1]], p[v > splits[-1]]]
-        parts = below
-    return splits
-
-
-def split_leaf(splits: list[float], x: Column, y: Column) -> Column:
-    """The leaf of a point: down the levels, to the right where its value is above the split."""
-    levels = len(splits).bit_length() - 1
-    if not levels:
-        return F.lit(1).cast("long")
-    at = F.array(*map(F.lit, splits))
-    step = lambda node, d: (2 * node + F.when(F.when(d % 2 == 0, x).otherwise(y) > F.get(at, node), 1).otherwise(0)).cast("int")
-    return F.aggregate(F.sequence(F.lit(0), F.lit(levels - 1)), F.lit(1), step).cast("long")
-
-
-def with_split_leaves(points: DataFrame, splits: list[float]) -> DataFrame:
-    """`points` with `blk`, the leaf of the splits; none is dropped."""
-    return points.withColumn("blk", split_leaf(splits, F.col("x"), F.col("y")))
+def packed_levels(tiles: DataFrame, slices: int, per_slice: int, fan: int = 4) -> DataFrame:
+    """(level, strip, tile, n, bottom, up, left, right) of a tree over tiles (strip from 0, tile from 1, n, box): level 0 are the tiles, and a node of each
+    level above holds `fan` by `fan` neighbours of the one below, up to one root. A level is an aggregate of the one below."""
+    at = tiles.select(F.lit(0).alias("level"), F.col("strip").cast("long").alias("strip"), (F.col("tile") - 1).cast("long").alias("tile"), "n", "bottom", "up", "left", "right")
+    levels, side = [at], max(slices, per_slice)
+    while side > 1:
+        side = -(-side // fan)
+        grouped = levels[-1].groupBy((F.col("level") + 1).alias("level"), F.expr(f"strip div {fan}").alias("strip"), F.expr(f"tile div {fan}").alias("tile"))
+        levels.append(grouped.agg(F.sum("n").alias("n"), F.min("bottom").alias("bottom"), F.max("up").alias("up"), F.min("left").alias("left"), F.max("right").alias("right")))
+    out = levels[0]
+    for x in levels[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def descended(levels: DataFrame, windows: DataFrame, fan: int = 4) -> DataFrame:
+    """(level, qid, strip, tile, relation) of the nodes that windows (qid, box) meet: the root, and then, a join for each level, the children of nodes that were met."""
+    top = levels.agg(F.max("level")).first()[0]
+    if top is None:
+        return windows.select(F.lit(0).alias("level"), "qid", F.lit(0).cast("long").alias("strip"), F.lit(0).cast("long").alias("tile"), F.lit(0).alias("relation")).where(F.lit(False))
+    nodes = levels.select("level", "strip", "tile", *[F.col(c).alias("b_" + c) for c in ("bottom", "up", "left", "right")])
+    at = windows.select("qid", "bottom", "up", "left", "right", F.lit(0).cast("long").alias("_s"), F.lit(0).cast("long").alias("_t"))
+    found = []
+    for level in range(top, -1, -1):
+        here = nodes.where(F.col("level") == level)
+        here = here.withColumns({"_s": F.lit(0).cast("long"), "_t": F.lit(0).cast("long")}) if level == top else here.withColumns({"_s": F.expr(f"strip div {fan}"), "_t": F.expr(f"tile div {fan}")})
+        met = at.join(here, ["_s", "_t"]).where(G.overlaps(G.Box.of(), G.Box.of("b_"))).withColumn("relation", G.relation(G.Box.of(), G.Box.of("b_"))).checkpoint()
+        found.append(met.select("level", "qid", "strip", "tile", "relation"))
+        at = met.select("qid", "bottom", "up", "left", "right", F.col("strip").alias("_s"), F.col("tile").alias("_t"))
+    out = found[0]
+    for x in found[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def range_query_levels(rows: DataFrame, levels: DataFrame, windows: DataFrame, fan: int = 4) -> DataFrame:
+    """(qid, id) of rows (strip, tile from 1, ...): a descent, and then only tiles that it came to."""
+    met = descended(levels, windows, fan).where("level = 0").select("qid", "strip", (F.col("tile") + 1).alias("tile"), "relation").join(windows, "qid")
+    return rows.join(met, ["strip", "tile"]).where((F.col("relation") == 2) | G.contains(G.Box.of(), F.col("x"), F.col("y"))).select("qid", "id")
 
 
 def code_seeds(blocks: DataFrame, queries: DataFrame, region: Region, bits: int) -> DataFrame:

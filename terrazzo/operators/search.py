@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import zorder as Z
 from ..functions.region import Region
+from ..sources.session import prepared
 from . import cells
 from .order import before_range, laid_out, numbered, up_to_here
 
@@ -99,23 +100,70 @@ def knn_join(points: DataFrame, leaves: DataFrame, queries: DataFrame, region: R
     return ranked(near.where(F.col("d2") <= F.col("bound2")))
 
 
-def z_neighbours(points: DataFrame, queries: DataFrame, region: Region, bits: int) -> DataFrame:
-    """(qid, qx, qy, k, id, x, y): the k points before and the k after each query in the order of code, then id.
+def knn_by_density(entries: DataFrame, leaves: DataFrame, models: DataFrame, queries: DataFrame, region: Region, bits: int) -> tuple[DataFrame, list[int]]:
+    """(qid, id, d2, rank) of the k nearest of each query, exact, and how many queries each round had.
 
-    Places are numbered once; a query's own place is the number of codes up to its own, and its
-    neighbours are an equi-join on places.
+    The first radius is that of the square which would hold k rows if they lay as close as the slope of the query's leaf model says (places
+    for each code), or as in the whole table where a leaf has none. A query with fewer than k rows in its window goes on with twice the
+    radius, one whose kth lies beyond it with that distance; so the table of queries shrinks from round to round.
+    """
+    prepared(entries.sparkSession)
+    n = entries.count()
+    side = max(region.width, region.height)
+    at = cells.assign_leaves(with_query_code(queries, region, bits), leaves, bits).join(models.select("leaf", F.col("a").alias("_a")), "leaf", "left").select("qid", "_a")
+    # rows in a square of side 2 r: a * 4 ** bits * (2 r / side) ** 2
+    close = F.greatest(F.coalesce("_a", F.lit(0.0)) * float(4**bits), F.lit(float(max(1, n))) / 4)
+    left = queries.join(at, "qid", "left").withColumn("r", F.sqrt(F.col("k") / close) / 2 * side).select("qid", "qx", "qy", "k", "r").checkpoint()
+    reach = F.greatest(F.abs(F.col("qx") - region.left), F.abs(F.col("qx") - region.right)) + F.greatest(F.abs(F.col("qy") - region.bottom), F.abs(F.col("qy") - region.up))
+    found, rounds = [], []
+    while rounds == [] or rounds[-1]:
+        rounds.append(left.count())
+        if not rounds[-1]:
+            break
+        windows = left.select("*", (F.col("qy") - F.col("r")).alias("bottom"), (F.col("qy") + F.col("r")).alias("up"), (F.col("qx") - F.col("r")).alias("left"), (F.col("qx") + F.col("r")).alias("right"))
+        met = cells.leaves_met(leaves, windows, region, bits).select("qid", "qx", "qy", "k", "r", "leaf")
+        near = entries.join(met, "leaf").withColumn("d2", G.distance2(F.col("x"), F.col("y"), F.col("qx"), F.col("qy")))
+        inside = near.where((F.abs(F.col("x") - F.col("qx")) <= F.col("r")) & (F.abs(F.col("y") - F.col("qy")) <= F.col("r")))
+        best = ranked(inside).checkpoint()
+        got = best.groupBy("qid").agg(F.count("*").alias("_n"), F.sqrt(F.max("d2")).alias("_far"))
+        state = left.join(got, "qid", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+        enough = F.col("_n") >= F.col("k")
+        done = (enough & (F.col("_far") <= F.col("r"))) | (~enough & (F.col("r") >= reach))
+        state = state.withColumn("_done", done).checkpoint()
+        found.append(best.join(state.where("_done").select("qid"), "qid"))
+        left = state.where("not _done").select("qid", "qx", "qy", "k", F.when(enough, F.col("_far") * (1 + 1e-12)).otherwise(F.col("r") * 2).alias("r")).checkpoint()
+    out = found[0] if found else queries.select("qid", F.lit(0).cast("long").alias("id"), F.lit(0.0).alias("d2"), F.lit(0).alias("rank")).where(F.lit(False))
+    for x in found[1:]:
+        out = out.unionByName(x)
+    return out.select("qid", "id", "d2", "rank"), rounds[:-1]
+
+
+def placed(points: DataFrame, per_block: int = 256) -> DataFrame:
+    """`points` (id, x, y, z) with `pos`, their place in order of code, then id, and `blk`, runs of per_block places: an index table to be stored."""
+    return numbered(points.select("id", "x", "y", "z"), ["z", "id"]).withColumn("blk", F.expr(f"pos div {per_block}"))
+
+
+def z_neighbours(at: DataFrame, queries: DataFrame, region: Region, bits: int) -> DataFrame:
+    """(qid, qx, qy, k, id, x, y): the k points before and the k after each query in the order of code, then id, from points as placed() gives them.
+
+    A query's own place is that of the first row of the last block that begins at its code or before, and of the rows in there up
+    to its code; its neighbours are an equi-join on places. The points aren't laid out anew.
     """
     q = with_query_code(queries, region, bits)
-    rank = count_at_most(points, "z", q, "z").withColumnRenamed("n", "_n")
-    places = q.join(rank, "z").select("qid", "qx", "qy", "k", F.explode(F.sequence(F.col("_n") - F.col("k"), F.col("_n") + F.col("k") - 1)).alias("pos"))
-    return numbered(points.select("id", "x", "y", "z"), ["z", "id"]).join(places, "pos").select("qid", "qx", "qy", "k", "id", "x", "y")
+    firsts = at.groupBy("blk").agg(F.min("z").alias("value"), F.min("pos").alias("_first"))
+    starts = firsts.groupBy("value").agg(F.max("blk").alias("leaf")).withColumn("value_diff", F.lit(1 << 62) - F.col("value"))
+    near = cells.assign_leaves(q, starts, bits).join(firsts.select(F.col("blk").alias("leaf"), "_first"), "leaf")
+    inside = near.join(at.select(F.col("blk").alias("leaf"), F.col("z").alias("_z")), "leaf").where(F.col("_z") <= F.col("z")).groupBy("qid").agg((F.first("_first") + F.count("*")).alias("_n"))
+    places = q.join(inside, "qid", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    places = places.select("qid", "qx", "qy", "k", F.explode(F.sequence(F.col("_n") - F.col("k"), F.col("_n") + F.col("k") - 1)).alias("pos"))
+    return at.select("pos", "id", "x", "y").join(places, "pos").select("qid", "qx", "qy", "k", "id", "x", "y")
 
 
-def knn_by_code(points: DataFrame, rows: DataFrame, boxes: DataFrame, queries: DataFrame, region: Region, bits: int) -> DataFrame:
-    """(qid, id, d2, rank) of the k nearest, bounded by the kth distance among a query's neighbours in code; `rows` (blk, id, x, y) of `boxes` are then read."""
+def knn_by_code(at: DataFrame, rows: DataFrame, boxes: DataFrame, queries: DataFrame, region: Region, bits: int) -> DataFrame:
+    """(qid, id, d2, rank) of the k nearest, bounded by the kth distance among a query's neighbours in code (points as placed() gives them); `rows` (blk, id, x, y) of `boxes` are then read."""
     from .blocks import bounded, knn_within
 
-    near = z_neighbours(points, queries, region, bits).withColumn("d2", G.distance2(F.col("x"), F.col("y"), F.col("qx"), F.col("qy")))
+    near = z_neighbours(at, queries, region, bits).withColumn("d2", G.distance2(F.col("x"), F.col("y"), F.col("qx"), F.col("qy")))
     found = ranked(near).groupBy("qid").agg(F.count("*").alias("_n"), F.max("d2").alias("_d2"))
     return knn_within(rows, boxes, bounded(queries, found, region), region, bits)
 

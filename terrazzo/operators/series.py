@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import recurrent
+
 
 def time_id(t: Column, start: int, interval: int) -> Column:
     return F.floor((t - F.lit(start)) / F.lit(interval)).cast("long")
@@ -124,19 +126,55 @@ def _autoregression(y: np.ndarray, lags: list[int], steps: int, ridge: float) ->
     return np.array(hist[len(y) :])
 
 
-def seasonal_ar(y: np.ndarray, lag: int, steps: int) -> np.ndarray:
-    """Differences of `lag` regressed on three steps and two seasons back: least squares in place of a seasonal ARIMA's likelihood. Each column by itself."""
+def arma_residuals(d: np.ndarray, params: np.ndarray, lag: int) -> np.ndarray:
+    """(set, time) shocks of a series for sets of (mean, ar, seasonal ar, ma, seasonal ma): what a row leaves of the rows and shocks one step
+    and one season before it. Shocks before the first row that has both are zero."""
+    mean, ar, sar, ma, sma = params.T
+    c = d[None, :] - mean[:, None]
+    e = np.zeros_like(c)
+    for t in range(lag, c.shape[1]):
+        e[:, t] = c[:, t] - ar * c[:, t - 1] - sar * c[:, t - lag] - ma * e[:, t - 1] - sma * e[:, t - lag]
+    return e
+
+
+def fit_arma(d: np.ndarray, lag: int, rounds: int = 60) -> np.ndarray:
+    """Parameters of arma_residuals() with the least sum of squared shocks, by damped Gauss-Newton steps; all but the mean stay within -0.98 to 0.98. lag 1 has no season."""
+    p = np.array([d.mean(), 0.1, 0.0, 0.1, 0.0])
+    free = [0, 1, 3] if lag == 1 else [0, 1, 2, 3, 4]
+    damp, e = 1e-2, arma_residuals(d, p[None], lag)[0]
+    for _ in range(rounds):
+        step = np.zeros((len(free), 5))
+        step[np.arange(len(free)), free] = 1e-6
+        slope = (arma_residuals(d, p + step, lag) - e) / 1e-6
+        a = slope @ slope.T
+        new = p.copy()
+        new[free] -= np.linalg.solve(a + damp * np.diag(np.diag(a) + 1e-12), slope @ e)
+        new[1:] = np.clip(new[1:], -0.98, 0.98)
+        after = arma_residuals(d, new[None], lag)[0]
+        if after @ after < e @ e:
+            done = e @ e - after @ after < 1e-10 * (e @ e)
+            p, e, damp = new, after, damp / 3
+            if done:
+                break
+        elif (damp := damp * 5) > 1e8:
+            break
+    return p
+
+
+def seasonal_arima(y: np.ndarray, lag: int, steps: int) -> np.ndarray:
+    """Differences of one season as an ARMA with one step and one season of each, by conditional sums of squares; shocks to come are zero. Each column by itself."""
     if len(y) <= 3 * lag + 3:
         return repeat_last(y, lag, steps)
     out = []
-    for c in y.T:
-        d = (c[lag:] - c[:-lag])[:, None]
-        lags = sorted({1, 2, 3, lag, 2 * lag} & set(range(1, len(d) - 2)))
-        ahead = _autoregression(d, lags, steps, 1e-3)[:, 0]
-        hist = list(c)
-        for v in ahead:
-            hist.append(hist[-lag] + v)
-        out.append(hist[len(c) :])
+    for column in y.T:
+        d = column[lag:] - column[:-lag]
+        mean, ar, sar, ma, sma = p = fit_arma(d, lag)
+        shocks, c, hist = list(arma_residuals(d, p[None], lag)[0]), list(d - mean), list(column)
+        for _ in range(steps):
+            c.append(ar * c[-1] + sar * c[-lag] + ma * shocks[-1] + sma * shocks[-lag])
+            shocks.append(0.0)
+            hist.append(hist[-lag] + c[-1] + mean)
+        out.append(hist[len(column) :])
     return np.array(out).T
 
 
@@ -162,84 +200,14 @@ def vector_arma(y: np.ndarray, lag: int, steps: int) -> np.ndarray:
     return np.array(hist[len(y) :])
 
 
-def convolved(y: np.ndarray, lag: int, steps: int, channels: int = 6, reach: int = 1, seed: int = 5) -> np.ndarray:
-    """An LSTM whose gates are convolutions along the columns, `reach` to each side: neighbouring steps of a cdf share
-    one set of random kernels, and one trained read-out gives each column from the states around it."""
-    if len(y) <= lag + 2:
-        return repeat_last(y, lag, steps)
-    rng = np.random.default_rng(seed)
-    low, span = y.min(axis=0), np.where(y.max(axis=0) > y.min(axis=0), y.max(axis=0) - y.min(axis=0), 1.0)
-    u, wide = (y - low) / span, y.shape[1]
-    size = (2 * reach + 1) * (channels + 1)
-    kernels = rng.normal(0, 1 / np.sqrt(size), (size, 4 * channels))
-
-    def around(m: np.ndarray) -> np.ndarray:
-        """(column, what lies at it and at `reach` columns to each side); the outermost ones are repeated."""
-        padded = np.pad(m, ((reach, reach), (0, 0)), mode="edge")
-        return np.hstack([padded[k : k + wide] for k in range(2 * reach + 1)])
-
-    def state(window: np.ndarray) -> np.ndarray:
-        h = c = np.zeros((wide, channels))
-        for r in window:
-            i, f, o, new = np.split(around(np.hstack([r[:, None], h])) @ kernels, 4, axis=1)
-            c = c / (1 + np.exp(-f - 1)) + np.tanh(new) / (1 + np.exp(-i))
-            h = np.tanh(c) / (1 + np.exp(-o))
-        return np.hstack([np.ones((wide, 1)), around(h), window.T])
-
-    x = np.concatenate([state(u[i : i + lag]) for i in range(len(u) - lag)])
-    out = np.linalg.solve(x.T @ x + 1e-2 * np.eye(x.shape[1]), x.T @ u[lag:].ravel())
-    hist = list(u)
-    for _ in range(steps):
-        hist.append(state(np.array(hist[-lag:])) @ out)
-    return np.array(hist[len(u) :]) * span + low
-
-
-def recurrent(y: np.ndarray, lag: int, steps: int, hidden: int = 24, gated: bool = True, epochs: int = 60, seed: int = 3, cell: bool = False) -> np.ndarray:
-    """A recurrent network (gated, plain, or with an LSTM's cell state and its three gates) over windows of `lag` rows: random recurrent weights, a trained read-out. Rolled ahead step by step."""
-    if len(y) <= lag + 2:
-        return repeat_last(y, lag, steps)
-    rng = np.random.default_rng(seed)
-    wide = y.shape[1]
-    low, span = y.min(axis=0), np.where(y.max(axis=0) > y.min(axis=0), y.max(axis=0) - y.min(axis=0), 1.0)
-    u = (y - low) / span
-    win, rec = rng.normal(0, 1 / np.sqrt(wide), (wide, hidden)), rng.normal(0, 0.7 / np.sqrt(hidden), (hidden, hidden))
-    gate_in, gate_rec = rng.normal(0, 1 / np.sqrt(wide), (wide, hidden)), rng.normal(0, 0.7 / np.sqrt(hidden), (hidden, hidden))
-
-    # an LSTM's input, forget and output gates
-    three = [(rng.normal(0, 1 / np.sqrt(wide), (wide, hidden)), rng.normal(0, 0.7 / np.sqrt(hidden), (hidden, hidden)), bias) for bias in (0.0, 1.0, 0.0)] if cell else []
-
-    def state(rows: np.ndarray) -> np.ndarray:
-        h, c = np.zeros(hidden), np.zeros(hidden)
-        for r in rows:
-            if cell:
-                i, f, o = (1 / (1 + np.exp(-(r @ a + h @ b + bias))) for a, b, bias in three)
-                c = f * c + i * np.tanh(r @ win + h @ rec)
-                h = o * np.tanh(c)
-                continue
-            new = np.tanh(r @ win + h @ rec)
-            g = 1 / (1 + np.exp(-(r @ gate_in + h @ gate_rec))) if gated else 1.0
-            h = g * new + (1 - g) * h
-        return np.concatenate([[1.0], h, rows[-1]])
-
-    x = np.array([state(u[i : i + lag]) for i in range(len(u) - lag)])
-    out = np.linalg.solve(x.T @ x + 1e-3 * np.eye(x.shape[1]), x.T @ u[lag:])
-    hist = list(u)
-    for _ in range(steps):
-        hist.append(state(np.array(hist[-lag:])) @ out)
-    return np.array(hist[len(u) :]) * span + low
-
-
 #: Forecasters by name: of a (time, column) array, the season's length and the steps ahead.
 FORECASTERS: dict[str, Callable[[np.ndarray, int, int], np.ndarray]] = {
     "last": repeat_last,
     "es": holt_winters,
-    "sarima": seasonal_ar,
+    "sarima": seasonal_arima,
     "var": vector_ar,
-    "gru": recurrent,
-    "rnn": lambda y, lag, steps: recurrent(y, lag, steps, gated=False),
-    "lstm": lambda y, lag, steps: recurrent(y, lag, steps, hidden=32, cell=True),
     "varma": vector_arma,
-    "convlstm": convolved,
+    **{kind: recurrent.forecaster(kind) for kind in ("rnn", "gru", "lstm", "convlstm")},
 }
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..functions import zorder as Z
 from ..functions.region import UNIT, Region
-from ..operators import blocks, cells, learned, metrics, prep, search, series, updates
+from ..operators import blocks, cells, learned, medians, metrics, prep, search, series, updates
 from ..sources import points as src
 from ..sources import sql as sql_functions
 from ..sources.session import prepared, shared_folder
@@ -52,9 +52,17 @@ def _written(table: DataFrame) -> DataFrame:
     return table.checkpoint()
 
 
+def index_folder(spark: SparkSession, sf_dir: str) -> str:
+    """Where the index tables of a data set lie: a name for its path and the sizes and times of its files."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(path))
+    return f"{shared_folder(prepared(spark))}/index-{zlib.crc32(repr((sf_dir, files)).encode()):08x}"
+
+
 def _stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """An index table by name: written to the shared folder by the first query of a session that asks for it, read by all."""
-    path = f"{shared_folder(prepared(spark))}/index-{zlib.crc32(sf_dir.encode()):08x}/{name}"
+    """An index table by name: written to the shared folder by the first query of a session that asks for it, read by all until the input's files change."""
+    path = f"{index_folder(spark, sf_dir)}/{name}"
     done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
         build().write.mode("overwrite").parquet(path)
@@ -69,6 +77,11 @@ def _points(spark, sf_dir, name: str) -> DataFrame:
     return _stored(spark, sf_dir, f"{name}_by_code", lambda: prep.sorted_by_code(POINTS[name](spark, sf_dir)))
 
 
+def _placed(spark, sf_dir, name: str) -> DataFrame:
+    """The points with their place in order of code."""
+    return _stored(spark, sf_dir, f"{name}_places", lambda: search.placed(_points(spark, sf_dir, name)))
+
+
 def _meta(spark, sf_dir, name: str) -> DataFrame:
     return _stored(spark, sf_dir, f"{name}_leaves", lambda: cells.leaf_meta(cells.leaves(_points(spark, sf_dir, name), LEAF_ROWS, BITS, DEEPEST), UNIT, BITS))
 
@@ -89,11 +102,17 @@ def _blocks_by_code(spark, sf_dir, name: str) -> tuple[DataFrame, DataFrame]:
     return rows, _stored(spark, sf_dir, f"{name}_blocks", lambda: blocks.block_ranges(rows).join(rows.groupBy("blk").agg(F.min("z").alias("z_lo")), "blk"))
 
 
-def _split(spark, sf_dir, name: str) -> tuple[DataFrame, DataFrame, list[float]]:
-    """(rows with blk, blocks, splits) of median splits."""
-    points = _points(spark, sf_dir, name)
-    splits = blocks.median_splits(points, LEAF_ROWS)
-    rows = _stored(spark, sf_dir, f"{name}_split", lambda: blocks.with_split_leaves(points, splits))
+def _split(spark, sf_dir, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows with blk, blocks, splits) of the tree of medians."""
+    tree: list[tuple[DataFrame, DataFrame]] = []
+
+    def built(part: int) -> DataFrame:
+        if not tree:
+            tree.append(medians.median_tree(_points(spark, sf_dir, name), LEAF_ROWS))
+        return tree[0][part]
+
+    rows = _stored(spark, sf_dir, f"{name}_split", lambda: built(0))
+    splits = _stored(spark, sf_dir, f"{name}_splits", lambda: built(1))
     return rows, _stored(spark, sf_dir, f"{name}_split_boxes", lambda: blocks.block_ranges(rows)), splits
 
 
@@ -289,10 +308,8 @@ def point_query_packed_tree(spark, sf_dir):
 
 @query(PAIRS_P)
 def point_query_median_tree(spark, sf_dir):
-    """By the leaf that the splits give the query's place, as they gave it the rows."""
-    rows, _, splits = _split(spark, sf_dir, "po")
-    q = place_queries(spark, sf_dir).select("qid", F.col("qx").alias("x"), F.col("qy").alias("y"))
-    return rows.join(blocks.with_split_leaves(q, splits), ["blk", "x", "y"]).select("qid", "id")
+    """By the boxes of the leaves: rows at one place may lie on both sides of a split."""
+    return blocks.point_query_blocks(*_split(spark, sf_dir, "po")[:2], place_queries(spark, sf_dir), UNIT, BITS)
 
 
 @query(PAIRS_P)
@@ -419,10 +436,16 @@ def knn_median_tree(spark, sf_dir):
     """The search begins in the query's own leaf."""
     rows, boxes, splits = _split(spark, sf_dir, "pe")
     q = neighbours(spark, sf_dir)
-    seeds = q.select("qid", blocks.split_leaf(splits, F.col("qx"), F.col("qy")).alias("blk"))
+    seeds = medians.located(q, splits, F.col("qx"), F.col("qy")).select("qid", "blk")
     return _as_pairs(blocks.knn_blocks(rows, boxes, seeds, q, UNIT, BITS))
 
 
+@query(PAIRS_K)
+def knn_by_density(spark, sf_dir):
+    """The first radius is by the slope of the query's leaf model, and grows for the queries that need it."""
+    return _as_pairs(search.knn_by_density(_entries(spark, sf_dir, "pe"), _meta(spark, sf_dir, "pe"), _models(spark, sf_dir, "pe"), neighbours(spark, sf_dir), UNIT, BITS)[0])
+
+
 @query(PAIRS_K)
 def knn_packed_tree(spark, sf_dir):
     """The search begins in the tile whose first code is the last at the query's own or before."""
@@ -443,12 +466,12 @@ def knn_brin(spark, sf_dir):
 @query(PAIRS_K)
 def knn_code_neighbours(spark, sf_dir):
     """The k points before and after the query in order of code bound the search."""
-    return _as_pairs(search.knn_by_code(_points(spark, sf_dir, "pe"), *_blocks_by_code(spark, sf_dir, "pe"), neighbours(spark, sf_dir), UNIT, BITS))
+    return _as_pairs(search.knn_by_code(_placed(spark, sf_dir, "pe"), *_blocks_by_code(spark, sf_dir, "pe"), neighbours(spark, sf_dir), UNIT, BITS))
 
 
 @query(f"WITH {PE}, {NQ}, n AS (SELECT *, row_number() OVER (ORDER BY z, id) - 1 AS pos FROM pe), c AS (SELECT qid, k, {axis_sql('qx')} AS a, {axis_sql('qy')} AS b FROM nq), q AS (SELECT qid, k, {spread_sql('a', 'b')} AS qz FROM c), h AS (SELECT z, max(pos) + 1 AS s FROM n GROUP BY z), r AS (SELECT qid, k, coalesce(s, 0) AS place FROM q ASOF LEFT JOIN h ON q.qz >= h.z) SELECT qid, id FROM r JOIN n ON pos BETWEEN place - k AND place + k - 1")
 def code_neighbours(spark, sf_dir):
-    return search.z_neighbours(_points(spark, sf_dir, "pe"), neighbours(spark, sf_dir), UNIT, BITS).select("qid", "id")
+    return search.z_neighbours(_placed(spark, sf_dir, "pe"), neighbours(spark, sf_dir), UNIT, BITS).select("qid", "id")
 
 
 @query(f"WITH {PE} SELECT id, round((x - 0.3::DOUBLE) * (x - 0.3::DOUBLE) + (y - 0.6::DOUBLE) * (y - 0.6::DOUBLE), 12) AS d2 FROM pe ORDER BY (x - 0.3::DOUBLE) * (x - 0.3::DOUBLE) + (y - 0.6::DOUBLE) * (y - 0.6::DOUBLE), id LIMIT 64")
@@ -469,9 +492,9 @@ def sql_range_function(spark, sf_dir):
     return _sql(spark, sf_dir, "pe", "SELECT id, x, y FROM places_range(0.2, 0.5, 0.1, 0.4)")
 
 
-@query(f"WITH {PO} SELECT id, x, y FROM po WHERE x = 0.1::DOUBLE AND y = 0.5::DOUBLE")
+@query(f"WITH {PO} SELECT id, x, y FROM po WHERE x = 0.663::DOUBLE AND y = 0.72::DOUBLE")
 def sql_place_function(spark, sf_dir):
-    return _sql(spark, sf_dir, "po", "SELECT id, x, y FROM places_at(0.1, 0.5)")
+    return _sql(spark, sf_dir, "po", "SELECT id, x, y FROM places_at(0.663, 0.72)")
 
 
 @query(f"WITH {PE} SELECT id, round((x - 0.3::DOUBLE) * (x - 0.3::DOUBLE) + (y - 0.6::DOUBLE) * (y - 0.6::DOUBLE), 12) AS d2 FROM pe ORDER BY (x - 0.3::DOUBLE) * (x - 0.3::DOUBLE) + (y - 0.6::DOUBLE) * (y - 0.6::DOUBLE), id LIMIT 64")
@@ -516,6 +539,46 @@ def median_tree(spark, sf_dir):
     return at.agg(F.count("*").alias("n"), F.count_if(~G.contains(G.Box.of(), F.col("x"), F.col("y"))).alias("outside"), (F.max("_n") <= 2 * LEAF_ROWS).alias("balanced"))
 
 
+_HALVES = f"WITH RECURSIVE {PE}, lv AS (SELECT greatest(0, ceil(log2(count(*) / {LEAF_ROWS}.0)))::INT AS l FROM pe), t AS (SELECT id, x, y, 1::BIGINT AS blk, 0 AS d, 0::BIGINT AS rn, 0::BIGINT AS n FROM pe UNION ALL SELECT id, x, y, 2 * blk + CASE WHEN r > (c + 1) // 2 THEN 1 ELSE 0 END, d + 1, r, c FROM (SELECT id, x, y, blk, d, row_number() OVER (PARTITION BY blk ORDER BY CASE WHEN d % 2 = 0 THEN x ELSE y END, id) AS r, count(*) OVER (PARTITION BY blk) AS c FROM t, lv WHERE d < l))"
+
+
+@query(f"{_HALVES} SELECT blk, count(*) AS n, min(y) AS bottom, max(y) AS up, min(x) AS lft, max(x) AS rgt FROM t, lv WHERE d = l GROUP BY blk")
+def median_tree_boxes(spark, sf_dir):
+    return _split(spark, sf_dir, "pe")[1].withColumnsRenamed({"left": "lft", "right": "rgt"})
+
+
+@query(f"{_HALVES} SELECT blk // 2 AS node, (d - 1)::BIGINT AS level, CASE WHEN d % 2 = 1 THEN x ELSE y END AS v, id FROM t WHERE d > 0 AND rn = (n + 1) // 2")
+def median_tree_splits(spark, sf_dir):
+    """The median of every node, level by level."""
+    return _split(spark, sf_dir, "pe")[2].withColumn("level", F.col("level").cast("long"))
+
+
+_TILES = f"WITH {PE}, s AS (SELECT *, (row_number() OVER (ORDER BY x, id) - 1) * 8 // (SELECT count(*) FROM pe) AS strip FROM pe), t AS (SELECT *, ntile(8) OVER (PARTITION BY strip ORDER BY y, id)::BIGINT - 1 AS tile FROM s), l AS (SELECT level::BIGINT AS level, strip // f AS strip, tile // f AS tile, count(*) AS n, min(y) AS bottom, max(y) AS up, min(x) AS lft, max(x) AS rgt FROM t, (VALUES (0, 1), (1, 4), (2, 16)) v(level, f) GROUP BY ALL)"
+
+
+def _levels(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(rows with strip and tile, all levels of boxes) of a packed tree of 8 by 8 tiles."""
+    rows = _stored(spark, sf_dir, "pe_tiles", lambda: blocks.packed_rows(_points(spark, sf_dir, "pe"), 8, 8))
+    tiles = rows.groupBy("strip", "tile").agg(F.count("*").alias("n"), *blocks.box_of())
+    return rows, _stored(spark, sf_dir, "pe_tile_levels", lambda: blocks.packed_levels(tiles, 8, 8))
+
+
+@query(f"{_TILES} SELECT level, strip, tile, n, bottom, up, lft, rgt FROM l")
+def packed_tree_levels(spark, sf_dir):
+    return _levels(spark, sf_dir)[1].withColumn("level", F.col("level").cast("long")).withColumnsRenamed({"left": "lft", "right": "rgt"})
+
+
+@query(f"{_TILES}, {WQ} SELECT l.level, qid, strip, tile FROM l JOIN wq ON wq.bottom <= l.up AND l.bottom <= wq.up AND wq.lft <= l.rgt AND l.lft <= wq.rgt")
+def packed_tree_descent(spark, sf_dir):
+    """The nodes that a window comes to, level by level: those whose boxes it meets, as a box lies in its parent's."""
+    return blocks.descended(_levels(spark, sf_dir)[1], windows(spark, sf_dir)).select(F.col("level").cast("long").alias("level"), "qid", "strip", "tile")
+
+
+@query(PAIRS_R)
+def range_query_packed_levels(spark, sf_dir):
+    return blocks.range_query_levels(*_levels(spark, sf_dir), windows(spark, sf_dir))
+
+
 _AT_LEAF = f"WITH {PE}, {PYRAMID}, e AS (SELECT pe.*, cell * 64 + depth AS leaf FROM pe JOIN leaf ON z >> (2 * ({BITS} - depth)) = cell), p AS (SELECT *, row_number() OVER (PARTITION BY leaf ORDER BY z, id) - 1 AS pos FROM e)"
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import itertools
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,10 @@ from pyspark.sql import functions as F
 
 from ..functions import zorder as Z
 from ..functions.region import UNIT
-from ..operators import blocks, cells, learned, metrics, series, updates
+from ..operators import blocks, cells, learned, medians, metrics, series, updates
+from ..operators.growth import Shape
+from ..sources.session import prepared, shared_folder
+from ..streaming.tree import StoredTree
 from . import catalogue as c
 from .fixtures import BITS, DAY, START, pe, windows
 
@@ -46,7 +50,7 @@ def block_ranges(spark, sf_dir, by_code: bool, per_block: int) -> dict[str, floa
 
 def median_tree(spark, sf_dir, leaf_rows: int) -> dict[str, float]:
     points = c._points(spark, sf_dir, "pe")
-    return _boxes(spark, sf_dir, blocks.block_ranges(blocks.with_split_leaves(points, blocks.median_splits(points, leaf_rows))))
+    return _boxes(spark, sf_dir, blocks.block_ranges(medians.median_tree(points, leaf_rows)[0]))
 
 
 def packed_tree(spark, sf_dir, side: int) -> dict[str, float]:
@@ -93,6 +97,37 @@ def merges(spark, sf_dir, chunks: int, factor: float) -> dict[str, float]:
     return _one(metrics.mean_error(version[1])) | _one(learned.violations(*version).agg(F.sum("outside").alias("outside")))
 
 
+def updating(spark, sf_dir, method: str, chunks: int, factor: float) -> dict[str, float]:
+    """Inserts in `chunks` parts after the first by one method: all leaves and models built anew each time (`rebuild`), fixed leaves whose models are refitted
+    beyond the factor (`models`), or a tree whose leaves split and whose networks are inherited (`tree`). Leaves, mean error interval, rows outside their bounds (none), and models fitted in all."""
+    points = c._points(spark, sf_dir, "pe")
+    part = F.pmod(F.xxhash64("id"), F.lit(chunks + 1))
+    if method == "tree":
+        tree = StoredTree(spark, f"{shared_folder(prepared(spark))}/updating-{uuid.uuid4().hex}", UNIT, Shape(c.LEAF_ROWS, BITS, c.DEEPEST, steps=40, factor=factor))
+        fitted = 0
+        for k in range(chunks + 1):
+            before = tree.latest()
+            m = tree.merge(points.where(part == k))
+            new = [x for x in m.tables["models"] if m.tables["models"][x] != before.tables.get("models", {}).get(x)]
+            old = tree.store.read(before, "models").select("leaf", "w0") if "models" in before.tables else None
+            made = tree.store.read(m, "models", new).where(F.col("origin").isin("fitted", "refit"))
+            fitted += (made if old is None else made.join(old, ["leaf", "w0"], "left_anti")).count()
+        models, outside = tree.table("models").checkpoint(), tree.violations()
+    else:
+        meta, version, fitted = None, None, 0
+        for k in range(chunks + 1):
+            rows = points.where(part <= k)
+            if meta is None or method == "rebuild":
+                meta = cells.leaf_meta(cells.all_leaves(rows, c.LEAF_ROWS, BITS, c.DEEPEST), UNIT, BITS).checkpoint()
+                version = updates.first_version(rows, meta, BITS)
+                fitted += version[1].count()
+            else:
+                before, version = version[1], updates.merged_version(version, points.where(part == k), meta, BITS, factor)
+                fitted += version[1].select("leaf", "a", "b").exceptAll(before.select("leaf", "a", "b")).count()
+        models, outside = version[1], learned.violations(*version)
+    return {"leaves": float(models.count()), "fitted": float(fitted)} | _one(metrics.mean_error(models)) | _one(outside.agg(F.sum("outside").alias("outside")))
+
+
 def forecasts(spark, sf_dir, width: int, model: str, hours: int) -> dict[str, float]:
     """Errors over the last three intervals of `hours`, for a cdf of `width` steps."""
     interval = hours * 3600
@@ -142,6 +177,7 @@ EXPERIMENTS: dict[str, tuple[Measure, list[dict]]] = {
     "recursive_models": (recursive_models, grid(leaves=[16, 64, 256], edges=[False, True])),
     "networks": (networks, grid(hidden=[8, 16], steps=[60, 300])),
     "merges": (merges, grid(chunks=[5], factor=[1.0, 1.5, 2.0])),
+    "updating": (updating, grid(method=["rebuild"], chunks=[5], factor=[1.0]) + grid(method=["models", "tree"], chunks=[5], factor=[1.0, 1.5, 2.0])),
     "forecasts": (forecasts, grid(width=[10, 50], model=["last", "es", "var", "sarima", "gru"], hours=[24])),
     "build_partitions": (build_partitions, grid(partitions=[1, 8, 64])),
     "codecs": (codecs, grid(codec=["encode", "encode_truncated", "decode", "neighbours", "bits", "base32", "base32_decode"])),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from terrazzo.functions import geometry as G
 from terrazzo.functions import zorder as Z
 from terrazzo.functions.region import UNIT, Region
-from terrazzo.operators import learned, series
+from terrazzo.operators import learned, recurrent, series
 
 
 CITY = Region(45.41, 45.67, 9.05, 9.34)
@@ -175,11 +175,51 @@ def test_digits_of_geohashes(spark):
         assert [a, b] == want
 
 
-def test_lstm_has_a_cell_of_its_own():
-    y = (np.sin(np.arange(80) * 2 * np.pi / 7) * 10 + 20)[:, None]
-    want = (np.sin(np.arange(80, 83) * 2 * np.pi / 7) * 10 + 20)[:, None]
-    got = series.FORECASTERS["lstm"](y, 7, 3)
-    assert np.abs(got - want).max() < 1.5 and not np.array_equal(got, series.recurrent(y, 7, 3, hidden=32))
+@pytest.mark.parametrize("kind", ["rnn", "gru", "lstm", "convlstm"])
+def test_gradients_are_the_differences(kind):
+    rng = np.random.default_rng(1)
+    x, y, w = rng.random((3, 4, 5)), rng.random((3, 5)), recurrent.fresh(kind, 5)
+    _, grad, _ = recurrent.loss_and_gradient(w, x, y, kind)
+    for name, value in w.items():
+        for at in rng.choice(value.size, min(8, value.size), replace=False):
+            both = []
+            for d in (1e-5, -1e-5):
+                moved = {k: v.copy() for k, v in w.items()}
+                moved[name].ravel()[at] += d
+                both.append(recurrent.loss_and_gradient(moved, x, y, kind)[0])
+            assert grad[name].ravel()[at] == pytest.approx((both[0] - both[1]) / 2e-5, rel=1e-4, abs=1e-8)
+
+
+@pytest.mark.parametrize("kind", ["rnn", "gru", "lstm", "convlstm"])
+def test_training_lowers_the_error_of_a_held_out_horizon(kind):
+    t = np.arange(120)
+    y = np.stack([np.sin(2 * np.pi * (t + c) / 7) * (10 + c) + 20 for c in range(4)], axis=1)
+    past, want = y[:110], y[110:114]
+    error = lambda w: np.abs(recurrent.roll(w, past, 7, 4, kind) - want).mean()
+    assert error(recurrent.train(past, 7, kind)) < 0.5 * error(recurrent.fresh(kind, 4))
+
+
+def test_networks_are_kept_and_gone_on_with(spark):
+    rows = [(k, t, [0.5 + 0.4 * float(np.sin(2 * np.pi * (t + c) / 7)) for c in range(3)]) for k in ("a", "b") for t in range(40)] + [("short", t, [0.1, 0.2, 0.3]) for t in range(5)]
+    past = spark.createDataFrame(rows, "key string, time_id long, cdf array<double>").cache()
+    nets = recurrent.trained_networks(past, "key", 7, "gru", epochs=40).cache()
+    assert {r.key for r in nets.collect()} == {"a", "b"}
+    got = {(r.key, r.time_id): r.cdf for r in recurrent.network_forecasts(past, nets, "key", 7, 2).collect()}
+    y = np.array([r[2] for r in rows if r[0] == "a"])
+    assert np.allclose([got["a", 40], got["a", 41]], recurrent.roll(recurrent.train(y, 7, "gru", 40), y, 7, 2, "gru"))
+    more = recurrent.trained_networks(past, "key", 7, "gru", warm=nets, epochs=1).collect()
+    old = {r.key: r.weights for r in nets.collect()}
+    assert all(np.abs(np.array(r.weights) - old[r.key]).max() < 0.05 for r in more)
+
+
+def test_arma_finds_its_parameters():
+    rng = np.random.default_rng(3)
+    e, d = rng.normal(size=4000), np.zeros(4000)
+    for t in range(7, 4000):
+        d[t] = 0.6 * d[t - 1] + 0.2 * d[t - 7] + e[t] + 0.4 * e[t - 1] - 0.3 * e[t - 7]
+    mean, ar, sar, ma, sma = series.fit_arma(d + 5, 7)
+    assert abs(mean - 5) < 0.5 and np.allclose([ar, sar, ma, sma], [0.6, 0.2, 0.4, -0.3], atol=0.07)
+    assert np.allclose(series.fit_arma(d + 5, 7), series.fit_arma(d + 5, 7, rounds=200), atol=1e-3)
 
 
 def test_shocks_help_where_they_linger():

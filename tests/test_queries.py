@@ -277,7 +277,7 @@ def test_edges_are_the_neighbours_codes(spark):
 #: One entry of each experiment.
 ENTRIES = {
     "block_ranges": {"by_code": True, "per_block": 200}, "median_tree": {"leaf_rows": 250}, "packed_tree": {"side": 3}, "quartered_leaves": {"leaf_rows": 250}, "recursive_models": {"leaves": 8, "edges": True},
-    "networks": {"hidden": 4, "steps": 5}, "merges": {"chunks": 1, "factor": 1.5}, "forecasts": {"width": 10, "model": "var", "hours": 24}, "build_partitions": {"partitions": 2}, "codecs": {"codec": "base32_decode"}, "paths": {"path": "point_query_exact"},
+    "networks": {"hidden": 4, "steps": 5}, "merges": {"chunks": 1, "factor": 1.5}, "forecasts": {"width": 10, "model": "var", "hours": 24}, "build_partitions": {"partitions": 2}, "codecs": {"codec": "base32_decode"}, "updating": {"method": "tree", "chunks": 1, "factor": 1.5}, "paths": {"path": "point_query_exact"},
 }
 
 
@@ -288,5 +288,9 @@ def test_experiments(spark, name):
     assert got.pop("seconds") > 0 and got and all(v >= 0 for v in got.values())
     if name == "block_ranges":
         assert got["blocks"] == 5 and 1 <= got["met_each"] <= 5
-    if name == "merges":
+    if name in ("merges", "updating"):
         assert got["outside"] == 0
+    if name == "updating":
+        other = {m: {r.metric: r.value for r in experiments.run(spark, SF, name, entries=[{"method": m, "chunks": 1, "factor": 1.5}]).collect()} for m in ("rebuild", "models")}
+        assert other["rebuild"]["outside"] == other["models"]["outside"] == 0 and got["leaves"] == other["rebuild"]["leaves"]
+        assert other["models"]["fitted"] <= other["rebuild"]["fitted"]

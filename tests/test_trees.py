@@ -2,10 +2,12 @@
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import GreaterThanOrEqual, LessThan
 
 from terrazzo.functions.region import UNIT
-from terrazzo.operators import cells, growth, learned, prep, search
+from terrazzo.operators import blocks, cells, growth, learned, medians, prep, search
 from terrazzo.operators.growth import Shape
+from terrazzo.sources import datasource
 from terrazzo.sources.versions import Manifest, Versions
 from terrazzo.streaming.tree import BufferedTree, StoredTree, TimedTree
 
@@ -155,6 +157,14 @@ def test_late_rows_are_merged_with_the_next_interval(spark, points, tmp_path):
     for k, b in enumerate([points.where(~late & (F.col("t") < 150)), points.where(late), points.where(~late & (F.col("t") >= 150))]):
         tree.insert(b.select("id", "x", "y", "t"), k)
         tree.insert(b.select("id", "x", "y", "t"), k)  # a batch that comes again
+    # queries read what is merged and what isn't
+    assert tree.latest().tables["open"] and tree.table("entries").count() < points.count()
+    w = spark.createDataFrame([(0, 0.2, 0.8, 0.1, 0.75)], "qid long, bottom double, up double, left double, right double")
+    rows = points.collect()
+    assert sorted(r.id for r in tree.range_query(w).collect()) == sorted(r.id for r in rows if 0.2 <= r.y <= 0.8 and 0.1 <= r.x <= 0.75)
+    q = spark.createDataFrame([(0, 0.9, 0.5, 30)], "qid long, qx double, qy double, k int")
+    assert {r.id for r in tree.knn_query(q).collect()} == {r.id for r in sorted(rows, key=lambda r: ((r.x - 0.9) ** 2 + (r.y - 0.5) ** 2, r.id))[:30]}
+    assert {r.id for r in tree.point_query(q).collect()} == {r.id for r in rows if (r.x, r.y) == (0.9, 0.5)}
     tree.finish()
     assert tree.table("entries").count() == points.count() and leaves_of(tree.table("leaves")) == rebuilt(points)
     assert {r.time_id: r.rows for r in tree.report().collect()} == {r.t: r.n for r in points.groupBy(F.expr("t div 100").alias("t")).agg(F.count("*").alias("n")).collect()}
@@ -192,3 +202,81 @@ def test_more_leaves_than_are_sent_to_all_tasks(spark, points, monkeypatch):
     assert sorted(map(tuple, cells.assign_leaves(points.select("id", "z"), meta, BITS).collect())) == want and 0 < len(want) < points.count()
     assert cells.assign_leaves(points, meta.limit(0), BITS).count() == 0
     assert search.knn_scan(points, 0.0, 0.0, 3).count() == 3
+
+
+def test_medians_halve_exactly(spark, points, monkeypatch):
+    """Splits and leaves by plain sorting, with many rows at one place, few bins and groups that aren't broadcast."""
+    rows = [(r.id, r.x, r.y) for r in points.collect()]
+    leaves, splits, parts, level = {}, set(), {1: rows}, 0
+    while max(map(len, parts.values())) > 60:
+        halves = {}
+        for node, of in parts.items():
+            of = sorted(of, key=lambda r: (r[1 + level % 2], r[0]))
+            half = (len(of) + 1) // 2
+            splits.add((node, level, of[half - 1][1 + level % 2], of[half - 1][0]))
+            halves |= {2 * node: of[:half], 2 * node + 1: of[half:]}
+        parts, level = halves, level + 1
+    leaves = {r[0]: node for node, of in parts.items() for r in of}
+    for bins, groups, small in ((1024, 200_000, 256), (64, 0, 3)):
+        monkeypatch.setattr(medians, "BINS", bins)
+        monkeypatch.setattr(medians, "SMALL", small)
+        monkeypatch.setattr(medians, "BROADCAST_GROUPS", groups)
+        got, cuts = medians.median_tree(points, 60)
+        assert {r.id: r.blk for r in got.collect()} == leaves and {tuple(r) for r in cuts.collect()} == splits
+    whole, none = medians.median_tree(points.limit(0), 60)
+    assert whole.count() == 0 and none.count() == 0
+    q = spark.createDataFrame([(1, 0.1, 0.1), (2, 5.0, -3.0)], "qid long, qx double, qy double")
+    assert {r.blk.bit_length() for r in medians.located(q, cuts, F.col("qx"), F.col("qy")).collect()} == {level + 1}
+
+
+def test_density_search_grows_only_where_it_has_to(spark, points):
+    meta = growth.with_meta(cells.all_leaves(points, 40, BITS, 5).withColumn("leaf", cells.leaf_number(F.col("depth"), F.col("cell"))), BITS)
+    meta = cells.leaf_meta(meta, UNIT, BITS).checkpoint()
+    entries = learned.leaf_positions(cells.assign_leaves(points, meta, BITS)).checkpoint()
+    models = learned.linear_models(entries).checkpoint()
+    queries = spark.createDataFrame([(0, 0.3, 0.3, 9), (1, 0.7, 0.7, 100), (2, 0.99, 0.01, 3), (3, 2.0, 2.0, 1000), (4, 0.2, 0.1, 1)], "qid long, qx double, qy double, k int")
+    found, rounds = search.knn_by_density(entries, meta, models, queries, UNIT, BITS)
+    rows = points.collect()
+    want = {(q.qid, r.id, i + 1) for q in queries.collect() for i, r in enumerate(sorted(rows, key=lambda r: ((r.x - q.qx) ** 2 + (r.y - q.qy) ** 2, r.id))[: q.k])}
+    assert {(r.qid, r.id, r.rank) for r in found.collect()} == want
+    assert rounds[0] == 5 and rounds == sorted(rounds, reverse=True) and rounds[-1] < 5
+
+
+def test_packed_levels_end_in_a_root(spark, points):
+    tiles = blocks.packed_boxes(points, 5, 5)
+    levels = blocks.packed_levels(tiles, 5, 5, fan=2).checkpoint()
+    count = {r.level: (r.c, r.n) for r in levels.groupBy("level").agg(F.count("*").alias("c"), F.sum("n").alias("n")).collect()}
+    assert count == {0: (25, 470), 1: (9, 470), 2: (4, 470), 3: (1, 470)}
+    rows = blocks.packed_rows(points, 5, 5)
+    w = spark.createDataFrame([(0, 0.2, 0.5, 0.1, 0.4), (1, 0.0, 1.0, 0.0, 1.0), (2, 3.0, 4.0, 3.0, 4.0)], "qid long, bottom double, up double, left double, right double")
+    got = sorted(map(tuple, blocks.range_query_levels(rows, levels, w, fan=2).collect()))
+    assert got == sorted((q.qid, r.id) for q in w.collect() for r in points.collect() if q.bottom <= r.y <= q.up and q.left <= r.x <= q.right)
+    down = blocks.descended(levels, w, fan=2).groupBy("qid").count().collect()
+    assert {r.qid: r["count"] for r in down}[0] < 39 and 2 not in {r.qid for r in down}
+    assert blocks.packed_levels(tiles.limit(0), 5, 5).count() == 0 and blocks.descended(levels.limit(0), w).count() == 0
+
+
+def test_the_source_opens_only_parts_that_can_match(spark, points, tmp_path):
+    tree = StoredTree(spark, str(tmp_path), UNIT, SHAPE)
+    m = tree.merge(points)
+    datasource.register(spark, UNIT, BITS)
+    load = lambda **o: spark.read.format("terrazzo_tree").options(folder=str(tmp_path), bits=BITS, coarse=2, **o).load()
+    assert load().count() == points.count() and load(table="leaves").columns == ["leaf", "depth", "cell", "n"] and load(version=0).count() == 0
+    every = {k: {r.z for r in tree.store.read(m, "entries", [k]).select("z").collect()} for k in m.tables["entries"]}
+    for low, high in ((0, 100), (20_000, 30_000), (40_000, 40_500), (65_000, 65_535)):
+        reader = datasource.TreeReader(str(tmp_path), m.tables["entries"], 2 * (BITS - 2), ["id", "z"])
+        filters = [GreaterThanOrEqual(("z",), low), LessThan(("z",), high)]
+        assert list(reader.pushFilters(filters)) == filters
+        chosen = {k for k in every if reader._can_hold(int(k))}
+        assert {k for k, zs in every.items() if any(low <= z < high for z in zs)} <= chosen and len(reader.partitions()) <= max(1, len(every) - 1)
+        got = load().where(f"z >= {low} AND z < {high}")
+        assert sorted(r.id for r in got.collect()) == sorted(r.id for r in points.where(f"z >= {low} AND z < {high}").collect())
+
+
+def test_window_cells_in_sql(spark):
+    datasource.register(spark, UNIT, BITS)
+    rows = spark.createDataFrame([(0, 0.2, 0.5, 0.1, 0.4), (1, 0.9, 1.5, 0.9, 1.5), (2, -2.0, -1.0, 0.0, 1.0), (3, None, 1.0, 0.0, 1.0), (4, 0.6, 0.5, 0.1, 0.2)], "qid long, bottom double, up double, left double, right double")
+    rows.createOrReplaceTempView("some_windows")
+    got = {tuple(r) for r in spark.sql("SELECT qid, c.cell FROM some_windows, LATERAL window_cells(bottom, up, left, right, 3) c").collect()}
+    want = {(r.qid, r.cell) for r in cells.cover_masks(rows.where("bottom is not null"), UNIT, BITS, 3).collect()}
+    assert got == want and {q for q, _ in got} == {0, 1}
