@@ -492,9 +492,9 @@ def sql_range_function(spark, sf_dir):
     return _sql(spark, sf_dir, "pe", "SELECT id, x, y FROM places_range(0.2, 0.5, 0.1, 0.4)")
 
 
-@query(f"WITH {PO} SELECT id, x, y FROM po WHERE x = 0.663::DOUBLE AND y = 0.72::DOUBLE")
+@query(f"WITH {PO} SELECT id, x, y FROM po WHERE x = 0.032::DOUBLE AND y = 0.37::DOUBLE")
 def sql_place_function(spark, sf_dir):
-    return _sql(spark, sf_dir, "po", "SELECT id, x, y FROM places_at(0.663, 0.72)")
+    return _sql(spark, sf_dir, "po", "SELECT id, x, y FROM places_at(0.032, 0.37)")
 
 
 @query(f"WITH {PE} SELECT id, round((x - 0.3::DOUBLE) * (x - 0.3::DOUBLE) + (y - 0.6::DOUBLE) * (y - 0.6::DOUBLE), 12) AS d2 FROM pe ORDER BY (x - 0.3::DOUBLE) * (x - 0.3::DOUBLE) + (y - 0.6::DOUBLE) * (y - 0.6::DOUBLE), id LIMIT 64")

@@ -25,7 +25,7 @@ NAMES = (
     "knn_brin", "knn_code_neighbours", "knn_main_and_delta", "code_neighbours", "median_tree", "timed_merges", "leaf_error_bounds", "leaf_io_cost",
     "prep_knn_queries", "prep_sample", "forecasts_due", "point_query_staged", "edge_models_valid", "sql_range_function", "sql_nearest_function",
     "block_size_grid", "leaf_size_grid", "geohash_digits", "quartered_networks_valid", "version_snapshots", "streaming_window_counts", "prep_datasets",
-    "tree_growth", "tree_shrinkage", "tree_entries", "tree_networks_valid", "timed_tree", "sealed_range_query", "sealed_knn",
+    "median_tree_boxes", "median_tree_splits", "packed_tree_levels", "packed_tree_descent", "range_query_packed_levels", "knn_by_density", "tree_shrinkage", "tree_networks_valid", "tree_source_range", "window_cells_function",
 )
 
 
