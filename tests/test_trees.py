@@ -229,6 +229,20 @@ def test_medians_halve_exactly(spark, points, monkeypatch):
     assert {r.blk.bit_length() for r in medians.located(q, cuts, F.col("qx"), F.col("qy")).collect()} == {level + 1}
 
 
+def test_a_tree_of_medians_is_the_same_wherever_tasks_take_over(spark, points, monkeypatch):
+    """The upper levels are one job for all nodes each, the lower ones one job in all."""
+    found, jobs = [], []
+    rank, monkeyed = medians.rows_at_ranks, []
+    monkeypatch.setattr(medians, "rows_at_ranks", lambda *a: monkeyed.append(1) or rank(*a))
+    for most in (1 << 17, 130, 1):
+        monkeypatch.setattr(medians, "TASK_ROWS", most)
+        rows, splits = medians.median_tree(points, 60)
+        found.append(({(r.id, r.blk) for r in rows.collect()}, {tuple(r) for r in splits.collect()}))
+        jobs.append(len(monkeyed))
+        monkeyed.clear()
+    assert found[0] == found[1] == found[2] and len(found[0][1]) == 7 and jobs == [0, 2, 3]
+
+
 def test_density_search_grows_only_where_it_has_to(spark, points):
     meta = growth.with_meta(cells.all_leaves(points, 40, BITS, 5).withColumn("leaf", cells.leaf_number(F.col("depth"), F.col("cell"))), BITS)
     meta = cells.leaf_meta(meta, UNIT, BITS).checkpoint()
