@@ -77,13 +77,14 @@ def range_query_buckets(delta: DataFrame, meta: DataFrame, forecasts: DataFrame,
     each leaf that a window meets only those between its first and last code's buckets are read."""
     corner = lambda x, y: Z.encode(F.col(x), F.col(y), region, bits)
     m = meta.select("leaf", "value", (F.col("value") + F.col("value_diff")).alias("_end"))
-    met = cells.leaves_met(meta, windows, region, bits).select("qid", "leaf", "bottom", "up", "left", "right").join(m, "leaf")
+    groups = cells.together(windows, ["bottom", "up", "left", "right"])
+    met = cells.leaves_met(meta, groups, region, bits).select("_qids", "leaf", "bottom", "up", "left", "right").join(m, "leaf")
     met = met.withColumns({"_lo": F.greatest("value", corner("left", "bottom")), "_hi": F.least(F.col("_end") - 1, corner("right", "up"))})
     met = met.join(forecasts.select("leaf", "time_id", "cdf", "max_key"), "leaf", "left")
     at = lambda c: F.coalesce(series.predicted_bucket(F.col(c), F.col("value"), F.col("_end"), F.col("cdf"), F.col("max_key"), width), F.lit(0).cast("long"))
-    met = met.select("qid", "leaf", F.col("time_id").alias("_t"), "bottom", "up", "left", "right", at("_lo").alias("_from"), at("_hi").alias("_to"))
-    rows = delta.join(met, "leaf").where(F.col("_t").isNull() | (F.col("_t") == F.col("time_id")))
-    return rows.where(F.col("bucket").between(F.col("_from"), F.col("_to")) & G.contains(G.Box.of(), F.col("x"), F.col("y"))).select("qid", "id")
+    met = met.select("_qids", "leaf", F.col("time_id").alias("_t"), "bottom", "up", "left", "right", at("_lo").alias("_from"), at("_hi").alias("_to"))
+    rows = delta.select("leaf", "time_id", "bucket", "id", "x", "y").join(met, "leaf").where(F.col("_t").isNull() | (F.col("_t") == F.col("time_id")))
+    return rows.where(F.col("bucket").between(F.col("_from"), F.col("_to")) & G.contains(G.Box.of(), F.col("x"), F.col("y"))).select(F.explode("_qids").alias("qid"), "id")
 
 
 def first_version(rows: DataFrame, meta: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:

@@ -121,7 +121,7 @@ def _packed(spark, sf_dir, name: str) -> tuple[DataFrame, DataFrame]:
 
     def build() -> DataFrame:
         points = _points(spark, sf_dir, name)
-        side = max(1, math.ceil(math.sqrt(points.count() / LEAF_ROWS)))
+        side = _packed_side(points)
         return blocks.packed_rows(points, side, side).withColumn("blk", F.col("strip") * side + F.col("tile") - 1).drop("strip", "tile")
 
     rows = _stored(spark, sf_dir, f"{name}_packed", build)
@@ -246,7 +246,7 @@ def brin_blocks_sorted(spark, sf_dir):
 
 @query(f"{_BRIN.format('z, id')} SELECT qid, blk, CASE WHEN bottom <= b_bottom AND up >= b_up AND lft <= b_left AND rgt >= b_right THEN 2 WHEN b_bottom <= bottom AND b_up >= up AND b_left <= lft AND b_right >= rgt THEN 3 ELSE 1 END AS relation FROM wq JOIN br ON {_MEET}")
 def rect_relation(spark, sf_dir):
-    return blocks.blocks_met(_blocks_by_code(spark, sf_dir, "pe")[1], windows(spark, sf_dir), UNIT, BITS).select("qid", "blk", "relation")
+    return blocks.pairs_met(_blocks_by_code(spark, sf_dir, "pe")[1], windows(spark, sf_dir), UNIT, BITS)
 
 
 @query(f"WITH {WQ}, {NQ} SELECT wq.qid, round(greatest(lft - qx, 0, qx - rgt) * greatest(lft - qx, 0, qx - rgt) + greatest(bottom - qy, 0, qy - up) * greatest(bottom - qy, 0, qy - up), 12) AS d2 FROM wq JOIN nq ON wq.qid = nq.qid")
@@ -402,9 +402,7 @@ def range_query_cells(spark, sf_dir):
 
 @query(f"WITH {PE}, {WQ} SELECT qid, count(id) AS n FROM wq LEFT JOIN pe ON y BETWEEN bottom AND up AND x BETWEEN lft AND rgt GROUP BY qid")
 def range_join_counts(spark, sf_dir):
-    w = windows(spark, sf_dir)
-    n = search.range_join(pe(spark, sf_dir), w, UNIT, BITS).groupBy("qid").agg(F.count("*").alias("n"))
-    return w.select("qid").join(n, "qid", "left").select("qid", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+    return search.range_counts(pe(spark, sf_dir), windows(spark, sf_dir), UNIT, BITS)
 
 
 _AXES = ", ".join(f"{axis_sql(c)} >> {BITS - 5} AS {n}" for c, n in (("lft", "x0"), ("rgt", "x1"), ("bottom", "y0"), ("up", "y1")))
@@ -558,9 +556,18 @@ _TILES = f"WITH {PE}, s AS (SELECT *, (row_number() OVER (ORDER BY x, id) - 1) *
 
 def _levels(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """(rows with strip and tile, all levels of boxes) of a packed tree of 8 by 8 tiles."""
-    rows = _stored(spark, sf_dir, "pe_tiles", lambda: blocks.packed_rows(_points(spark, sf_dir, "pe"), 8, 8))
+    return _packed_tree(spark, sf_dir, 8)
+
+
+def _packed_tree(spark, sf_dir, side: int) -> tuple[DataFrame, DataFrame]:
+    rows = _stored(spark, sf_dir, f"pe_tiles_{side}", lambda: blocks.packed_rows(_points(spark, sf_dir, "pe"), side, side))
     tiles = rows.groupBy("strip", "tile").agg(F.count("*").alias("n"), *blocks.box_of())
-    return rows, _stored(spark, sf_dir, "pe_tile_levels", lambda: blocks.packed_levels(tiles, 8, 8))
+    return rows, _stored(spark, sf_dir, f"pe_tile_levels_{side}", lambda: blocks.packed_levels(tiles, side, side))
+
+
+def _packed_side(points: DataFrame) -> int:
+    """Strips, and tiles in a strip, of a packed tree with about LEAF_ROWS rows in a tile."""
+    return max(1, math.ceil(math.sqrt(points.count() / LEAF_ROWS)))
 
 
 @query(f"{_TILES} SELECT level, strip, tile, n, bottom, up, lft, rgt FROM l")
@@ -576,7 +583,8 @@ def packed_tree_descent(spark, sf_dir):
 
 @query(PAIRS_R)
 def range_query_packed_levels(spark, sf_dir):
-    return blocks.range_query_levels(*_levels(spark, sf_dir), windows(spark, sf_dir))
+    """Down a tree with as many tiles as the points need; with 8 by 8 a tile would grow with the table."""
+    return blocks.range_query_levels(*_packed_tree(spark, sf_dir, _packed_side(_points(spark, sf_dir, "pe"))), windows(spark, sf_dir))
 
 
 _AT_LEAF = f"WITH {PE}, {PYRAMID}, e AS (SELECT pe.*, cell * 64 + depth AS leaf FROM pe JOIN leaf ON z >> (2 * ({BITS} - depth)) = cell), p AS (SELECT *, row_number() OVER (PARTITION BY leaf ORDER BY z, id) - 1 AS pos FROM e)"
@@ -678,7 +686,8 @@ _LEAF_CELLS = f"lc AS (SELECT n, {compact_sql('cell', DEEPEST)} << ({BITS} - dep
 
 @query(f"WITH {PE}, {WQ}, {PYRAMID}, {_LEAF_CELLS}, a AS (SELECT qid, {axis_sql('lft')} AS x0, {axis_sql('rgt')} AS x1, {axis_sql('bottom')} AS y0, {axis_sql('up')} AS y1 FROM wq) SELECT qid, count(*) AS leaves, sum(ceil(n / 146.0::DOUBLE)::BIGINT)::BIGINT AS pages FROM a JOIN lc ON x0 < cx + side AND x1 >= cx AND y0 < cy + side AND y1 >= cy GROUP BY qid")
 def leaf_io_cost(spark, sf_dir):
-    return metrics.leaf_pages(cells.leaves_met(_meta(spark, sf_dir, "pe"), windows(spark, sf_dir), UNIT, BITS))
+    alike = cells.together(windows(spark, sf_dir), blocks.SIDES)
+    return cells.apart(metrics.leaf_pages(cells.leaves_met(_meta(spark, sf_dir, "pe"), alike.drop("_qids"), UNIT, BITS)), alike)
 
 
 _SIZES = (100, 200, 400, 800, 1600)
@@ -689,7 +698,8 @@ def block_size_grid(spark, sf_dir):
     """Blocks of five sizes, and how often a window meets one: the longer ones are made of the shortest."""
     shortest = _written(blocks.block_ranges(blocks.with_blocks(_points(spark, sf_dir, "pe"), ["z", "id"], _SIZES[0])))
     found = blocks.rolled_up(shortest, [size // _SIZES[0] for size in _SIZES]).withColumn("blk", F.struct("factor", "blk")).checkpoint()
-    met = blocks.blocks_met(found, windows(spark, sf_dir), UNIT, BITS).groupBy("blk.factor").agg(F.count("*").alias("met"))
+    alike = cells.together(windows(spark, sf_dir), blocks.SIDES).withColumn("_w", F.size("_qids")).drop("_qids")
+    met = blocks.blocks_met(found, alike, UNIT, BITS).groupBy("blk.factor").agg(F.sum("_w").alias("met"))
     out = found.groupBy("factor").agg(F.count("*").alias("blocks")).join(met, "factor", "left")
     return out.select((F.col("factor") * _SIZES[0]).alias("per_block"), "blocks", F.coalesce("met", F.lit(0)).alias("met"))
 

@@ -294,3 +294,31 @@ def test_experiments(spark, name):
         other = {m: {r.metric: r.value for r in experiments.run(spark, SF, name, entries=[{"method": m, "chunks": 1, "factor": 1.5}]).collect()} for m in ("rebuild", "models")}
         assert other["rebuild"]["outside"] == other["models"]["outside"] == 0 and got["leaves"] == other["rebuild"]["leaves"]
         assert other["models"]["fitted"] <= other["rebuild"]["fitted"]
+
+
+def test_windows_meet_leaves_by_the_cells_of_their_codes(spark):
+    """A window that begins where a leaf ends isn't met by it; one whose edge rounds into it is."""
+    side = 1 << 8
+    meta = cells.leaf_meta(spark.createDataFrame([(1, 0, 5), (1, 1, 7), (1, 3, 9)], "depth int, cell long, n long"), UNIT, 8).checkpoint()
+    rows = [(0, 0.0, 0.25, 0.5, 0.75), (1, 0.0, 0.25, 0.5 - 0.6 / side, 0.75), (2, 0.0, 0.25, 0.5 - 0.4 / side, 0.75), (3, 0.5, 0.9, 0.5, 0.9), (4, 0.2, 0.6, 0.2, 0.6), (5, None, 1.0, 0.0, 1.0)]
+    w = spark.createDataFrame(rows, "qid long, bottom double, up double, left double, right double")
+    got = sorted((r.qid, r.n) for r in cells.leaves_met(meta, w, UNIT, 8).collect())
+    assert got == [(0, 7), (1, 5), (1, 7), (2, 7), (3, 9), (4, 5), (4, 7), (4, 9)]
+
+
+def test_queries_that_are_alike_are_answered_together(spark, monkeypatch):
+    """Each of many equal windows has its rows, and its count; joins see the box once for TOGETHER of them or so."""
+    monkeypatch.setattr(cells, "TOGETHER", 8)
+    points = prep.coded(spark.range(200).select("id", (F.col("id") % 17 / 17.0).alias("x"), (F.col("id") % 13 / 13.0).alias("y")), UNIT, BITS).checkpoint()
+    k = F.col("id") % 3
+    w = spark.range(60).select(F.col("id").alias("qid"), (k * 0.1).alias("bottom"), (k * 0.1 + 0.4).alias("up"), (k * 0.2).alias("left"), (k * 0.2 + 0.3).alias("right"))
+    groups = cells.together(w, blocks.SIDES).collect()
+    assert len(groups) < 30 and sorted(q for g in groups for q in g._qids) == list(range(60)) and all(g.qid == min(g._qids) for g in groups)
+    want = sorted((q.qid, r.id) for q in w.collect() for r in points.collect() if q.bottom <= r.y <= q.up and q.left <= r.x <= q.right)
+    assert sorted(map(tuple, search.range_join(points, w, UNIT, BITS).collect())) == want
+    assert {r.qid: r.n for r in search.range_counts(points, w, UNIT, BITS).collect()} == {q: sum(1 for a, _ in want if a == q) for q in range(60)}
+    by = blocks.with_blocks(points, ["z", "id"], 9)
+    assert sorted(map(tuple, blocks.range_query_blocks(by, blocks.block_ranges(by), w, UNIT, BITS).collect())) == want
+    met = blocks.pairs_met(blocks.block_ranges(by), w, UNIT, BITS).collect()
+    boxes = blocks.block_ranges(by).collect()
+    assert sorted((r.qid, r.blk) for r in met) == sorted((q.qid, b.blk) for q in w.collect() for b in boxes if q.bottom <= b.up and b.bottom <= q.up and q.left <= b.right and b.left <= q.right)
