@@ -243,6 +243,18 @@ def test_a_tree_of_medians_is_the_same_wherever_tasks_take_over(spark, points, m
     assert found[0] == found[1] == found[2] and len(found[0][1]) == 7 and jobs == [0, 2, 3]
 
 
+def test_arrivals_share_files_and_are_read_once_whatever_the_queries(spark, points, tmp_path):
+    """Blocks in order of arrival span the region; neither files nor pairs of queries and blocks grow with their number."""
+    tree = BufferedTree(spark, str(tmp_path), UNIT, SHAPE, per_block=2, merge_at=10)
+    m = tree.insert(points, ["t", "id"])
+    assert len(m.tables["sealed"]) == 235 and len({p for v in m.tables["arrived"].values() for p in v}) == 1
+    assert blocks.blocks_near(tree.delta(m)[1], spark.createDataFrame([(0, 0.0, 1.0, 0.0, 1.0), (1, 0.0, 1.0, 0.0, 1.0)], "qid long, bottom double, up double, left double, right double"), UNIT, BITS).count() == 235
+    m = tree.compact()
+    assert len(m.tables["arrived"]) == 225 and tree.delta(m)[0].count() == 450 and tree.table("entries").count() == 20
+    probes = points.select(F.col("id").alias("qid"), F.col("x").alias("qx"), F.col("y").alias("qy"))
+    assert tree.point_query(probes).count() == points.join(probes, (F.col("x") == F.col("qx")) & (F.col("y") == F.col("qy"))).count()
+
+
 def test_density_search_grows_only_where_it_has_to(spark, points):
     meta = growth.with_meta(cells.all_leaves(points, 40, BITS, 5).withColumn("leaf", cells.leaf_number(F.col("depth"), F.col("cell"))), BITS)
     meta = cells.leaf_meta(meta, UNIT, BITS).checkpoint()
