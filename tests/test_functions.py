@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -164,6 +165,33 @@ def test_last_weights_and_retries(spark):
     assert width(threshold=0.0, tries=4) <= width() == width(threshold=1e9, tries=4)
 
 
+def test_networks_of_many_leaves_are_fitted_together(spark, monkeypatch):
+    """As each by itself, wherever a task cuts its leaves' rows, with old weights of another width for some and with retries; few calls, not one a leaf."""
+    rows = spark.range(900).select((F.col("id") * F.col("id")).alias("z"), F.expr("CAST(sqrt(id) AS BIGINT)").alias("leaf"), F.expr("id - CAST(pow(CAST(sqrt(id) AS BIGINT), 2) AS BIGINT)").alias("pos")).checkpoint()
+    warm = learned.network_models(rows.where("leaf % 3 = 0"), 5, 20).checkpoint()
+    of, old = {}, {r.leaf: (r.w0, r.b0, r.w1, r.b1) for r in warm.collect()}
+    for r in rows.orderBy("leaf", "pos").collect():
+        of.setdefault(r.leaf, []).append(float(r.z))
+    flat = lambda net: np.concatenate([*net[:3], [net[3]]])
+    for held, trained in ((1 << 17, 1 << 13), (150, 100)):
+        monkeypatch.setattr(learned, "TRAINED_ROWS", trained)
+        monkeypatch.setattr(learned, "HELD_ROWS", held)
+        found = {r.leaf: (r.w0, r.b0, r.w1, r.b1) for r in learned.network_models(rows, 5, 30, warm=warm).collect()}
+        assert set(found) == set(range(30)) == set(of)
+        for leaf, z in of.items():
+            u, y = (np.array(z) - z[0]) / ((z[-1] - z[0]) or 1.0), np.arange(len(z)) / max(1, len(z) - 1)
+            assert flat(found[leaf]) == pytest.approx(flat(learned.train_network(u, y, 5, 30, old.get(leaf))), abs=1e-9)
+    assert {len(r.w0) for r in learned.network_models(rows, 7, 5, warm=warm).collect()} == {7}
+    calls = []
+    monkeypatch.setattr(learned, "TRAINED_ROWS", 1 << 13)
+    train = learned.train_networks
+    monkeypatch.setattr(learned, "train_networks", lambda *a, **k: calls.append(len(a[0])) or train(*a, **k))
+    head = [{"leaf": i, "pos": j, "z": None if j < 0 else j, "n": 5 if j < 0 else None, "in_min": 0.0, "in_max": 4.0, "old": None} for i in range(40) for j in range(-1, 5)]
+    assert learned._fitted(pa.Table.from_pylist(head), 4, 10, None, 1, False).num_rows == 40 and calls == [40]
+    widths = [learned.with_bounds(rows, warm, learned.network_guess(n)).select("leaf", "min_err", "max_err").orderBy("leaf").collect() for n in (None, learned.most_units(warm), 9)]
+    assert learned.most_units(warm) == 5 and widths[0] == widths[1] == widths[2]
+
+
 def test_digits_of_geohashes(spark):
     df = spark.createDataFrame([("ezs42e",), ("s00000",), ("u4pruy",)], "h string")
     lng, lat = Z.geohash32_digits(F.col("h"), 6)
