@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..sources.session import prepared
+from ..sources.session import prepared, read_back
 
 BINS = 1024
 #: Rows that are sorted for a group at once.
@@ -83,7 +83,8 @@ def median_tree(points: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
         axis = "xy"[level % 2]
         nodes = 1 << level
         ranks = sizes.select("grp", F.expr("(n + 1) div 2 - 1").alias("rank"))
-        at = rows_at_ranks(rows.select(F.col("blk").alias("grp"), F.col(axis).cast("double").alias("v"), "id"), ranks, nodes).checkpoint()
+        at = rows_at_ranks(rows.select(F.col("blk").alias("grp"), F.col(axis).cast("double").alias("v"), "id"), ranks, nodes)
+        at = read_back(at)  # the next level's rows are met with it, and its own ranks come from them
         splits = splits.unionByName(at.select(F.col("grp").alias("node"), F.lit(level).alias("level"), "v", "id"))
         cut = at.select(F.col("grp").alias("blk"), F.col("v").alias("_v"), F.col("id").alias("_id"))
         upper = (F.col(axis) > F.col("_v")) | ((F.col(axis) == F.col("_v")) & (F.col("id") > F.col("_id")))

@@ -306,3 +306,11 @@ def test_window_cells_in_sql(spark):
     got = {tuple(r) for r in spark.sql("SELECT qid, c.cell FROM some_windows, LATERAL window_cells(bottom, up, left, right, 3) c").collect()}
     want = {(r.qid, r.cell) for r in cells.cover_masks(rows.where("bottom is not null"), UNIT, BITS, 3).collect()}
     assert got == want and {q for q, _ in got} == {0, 1}
+
+
+def test_a_deep_tree_of_medians_is_planned_from_true_sizes(spark, points, monkeypatch):
+    """Estimates of joins are products: a level that goes on from the estimate of the one before has several times its digits."""
+    monkeypatch.setattr(medians, "TASK_ROWS", 1)
+    rows, splits = medians.median_tree(points, 20)
+    bits = [df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() for df in (rows, splits)]
+    assert rows.select("blk").distinct().count() == 32 and max(bits) < 1000
