@@ -1,5 +1,8 @@
 """Trees that live in a folder: merges against rebuilds, versions against a killed run, blocks against plain search."""
 
+import os
+import time
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import GreaterThanOrEqual, LessThan
@@ -314,3 +317,19 @@ def test_a_deep_tree_of_medians_is_planned_from_true_sizes(spark, points, monkey
     rows, splits = medians.median_tree(points, 20)
     bits = [df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() for df in (rows, splits)]
     assert rows.select("blk").distinct().count() == 32 and max(bits) < 1000
+
+
+def test_a_merge_leaves_no_shuffle_files(spark, points, tmp_path):
+    dirs = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs())
+    files = lambda: {f for d in dirs for _, _, names in os.walk(d.getPath()) for f in names if f.startswith("shuffle_")}
+    before = files()
+    tree = BufferedTree(spark, str(tmp_path), UNIT, SHAPE, per_block=50, merge_at=3)
+    tree.merge(points.where("id < 200"))
+    tree.insert(points.where("id >= 200"), ["t", "id"])
+    tree.compact()
+    left = None
+    for _ in range(40):  # they go in a thread of their own
+        if not (left := files() - before):
+            break
+        time.sleep(0.25)
+    assert not left and tree.table("entries").count() == 350
